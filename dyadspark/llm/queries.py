@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dyadspark.llm import simhash, suffix_dedup, toxicity
+from dyadspark.llm import mixing, simhash, suffix_dedup, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,5 +31,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (toxicity.fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op5_simhash, op7_toxicity)}
-ORACLE_SQL: dict[str, str] = {}
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mixture takes of every document."""
+    return mixing.report(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op5_simhash, op7_toxicity, op9_mixing)}
+ORACLE_SQL: dict[str, str] = {"op9_mixing": mixing.report_sql()}
