@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
+import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dyadspark.llm import mixing, simhash, suffix_dedup, toxicity
+from dyadspark.llm import bpe, mixing, simhash, suffix_dedup, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +28,20 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the ids of every document and of the text they decode to."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+
+    def digests(part, codec, ids, at):
+        data, ends = codec.decode(ids, at)
+        raw = data.tobytes()
+        spelled = [hashlib.sha256(x).hexdigest() for x in codec.spelled_ids(ids, at)]
+        decoded = [hashlib.sha256(raw[a:b]).hexdigest() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+        return pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(at), pa.int64()), pa.array(spelled), pa.array(decoded)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return bpe.apply(docs, bpe.Codec(public_tokenizers.path("byte_bpe_50k.json")), digests, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of every document; labels of fold 0 are never seen."""
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
@@ -36,5 +55,5 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op5_simhash, op7_toxicity, op9_mixing)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op5_simhash, op6_bpe, op7_toxicity, op9_mixing)}
 ORACLE_SQL: dict[str, str] = {"op9_mixing": mixing.report_sql()}
