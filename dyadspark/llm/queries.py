@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dyadspark.llm import bpe, mixing, simhash, suffix_dedup, toxicity
+from dyadspark.llm import bpe, language, mixing, simhash, suffix_dedup, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,14 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.removal_report(_table(spark, sf_dir, "documents"), length=100)
 
 
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document; rows of fold 1 are never learned from."""
+    docs = _table(spark, sf_dir, "documents")
+    model = language.fit(docs, toxicity.fold("doc_id", 3) != 1)
+    found = language.identify(docs, model)
+    return found.select("doc_id", (toxicity.fold("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score", "accepted")
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
@@ -55,5 +63,5 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op5_simhash, op6_bpe, op7_toxicity, op9_mixing)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_language, op5_simhash, op6_bpe, op7_toxicity, op9_mixing)}
 ORACLE_SQL: dict[str, str] = {"op9_mixing": mixing.report_sql()}
