@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,3 +26,25 @@ def cut(df: DataFrame) -> DataFrame:
     """``df`` written once to the shared checkpoint folder and read back from there."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` as a compressed table in the shared checkpoint folder, read back from there.
+
+    For results too large for the plain rows of a checkpoint. The table goes with the session; shuffle files
+    that only ``df`` needed are given up at once.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    release(spark)
+    return spark.read.parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark's context cleaner see that finished stages are done with: it drops shuffle files on garbage collection."""
+    gc.collect()
+    spark._jvm.System.gc()
