@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dyadspark.llm import bpe, language, mixing, simhash, suffix_dedup, toxicity
+from dyadspark.llm import bpe, cover_tree, language, mixing, simhash, suffix_dedup, topk, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,16 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (toxicity.fold("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score", "accepted")
 
 
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and component of every vector at cosine 0.93."""
+    return cover_tree.near_duplicates(_table(spark, sf_dir, "embeddings"), cosine=0.93)
+
+
+def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten best inner products for every hundredth vector."""
+    return topk.top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
@@ -63,5 +73,5 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_language, op5_simhash, op6_bpe, op7_toxicity, op9_mixing)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_language, op3_embedding_dedup, op4_topk, op5_simhash, op6_bpe, op7_toxicity, op9_mixing)}
 ORACLE_SQL: dict[str, str] = {"op9_mixing": mixing.report_sql()}
