@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dyadspark.llm._common import as_bytes, partitions, ranges, steps
-from dyadspark.operators.checkpoints import cut
+from dyadspark.operators.checkpoints import stored
 
 _RANDOM = np.random.default_rng(0x5EED).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
@@ -303,9 +303,9 @@ def repeated_ranges(docs: DataFrame, *, length: int = 100, k: int = 20, hot: int
             doc, s0, n, h = anchor_runs(data, offsets, length, k)
             yield pa.RecordBatch.from_arrays([pa.array(h), part.column("doc_id").take(pa.array(doc)), pa.array(s0), pa.array(n.astype(np.int32))], ["h", "doc_id", "s0", "n"])
 
-    often = given.select("text").mapInArrow(counts, "h long, n long").groupBy("h").agg(F.sum("n").alias("n_all")).where("n_all > 1")
+    often = stored(given.select("text").mapInArrow(counts, "h long, n long").groupBy("h").agg(F.sum("n").alias("n_all")).where("n_all > 1"))
     at = given.mapInArrow(places, f"h long, doc_id {kind}, s0 long, n int").join(often, "h")
-    per_doc = at.withColumn("salts", F.ceil(F.col("n_all") / hot).cast("int")).groupBy("doc_id").agg(F.collect_list(F.struct("h", "s0", "n", "salts")).alias("at"))
+    per_doc = stored(at.withColumn("salts", F.ceil(F.col("n_all") / hot).cast("int")).groupBy("doc_id").agg(F.collect_list(F.struct("h", "s0", "n", "salts")).alias("at")))
     with_text = given.join(per_doc, "doc_id").select("doc_id", "text", "at.h", "at.s0", "at.n", "at.salts")
 
     def contexts(batches):
@@ -326,7 +326,7 @@ def repeated_ranges(docs: DataFrame, *, length: int = 100, k: int = 20, hot: int
 
     found = with_text.mapInArrow(contexts, f"h long, salts int, doc_id {kind}, s0 long, ctx binary")
     found = found.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.col("salts")).cast("int"))
-    first = cut(_round(found, kind, length, block))
+    first = stored(_round(found, kind, length, block))
     again = first.where("ctx IS NOT NULL").select("h", F.lit(1).alias("salts"), "doc_id", "s0", "ctx", F.lit(0).alias("salt"))
     second = _round(again, kind, length, block).where("ctx IS NULL")
     return first.where("ctx IS NULL").select("doc_id", "a", "b").unionByName(second.select("doc_id", "a", "b"))
