@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dyadspark.llm import bpe, cover_tree, language, mixing, simhash, suffix_dedup, topk, toxicity
+from dyadspark.llm import bpe, cover_tree, language, main_text, mixing, ngram_quality, simhash, suffix_dedup, topk, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,10 +68,21 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (toxicity.fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return main_text.extract(_table(spark, sf_dir, "pages"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mixture takes of every document."""
     return mixing.report(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_language, op3_embedding_dedup, op4_topk, op5_simhash, op6_bpe, op7_toxicity, op9_mixing)}
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Perplexity of every document under a model of the documents labelled as good, and the verdict."""
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    return ngram_quality.judge(docs, labels.where("quality = 1"))
+
+
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_language, op3_embedding_dedup, op4_topk, op5_simhash, op6_bpe, op7_toxicity, op8_main_text, op9_mixing, op10_quality)}
 ORACLE_SQL: dict[str, str] = {"op9_mixing": mixing.report_sql()}
