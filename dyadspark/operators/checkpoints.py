@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -45,6 +46,11 @@ def stored(df: DataFrame) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark's context cleaner see that finished stages are done with: it drops shuffle files on garbage collection."""
-    gc.collect()
-    spark._jvm.System.gc()
+    """Let Spark's context cleaner see that finished stages are done with: it drops shuffle files on garbage collection.
+
+    Listeners hold the plan of a query for a moment after its end, so a second look follows the first.
+    """
+    for _ in range(2):
+        time.sleep(0.4)
+        gc.collect()
+        spark._jvm.System.gc()
