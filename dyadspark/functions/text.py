@@ -77,7 +77,7 @@ def last_speaker(text: Column) -> Column:
 
 
 def participant_fallback(speakers: Column, index: int) -> Column:
-    parts = F.filter(F.transform(F.split(F.coalesce(speakers, F.lit("")), r"\|"), F.trim), lambda x: x != "")
+    parts = F.filter(F.transform(F.split(F.coalesce(speakers, F.lit("")), r"\|"), lambda x: F.trim(x)), lambda x: x != "")
     return F.coalesce(F.get(parts, F.lit(index)), F.lit(""))
 
 

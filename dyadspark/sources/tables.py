@@ -22,7 +22,10 @@ RELATIONSHIPS = _strings("vendor_id", "session_id", "relationship", "relationshi
 INPUTS = _strings("audio_path", "transcript_question", "speakers", "conversation_id")
 OUTPUTS = _strings("audio_path", "answer_audio_path", "transcript_question", "transcript_answer", "speakers", "conversation_id", "finish_reason", "answer_start_time")
 ASR = _strings("answer_audio_path", "ASR_transcript_answer")
-RECORDING = T.StructType.fromDDL("`metadata:transcript` array<struct<transcript: string, words: array<struct<word: string, start: double, end: double>>>>, `metadata:vad` array<struct<start: double, end: double>>")
+RECORDING = (
+    "`metadata:transcript` array<struct<transcript: string, words: array<struct<word: string, start: double, end: double>>>>, "
+    "`metadata:vad` array<struct<start: double, end: double>>"
+)
 
 
 def _csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
