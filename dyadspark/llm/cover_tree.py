@@ -29,7 +29,12 @@ from dyadspark.operators.graph import connected_components
 
 _LEAF = 12
 #: Room for rounding when bounds are compared; the cosine decides in the end.
-_ROUND = 1e-7
+_ROUND = 1e-6
+
+
+def _apart(cosines: np.ndarray) -> np.ndarray:
+    """Distances of unit vectors from their inner products."""
+    return np.sqrt(np.maximum(2 - 2 * cosines, 0))
 
 
 class CoverTree:
@@ -44,7 +49,9 @@ class CoverTree:
             a, b, scale, parent = open_.pop()
             own = self.members[a:b]
             node = len(centre)
-            away = np.sqrt(np.maximum(((points[own] - points[own[0]]) ** 2).sum(axis=1), 0))
+            block = points[own]
+            away = _apart(block @ block[0])
+            away[0] = 0.0
             centre.append(own[0])
             radius.append(float(away.max()))
             first.append(a)
@@ -60,7 +67,8 @@ class CoverTree:
             near, home, heads = away.copy(), np.zeros(len(own), np.int64), [0]
             while near.max() > scale / 2:
                 far = int(near.argmax())
-                d = np.sqrt(np.maximum(((points[own] - points[own[far]]) ** 2).sum(axis=1), 0))
+                d = _apart(block @ block[far])
+                d[far] = 0.0
                 closer = d < near
                 home[closer] = len(heads)
                 near = np.minimum(near, d)
@@ -80,9 +88,11 @@ class CoverTree:
 def close_pairs(a: CoverTree, b: CoverTree, reach: float, chunk: int = 1 << 15):
     """Blocks of ``(i, j)`` that hold every pair of points within ``reach``; for one tree ``i < j``."""
     one = a is b
+    # distances of all centres at once: one matrix product of a meeting's bounded sides, looked up by the walk
+    between = _apart(a.points[a.centre] @ b.points[b.centre].T)
     x, y = np.zeros(1, np.int64), np.zeros(1, np.int64)
     while len(x):
-        d = np.concatenate([np.sqrt(np.maximum(((a.points[a.centre[x[i : i + chunk]]] - b.points[b.centre[y[i : i + chunk]]]) ** 2).sum(axis=1), 0)) for i in range(0, len(x), chunk)])
+        d = between[x, y]
         ok = d <= a.radius[x] + b.radius[y] + reach + _ROUND
         x, y = x[ok], y[ok]
         leaf = (a.n_kids[x] == 0) & (b.n_kids[y] == 0)
