@@ -110,22 +110,32 @@ def anchor_runs(data: np.ndarray, offsets: np.ndarray, length: int, k: int) -> t
 
 
 def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
-    """Rotations of the text in the order of their first ``depth`` bytes or more, by prefix doubling."""
+    """Rotations of the text in the order of their first ``depth`` bytes or more, by prefix doubling.
+
+    A rotation's rank is the first row of its group, so ranks stay when other groups are refined, and only rows
+    of groups that still have several members are sorted again.
+    """
+    n = len(text)
     key, width = text.astype(np.uint64), 1
     while width < 8:
         key = key << np.uint64(8 * width) | np.roll(key, -width)
         width *= 2
+    order = np.argsort(key)
+    at, sorted_keys = np.arange(n), key[order]
+    rank = np.empty(n, np.int64)
     while True:
-        order = np.argsort(key)
-        ordered = key[order]
-        new = np.zeros(len(key), np.int64)
-        new[1:] = ordered[1:] != ordered[:-1]
-        rank = np.cumsum(new)
-        if width >= depth or rank[-1] == len(key) - 1:
+        first = np.flatnonzero(np.concatenate([[True], sorted_keys[1:] != sorted_keys[:-1]]))
+        sizes = np.diff(np.append(first, len(at)))
+        rank[order[at]] = np.repeat(at[first], sizes)
+        at = at[np.repeat(sizes > 1, sizes)]
+        if width >= depth or not len(at):
             return order
-        own = np.empty_like(rank)
-        own[order] = rank
-        key = own * (rank[-1] + 1) + np.roll(own, -width)
+        rows = order[at]
+        after = rows + width
+        after[after >= n] -= n
+        key = rank[rows] * n + rank[after]
+        by = np.argsort(key)
+        order[at], sorted_keys = rows[by], key[by]
         width *= 2
 
 
@@ -288,7 +298,7 @@ def _round(contexts: DataFrame, kind: str, length: int, block: int) -> DataFrame
     return dealt.mapInArrow(run, f"doc_id {kind}, a long, b long, h long, s0 long, ctx binary")
 
 
-def repeated_ranges(docs: DataFrame, *, length: int = 100, k: int = 20, hot: int = 4096, block: int = 3 << 19) -> DataFrame:
+def repeated_ranges(docs: DataFrame, *, length: int = 100, k: int = 20, hot: int = 4096, block: int = 3 << 18) -> DataFrame:
     """``(doc_id, a, b)``: byte ranges to remove, possibly overlapping, of texts with an id."""
     given = docs.select("doc_id", "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
     kind = given.schema["doc_id"].dataType.simpleString()
