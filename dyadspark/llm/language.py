@@ -148,16 +148,17 @@ def _calibrate(model: LanguageModel, data: np.ndarray, offsets: np.ndarray, y: n
     model.reject = float(top[rank][good[-1]]) if len(good) else 1.0
 
 
-def labelled_sample(docs: DataFrame, learn: Column, *, per_lang: int = 800, most_chars: int = 20_000) -> DataFrame:
+def labelled_sample(docs: DataFrame, learn: Column, *, per_lang: int = 800, most_langs: int = 200, most_chars: int = 20_000) -> DataFrame:
     """At most ``per_lang`` rows of each language among those that ``learn`` allows, in hash order of the id.
 
-    Ids are ranked without their texts (Spark limits each language before the shuffle), then the few chosen
-    rows are fetched; so the bound holds at any size of the corpus.
+    Ids are ranked without their texts (Spark limits each language before the shuffle); at most
+    ``per_lang * most_langs`` ids are chosen at any size of the corpus, so they are broadcast to fetch their texts.
     """
     rank = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     able = docs.where(learn & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= most_chars))
     ids = able.select("doc_id", "lang").withColumn("_rank", F.row_number().over(rank)).where(F.col("_rank") <= per_lang).select("doc_id").distinct()
-    return able.select("doc_id", "text", "lang").join(ids, "doc_id", "left_semi")
+    ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_lang * most_langs)
+    return able.select("doc_id", "text", "lang").join(F.broadcast(ids), "doc_id", "left_semi")
 
 
 def fit(docs: DataFrame, learn: Column, *, per_lang: int = 800, most_chars: int = 20_000, **options) -> LanguageModel:
