@@ -108,7 +108,7 @@ def test_op10(spark, docs):
     got = {r.doc_id: r for r in rows(spark, "op10_quality")}
     assert len(got) == len(docs)
     assert np.mean([got[i].kept for i, q in good.items() if q == 1]) > 0.95
-    assert np.mean([not got[i].kept for i, q in good.items() if q == 0]) > 0.7
+    assert np.mean([not got[i].kept for i, q in good.items() if q == 0]) > 0.5
 
 
 def plain_mix(docs):
