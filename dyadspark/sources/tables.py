@@ -9,7 +9,7 @@ from collections.abc import Sequence
 import numpy as np
 import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,6 +34,11 @@ def _csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     return raw.select(*[(F.col(f.name) if f.name in raw.columns else F.lit(None).cast("string")).alias(f.name) for f in schema], F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("_row"))
 
 
+def plain_path(path: Column) -> Column:
+    """Local paths without their scheme, which readers write in different ways; others as they are."""
+    return F.regexp_replace(path, "^file:/+", "/")
+
+
 def read_dyads(spark: SparkSession, path: str) -> DataFrame:
     """Participants with canonical ids, parsed names and source split; one row for each interaction."""
     out = _csv(spark, path, DYADS).drop("_file", "_row")
@@ -54,7 +59,7 @@ def read_relationships(spark: SparkSession, path: str) -> DataFrame:
 
 def read_recordings(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``(words, segments, vad)`` rows of nested recording documents, keyed by ``path``."""
-    raw = spark.read.schema(RECORDING).option("multiLine", True).json(path).withColumn("path", F.col("_metadata.file_path"))
+    raw = spark.read.schema(RECORDING).option("multiLine", True).json(path).withColumn("path", plain_path(F.col("_metadata.file_path")))
     segments = raw.select("path", F.posexplode("metadata:transcript").alias("seg_idx", "s")).select("path", "seg_idx", F.col("s.transcript").alias("transcript"), F.col("s.words").alias("words"))
     words = segments.select("path", "seg_idx", F.posexplode("words").alias("word_idx", "w")).select("path", "seg_idx", "word_idx", "w.word", "w.start", "w.end")
     vad = raw.select("path", F.posexplode("metadata:vad").alias("vad_idx", "v")).select("path", "vad_idx", "v.start", "v.end")
@@ -116,7 +121,7 @@ def audio_catalog(spark: SparkSession, path: str, *, samples: bool = False) -> D
             out = pd.DataFrame(rows, columns=["path", "sample_rate", "n_frames", "duration_s", "status", "samples"][: 6 if samples else 5])
             yield out.astype({"sample_rate": "Int32", "n_frames": "Int64"})
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, schema)
+    return spark.read.format("binaryFile").load(path).select(plain_path(F.col("path")).alias("path"), "content").mapInPandas(run, schema)
 
 
 def shard_index(file_name, prefix: str = ""):
