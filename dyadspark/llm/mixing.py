@@ -75,9 +75,14 @@ def plan(docs: DataFrame, *, most_epochs: int = 3, seed: str = "mix:") -> DataFr
     return goal.join(ends, F.col("source").eqNullSafe(F.col("of")), "left").select("source", "source_size", "target", "epochs", "cut_b", "cut_key", "cut_id")
 
 
-def _copies(docs: DataFrame, own: DataFrame, seed: str) -> DataFrame:
-    """``docs`` with ``_size`` and ``_copies``, the number of times each is taken, and the row of its source."""
-    own = own.select([F.col(c).alias(f"_p_{c}") for c in own.columns])
+def _copies(docs: DataFrame, own: DataFrame, seed: str, most_broadcast: int = 10_000) -> DataFrame:
+    """``docs`` with ``_size`` and ``_copies``, the number of times each is taken, and the row of its source.
+
+    The plan is broadcast if it is counted to be small; texts are then not shuffled at all, and a source that holds
+    a third of them stays where it is. With more sources than ``most_broadcast`` Spark joins by source.
+    """
+    own = cut(own.select([F.col(c).alias(f"_p_{c}") for c in own.columns]))
+    own = F.broadcast(own) if own.count() <= most_broadcast else own
     measured = _measured(docs, seed).join(own, F.col("source").eqNullSafe(F.col("_p_source")))
     same_bin = F.col("_b") == F.col("_p_cut_b")
     taken = (F.col("_b") < F.col("_p_cut_b")) | (same_bin & (F.col("_key") < F.col("_p_cut_key"))) | (same_bin & (F.col("_key") == F.col("_p_cut_key")) & (F.col("doc_id").eqNullSafe(F.col("_p_cut_id")) | (F.col("doc_id") < F.col("_p_cut_id")) | F.col("doc_id").isNull()))
