@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
@@ -105,13 +105,22 @@ class KneserNey:
         return out.select("g", F.log(F.greatest("prob", F.lit(1e-12))).alias("p"))
 
 
-def _block(blocks: int) -> Column:
-    return F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int").alias("block")
+def _even_keys(spark: SparkSession, blocks: int) -> list[int]:
+    """One key for each partition: hash partitioning by them puts every block into a partition of its own."""
+    where = F.pmod(F.hash(F.col("id").cast("int")), F.lit(blocks)).alias("p")
+    rows = spark.range(0, 40 * blocks + 100, numPartitions=1).select("id", where).groupBy("p").agg(F.min("id").alias("id")).orderBy("p").collect()
+    found = [r.id for r in rows]
+    return found if len(found) == blocks else list(range(blocks))
 
 
-def _packed(docs: DataFrame, blocks: int) -> DataFrame:
+def _block(keys: list[int]) -> Column:
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(len(keys))).cast("int") + 1
+    return F.element_at(F.array(*[F.lit(k) for k in keys]), place).alias("block")
+
+
+def _packed(docs: DataFrame, keys: list[int]) -> DataFrame:
     """``(block, data)``: texts with their ids, compressed together, a few rows for each block and task."""
-    given = docs.select("doc_id", "lang", "text", _block(blocks))
+    given = docs.select("doc_id", "lang", "text", _block(keys))
 
     def run(batches):
         held: dict[int, list[pa.RecordBatch]] = {}
@@ -130,9 +139,9 @@ def _packed(docs: DataFrame, blocks: int) -> DataFrame:
             where = batch.column("block").to_numpy()
             rows = batch.select(["doc_id", "lang", "text"])
             order = np.argsort(where, kind="stable")
-            ends = np.searchsorted(where[order], np.arange(blocks + 1))
-            for b in np.unique(where).tolist():
-                own = rows.take(pa.array(order[ends[b] : ends[b + 1]]))
+            found, starts = np.unique(where[order], return_index=True)
+            for b, own_rows in zip(found.tolist(), np.split(order, starts[1:]), strict=True):
+                own = rows.take(pa.array(own_rows))
                 held.setdefault(b, []).append(own)
                 size[b] = size.get(b, 0) + own.nbytes
                 if size[b] > 4 << 20:
@@ -154,9 +163,10 @@ def perplexity(docs: DataFrame, trusted: DataFrame, *, order: int = 4, blocks: i
     kind = docs.schema["doc_id"].dataType.simpleString()
     id_type = to_arrow_type(docs.schema["doc_id"].dataType)
     blocks = blocks or partitions(docs)
-    dealt = _packed(docs, blocks).repartition(blocks, "block")
+    keys = _even_keys(docs.sparkSession, blocks)
+    dealt = _packed(docs, keys).repartition(blocks, "block")
     ids = trusted.select("doc_id").where("doc_id IS NOT NULL").distinct()
-    model = KneserNey(_counted(dealt, ids.select("doc_id", _block(blocks)), order), order)
+    model = KneserNey(_counted(dealt, ids.select("doc_id", _block(keys)), order), order)
 
     def ask(batches):
         asked: dict[int, np.ndarray] = {}
