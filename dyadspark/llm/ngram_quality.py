@@ -113,14 +113,14 @@ def _even_keys(spark: SparkSession, blocks: int) -> list[int]:
     return found if len(found) == blocks else list(range(blocks))
 
 
-def _block(keys: list[int]) -> Column:
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(len(keys))).cast("int") + 1
-    return F.element_at(F.array(*[F.lit(k) for k in keys]), place).alias("block")
+def _block(blocks: int, keys: list[int]) -> Column:
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int")
+    return (F.element_at(F.array(*[F.lit(k) for k in keys]), place + 1) if keys else place).alias("block")
 
 
-def _packed(docs: DataFrame, keys: list[int]) -> DataFrame:
+def _packed(docs: DataFrame, block: Column) -> DataFrame:
     """``(block, data)``: texts with their ids, compressed together, a few rows for each block and task."""
-    given = docs.select("doc_id", "lang", "text", _block(keys))
+    given = docs.select("doc_id", "lang", "text", block)
 
     def run(batches):
         held: dict[int, list[pa.RecordBatch]] = {}
@@ -158,15 +158,21 @@ def _unpacked(column) -> list[pa.RecordBatch]:
     return [batch for x in column.to_pylist() for batch in pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(x))]
 
 
-def perplexity(docs: DataFrame, trusted: DataFrame, *, order: int = 4, blocks: int | None = None) -> DataFrame:
-    """``(doc_id, lang, n_bytes, perplexity)`` of every row of ``docs``, under a model of the texts whose ids ``trusted`` holds."""
+def perplexity(docs: DataFrame, trusted: DataFrame, *, order: int = 4, block_bytes: int = 16 << 20) -> DataFrame:
+    """``(doc_id, lang, n_bytes, perplexity)`` of every row of ``docs``, under a model of the texts whose ids ``trusted`` holds.
+
+    A block holds about ``block_bytes`` of text, however many partitions the session has: what a block asks for, and
+    what a task holds, follows from the texts alone.
+    """
     kind = docs.schema["doc_id"].dataType.simpleString()
     id_type = to_arrow_type(docs.schema["doc_id"].dataType)
-    blocks = blocks or partitions(docs)
-    keys = _even_keys(docs.sparkSession, blocks)
-    dealt = _packed(docs, keys).repartition(blocks, "block")
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = max(1, -(-total // block_bytes))
+    keys = _even_keys(docs.sparkSession, blocks) if blocks <= 2000 else []
+    block = _block(blocks, keys)
+    dealt = _packed(docs, block).repartition(blocks if keys else max(2000, partitions(docs)), "block")
     ids = trusted.select("doc_id").where("doc_id IS NOT NULL").distinct()
-    model = KneserNey(_counted(dealt, ids.select("doc_id", _block(keys)), order), order)
+    model = KneserNey(_counted(dealt, ids.select("doc_id", block), order), order)
 
     def ask(batches):
         asked: dict[int, np.ndarray] = {}
