@@ -18,18 +18,36 @@ BACKCHANNELS = (
     "hm", "hm.", "mhm", "mhm.", "wow", "wow.",
 )
 
-# Column orders of the shared tables.
-PAIR_COLUMNS = (
-    "pair_id session_id interaction_id dyad_id prompt_participant_id response_participant_id turn_index "
-    "source_wav_path_prompt source_json_path_prompt source_wav_path_response source_json_path_response "
-    "prompt_start_s prompt_end_s prompt_duration_s response_start_s response_end_s response_duration_s latency_s overlap_s "
-    "prompt_transcript response_transcript prompt_word_count response_word_count "
-    "relationship relationship_detail status_relationship status_pair source_dataset_split split split_seed split_unit"
-).split()
-MERGE_KEY_COLUMNS = (
-    "session_id interaction_id dyad_id prompt_participant_id response_participant_id turn_index "
-    "prompt_start_s prompt_end_s response_start_s response_end_s"
-).split()
-METRIC_SUFFIXES = "f0_mean f0_sd f0_range voiced_ratio speech_rate_local articulation_rate_local pause_ratio_local mean_pause_duration_local".split()
-VOICE_SUFFIXES = "arousal valence dominance age gender gender_confidence vox_num_chunks vox_support_speech_sec".split()
-RESPONSE_TARGETS = "duration_s word_count f0_sd f0_range voiced_ratio speech_rate_local articulation_rate_local pause_ratio_local mean_pause_duration_local arousal valence dominance".split()
+# Column order of the pair table.
+PAIR_COLUMNS = [
+    "pair_id", "session_id", "interaction_id", "dyad_id", "prompt_participant_id", "response_participant_id", "turn_index",
+    "source_wav_path_prompt", "source_json_path_prompt", "source_wav_path_response", "source_json_path_response",
+    "prompt_start_s", "prompt_end_s", "prompt_duration_s", "response_start_s", "response_end_s", "response_duration_s", "latency_s", "overlap_s",
+    "prompt_transcript", "response_transcript", "prompt_word_count", "response_word_count",
+    "relationship", "relationship_detail", "status_relationship", "status_pair", "source_dataset_split", "split", "split_seed", "split_unit",
+]
+
+# Column order of the candidate table.
+CANDIDATE_COLUMNS = [
+    "pair_id", "candidate_id", "session_id", "interaction_id", "dyad_id", "prompt_participant_id", "response_participant_id", "turn_index",
+    "model_name", "is_original_reference", "split", "source_style", "source_dataset_split", "split_seed", "split_unit",
+    "conversation_id", "speakers", "prompt_stem", "response_stem", "finish_reason", "answer_start_time", "latency_s", "overlap_s",
+    "prompt_audio_path", "response_audio_path", "source_wav_path_prompt", "source_wav_path_response", "source_json_path_prompt", "source_json_path_response",
+    "prompt_start_s", "prompt_end_s", "prompt_duration_s", "response_start_s", "response_end_s", "response_duration_s",
+    "prompt_audio_duration_s", "response_audio_duration_s", "prompt_clip_start_s", "prompt_clip_end_s", "response_clip_start_s", "response_clip_end_s",
+    "prompt_was_clipped", "response_was_clipped", "prompt_vox_compatible", "response_vox_compatible",
+    "prompt_transcript", "response_transcript", "response_metadata_transcript", "response_asr_transcript", "prompt_word_count", "response_word_count",
+    "relationship", "relationship_detail", "status_relationship", "status_pair", "status_prompt_audio", "status_response_audio", "status_prompt_source", "status_response_source",
+]
+
+# Key of the join between measurement tables.
+MERGE_KEY_COLUMNS = [
+    "session_id", "interaction_id", "dyad_id", "prompt_participant_id", "response_participant_id", "turn_index",
+    "prompt_start_s", "prompt_end_s", "response_start_s", "response_end_s",
+]
+
+# Response measurements of the evaluation.
+RESPONSE_TARGETS = [
+    "duration_s", "word_count", "f0_sd", "f0_range", "voiced_ratio", "speech_rate_local", "articulation_rate_local",
+    "pause_ratio_local", "mean_pause_duration_local", "arousal", "valence", "dominance",
+]

@@ -82,8 +82,8 @@ def participant_fallback(speakers: Column, index: int) -> Column:
 
 
 def turn_index_of(stem: Column) -> Column:
-    """Digits after the last ``_``; null if there are none."""
-    return F.when(stem.rlike(r"_\d+$"), F.regexp_extract(stem, r"_(\d+)$", 1).cast("int"))
+    """Digits after the last ``_`` as a long; null if there are none or they are too many for one."""
+    return F.regexp_extract(stem, r"_([0-9]+)$", 1).try_cast("bigint")
 
 
 def stem_of(path: Column) -> Column:

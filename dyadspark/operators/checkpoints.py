@@ -29,11 +29,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame, *, free: bool = False) -> DataFrame:
     """``df`` as a compressed table in the shared checkpoint folder, read back from there.
 
-    For results too large for the plain rows of a checkpoint. The table goes with the session; shuffle files
-    that only ``df`` needed are given up at once.
+    For results too large for the plain rows of a checkpoint. The table goes with the session. ``free`` gives up the
+    shuffle files that only ``df`` needed at once; use it where these are a good part of the disk.
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
@@ -41,7 +41,8 @@ def stored(df: DataFrame) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
-    release(spark)
+    if free:
+        release(spark)
     return spark.read.parquet(path)
 
 

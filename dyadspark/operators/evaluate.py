@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pandas as pd
@@ -41,22 +43,38 @@ def target_average(scores: DataFrame, by: Sequence[str], values: Sequence[str] =
     return scores.groupBy(*by).agg(*[F.avg(v).alias(v) for v in values])
 
 
-def c_index(predictions: DataFrame, by: Sequence[str], *, y: str = "y", mu: str = "mu") -> DataFrame:
+def c_index(predictions: DataFrame, by: Sequence[str], *, y: str = "y", mu: str = "mu", block_rows: int = 100_000, most_blocks: int = 128) -> DataFrame:
     """Share of pairs with different ``y`` that ``mu`` orders alike; ties of ``mu`` count one half.
 
-    Rows with equal ``(y, mu)`` are counted once with their number, so a group is as large as its distinct values;
-    pairs are counted with a Fenwick tree over the ranks of ``mu``, never listed.
+    Rows with equal ``(y, mu)`` are counted once with their number. A large group is cut into ranges of ``y`` and
+    ranges of ``mu``. Pairs of one ``y`` range are counted in its task, pairs of one ``mu`` range in its task, and
+    pairs that share neither are decided by the counts of the grid of ranges, so no task sees a whole group.
     """
     by = list(by)
     kinds = ", ".join(f"{c} {predictions.schema[c].dataType.simpleString()}" for c in by)
     distinct = predictions.where(F.col(y).isNotNull() & F.col(mu).isNotNull()).groupBy(*by, F.col(y).cast("double").alias("_y"), F.col(mu).cast("double").alias("_mu")).agg(F.count("*").alias("_n"))
-
-    def run(key, frame):
-        concordant, tied, comparable = _ordered_pairs(frame["_y"].to_numpy(), frame["_mu"].to_numpy(), frame["_n"].to_numpy())
-        value = (concordant + 0.5 * tied) / comparable if comparable else None
-        return pd.DataFrame([[*key, comparable, value]], columns=[*by, "comparable", "c_index"])
-
-    return distinct.groupBy(*by).applyInPandas(run, f"{kinds}, comparable long, c_index double")
+    steps = [i / most_blocks for i in range(1, most_blocks)]
+    cut = lambda c: F.percentile_approx(c, steps, 10 * most_blocks)
+    edges = distinct.groupBy(*by).agg(F.count("*").alias("_rows"), cut("_y").alias("_ye"), cut("_mu").alias("_me"))
+    large = F.col("_rows") > block_rows
+    place = lambda c, e: F.when(large, F.size(F.filter(e, lambda x: x < F.col(c)))).otherwise(0)
+    keyed = [F.col(c).alias(f"_k{i}") for i, c in enumerate(by)]
+    same = [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(by)]
+    dealt = distinct.join(edges.select(*keyed, "_rows", "_ye", "_me"), reduce(and_, same)).select(*by, "_y", "_mu", "_n", place("_y", "_ye").alias("_yb"), place("_mu", "_me").alias("_mb"))
+
+    def pairs(first: str, second: str, ties: bool):
+        def run(key, frame):
+            concordant, tied, comparable = _ordered_pairs(frame[first].to_numpy(), frame[second].to_numpy(), frame["_n"].to_numpy())
+            return pd.DataFrame([[*key[: len(by)], concordant, tied, comparable] if ties else [*key[: len(by)], concordant, 0, comparable - tied]], columns=[*by, "good", "tied", "comparable"])
+
+        return run
+
+    schema = f"{kinds}, good long, tied long, comparable long"
+    in_y = dealt.groupBy(*by, "_yb").applyInPandas(pairs("_y", "_mu", True), schema)
+    in_mu = dealt.groupBy(*by, "_mb").applyInPandas(pairs("_yb", "_mu", True), schema)
+    grid = dealt.groupBy(*by, "_yb", "_mb").agg(F.sum("_n").alias("_n")).groupBy(*by).applyInPandas(pairs("_yb", "_mb", False), schema)
+    total = in_y.unionByName(in_mu).unionByName(grid).groupBy(*by).agg(*[F.sum(c).alias(c) for c in ("good", "tied", "comparable")])
+    return total.select(*by, "comparable", F.try_divide(F.col("good") + 0.5 * F.col("tied"), F.col("comparable")).alias("c_index"))
 
 
 def _ordered_pairs(y: np.ndarray, mu: np.ndarray, n: np.ndarray) -> tuple[int, int, int]:
@@ -88,9 +106,9 @@ def _ordered_pairs(y: np.ndarray, mu: np.ndarray, n: np.ndarray) -> tuple[int, i
 
 
 def log_likelihood(predictions: DataFrame, *, y: str = "y", mu: str = "mu", sigma: str = "sigma", into: str = "ll") -> DataFrame:
-    """Log density of y under a normal with mean mu and SD sigma."""
-    z = (F.col(y) - F.col(mu)) / F.col(sigma)
-    return predictions.withColumn(into, -0.5 * F.log(F.lit(2) * F.pi()) - F.log(F.col(sigma)) - 0.5 * z * z)
+    """Log density of y under a normal with mean mu and SD sigma; null where sigma is not over zero."""
+    z = F.try_divide(F.col(y) - F.col(mu), F.col(sigma))
+    return predictions.withColumn(into, F.when(F.col(sigma) > 0, -0.5 * F.log(F.lit(2) * F.pi()) - F.log(F.col(sigma)) - 0.5 * z * z))
 
 
 def delta_ll(scored: DataFrame, by: Sequence[str], *, dataset: str = "dataset", natural: str = "natural_test", probe: str = "probe") -> DataFrame:
@@ -125,18 +143,27 @@ def condition_summary(clips: DataFrame, values: Sequence[str], *, condition: str
     return rows.groupBy(condition).agg(F.count("*").alias("n"), *[f(v).alias(f"{v}_{n}") for v in values for n, f in (("mean", F.avg), ("sd", F.stddev_samp))])
 
 
+#: Ranges of values that prefix sums are cut into.
+_RANGES = 200
+
+
 def mann_whitney(rows: DataFrame, value: str, group: str, a: str, b: str) -> DataFrame:
     """``(n_a, n_b, u, z, p)`` of two groups: average ranks for ties, normal approximation with tie correction.
 
-    Ranks come from the counts of distinct values, so the ordered window is over these, not over the rows.
+    Ranks come from the counts of distinct values. These are cut into ranges; sums run inside each range, and over
+    the totals of the ranges (``_RANGES`` rows at most), so no window sees all values. Without two rows z is null.
     """
     per = rows.where(F.col(group).isin(a, b) & F.col(value).isNotNull()).groupBy(value).agg(F.count_if(F.col(group) == a).alias("a"), F.count("*").alias("t"))
-    before = F.sum("t").over(W.orderBy(value).rowsBetween(W.unboundedPreceding, 0)) - F.col("t")
+    edges = per.agg(F.percentile_approx(F.col(value).cast("double"), [i / _RANGES for i in range(1, _RANGES)], 10 * _RANGES).alias("_edges"))  # one row
+    per = per.join(F.broadcast(edges)).withColumn("_range", F.size(F.filter("_edges", lambda e: e < F.col(value).cast("double")))).drop("_edges")
+    ranges = per.groupBy("_range").agg(F.sum("t").alias("_t")).select("_range", (F.sum("_t").over(W.orderBy("_range")) - F.col("_t")).alias("_before"))
+    per = per.join(F.broadcast(ranges), "_range")
+    before = F.col("_before") + F.sum("t").over(W.partitionBy("_range").orderBy(value).rowsBetween(W.unboundedPreceding, 0)) - F.col("t")
     ranked = per.withColumn("rank", before + (F.col("t") + 1) / 2)
     s = ranked.agg(F.sum("a").alias("n_a"), (F.sum("t") - F.sum("a")).alias("n_b"), F.sum(F.col("rank") * F.col("a")).alias("r"), F.sum(F.col("t") * F.col("t") * F.col("t") - F.col("t")).cast("double").alias("ties"))
     n = F.col("n_a") + F.col("n_b")
     u = F.col("r") - F.col("n_a") * (F.col("n_a") + 1) / 2
-    sd = F.sqrt(F.col("n_a") * F.col("n_b") / 12.0 * (n + 1 - F.col("ties") / (n * (n - 1))))
+    sd = F.sqrt(F.col("n_a") * F.col("n_b") / 12.0 * (n + 1 - F.try_divide(F.col("ties"), n * (n - 1))))
     out = s.withColumn("u", u).withColumn("z", F.when(sd > 0, (u - F.col("n_a") * F.col("n_b") / 2) / sd))
     return out.select("n_a", "n_b", "u", "z", _two_sided("z").alias("p"))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from dyadspark.constants import MERGE_KEY_COLUMNS
@@ -17,20 +18,34 @@ def rounded_keys(df: DataFrame, keys: Sequence[str], digits: int = 6) -> DataFra
     return df.withColumns({k: F.round(k, digits) for k in keys if kinds[k] in ("double", "float")})
 
 
-def merge_tables(left: DataFrame, right: DataFrame, keys: Sequence[str] = MERGE_KEY_COLUMNS, *, key_text: Sequence[str] | None = None) -> DataFrame:
+def merge_tables(left: DataFrame, right: DataFrame, keys: Sequence[str] = MERGE_KEY_COLUMNS, *, key_text: Sequence[str] | None = None, one_to_one: bool = True) -> DataFrame:
     """Inner join on typed keys: all columns of ``left`` and those that only ``right`` has.
 
+    Unless ``one_to_one`` is off, a key that either side has twice fails the query when it runs: the number of rows
+    of a key is counted over the partitioning that the join needs anyway.
+
     ``key_text`` adds ``merge_key`` over these columns and keeps an old ``pair_id`` as ``pair_id_old``.
     """
     keys = list(keys)
     own = [c for c in right.columns if c in keys or c not in left.columns]
-    out = rounded_keys(left, keys).join(rounded_keys(right.select(*own), keys), keys)
+    sides = [rounded_keys(left, keys), rounded_keys(right.select(*own), keys)]
+    if one_to_one:
+        sides = [_checked_unique(side, keys, name) for side, name in zip(sides, ("left", "right"), strict=True)]
+    out = sides[0].join(sides[1], keys)
     if key_text is None:
         return out
     out = out.withColumn("merge_key", merge_key(list(key_text)))
     return out.withColumnRenamed("pair_id", "pair_id_old") if "pair_id" in out.columns else out
 
 
+def _checked_unique(df: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """``df``, which raises at a key that is not unique; the check sits in a filter, so no optimisation drops it."""
+    many = F.count(F.lit(1)).over(W.partitionBy(*keys))
+    counted = df.withColumn("_many", many)
+    fail = F.raise_error(F.concat_ws(" ", F.lit(f"the {name} table has a key more than once:"), *[F.col(k).cast("string") for k in keys])).cast("boolean")
+    return counted.where(F.when(F.col("_many") == 1, F.lit(True)).otherwise(fail)).drop("_many")
+
+
 def key_differences(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Keys of one side only, with ``side`` left or right."""
     keys = list(keys)

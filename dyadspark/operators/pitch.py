@@ -4,29 +4,43 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dyadspark import constants as C
 
 
-def pitch_stats(frames: DataFrame, keys: Sequence[str] = ("segment_id",), f0: str = "f0", *, segments: DataFrame | None = None, least_voiced: float = C.MIN_VOICED_RATIO) -> DataFrame:
+def pitch_stats(frames: DataFrame, keys: Sequence[str] = ("segment_id",), f0: str = "f0", *, segments: DataFrame | None = None, least_voiced: float = C.MIN_VOICED_RATIO, state: str | None = None) -> DataFrame:
     """Mean, population SD and range of voiced pitch inside its 10th to 90th percentile, and the voiced share.
 
     The percentiles interpolate exactly and are joined back; a segment's frames are few (15 s at most), so a
-    group is small. ``segments`` adds segments without frames.
+    group is small. ``segments`` adds segments without frames; its column ``state`` may hold a status of
+    :func:`segment_state`, which then stands, with no measurement and no voiced share.
     """
     keys = list(keys)
     own = frames.groupBy(*keys).agg(F.count("*").alias("n"), F.count_if(F.col(f0) > 0).alias("voiced"), F.expr(f"percentile(CASE WHEN {f0} > 0 THEN {f0} END, array(0.1, 0.9))").alias("q"))
     inner = frames.join(own.select(*keys, F.col("q")[0].alias("lo"), F.col("q")[1].alias("hi")), keys).where(F.col(f0) > 0).where(F.col(f0).between(F.col("lo"), F.col("hi")))
     trimmed = inner.groupBy(*keys).agg(F.avg(f0).alias("f0_mean"), F.stddev_pop(f0).alias("f0_sd"))
     if segments is not None:
-        own = segments.select(*keys).distinct().join(own, keys, "left")
+        given = segments.groupBy(*keys).agg(F.max(state).alias("_state")) if state else segments.select(*keys).distinct()
+        own = given.join(own, keys, "left")
     out = own.join(trimmed, keys, "left")
     n, voiced = F.coalesce("n", F.lit(0)), F.coalesce("voiced", F.lit(0))
     ratio = F.when(n > 0, voiced / n).otherwise(0.0)
     status = F.when(n == 0, "NO_PITCH_FRAMES").when(voiced == 0, "NO_VOICED_FRAMES").when(ratio < least_voiced, "LOW_VOICED_RATIO").otherwise("OK")
-    return out.select(*keys, "f0_mean", "f0_sd", (F.col("q")[1] - F.col("q")[0]).alias("f0_range"), ratio.alias("voiced_ratio"), status.alias("status_prosody"))
+    status = F.when((voiced > 0) & F.col("f0_mean").isNull(), "EMPTY_TRIMMED_F0").otherwise(status)
+    found = {"f0_mean": F.col("f0_mean"), "f0_sd": F.col("f0_sd"), "f0_range": F.col("q")[1] - F.col("q")[0], "voiced_ratio": ratio}
+    if segments is not None and state:
+        found = {c: F.when(F.col("_state").isNull(), v) for c, v in found.items()}
+        status = F.coalesce("_state", status)
+    return out.select(*keys, *[v.alias(c) for c, v in found.items()], status.alias("status_prosody"))
+
+
+def segment_state(start: Column, end: Column, duration: Column, analysed: Column | None = None, *, shortest: float = 0.05) -> Column:
+    """Why a clip cannot be measured at all: bounds outside the recording, too short, analysis failed; else null."""
+    bad = F.coalesce((start < 0) | (end <= start) | (start >= duration), F.lit(True))
+    failed = F.lit(False) if analysed is None else ~F.coalesce(analysed, F.lit(False))
+    return F.when(bad, "SEGMENT_INVALID_FOR_PITCH").when(F.least(end, duration) - start < shortest, "SEGMENT_TOO_SHORT_FOR_PITCH").when(failed, "PITCH_ANALYSIS_FAILED")
 
 
 def relative_pitch(df: DataFrame, roles: Sequence[str] = ("prompt", "response")) -> DataFrame:

@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dyadspark.functions.text import canonical_participant_id
+
 
 def _rows(df: DataFrame, name: str, key: Column, detail: Column) -> DataFrame:
     return df.select(F.lit(name).alias("check"), key.cast("string").alias("key"), detail.cast("string").alias("detail"))
@@ -34,9 +36,14 @@ def schema(df: DataFrame, required: Sequence[str], *, exact: bool = False) -> Da
 
 
 def dyads_consistent(dyads: DataFrame, key: str = "interaction_id") -> DataFrame:
-    """Rows whose two participants disagree in vendor, session, interaction or source split."""
+    """Rows whose two participants disagree in vendor, session, interaction or source split, or whose stated
+    participants are not those of the file names (checked where both columns are there)."""
     parts = ("vendor", "session", "interaction", "source_split")
     bad = [F.when(~F.col(f"p1_{c}").eqNullSafe(F.col(f"p2_{c}")), F.lit(c)) for c in parts]
+    for n in (1, 2):
+        if {f"participant{n}_id", f"p{n}_participant"} <= set(dyads.columns):
+            named = canonical_participant_id(F.col(f"p{n}_participant"))
+            bad.append(F.when(~F.col(f"participant{n}_id").eqNullSafe(named), F.lit(f"participant{n}")))
     return _rows(dyads.withColumn("_bad", F.concat_ws(",", *bad)).where("_bad <> ''"), "dyad_consistent", F.col(key), F.col("_bad"))
 
 

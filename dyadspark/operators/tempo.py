@@ -41,20 +41,24 @@ def frame_rms(signals: DataFrame, key: str = "segment_id", *, frame: float = C.F
 
     def run(batches):
         for batch in batches:
-            parts = []
-            for k, rate, samples in zip(batch[key], batch["sample_rate"], batch["samples"], strict=True):
-                y = np.asarray(samples if samples is not None else [], np.float64)
-                if not len(y):
-                    continue
-                size, step = max(1, int(round(frame * rate))), max(1, int(round(hop * rate)))
-                if len(y) < size:
-                    rms, center = np.sqrt([np.mean(y * y) + eps]), np.array([len(y) / 2 / rate])
-                else:
-                    windows = np.lib.stride_tricks.sliding_window_view(y, size)[::step]
-                    rms, center = np.sqrt((windows**2).mean(axis=1) + eps), (np.arange(len(windows)) * step + size / 2) / rate
-                parts.append(pd.DataFrame({key: k, "frame_idx": np.arange(len(rms), dtype=np.int32), "center": center, "rms": rms, "length": len(y) / rate}))
-            if parts:
-                yield pd.concat(parts, ignore_index=True)
+            lengths = np.array([0 if s is None else len(s) for s in batch["samples"]], np.int64)
+            own = np.flatnonzero((lengths > 0) & batch["sample_rate"].notna().to_numpy())
+            if not len(own):
+                continue
+            y = np.concatenate([batch["samples"].iloc[i] for i in own]).astype(np.float64)
+            n, rate = lengths[own], batch["sample_rate"].to_numpy()[own].astype(np.float64)
+            size = np.maximum(1, np.rint(frame * rate)).astype(np.int64)
+            step = np.maximum(1, np.rint(hop * rate)).astype(np.int64)
+            short = n < size
+            width, many = np.minimum(size, n), np.where(short, 1, (n - size) // step + 1)
+            who = np.repeat(np.arange(len(own)), many)
+            index = np.arange(len(who)) - np.repeat(np.cumsum(many) - many, many)
+            begin = (np.cumsum(n) - n)[who] + index * step[who]
+            ends = np.cumsum(width[who])  # every frame's samples, one after another
+            at = np.arange(ends[-1]) - np.repeat(ends - width[who], width[who]) + np.repeat(begin, width[who])
+            power = np.add.reduceat(y[at] ** 2, ends - width[who]) / width[who]
+            center = np.where(short[who], n[who] / 2, index * step[who] + size[who] / 2) / rate[who]
+            yield pd.DataFrame({key: batch[key].to_numpy()[own][who], "frame_idx": index.astype(np.int32), "center": center, "rms": np.sqrt(power + eps), "length": (n / rate)[who]})
 
     return signals.select(key, "sample_rate", "samples").mapInPandas(run, f"{key} {kind}, frame_idx int, center double, rms double, length double")
 

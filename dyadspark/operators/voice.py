@@ -12,9 +12,17 @@ from pyspark.sql import types as T
 from dyadspark import constants as C
 
 
-def affect_means(chunks: DataFrame, key: str = "segment_id", values: Sequence[str] = ("arousal", "valence", "dominance")) -> DataFrame:
-    """Unweighted mean of the chunk predictions of each segment, and how many there are."""
-    return chunks.groupBy(key).agg(*[F.avg(v).alias(v) for v in values], F.count("*").alias("vox_num_chunks"))
+def affect_means(chunks: DataFrame, key: str = "segment_id", values: Sequence[str] = ("arousal", "valence", "dominance"), *, speech: DataFrame | None = None) -> DataFrame:
+    """Unweighted mean of the chunk predictions of each segment, and how many there are.
+
+    ``speech`` is ``(key, speech)`` (see :func:`intervals.total_length`): it adds ``vox_support_speech_sec`` and the
+    segments whose speech gives no chunk.
+    """
+    means = chunks.groupBy(key).agg(*[F.avg(v).alias(v) for v in values], F.count("*").alias("vox_num_chunks"))
+    if speech is None:
+        return means
+    out = means.join(speech.select(key, F.col("speech").alias("vox_support_speech_sec")), key, "full")
+    return out.withColumns({"vox_num_chunks": F.coalesce("vox_num_chunks", F.lit(0)), "vox_support_speech_sec": F.coalesce("vox_support_speech_sec", F.lit(0).cast(speech.schema["speech"].dataType))})
 
 
 def with_vox_status(segments: DataFrame, affect: DataFrame, key: str = "segment_id", *, duration: str = "duration", shortest: float = C.MIN_SEGMENT) -> DataFrame:
@@ -22,24 +30,29 @@ def with_vox_status(segments: DataFrame, affect: DataFrame, key: str = "segment_
     out = segments.join(affect, key, "left")
     short = F.col(duration) < shortest - 1e-6
     values = [c for c in affect.columns if c != key]
-    status = F.when(short, "TOO_SHORT_FOR_VOX").when(F.col("vox_num_chunks").isNull(), "NO_VALID_CHUNKS").otherwise("OK")
+    status = F.when(short, "TOO_SHORT_FOR_VOX").when(F.coalesce("vox_num_chunks", F.lit(0)) == 0, "NO_VALID_CHUNKS").otherwise("OK")
     return out.select(*segments.columns, *[F.when(~short, F.col(c)).alias(c) for c in values], status.alias("status_vox"))
 
 
-def speaker_profiles(chunks: DataFrame, key: str = "wav_key", age: str = "age_raw", probabilities: str = "class_probs", *, female: int = 0) -> DataFrame:
+def speaker_profiles(chunks: DataFrame, key: str | Sequence[str] = "wav_key", age: str = "age_raw", probabilities: str = "class_probs", *, female: int = 0) -> DataFrame:
     """Mean age (model output times 100), and gender by the class with the highest mean probability."""
-    ages = chunks.groupBy(key).agg((F.avg(age) * 100).alias("age"))
-    each = chunks.select(key, F.posexplode(probabilities).alias("pos", "p")).groupBy(key, "pos").agg(F.avg("p").alias("p"))
-    best = each.groupBy(key).agg(F.max_by("pos", F.struct("p", (-F.col("pos")).alias("first"))).alias("pos"), F.max("p").alias("gender_confidence"))
-    return ages.join(best, key).select(key, "age", F.when(F.col("pos") == female, "female").otherwise("male").alias("gender"), "gender_confidence")
+    keys = [key] if isinstance(key, str) else list(key)
+    ages = chunks.groupBy(*keys).agg((F.avg(age) * 100).alias("age"))
+    each = chunks.select(*keys, F.posexplode(probabilities).alias("pos", "p")).groupBy(*keys, "pos").agg(F.avg("p").alias("p"))
+    best = each.groupBy(*keys).agg(F.max_by("pos", F.struct("p", (-F.col("pos")).alias("first"))).alias("pos"), F.max("p").alias("gender_confidence"))
+    return ages.join(best, keys).select(*keys, "age", F.when(F.col("pos") == female, "female").otherwise("male").alias("gender"), "gender_confidence")
 
 
-def attach_profiles(pairs: DataFrame, profiles: DataFrame, key: str = "wav_key", roles: Sequence[str] = ("prompt", "response"), *, status: str = "speaker") -> DataFrame:
-    """Profiles computed once for each recording, looked up for both roles; ``status`` names the status columns."""
+def attach_profiles(pairs: DataFrame, profiles: DataFrame, key: str | Sequence[str] = "wav_key", roles: Sequence[str] = ("prompt", "response"), *, status: str = "speaker") -> DataFrame:
+    """Profiles computed once for each recording (or clip: several key columns), looked up for both roles.
+
+    ``status`` names the status columns.
+    """
+    keys = [key] if isinstance(key, str) else list(key)
     for role in roles:
-        values = [c for c in profiles.columns if c != key]
-        own = profiles.select(F.col(key).alias(f"{role}_{key}"), *[F.col(c).alias(f"{role}_{c}") for c in values], F.lit("OK").alias("_ok"))
-        pairs = pairs.join(own, f"{role}_{key}", "left").withColumn(f"status_{role}_{status}", F.coalesce("_ok", F.lit("MISSING_SPEAKER_PROFILE"))).drop("_ok")
+        values = [c for c in profiles.columns if c not in keys]
+        own = profiles.select(*[F.col(k).alias(f"{role}_{k}") for k in keys], *[F.col(c).alias(f"{role}_{c}") for c in values], F.lit("OK").alias("_ok"))
+        pairs = pairs.join(own, [f"{role}_{k}" for k in keys], "left").withColumn(f"status_{role}_{status}", F.coalesce("_ok", F.lit("MISSING_SPEAKER_PROFILE"))).drop("_ok")
     return pairs
 
 

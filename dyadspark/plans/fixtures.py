@@ -80,10 +80,14 @@ def candidate_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     prompt = F.format_string("dialog_%d_%d", F.pmod(F.floor(k / 4), F.lit(97)), F.floor(k / 4))
     model = F.element_at(F.array(*map(F.lit, ("original", "model/a", "model|b", "model_c"))), (k % 4 + 1).cast("int"))
     answer = F.when(k % 17 == 0, "").otherwise(F.format_string("audio/%d.wav", k))
-    base = d.select(k, model.alias("model_name"), F.lit("test").alias("split"), F.col("lang").alias("source_style"), F.concat(F.lit("questions/"), prompt, F.lit(".wav")).alias("audio_path"), answer.alias("answer_audio_path"), F.substring("text", 1, 60).alias("said"), F.floor(k / 4).alias("conv"))
-    outputs = base.select("model_name", "split", "source_style", "audio_path", "answer_audio_path", F.concat(F.lit("P1A: out "), F.col("said")).alias("transcript_question"), F.concat(F.lit("P2B: "), F.col("said"), F.lit(" ")).alias("transcript_answer"), F.when(k % 5 == 0, "|P7|P8").otherwise("P3|P4").alias("speakers"), F.col("conv").cast("string").alias("conversation_id"), F.lit("stop").alias("finish_reason"), F.when(k % 3 == 0, "").when(k % 3 == 1, "0.5").otherwise("-0.25").alias("answer_start_time"))
+    base = d.select(k, model.alias("model_name"), F.lit("test").alias("split"), F.col("lang").alias("source_style"), F.concat(F.lit("questions/"), prompt, F.lit(".wav")).alias("audio_path"), answer.alias("answer_audio_path"), F.coalesce("text", F.lit("")).alias("said"), F.floor(k / 4).alias("conv"))
+    outputs = base.select("model_name", "split", "source_style", "audio_path", "answer_audio_path", F.concat(F.lit("P1A: out "), F.col("said")).alias("transcript_question"), F.concat(F.lit("P2B: "), F.col("said"), F.lit(" ")).alias("transcript_answer"), F.when(k % 5 == 0, "|P7|P8").otherwise("P3|P4").alias("speakers"), F.col("conv").cast("string").alias("conversation_id"), F.lit("stop").alias("finish_reason"), F.when(k % 3 == 0, "").when(k % 3 == 1, "0.5").otherwise("-0.25").alias("answer_start_time"), F.concat_ws("/", F.lit("outputs"), "model_name", "split", "source_style", F.lit("metadata.csv")).alias("file"))
     inputs = base.where("conv % 3 <> 0").select("split", "source_style", "audio_path", F.when(F.col("conv") % 4 == 0, "").otherwise(F.concat(F.lit(" P5C: first "), F.col("conv").cast("string"), F.lit(" P6D: last"))).alias("transcript_question"), F.lit("P9|P10").alias("speakers"), F.concat(F.lit("c"), F.col("conv").cast("string")).alias("conversation_id"), F.col("doc_id").alias("place"))
-    asr = table(spark, sf_dir, "labels").join(base, "doc_id").select("model_name", "split", "source_style", F.when(k % 2 == 0, F.col("answer_audio_path")).otherwise(F.concat(F.lit("other/"), F.format_string("%d.wav", k))).alias("answer_audio_path"), F.when(k % 8 == 0, " ").otherwise(F.format_string("heard it's %d", k)).alias("ASR_transcript_answer"), F.col("doc_id").alias("place"))
+    # transcripts by path and by name only; some are blank or null, and for these another folder has a file of the name
+    heard = table(spark, sf_dir, "labels").join(base, "doc_id").select("model_name", "split", "source_style", k, "answer_audio_path", F.concat(F.lit("other/"), F.format_string("%d.wav", k)).alias("elsewhere"))
+    words = F.when(k % 16 == 0, F.lit(None).cast("string")).when(k % 8 == 0, " ").otherwise(F.format_string("heard it's %d", k))
+    asr = heard.select("model_name", "split", "source_style", F.when(k % 2 == 0, F.col("answer_audio_path")).otherwise(F.col("elsewhere")).alias("answer_audio_path"), words.alias("ASR_transcript_answer"), (k * 2).alias("place"))
+    asr = asr.unionByName(heard.where(k % 8 == 0).select("model_name", "split", "source_style", F.col("elsewhere").alias("answer_audio_path"), F.format_string("elsewhere %d", k).alias("ASR_transcript_answer"), (k * 2 + 1).alias("place")))
     seconds = lambda c: (c % 25 + 1).cast("double")
     catalog = base.where(k % 19 != 0).select(F.concat(F.lit("/root/"), F.col("answer_audio_path")).alias("path"), seconds(k).alias("duration_s")).unionByName(base.where("conv % 23 <> 0").select(F.concat(F.lit("/root/"), F.col("audio_path")).alias("path"), seconds(F.col("conv")).alias("duration_s")).distinct())
     return {"outputs": outputs, "inputs": inputs, "asr": asr, "catalog": catalog}

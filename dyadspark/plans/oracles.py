@@ -83,17 +83,19 @@ rt AS (SELECT l_orderkey, l_linenumber, part, quantity + CASE WHEN l_orderkey %
 _NUMBER = "regexp_replace(printf('%.6f', {0}), '(\\.\\d+?)0+$', '\\1')"
 _MISMATCH = f"""WITH {_TABLES}, m AS (SELECT count(*) AS compared, count(*) FILTER (lt.part IS DISTINCT FROM rt.part) AS a, count(*) FILTER (lt.quantity IS DISTINCT FROM rt.quantity) AS b FROM lt JOIN rt USING (l_orderkey, l_linenumber))"""
 
-_CAND = r"""base AS (SELECT doc_id AS k, (['original', 'model/a', 'model|b', 'model_c'])[(doc_id % 4 + 1)::INT] AS model_name, 'test' AS split, lang AS source_style, doc_id // 4 AS conv, 'dialog_' || (doc_id // 4) % 97 || '_' || doc_id // 4 AS stem, CASE WHEN doc_id % 17 = 0 THEN '' ELSE 'audio/' || doc_id || '.wav' END AS answer, substr(text, 1, 60) AS said FROM documents WHERE doc_id IS NOT NULL),
+_CAND = r"""base AS (SELECT doc_id AS k, (['original', 'model/a', 'model|b', 'model_c'])[(doc_id % 4 + 1)::INT] AS model_name, 'test' AS split, lang AS source_style, doc_id // 4 AS conv, 'dialog_' || (doc_id // 4) % 97 || '_' || doc_id // 4 AS stem, CASE WHEN doc_id % 17 = 0 THEN '' ELSE 'audio/' || doc_id || '.wav' END AS answer, coalesce(text, '') AS said FROM documents WHERE doc_id IS NOT NULL),
 inp AS (SELECT split, source_style, stem, arg_max(struct_pack(q := CASE WHEN conv % 4 = 0 THEN '' ELSE ' P5C: first ' || conv || ' P6D: last' END, c := 'c' || conv), k) AS v FROM base WHERE conv % 3 <> 0 GROUP BY ALL),
-asr AS (SELECT model_name, split, source_style, CASE WHEN k % 2 = 0 THEN answer ELSE 'other/' || k || '.wav' END AS path, trim(CASE WHEN k % 8 = 0 THEN ' ' ELSE 'heard it''s ' || k END) AS txt, k FROM base JOIN labels ON labels.doc_id = k),
-ap AS (SELECT model_name, split, source_style, path, arg_max(txt, k) AS txt FROM asr GROUP BY ALL),
-an AS (SELECT model_name, split, source_style, regexp_extract(path, '([^/]*)$', 1) AS name, arg_max(txt, k) AS txt FROM asr GROUP BY ALL),
+asr AS (SELECT model_name, split, source_style, CASE WHEN k % 2 = 0 THEN answer ELSE 'other/' || k || '.wav' END AS path, trim(CASE WHEN k % 16 = 0 THEN NULL WHEN k % 8 = 0 THEN ' ' ELSE 'heard it''s ' || k END) AS txt, 2 * k AS place FROM base JOIN labels ON labels.doc_id = k
+  UNION ALL SELECT model_name, split, source_style, 'other/' || k || '.wav', 'elsewhere ' || k, 2 * k + 1 FROM base JOIN labels ON labels.doc_id = k WHERE k % 8 = 0),
+ap AS (SELECT model_name, split, source_style, path, arg_max(struct_pack(t := txt), place) AS v FROM asr GROUP BY ALL),
+an AS (SELECT model_name, split, source_style, regexp_extract(path, '([^/]*)$', 1) AS name, arg_max(struct_pack(t := txt), place) AS v FROM asr GROUP BY ALL),
 cat AS (SELECT path, max(d) AS d FROM (SELECT '/root/' || answer AS path, (k % 25 + 1)::DOUBLE AS d FROM base WHERE k % 19 <> 0 UNION ALL SELECT '/root/questions/' || stem || '.wav', (conv % 25 + 1)::DOUBLE FROM base WHERE conv % 23 <> 0) GROUP BY 1),
-j AS (SELECT b.*, coalesce(ap.txt, an.txt, '') AS asr_text, i.v IS NOT NULL AS hit, trim(CASE WHEN i.v IS NOT NULL THEN i.v.q ELSE 'P1A: out ' || said END) AS q, trim(CASE WHEN k % 5 = 0 THEN '|P7|P8' ELSE 'P3|P4' END) AS speakers, trim('P2B: ' || said || ' ') AS meta, '/root/questions/' || b.stem || '.wav' AS ppath, CASE WHEN answer = '' THEN NULL ELSE '/root/' || answer END AS rpath
+j AS (SELECT b.*, coalesce(CASE WHEN ap.v IS NOT NULL THEN ap.v.t ELSE an.v.t END, '') AS asr_text, i.v IS NOT NULL AS hit, trim(CASE WHEN i.v IS NOT NULL THEN i.v.q ELSE 'P1A: out ' || said END) AS q, trim(CASE WHEN k % 5 = 0 THEN '|P7|P8' ELSE 'P3|P4' END) AS speakers, trim('P2B: ' || said || ' ') AS meta, '/root/questions/' || b.stem || '.wav' AS ppath, CASE WHEN answer = '' THEN NULL ELSE '/root/' || answer END AS rpath
   FROM base b LEFT JOIN inp i USING (split, source_style, stem) LEFT JOIN ap ON ap.model_name = b.model_name AND ap.split = b.split AND ap.source_style = b.source_style AND ap.path = b.answer
   LEFT JOIN an ON an.model_name = b.model_name AND an.split = b.split AND an.source_style = b.source_style AND an.name = regexp_extract(b.answer, '([^/]*)$', 1)),
 m AS (SELECT j.*, cp.d AS pd, cr.d AS rd, CASE WHEN answer = '' THEN 'MISSING_RESPONSE_AUDIO_PATH' WHEN cp.d IS NULL THEN 'MISSING_PROMPT_AUDIO_FILE' WHEN cr.d IS NULL THEN 'MISSING_RESPONSE_AUDIO_FILE' ELSE 'OK' END AS status, CASE WHEN asr_text <> '' THEN asr_text ELSE meta END AS resp, CASE WHEN k % 3 = 0 THEN 0.0 WHEN k % 3 = 1 THEN 0.5 ELSE -0.25 END::DOUBLE AS st, list_filter(list_transform(string_split(speakers, '|'), lambda x: trim(x)), lambda x: x <> '') AS sp
   FROM j LEFT JOIN cat cp ON cp.path = ppath LEFT JOIN cat cr ON cr.path = rpath)"""
+_CANDID = "replace(replace(model_name, '|', '_'), '/', '_') || '|' || split || '|' || source_style || '|' || stem || '|' || k"
 _LASTP = r"coalesce(list_last(regexp_extract_all({0}, '(?:^|[^\p{{L}}\p{{N}}_])(P[0-9A-Z]+):', 1)), '')"
 _FIRSTP = r"regexp_extract({0}, '(?:^|[^\p{{L}}\p{{N}}_])(P[0-9A-Z]+):', 1)"
 _WORDCOUNT = r"len(regexp_extract_all({0}, '[\p{{L}}\p{{N}}\p{{M}}_''\p{{Pc}}]*[\p{{L}}\p{{N}}\p{{M}}_\p{{Pc}}][\p{{L}}\p{{N}}\p{{M}}_''\p{{Pc}}]*'))::INT"
@@ -104,7 +106,24 @@ _RATE = "(1 + (floor(coalesce(value, 0))::BIGINT + {0}) % 5)::DOUBLE"
 _CLIPS = f"rt AS (SELECT event_id % 300 AS clip_id, event_type AS condition, {', '.join(_RATE.format(i) + f' AS v{i}' for i in range(5))} FROM events WHERE event_id % 11 <> 0), cl AS (SELECT clip_id, condition, avg(v0) AS overall, (avg(v1) + avg(v2) + avg(v3) + avg(v4)) / 4 AS style FROM rt GROUP BY ALL)"
 _ROLES = "rv AS (SELECT vec_id // 2 AS merge_key, CASE WHEN vec_id % 2 = 0 THEN 'prompt' ELSE 'response' END AS role, CASE WHEN vec_id % 13 = 0 THEN 'EMPTY_AUDIO' ELSE 'OK' END AS status0, embedding FROM embeddings), ra AS (SELECT *, CASE WHEN status0 = 'OK' AND max(CASE WHEN status0 <> 'OK' THEN 1 ELSE 0 END) OVER (PARTITION BY merge_key) = 1 THEN 'SKIPPED_PAIR_FAILURE' ELSE status0 END AS status FROM rv)"
 
+_THIRDS = "th AS (SELECT label, " + ", ".join(f"list_avg(list_transform(embedding[(len(embedding) * {i} // 3) + 1:(len(embedding) * {i + 1} // 3)], lambda v: v::DOUBLE)) AS t{i}" for i in range(3)) + " FROM embeddings WHERE label IS NOT NULL AND len(embedding) > 0)"
+_PROFILES = """pu AS (SELECT label, unnest(range(0, len(embedding))) AS pos, unnest(embedding)::DOUBLE AS x FROM embeddings WHERE label IS NOT NULL), pp AS (SELECT label, pos, avg(x) AS p FROM pu GROUP BY ALL),
+pb AS (SELECT label, arg_max(pos, (p, -pos)) AS pos, max(p) AS best FROM pp GROUP BY 1), pf AS (SELECT label, a.age, CASE WHEN pos = 0 THEN 'female' ELSE 'male' END AS gender, best FROM pb JOIN (SELECT label, avg(embedding[1]::DOUBLE) * 100 AS age FROM embeddings WHERE label IS NOT NULL GROUP BY 1) a USING (label))"""
+
 SQL = {
+    "affect_speech": f"""WITH {_EVENTS}, t AS (SELECT user_id, sum(e - s)::BIGINT AS speech FROM ok WHERE user_id IS NOT NULL GROUP BY 1), c AS (SELECT *, unnest(range(0, greatest(ceil(speech / 900000.0)::BIGINT, 1))) AS i FROM t),
+m AS (SELECT user_id, avg((i % 5)::DOUBLE) AS ar, avg((least(i * 900000 + 900000, speech) - i * 900000) / 1000.0::DOUBLE) AS va, count(*) AS n FROM c WHERE least(i * 900000 + 900000, speech) - i * 900000 >= 180000 GROUP BY 1),
+u AS (SELECT DISTINCT user_id, (user_id % 6)::DOUBLE AS duration FROM events WHERE user_id IS NOT NULL)
+SELECT user_id, duration, CASE WHEN duration >= 3 THEN round(ar, 6) END AS arousal, CASE WHEN duration >= 3 THEN round(va, 6) END AS valence, CASE WHEN duration >= 3 AND speech IS NOT NULL THEN coalesce(n, 0) END AS vox_num_chunks, CASE WHEN duration >= 3 THEN speech END AS vox_support_speech_sec,
+CASE WHEN duration < 3 THEN 'TOO_SHORT_FOR_VOX' WHEN coalesce(n, 0) = 0 THEN 'NO_VALID_CHUNKS' ELSE 'OK' END AS status_vox FROM u LEFT JOIN t USING (user_id) LEFT JOIN m USING (user_id)""",
+    "clip_profiles": """WITH a AS (SELECT label AS w, vec_id % 3 AS s, avg(embedding[1]::DOUBLE) * 100 AS age FROM embeddings WHERE label IS NOT NULL AND len(embedding) > 0 GROUP BY ALL)
+SELECT o_orderkey, round(p.age, 6) AS prompt_age, round(r.age, 6) AS response_age, CASE WHEN p.w IS NULL THEN 'MISSING_SPEAKER_PROFILE' ELSE 'OK' END AS status_prompt_speaker_profile, CASE WHEN r.w IS NULL THEN 'MISSING_SPEAKER_PROFILE' ELSE 'OK' END AS status_response_speaker_profile
+FROM orders LEFT JOIN a p ON p.w = o_custkey % 14 AND p.s = o_orderkey % 4 LEFT JOIN a r ON r.w = o_orderkey % 14 AND r.s = o_custkey % 4""",
+    "pitch_states": """WITH f AS (SELECT l_suppkey AS k, CASE WHEN l_returnflag = 'R' THEN 0.0 ELSE l_extendedprice END AS f0 FROM lineitem),
+q AS (SELECT k, count(*) AS n, count(*) FILTER (f0 > 0) AS v, quantile_cont(f0, 0.1) FILTER (f0 > 0) AS lo, quantile_cont(f0, 0.9) FILTER (f0 > 0) AS hi FROM f GROUP BY 1),
+s AS (SELECT k, avg(f0) AS m FROM f JOIN q USING (k) WHERE f0 > 0 AND f0 BETWEEN lo AND hi GROUP BY 1),
+t AS (SELECT q.k, n, v, m, CASE WHEN k % 4 - 1 < 0 OR k % 7 = 0 OR k % 4 - 1 >= 2 THEN 'SEGMENT_INVALID_FOR_PITCH' WHEN k % 7 < 3 THEN 'SEGMENT_TOO_SHORT_FOR_PITCH' WHEN k % 13 = 0 THEN 'PITCH_ANALYSIS_FAILED' END AS state FROM q LEFT JOIN s USING (k))
+SELECT k AS segment_id, CASE WHEN state IS NULL THEN round(m, 6) END AS f0_mean, CASE WHEN state IS NULL THEN round(v / n, 6) END AS voiced_ratio, coalesce(state, CASE WHEN v = 0 THEN 'NO_VOICED_FRAMES' WHEN m IS NULL THEN 'EMPTY_TRIMMED_F0' WHEN v / n < 0.05 THEN 'LOW_VOICED_RATIO' ELSE 'OK' END) AS status_prosody FROM t""",
     "turn_pairs": _w("SELECT * FROM pairs"),
     "turn_events": _w('SELECT interaction, participant, s AS "start", e AS "end", n_events, transcript, n_words::INT AS n_words FROM turns JOIN ttext USING (interaction, participant, island)'),
     "vad_merged": _w('SELECT interaction, participant, s AS "start", e AS "end", n_merged FROM vm'),
@@ -140,11 +159,11 @@ CASE WHEN sec IS NULL THEN 'NO_SPEECH_FRAMES' WHEN wc < 2 THEN 'TOO_FEW_WORDS_FO
 SELECT segment_id, status, CASE WHEN status = 'OK' THEN (b - a)::INT END AS n, CASE WHEN status = 'OK' THEN round(list_sum(list_transform(embedding[a + 1:b], lambda v: v::DOUBLE)), 6) END AS total FROM s""",
     "voice_chunks": f"""WITH {_EVENTS}, t AS (SELECT user_id, sum(e - s)::BIGINT AS speech FROM ok GROUP BY 1), c AS (SELECT *, unnest(range(0, greatest(ceil(speech / 900000.0)::BIGINT, 1))) AS chunk_idx FROM t)
 SELECT user_id, chunk_idx::INT AS chunk_idx, (chunk_idx * 900000)::INT AS chunk_start, least(chunk_idx * 900000 + 900000, speech) AS chunk_end, speech FROM c WHERE least(chunk_idx * 900000 + 900000, speech) - chunk_idx * 900000 >= 180000""",
-    "affect_mean": "SELECT label AS segment_id, round(avg(embedding[1]::DOUBLE), 6) AS arousal, round(avg(embedding[2]::DOUBLE), 6) AS valence, round(avg(embedding[3]::DOUBLE), 6) AS dominance, count(*) AS vox_num_chunks FROM embeddings WHERE label IS NOT NULL GROUP BY 1",
-    "affect_status": """WITH a AS (SELECT label AS segment_id, avg(embedding[1]::DOUBLE) AS ar, count(*) AS n FROM embeddings WHERE label IS NOT NULL GROUP BY 1), s AS (SELECT s_suppkey::INT AS segment_id, (s_suppkey % 6)::DOUBLE AS duration FROM supplier)
+    "affect_mean": f"WITH {_THIRDS} SELECT label AS segment_id, round(avg(t0), 6) AS arousal, round(avg(t1), 6) AS valence, round(avg(t2), 6) AS dominance, count(*) AS vox_num_chunks FROM th GROUP BY 1",
+    "affect_status": f"""WITH {_THIRDS}, a AS (SELECT label AS segment_id, avg(t0) AS ar, count(*) AS n FROM th GROUP BY 1), s AS (SELECT s_suppkey::INT AS segment_id, (s_suppkey % 6)::DOUBLE AS duration FROM supplier)
 SELECT segment_id, duration, CASE WHEN duration >= 3 THEN round(ar, 6) END AS arousal, CASE WHEN duration >= 3 THEN n END AS vox_num_chunks, CASE WHEN duration < 3 THEN 'TOO_SHORT_FOR_VOX' WHEN n IS NULL THEN 'NO_VALID_CHUNKS' ELSE 'OK' END AS status_vox FROM s LEFT JOIN a USING (segment_id)""",
-    "speaker_profile": "WITH a AS (SELECT label AS wav_key, avg(embedding[1]::DOUBLE) * 100 AS age, avg(embedding[4]::DOUBLE) AS f, avg(embedding[5]::DOUBLE) AS m FROM embeddings WHERE label IS NOT NULL GROUP BY 1) SELECT wav_key, round(age, 6) AS age, CASE WHEN f >= m THEN 'female' ELSE 'male' END AS gender, round(greatest(f, m), 6) AS gender_confidence FROM a",
-    "profile_lookup": """WITH a AS (SELECT label AS k, CASE WHEN avg(embedding[4]::DOUBLE) >= avg(embedding[5]::DOUBLE) THEN 'female' ELSE 'male' END AS g FROM embeddings WHERE label IS NOT NULL GROUP BY 1)
+    "speaker_profile": f"WITH {_PROFILES} SELECT label AS wav_key, round(age, 6) AS age, gender, round(best, 6) AS gender_confidence FROM pf",
+    "profile_lookup": f"""WITH {_PROFILES}, a AS (SELECT label AS k, gender AS g FROM pf)
 SELECT o_orderkey, p.g AS prompt_gender, r.g AS response_gender, CASE WHEN p.k IS NULL THEN 'MISSING_SPEAKER_PROFILE' ELSE 'OK' END AS status_prompt_speaker_profile, CASE WHEN r.k IS NULL THEN 'MISSING_SPEAKER_PROFILE' ELSE 'OK' END AS status_response_speaker_profile FROM orders LEFT JOIN a p ON p.k = o_custkey % 12 LEFT JOIN a r ON r.k = o_orderkey % 12""",
     "profile_keys": "SELECT o_custkey AS wav FROM orders UNION SELECT o_orderkey % 1000 FROM orders",
     "stem_parse": "SELECT o_orderkey, 'V' || o_orderkey % 3 AS vendor, o_custkey::VARCHAR AS session, o_orderkey::VARCHAR AS interaction, o_custkey::VARCHAR AS participant FROM orders",
@@ -167,14 +186,19 @@ SELECT 'unique_key' AS "check", l_orderkey || '|' || l_linenumber AS key, count(
 UNION ALL SELECT 'interval', user_id || '|' || s, 'inverted' FROM bad UNION ALL SELECT 'non_empty_key', 'k', 'empty' FROM lineitem WHERE l_orderkey % 1000 = 0
 UNION ALL SELECT 'shared_columns', 'part', a || ' of ' || compared FROM m WHERE a > 0 UNION ALL SELECT 'shared_columns', 'quantity', b || ' of ' || compared FROM m WHERE b > 0""",
     "dyad_checks": f"""WITH {_PATHS}, q AS (SELECT o_orderkey AS k, 'V' || o_orderkey % 3 AS vendor, o_custkey AS session, CASE WHEN o_orderkey % 10 < 7 THEN 'train' WHEN o_orderkey % 10 < 8 THEN 'dev' WHEN o_orderkey % 10 < 9 THEN 'test' END AS sp FROM p),
-b AS (SELECT a.k, concat_ws(',', CASE WHEN a.vendor <> b.vendor THEN 'vendor' END, CASE WHEN a.session <> b.session THEN 'session' END, CASE WHEN a.k <> b.k THEN 'interaction' END, CASE WHEN a.sp IS DISTINCT FROM b.sp THEN 'source_split' END) AS bad FROM q a JOIN q b ON b.k - 3 = a.k) SELECT 'dyad_consistent' AS "check", k::VARCHAR AS key, bad AS detail FROM b WHERE bad <> ''""",
+b AS (SELECT a.k, concat_ws(',', CASE WHEN a.vendor <> b.vendor THEN 'vendor' END, CASE WHEN a.session <> b.session THEN 'session' END, CASE WHEN a.k <> b.k THEN 'interaction' END, CASE WHEN a.sp IS DISTINCT FROM b.sp THEN 'source_split' END, CASE WHEN a.k % 17 = 0 THEN 'participant1' END, CASE WHEN b.k % 17 = 0 THEN 'participant2' END) AS bad FROM q a JOIN q b ON b.k - 3 = a.k) SELECT 'dyad_consistent' AS "check", k::VARCHAR AS key, bad AS detail FROM b WHERE bad <> ''""",
     "shard_audit": """WITH i AS (SELECT DISTINCT (o_orderkey % 16)::INT AS i FROM orders WHERE o_orderkey % 16 <> 5), s AS (SELECT i AS x FROM i WHERE i <> 9 UNION ALL SELECT 3 FROM i WHERE i = 3 UNION ALL SELECT 31 FROM i WHERE i = 9 UNION ALL SELECT NULL FROM i WHERE i = 9)
 SELECT 'shard' AS "check", '' AS key, 'unindexed' AS detail FROM s WHERE x IS NULL UNION ALL SELECT 'shard', x::VARCHAR, 'duplicate' FROM s WHERE x IS NOT NULL GROUP BY x HAVING count(*) > 1
 UNION ALL SELECT 'shard', r::VARCHAR, 'missing' FROM range(16) g(r) WHERE r NOT IN (SELECT x FROM s WHERE x IS NOT NULL) UNION ALL SELECT DISTINCT 'shard', x::VARCHAR, 'extra' FROM s WHERE x >= 16""",
-    "candidate_manifest": f"""WITH {_CAND} SELECT replace(replace(model_name, '|', '_'), '/', '_') || '|' || split || '|' || source_style || '|' || stem || '|' || k AS pair_id, model_name = 'original' AS is_original_reference, conv::VARCHAR AS conversation_id, speakers AS dyad_id,
-CASE WHEN {_LASTP.format('q')} <> '' THEN {_LASTP.format('q')} ELSE coalesce(sp[1], '') END AS prompt_participant_id, CASE WHEN model_name <> 'original' THEN model_name WHEN {_FIRSTP.format('meta')} <> '' THEN {_FIRSTP.format('meta')} ELSE coalesce(sp[2], '') END AS response_participant_id, conv::INT AS turn_index, st AS answer_start_time, greatest(st, 0) AS latency_s, greatest(-st, 0) AS overlap_s,
-ppath AS prompt_audio_path, rpath AS response_audio_path, greatest(pd - 15, 0)::DOUBLE AS prompt_start_s, pd AS prompt_end_s, 0::DOUBLE AS response_start_s, least(rd, 15)::DOUBLE AS response_end_s, pd > 15 AS prompt_was_clipped, rd > 15 AS response_was_clipped, pd >= 3 AS prompt_vox_compatible, rd >= 3 AS response_vox_compatible, q AS prompt_transcript, resp AS response_transcript, asr_text AS response_asr_transcript, {_WORDCOUNT.format('q')} AS prompt_word_count, CASE WHEN hit THEN 'INPUT_METADATA' ELSE 'OUTPUT_METADATA_FALLBACK' END AS status_prompt_source FROM m WHERE status = 'OK'""",
-    "candidate_skips": f"WITH {_CAND} SELECT model_name, split, source_style, stem AS prompt_stem, ppath AS prompt_audio_path, rpath AS response_audio_path, status AS status_pair FROM m WHERE status <> 'OK'",
+    "candidate_manifest": f"""WITH {_CAND}, n AS (SELECT *, {_CANDID} AS id, greatest(pd - 15, 0)::DOUBLE AS p0, pd AS p1, 0::DOUBLE AS r0, least(rd, 15)::DOUBLE AS r1 FROM m WHERE status = 'OK')
+SELECT id AS pair_id, id AS candidate_id, 'candidates' AS session_id, conv::VARCHAR AS interaction_id, speakers AS dyad_id,
+CASE WHEN {_LASTP.format('q')} <> '' THEN {_LASTP.format('q')} ELSE coalesce(sp[1], '') END AS prompt_participant_id, CASE WHEN model_name <> 'original' THEN model_name WHEN {_FIRSTP.format('meta')} <> '' THEN {_FIRSTP.format('meta')} ELSE coalesce(sp[2], '') END AS response_participant_id, conv::BIGINT AS turn_index,
+model_name, model_name = 'original' AS is_original_reference, split, source_style, 'candidates' AS source_dataset_split, '' AS split_seed, 'candidate_question' AS split_unit, conv::VARCHAR AS conversation_id, speakers, stem AS prompt_stem, k::VARCHAR AS response_stem, 'stop' AS finish_reason, st AS answer_start_time, greatest(st, 0) AS latency_s, greatest(-st, 0) AS overlap_s,
+ppath AS prompt_audio_path, rpath AS response_audio_path, ppath AS source_wav_path_prompt, rpath AS source_wav_path_response, '' AS source_json_path_prompt, '' AS source_json_path_response,
+p0 AS prompt_start_s, p1 AS prompt_end_s, p1 - p0 AS prompt_duration_s, r0 AS response_start_s, r1 AS response_end_s, r1 - r0 AS response_duration_s, pd AS prompt_audio_duration_s, rd AS response_audio_duration_s, p0 AS prompt_clip_start_s, p1 AS prompt_clip_end_s, r0 AS response_clip_start_s, r1 AS response_clip_end_s,
+pd > 15 AS prompt_was_clipped, rd > 15 AS response_was_clipped, pd >= 3 AS prompt_vox_compatible, rd >= 3 AS response_vox_compatible, q AS prompt_transcript, resp AS response_transcript, meta AS response_metadata_transcript, asr_text AS response_asr_transcript, {_WORDCOUNT.format('q')} AS prompt_word_count, {_WORDCOUNT.format('resp')} AS response_word_count,
+'UNKNOWN' AS relationship, 'UNKNOWN' AS relationship_detail, 'MISSING_RELATIONSHIP_METADATA' AS status_relationship, 'OK' AS status_pair, 'OK' AS status_prompt_audio, 'OK' AS status_response_audio, CASE WHEN hit THEN 'INPUT_METADATA' ELSE 'OUTPUT_METADATA_FALLBACK' END AS status_prompt_source, 'OUTPUT_METADATA' AS status_response_source FROM n""",
+    "candidate_skips": f"WITH {_CAND} SELECT {_CANDID.replace('|| k', "|| CASE WHEN answer = '' THEN '' ELSE k::VARCHAR END")} AS pair_id, concat_ws('/', 'outputs', model_name, split, source_style, 'metadata.csv') AS metadata_csv, 'questions/' || stem || '.wav' AS audio_path, answer AS answer_audio_path, model_name, split, source_style, stem AS prompt_stem, ppath AS prompt_audio_path, rpath AS response_audio_path, status AS status_pair FROM m WHERE status <> 'OK'",
     "candidate_counts": f"WITH {_CAND} SELECT model_name, split, source_style, count(*) FILTER (status = 'OK') AS usable, count(*) FILTER (status <> 'OK') AS skipped FROM m GROUP BY ALL",
     "asr_fallback": f"WITH {_CAND} SELECT model_name, source_style, count(*) FILTER (asr_text <> '') AS heard, count(*) AS n FROM m GROUP BY ALL",
     "speaker_tags": f"WITH x AS (SELECT doc_id, 'P1A: ' || coalesce(text, '') || ' P' || doc_id || ': end' AS t FROM documents) SELECT doc_id, {_FIRSTP.format('t')} AS first, {_LASTP.format('t')} AS last, 'P' || doc_id AS fallback FROM x",
@@ -190,7 +214,7 @@ SELECT o_orderkey, p AS prompt_tts_model, r AS response_tts_model, p = 'BUILDING
     "embed_segments": f"WITH {_ROLES} SELECT merge_key, role, round(list_sum(list_transform(embedding, lambda v: v::DOUBLE)), 3) AS total, round(list_max(embedding)::DOUBLE, 3) AS most, round(list_min(embedding)::DOUBLE, 3) AS least FROM ra WHERE status = 'OK'",
     "embed_manifest": f"""WITH {_ROLES}, k AS (SELECT DISTINCT merge_key FROM rv), p AS (SELECT * FROM ra WHERE role = 'prompt'), r AS (SELECT * FROM ra WHERE role = 'response')
 SELECT merge_key, CASE WHEN p.role IS NOT NULL THEN 'vec/prompt/' || merge_key END AS prompt_vec_path, len(p.embedding)::INT AS prompt_vec_shape, p.status AS prompt_status, CASE WHEN r.role IS NOT NULL THEN 'vec/response/' || merge_key END AS response_vec_path, len(r.embedding)::INT AS response_vec_shape, r.status AS response_status, 'm1' AS model FROM k LEFT JOIN p USING (merge_key) LEFT JOIN r USING (merge_key)""",
-    "embed_align": f"WITH {_ROLES} SELECT p.merge_key, round(p.embedding[1]::DOUBLE, 6) AS p0, round(r.embedding[1]::DOUBLE, 6) AS r0 FROM rv p JOIN rv r ON p.merge_key = r.merge_key AND p.role = 'prompt' AND r.role = 'response' AND p.status0 = 'OK' AND r.status0 = 'OK'",
+    "embed_align": f"WITH {_ROLES} SELECT p.merge_key, round(list_sum(list_transform(p.embedding, lambda v: v::DOUBLE)), 6) AS prompt_sum, round(list_sum(list_transform(r.embedding, lambda v: v::DOUBLE)), 6) AS response_sum FROM rv p JOIN rv r ON p.merge_key = r.merge_key AND p.role = 'prompt' AND r.role = 'response' AND p.status0 = 'OK' AND r.status0 = 'OK'",
     "embed_status": "SELECT CASE WHEN vec_id % 9 = 0 OR embedding IS NULL THEN 'AUDIO_LOAD_FAILED' WHEN vec_id % 8 = 0 THEN 'AUDIO_DECODE_FAILED' WHEN len(embedding) = 0 THEN 'EMPTY_AUDIO' WHEN vec_id % 11 <= vec_id % 5 OR vec_id % 11 * 8 > len(embedding) THEN 'AUDIO_SEGMENT_INVALID' ELSE 'OK' END AS status, count(*) AS count FROM embeddings GROUP BY 1",
     "artifact_names": "SELECT o_orderkey, 'a__b_' || o_orderkey || '_x__' || substr(sha1(o_custkey::VARCHAR), 1, 12) || '__prompt' AS name FROM orders",
     "history_window": """WITH c AS (SELECT conv_id, turn, length(text) AS n FROM conversations), h AS (SELECT conv_id, turn, list(coalesce(n::VARCHAR, '-')) OVER w AS l, count(*) OVER w AS k FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING))
@@ -214,10 +238,10 @@ SELECT n_a, n_b, u::DOUBLE AS u, round(z, 6) AS z, round(2 * k * (0.319381530 +
 a AS (SELECT interaction, turn_index, any_value(dur) AS dur, count(word) AS n, coalesce(sum(gap) FILTER (gap >= 200), 0)::DOUBLE AS p FROM rwd GROUP BY ALL), k AS (SELECT pairs.pair_id AS merge_key, a.* FROM a JOIN pairs USING (interaction, turn_index))
 SELECT merge_key, 'duration_s' AS target, round(dur::DOUBLE, 6) AS value FROM k UNION ALL SELECT merge_key, 'word_count', n::DOUBLE FROM k UNION ALL SELECT merge_key, 'speech_rate_local', CASE WHEN n >= 2 THEN round(60000.0::DOUBLE * n / dur, 6) END FROM k UNION ALL SELECT merge_key, 'pause_ratio_local', CASE WHEN n >= 2 THEN round(p / dur, 6) END FROM k)"""
     ),
-    "speaker_components": """WITH RECURSIVE e AS (SELECT DISTINCT o_custkey AS a, (o_custkey * 31 + o_orderkey % 3) % 20000 AS b FROM orders WHERE o_orderkey % 6 = 0), d AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
-r(n, m) AS (SELECT a, least(a, b) FROM d UNION SELECT d.b, r.m FROM r JOIN d ON d.a = r.n WHERE r.m < d.b) SELECT n AS speaker, min(m) AS component FROM r GROUP BY 1""",
-    "component_split": """WITH RECURSIVE e AS (SELECT o_custkey AS a, (o_custkey * 31 + o_orderkey % 3) % 20000 AS b FROM orders WHERE o_orderkey % 6 = 0), d AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
-r(n, m) AS (SELECT a, least(a, b) FROM d UNION SELECT d.b, r.m FROM r JOIN d ON d.a = r.n WHERE r.m < d.b), k AS (SELECT n, min(m) AS component FROM r GROUP BY 1),
+    "speaker_components": """WITH RECURSIVE e AS (SELECT DISTINCT o_custkey AS a, (o_custkey * 31 + o_orderkey % 3) % 20000 AS b FROM orders), d AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+r(n, m) USING KEY (n) AS (SELECT a, min(least(a, b)) FROM d GROUP BY a UNION SELECT d.b, min(r.m) FROM r JOIN d ON d.a = r.n JOIN recurring.r AS k ON k.n = d.b WHERE r.m < k.m GROUP BY d.b) SELECT n AS speaker, m AS component FROM r""",
+    "component_split": """WITH RECURSIVE e AS (SELECT o_custkey AS a, (o_custkey * 31 + o_orderkey % 3) % 20000 AS b FROM orders), d AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+r(n, m) USING KEY (n) AS (SELECT a, min(least(a, b)) FROM d GROUP BY a UNION SELECT d.b, min(r.m) FROM r JOIN d ON d.a = r.n JOIN recurring.r AS k ON k.n = d.b WHERE r.m < k.m GROUP BY d.b), k AS (SELECT n, m AS component FROM r),
 w AS (SELECT component, count(*) AS weight FROM e JOIN k ON k.n = e.a GROUP BY 1), z AS (SELECT component, count(*) AS n_speakers FROM k GROUP BY 1),
 o AS (SELECT w.*, row_number() OVER (ORDER BY weight DESC, md5('0:' || component)) AS rn, sum(weight) OVER ()::DOUBLE AS total FROM w),
 g(rn, a, b, c, pick) AS (SELECT 0::BIGINT, 0::DOUBLE, 0::DOUBLE, 0::DOUBLE, '' UNION ALL

@@ -162,8 +162,11 @@ def voice_chunks(spark, d):
 
 
 def _affect(spark, d):
-    e = X.table(spark, d, "embeddings").where("label IS NOT NULL")
-    return e.select(F.col("label").alias("segment_id"), *[F.col("embedding")[i].cast("double").alias(n) for i, n in enumerate(("arousal", "valence", "dominance"))])
+    """Three values of every vector: the means of its three parts."""
+    e = X.table(spark, d, "embeddings").where("label IS NOT NULL AND size(embedding) > 0")
+    third = lambda i: F.expr(f"slice(embedding, int(size(embedding) * {i} / 3) + 1, int(size(embedding) * {i + 1} / 3) - int(size(embedding) * {i} / 3))")
+    mean = lambda a: F.try_divide(F.aggregate(a, F.lit(0.0), lambda s, x: s + x), F.size(a))
+    return e.select(F.col("label").alias("segment_id"), *[mean(third(i)).alias(n) for i, n in enumerate(("arousal", "valence", "dominance"))])
 
 
 @_query
@@ -180,7 +183,44 @@ def affect_status(spark, d):
 
 def _profiles(spark, d):
     e = X.table(spark, d, "embeddings").where("label IS NOT NULL")
-    return voice.speaker_profiles(e.select(F.col("label").alias("wav_key"), F.col("embedding")[0].cast("double").alias("age_raw"), F.array(*[F.col("embedding")[i].cast("double") for i in (3, 4)]).alias("class_probs")))
+    return voice.speaker_profiles(e.select(F.col("label").alias("wav_key"), F.col("embedding")[0].cast("double").alias("age_raw"), F.transform("embedding", lambda x: x.cast("double")).alias("class_probs")))
+
+
+@_query
+def affect_speech(spark, d):
+    """Chunks of the speech of each user with a value each, their means, and the seconds they stand for."""
+    speech = X.event_intervals(spark, d)
+    chunks = intervals.speech_chunks(speech, ["user_id"], "start", "end", longest=900_000, shortest=180_000)
+    values = chunks.select("user_id", (F.col("chunk_idx") % 5).cast("double").alias("arousal"), ((F.col("chunk_end") - F.col("chunk_start")) / 1000.0).alias("valence"), F.lit(1.0).alias("dominance"))
+    means = voice.affect_means(values, "user_id", speech=intervals.total_length(speech, ["user_id"], "start", "end"))
+    seg = X.table(spark, d, "events").select("user_id").distinct().where("user_id IS NOT NULL").withColumn("duration", (F.col("user_id") % 6).cast("double"))
+    out = voice.with_vox_status(seg, means, "user_id")
+    return out.select("user_id", "duration", _r("arousal"), _r("valence"), "vox_num_chunks", "vox_support_speech_sec", "status_vox")
+
+
+@_query
+def clip_profiles(spark, d):
+    """Profiles of clips, found by recording, start and end."""
+    key = ["wav", "start_s", "end_s"]
+    e = X.table(spark, d, "embeddings").where("label IS NOT NULL AND size(embedding) > 0")
+    clips = e.select(F.col("label").alias("wav"), (F.col("vec_id") % 3).cast("double").alias("start_s"), (F.col("vec_id") % 3 + 2).cast("double").alias("end_s"), F.col("embedding")[0].cast("double").alias("age_raw"), F.transform("embedding", lambda x: x.cast("double")).alias("class_probs"))
+    o = X.table(spark, d, "orders")
+    clip = lambda role, wav, start: [(wav % 14).cast("int").alias(f"{role}_wav"), (start % 4).cast("double").alias(f"{role}_start_s"), (start % 4 + 2).cast("double").alias(f"{role}_end_s")]
+    pairs_ = o.select("o_orderkey", *clip("prompt", F.col("o_custkey"), F.col("o_orderkey")), *clip("response", F.col("o_orderkey"), F.col("o_custkey")))
+    out = voice.attach_profiles(pairs_, voice.speaker_profiles(clips, key).select(*key, "age"), key, status="speaker_profile")
+    return out.select("o_orderkey", _r("prompt_age"), _r("response_age"), "status_prompt_speaker_profile", "status_response_speaker_profile")
+
+
+@_query
+def pitch_states(spark, d):
+    """Pitch of clips whose bounds may be wrong, short, or not analysed."""
+    k = F.col("l_suppkey")
+    seg = X.table(spark, d, "lineitem").select(k.alias("segment_id")).distinct()
+    k = F.col("segment_id")
+    start, end = (k % 4 - 1).cast("double"), (k % 4 - 1).cast("double") + (k % 7) * 0.02
+    seg = seg.withColumn("state", pitch.segment_state(start, end, F.lit(2.0), k % 13 != 0))
+    out = pitch.pitch_stats(X.pitch_frames(spark, d), segments=seg, state="state")
+    return out.select("segment_id", _r("f0_mean"), _r("voiced_ratio"), "status_prosody")
 
 
 @_query
@@ -290,7 +330,8 @@ def quality_violations(spark, d):
 @_query
 def dyad_checks(spark, d):
     p = X.order_paths(spark, d).withColumn("n", text.parse_stem(text.stem_of(F.col("path")))).withColumn("s", text.source_dataset_split(F.col("path")))
-    side = lambda n, key: p.select(key.alias("interaction_id"), *[F.col(f"n.{c}").alias(f"p{n}_{c}") for c in ("vendor", "session", "interaction")], F.col("s").alias(f"p{n}_source_split"))
+    stated = F.when(F.col("o_orderkey") % 17 == 0, "P0").otherwise(F.concat(F.lit("P"), F.col("o_custkey")))
+    side = lambda n, key: p.select(key.alias("interaction_id"), stated.alias(f"participant{n}_id"), *[F.col(f"n.{c}").alias(f"p{n}_{c}") for c in ("vendor", "session", "interaction", "participant")], F.col("s").alias(f"p{n}_source_split"))
     both = side(1, F.col("o_orderkey")).join(side(2, F.col("o_orderkey") - 3), "interaction_id")
     return quality.dyads_consistent(both)
 
@@ -309,7 +350,7 @@ def _manifest(spark, d):
 
 @_query
 def candidate_manifest(spark, d):
-    return candidates.usable(_manifest(spark, d)).select("pair_id", "is_original_reference", "conversation_id", "dyad_id", "prompt_participant_id", "response_participant_id", "turn_index", "answer_start_time", "latency_s", "overlap_s", "prompt_audio_path", "response_audio_path", "prompt_start_s", "prompt_end_s", "response_start_s", "response_end_s", "prompt_was_clipped", "response_was_clipped", "prompt_vox_compatible", "response_vox_compatible", "prompt_transcript", "response_transcript", "response_asr_transcript", "prompt_word_count", "status_prompt_source")
+    return candidates.usable(_manifest(spark, d))
 
 
 @_query
@@ -406,7 +447,7 @@ def embed_manifest(spark, d):
 def embed_align(spark, d):
     rows = _role_vectors(spark, d)
     out = embed.align(rows.select("merge_key").distinct(), rows)
-    return out.select("merge_key", F.round(F.col("prompt_embedding")[0].cast("double"), 6).alias("p0"), F.round(F.col("response_embedding")[0].cast("double"), 6).alias("r0"))
+    return out.select("merge_key", *[_r(F.aggregate(f"{role}_embedding", F.lit(0.0), lambda s, x: s + x), f"{role}_sum") for role in ("prompt", "response")])
 
 
 @_query
@@ -422,7 +463,7 @@ def artifact_names(spark, d):
 
 
 def _dyads(spark, d):
-    o = X.table(spark, d, "orders").where("o_orderkey % 6 = 0")
+    o = X.table(spark, d, "orders")
     return o.select(F.col("o_custkey").alias("participant1_id"), ((F.col("o_custkey") * 31 + F.col("o_orderkey") % 3) % 20000).alias("participant2_id"))
 
 

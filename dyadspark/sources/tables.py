@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import csv
 import io
+import re
 import wave
 from collections.abc import Sequence
+from functools import reduce
+from urllib.parse import unquote
 
 import numpy as np
 import pandas as pd
@@ -28,10 +32,29 @@ RECORDING = (
 )
 
 
+def _headers(spark: SparkSession, path: str) -> dict[tuple[str, ...], list[str]]:
+    """The files under each header. One row for each file reaches the driver, as its list of input files does anyway."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), "value", F.monotonically_increasing_id().alias("at"))
+    found: dict[tuple[str, ...], list[str]] = {}
+    for r in lines.groupBy("file").agg(F.min_by("value", "at").alias("header")).orderBy("file").collect():
+        found.setdefault(tuple(next(csv.reader([r.header.removeprefix("\ufeff")]))), []).append(re.sub(r"([\[\]{}*?\\])", r"\\\1", unquote(r.file)))
+    return found
+
+
 def _csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """Header-driven CSV: columns are found by name, absent ones are null."""
-    raw = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
-    return raw.select(*[(F.col(f.name) if f.name in raw.columns else F.lit(None).cast("string")).alias(f.name) for f in schema], F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("_row"))
+    """Header-driven CSV: every file's columns are found by the names in its own header, absent ones are null.
+
+    Files with equal headers are read together. A header is one line; files without a line have no rows.
+    """
+    parts = []
+    for names, files in _headers(spark, path).items():
+        # equal names in one header: the last one counts
+        place = {name: f"_c{i}" for i, name in enumerate(names)}
+        raw = spark.read.schema(_strings(*[f"_c{i}" for i in range(len(names))])).option("header", True).option("multiLine", True).option("escape", '"').csv(files)
+        parts.append(raw.select(*[(F.col(place[f.name]) if f.name in place else F.lit(None).cast("string")).alias(f.name) for f in schema], F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("_row")))
+    if not parts:
+        return spark.createDataFrame([], T.StructType([*schema.fields, T.StructField("_file", T.StringType()), T.StructField("_row", T.LongType())]))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def plain_path(path: Column) -> Column:
@@ -105,14 +128,24 @@ def _pcm(content: bytes, with_samples: bool):
     return rate, n, x.reshape(-1, channels).mean(axis=1)
 
 
-def audio_catalog(spark: SparkSession, path: str, *, samples: bool = False) -> DataFrame:
-    """``(path, sample_rate, n_frames, duration_s, status[, samples])`` of PCM files; mono is the mean of the channels."""
+def audio_catalog(spark: SparkSession, path: str, *, samples: bool = False, head: int = 1 << 20) -> DataFrame:
+    """:func:`decoded_audio` of the files under ``path``; without ``samples`` only the first ``head`` bytes reach Python."""
+    files = spark.read.format("binaryFile").load(path)
+    content = F.col("content") if samples else F.substring("content", 1, head)
+    return decoded_audio(files.select(plain_path(F.col("path")).alias("path"), content.alias("content")), samples=samples)
+
+
+def decoded_audio(files: DataFrame, *, samples: bool = False) -> DataFrame:
+    """``(path, sample_rate, n_frames, duration_s, status[, samples])`` of PCM ``(path, content)``; mono is the mean of the channels."""
     schema = "path string, sample_rate int, n_frames long, duration_s double, status string" + (", samples array<float>" if samples else "")
 
     def run(frames):
         for frame in frames:
             rows = []
             for where, content in zip(frame["path"], frame["content"], strict=True):
+                if content is None:
+                    rows.append([where, None, None, None, "AUDIO_LOAD_FAILED", None][: 6 if samples else 5])
+                    continue
                 try:
                     rate, n, x = _pcm(content, samples)
                     rows.append([where, rate, n, n / rate, "OK", x][: 6 if samples else 5])
@@ -121,7 +154,7 @@ def audio_catalog(spark: SparkSession, path: str, *, samples: bool = False) -> D
             out = pd.DataFrame(rows, columns=["path", "sample_rate", "n_frames", "duration_s", "status", "samples"][: 6 if samples else 5])
             yield out.astype({"sample_rate": "Int32", "n_frames": "Int64"})
 
-    return spark.read.format("binaryFile").load(path).select(plain_path(F.col("path")).alias("path"), "content").mapInPandas(run, schema)
+    return files.select("path", "content").mapInPandas(run, schema)
 
 
 def shard_index(file_name, prefix: str = ""):
@@ -131,14 +164,20 @@ def shard_index(file_name, prefix: str = ""):
 
 
 def read_shards(spark: SparkSession, path: str, columns: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    """``(rows, files)``: the union of shard files with their index, and one row for each file that holds rows.
+    """``(rows, files)``: the union of shard files with their index, and one row for each file.
 
-    ``columns`` is the header that every file must have; Spark raises at the first file whose header differs.
+    ``columns`` is the header that every file must have: Spark raises at the first file whose header differs, and a
+    file without one is refused here. ``rows`` in the order of the shards are ``rows.orderBy("shard", "at")``.
     """
+    listed = spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("file_name"), "length")
+    # Spark reads no row of an empty file, but lists it
+    full = {r.file_name for r in listed.select("file_name").collect()}
+    empty = sorted({unquote(f).rsplit("/", 1)[-1] for f in spark.read.format("binaryFile").load(path).inputFiles()} - full)
+    if empty:
+        raise ValueError(f"empty shard files: {', '.join(empty[:5])}")
     raw = spark.read.schema(_strings(*columns)).option("header", True).option("enforceSchema", False).csv(path)
-    rows = raw.withColumn("shard", shard_index(F.col("_metadata.file_name")))
-    names = spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("file_name"), "length")
-    return rows, names.withColumn("shard", shard_index(F.col("file_name")))
+    rows = raw.withColumn("shard", shard_index(F.col("_metadata.file_name"))).withColumn("at", F.monotonically_increasing_id())
+    return rows, listed.withColumn("shard", shard_index(F.col("file_name")))
 
 
 def write_pairs(df: DataFrame, path: str, columns: Sequence[str], *, split: str = "split", mode: str = "errorifexists") -> None:
