@@ -6,6 +6,8 @@ import gc
 import tempfile
 import time
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,16 +31,48 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_SCOPES: list[list[str]] = []
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables that :func:`stored` writes inside are deleted at the end; what it yields stores a result that stays."""
+    own: list[str] = []
+    _SCOPES.append(own)
+
+    def keep(df: DataFrame) -> DataFrame:
+        place = _SCOPES.pop()
+        try:
+            return stored(df)
+        finally:
+            _SCOPES.append(place)
+
+    try:
+        yield keep
+    finally:
+        _SCOPES.remove(own)
+        for path in own:
+            _delete(spark, path)
+
+
 def stored(df: DataFrame, *, free: bool = False) -> DataFrame:
     """``df`` as a compressed table in the shared checkpoint folder, read back from there.
 
-    For results too large for the plain rows of a checkpoint. The table goes with the session. ``free`` gives up the
-    shuffle files that only ``df`` needed at once; use it where these are a good part of the disk.
+    For results too large for the plain rows of a checkpoint. The table goes with the session, or with the
+    :func:`scratch` around it. ``free`` gives up the shuffle files that only ``df`` needed at once; use it where these
+    are a good part of the disk.
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    if _SCOPES:
+        _SCOPES[-1].append(path)
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
     if free:
