@@ -43,6 +43,37 @@ def steps(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = STE
             a = b
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], most_rows: int) -> Iterator[pa.Table]:
+    """Rows that come sorted by ``keys`` in tables of about ``most_rows`` rows that never part a group."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.num_rows
+        if size < most_rows:
+            continue
+        table = pa.Table.from_batches(held)
+        other = np.flatnonzero(np.any([table.column(c).to_numpy() != table.column(c)[-1].as_py() for c in keys], axis=0))
+        if len(other):
+            yield table.slice(0, int(other[-1]) + 1).combine_chunks()
+            held = table.slice(int(other[-1]) + 1).combine_chunks().to_batches()
+            size = sum(x.num_rows for x in held)
+    if size:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, lengthened until no column of ``df`` has them."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The concatenation of ``starts[i] .. starts[i] + lengths[i] - 1``."""
     total = int(lengths.sum())

@@ -10,8 +10,9 @@ Confidence is calibrated on rows kept from training: a temperature makes the pro
 reject threshold is the lowest at which accepted rows reach the wanted accuracy.
 
 Defined results: ``und`` and score 0 for a null text or one without a letter; null or repeated ids are passed
-through, one row out for every row in; an empty table gives an empty result; without labelled rows every
-text is ``und``; other columns are ignored.
+through, one row out for every row in; of equal probabilities the first language by name wins; very long texts are
+scored whole, one to a step; an empty table gives an empty result; without labelled rows every text is ``und``; other
+columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from dyadspark.llm._common import as_bytes, by_group, steps
+from dyadspark.operators.checkpoints import cut
 
 _FOLD = np.full(256, 0x20, np.uint8)
 _FOLD[97:123] = np.arange(97, 123)
@@ -148,17 +150,24 @@ def _calibrate(model: LanguageModel, data: np.ndarray, offsets: np.ndarray, y: n
     model.reject = float(top[rank][good[-1]]) if len(good) else 1.0
 
 
-def labelled_sample(docs: DataFrame, learn: Column, *, per_lang: int = 800, most_langs: int = 200, most_chars: int = 20_000) -> DataFrame:
+def labelled_sample(docs: DataFrame, learn: Column, *, per_lang: int = 800, most_rows: int = 8000, most_chars: int = 20_000) -> DataFrame:
     """At most ``per_lang`` rows of each language among those that ``learn`` allows, in hash order of the id.
 
-    Ids are ranked without their texts (Spark limits each language before the shuffle); at most
-    ``per_lang * most_langs`` ids are chosen at any size of the corpus, so they are broadcast to fetch their texts.
+    ``most_rows`` bounds all languages together: many languages get fewer rows each, one at least, so none is left
+    out. Languages are counted first; a row comes into question only if its hash is below a share that leaves about
+    twice the rows wanted, so what is ranked of a language does not grow with it. Only ids are ranked.
     """
-    rank = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    able = docs.where(learn & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= most_chars))
-    ids = able.select("doc_id", "lang").withColumn("_rank", F.row_number().over(rank)).where(F.col("_rank") <= per_lang).select("doc_id").distinct()
-    ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_lang * most_langs)
-    return able.select("doc_id", "text", "lang").join(F.broadcast(ids), "doc_id", "left_semi")
+    able = docs.where(learn & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= most_chars)).select("doc_id", "text", "lang")
+    counts = cut(able.groupBy("lang").agg(F.count("*").alias("_n")))
+    langs = counts.count()
+    per_lang = max(1, min(per_lang, most_rows // max(1, langs)))
+    counts = F.broadcast(counts) if langs <= 10_000 else counts
+    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)).cast("double") / (1 << 30)
+    near = able.select("doc_id", "lang").join(counts, "lang").where(draw * F.col("_n") < 2 * per_lang + 100).select("doc_id", "lang").distinct()
+    rank = W.partitionBy("lang").orderBy(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)), "doc_id")
+    ids = near.withColumn("_rank", F.row_number().over(rank)).where(F.col("_rank") <= per_lang).select("doc_id").distinct()
+    ids = cut(ids)
+    return able.join(F.broadcast(ids) if langs <= most_rows else ids, "doc_id", "left_semi")  # most_rows ids at most, or one for each language
 
 
 def fit(docs: DataFrame, learn: Column, *, per_lang: int = 800, most_chars: int = 20_000, **options) -> LanguageModel:

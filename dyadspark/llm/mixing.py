@@ -14,8 +14,10 @@ nearer to its target. What remains is one cut point for each source: documents d
 texts are never shuffled.
 
 Defined results: a null text has size 0; null ids hash as the empty text; null sources are one source; rows that
-repeat an id share a key and stay or go together; an empty table gives an empty result; other columns are
-carried by :func:`mix` and ignored by :func:`report`.
+repeat an id share a key and stay or go together; of equal keys the smaller id comes first; documents without a word
+are taken ``most_epochs`` times at most; very long texts are only counted and never moved; an empty table gives an
+empty result; other columns, whatever their names, are carried by :func:`mix` and ignored by :func:`report`. Up to
+10,000 sources the plan is broadcast, beyond that Spark joins by source; the rows are the same.
 """
 
 from __future__ import annotations
@@ -97,9 +99,11 @@ def report(docs: DataFrame, *, most_epochs: int = 3, seed: str = "mix:") -> Data
 
 
 def mix(docs: DataFrame, *, most_epochs: int = 3, seed: str = "mix:") -> DataFrame:
-    """The mixture: every row of ``docs`` as often as it is taken."""
-    out = _copies(docs, plan(docs, most_epochs=most_epochs, seed=seed), seed)
-    return out.where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    """The mixture: every row of ``docs`` as often as it is taken, ``most_epochs`` times at most."""
+    own = docs.select("doc_id", "source", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    out = _copies(own, plan(docs, most_epochs=most_epochs, seed=seed), seed)
+    copies = F.least("_copies", F.lit(most_epochs))  # documents of size 0 fit any budget
+    return out.where("_copies > 0").select("_row", F.explode(F.sequence(F.lit(1), copies)).alias("_copy")).select("_row.*")
 
 
 def report_sql() -> str:

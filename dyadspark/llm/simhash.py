@@ -12,9 +12,11 @@ operations, and a word is abandoned once all of its distances exceed the radius.
 ``bucket_rows`` is dealt out as pairs of its parts, so none has to fit one task and none is cut short.
 Tasks return spanning links, not all pairs; components come from large-star/small-star rounds.
 
-Defined results: null or blank texts have fingerprint zero, linked like any other; null ids get component
-null; rows that repeat an id count as the same document; an empty table gives an empty result; other columns
-are ignored.
+Tables of up to 16 million fingerprints use wider keys than larger ones; the links are the same.
+
+Defined results: null or blank texts have fingerprint zero, linked like any other; a bit that exactly half of the
+shingles set is 0; null ids get component null; rows that repeat an id count as the same document; very long texts are
+hashed whole, one to a step; an empty table gives an empty result; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dyadspark.llm._common import partitions, ranges, steps
+from dyadspark.llm._common import partitions, ranges, steps, whole_groups
 from dyadspark.operators.checkpoints import cut
 from dyadspark.operators.graph import connected_components
 
@@ -57,12 +59,16 @@ def fingerprint_batch(data: np.ndarray, offsets: np.ndarray, size: int = 3, seed
         own = _shingle_hashes(raw[at[i] : at[i + 1]], size, seed)
         counts[i] = len(own)
         hashes += own
+    return of_hashes(np.array(hashes, np.uint64), counts)
+
+
+def of_hashes(h: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Fingerprints of texts with ``counts`` hashes each, one text after another; a text without any has zero."""
     out = np.zeros(len(counts), np.uint64)
     full = np.flatnonzero(counts)
     if not len(full):
         return out
     # eight 8-bit counters in a word: sums of up to 255 hashes, then sums of those
-    h = np.array(hashes, np.uint64)
     starts = np.concatenate([[0], np.cumsum(counts[full])[:-1]])
     pieces = -(-counts[full] // 255)
     cuts = np.repeat(starts, pieces) + 255 * ranges(np.zeros(len(full), np.int64), pieces)
@@ -106,12 +112,21 @@ class _Links:
 
 
 def bit_sliced_links(fps: np.ndarray, bucket: np.ndarray, side: np.ndarray, radius: int, chunk: int = 1 << 18) -> np.ndarray:
-    """For members sorted by bucket: the index of the first member each is linked to, directly or not.
+    """For members sorted by bucket: the index of the first member each is linked to, directly or not."""
+    links = _Links(len(fps))
+    for x, y in bit_sliced_pairs(fps, bucket, side, radius, chunk):
+        links.add(x, y)
+    return links.low
+
+
+def bit_sliced_pairs(fps: np.ndarray, bucket: np.ndarray, side: np.ndarray, radius: int, chunk: int = 1 << 18):
+    """Blocks of ``(x, y)``, ``x < y``: members sorted by bucket that share one and are within the radius.
 
     ``side`` is 0 for members that meet all of their bucket; 1 and 2 for parts that meet only each other.
     """
     n = len(fps)
-    links = _Links(n)
+    if not n:
+        return
     new = np.ones(n, bool)
     new[1:] = bucket[1:] != bucket[:-1]
     first = np.flatnonzero(new)
@@ -142,11 +157,10 @@ def bit_sliced_links(fps: np.ndarray, bucket: np.ndarray, side: np.ndarray, radi
         w = ranges(word_of[a:b], meets[a:b])
         a = b
         for lo in range(0, len(q), 4 * chunk):
-            _compare(fps, side, planes, live, member_of, q[lo : lo + 4 * chunk], w[lo : lo + 4 * chunk], radius, links)
-    return links.low
+            yield _compare(fps, side, planes, live, member_of, q[lo : lo + 4 * chunk], w[lo : lo + 4 * chunk], radius)
 
 
-def _compare(fps, side, planes, live, member_of, q, w, radius, links) -> None:
+def _compare(fps, side, planes, live, member_of, q, w, radius) -> tuple[np.ndarray, np.ndarray]:
     levels = max(1, (radius + 1).bit_length())
     counters = [np.zeros(len(q), np.uint64) for _ in range(levels)]
     over = ~live[w]
@@ -161,11 +175,11 @@ def _compare(fps, side, planes, live, member_of, q, w, radius, links) -> None:
             if not keep.all():
                 q, w, over, counters = q[keep], w[keep], over[keep], [c[keep] for c in counters]
             if not len(q):
-                return
+                return np.zeros(0, np.int64), np.zeros(0, np.int64)
     rows, bits = np.nonzero(np.unpackbits((~over).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
     x, y = q[rows], member_of[w[rows], bits]
     ok = (y > x) & ((side[x] == 0) | (side[x] != side[y]))
-    links.add(x[ok], y[ok])
+    return x[ok], y[ok]
 
 
 def _above(counters: list[np.ndarray], radius: int) -> np.ndarray:
@@ -206,19 +220,18 @@ def links(classes: DataFrame, *, radius: int = 2, blocks: int | None = None, buc
     met = met.withColumn("bucket", F.xxhash64("t", "key", "i", "j")).select("fp", "rep", "bucket", "side", "t", "key", "i", "j")
 
     def run(batches):
-        table = pa.Table.from_batches(batches) if (batches := list(batches)) else None
-        if table is None or not table.num_rows:
-            return
-        table = table.sort_by([("t", "ascending"), ("key", "ascending"), ("i", "ascending"), ("j", "ascending"), ("rep", "ascending")])
-        col = {c: table.column(c).to_numpy() for c in ("fp", "t", "key", "i", "j", "side")}
-        bucket = np.zeros(table.num_rows, np.int64)
-        bucket[1:] = np.cumsum(np.any([col[c][1:] != col[c][:-1] for c in ("t", "key", "i", "j")], axis=0))
-        low = bit_sliced_links(np.ascontiguousarray(col["fp"]).view(np.uint64), bucket, col["side"], radius)
-        at = np.flatnonzero(low != np.arange(len(low)))
-        reps = table.column("rep").combine_chunks()
-        yield pa.RecordBatch.from_arrays([reps.take(pa.array(at)), reps.take(pa.array(low[at]))], ["src", "dst"])
-
-    return met.repartition(partitions(classes), "bucket").mapInArrow(run, f"src {kind}, dst {kind}")
+        for table in whole_groups(batches, ["t", "key", "i", "j"], 8 * bucket_rows):
+            table = table.sort_by([("t", "ascending"), ("key", "ascending"), ("i", "ascending"), ("j", "ascending"), ("rep", "ascending")])
+            col = {c: table.column(c).to_numpy() for c in ("fp", "t", "key", "i", "j", "side")}
+            bucket = np.zeros(table.num_rows, np.int64)
+            bucket[1:] = np.cumsum(np.any([col[c][1:] != col[c][:-1] for c in ("t", "key", "i", "j")], axis=0))
+            low = bit_sliced_links(np.ascontiguousarray(col["fp"]).view(np.uint64), bucket, col["side"], radius)
+            at = np.flatnonzero(low != np.arange(len(low)))
+            reps = table.column("rep").combine_chunks()
+            yield pa.RecordBatch.from_arrays([reps.take(pa.array(at)), reps.take(pa.array(low[at]))], ["src", "dst"])
+
+    dealt = met.repartition(partitions(classes), "bucket").sortWithinPartitions("t", "key", "i", "j")
+    return dealt.mapInArrow(run, f"src {kind}, dst {kind}")
 
 
 def near_duplicates(docs: DataFrame, *, radius: int = 2, size: int = 3, seed: int = 42, blocks: int | None = None, bucket_rows: int = 4096) -> DataFrame:

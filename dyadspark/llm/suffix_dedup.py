@@ -10,7 +10,8 @@ crosses a text.
 2. Anchors are counted with map-side combining; texts with anchors that repeat give their contexts, dealt out
    by anchor. An anchor with very many contexts is dealt out to several tasks first; only contexts that hold
    the first occurrence of some window in their task go on to the second round, so a passage that a third of
-   all texts share never meets in one task.
+   all texts share never meets in one task. There the windows are dealt out by a second anchor as well, one away from
+   the first, so different surroundings of a frequent phrase do not meet in one task either.
 3. A task merges equal contexts (the first one stands for the others) and builds the Burrows-Wheeler transform
    of the rest, block by block. Starting from the empty string, breadth-first backward extension visits the
    intervals of ever longer strings; the boundary to the right of an interval that has none yet gets the
@@ -19,8 +20,9 @@ crosses a text.
    of them are the occurrences of one ``length``-byte string. All but the first are marked.
 
 Defined results: a null text is empty; texts shorter than ``length`` stay whole; rows with a null id stay whole
-and match nothing; rows that repeat an id are versions of one text, none earlier than the other at equal
-starts; an empty table gives an empty result; other columns are ignored.
+and match nothing; rows that repeat id and text are one document, and rows that repeat only the id are documents of
+their own, in an order that follows from their texts; very long texts are read in overlapping pieces and whole; an
+empty table gives an empty result; other columns, whatever their names, are ignored or carried.
 """
 
 from __future__ import annotations
@@ -31,10 +33,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dyadspark.llm._common import as_bytes, partitions, ranges, steps
+from dyadspark.llm._common import as_bytes, partitions, ranges, steps, unused
 from dyadspark.operators.checkpoints import stored
 
 _RANDOM = np.random.default_rng(0x5EED).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -199,7 +201,7 @@ def repeated_windows(contexts: list[tuple[np.ndarray, np.ndarray]], length: int)
     return found[at]
 
 
-def _resolve(table: pa.Table, length: int, block: int) -> Iterator[pa.RecordBatch]:
+def _resolve(table: pa.Table, length: int, k: int, block: int) -> Iterator[pa.RecordBatch]:
     """Marked byte ranges of the contexts in ``table``, and those contexts that a second round has to see."""
     codes = table.column("ctx").combine_chunks().dictionary_encode().indices
     table = table.drop_columns(["code"] if "code" in table.schema.names else []).append_column("code", codes).append_column("row", pa.array(np.arange(table.num_rows)))
@@ -231,11 +233,11 @@ def _resolve(table: pa.Table, length: int, block: int) -> Iterator[pa.RecordBatc
         nxt = nxt[0] if len(nxt) else len(h)
         prev = cuts[(cuts > a) & (cuts <= i)]
         b = int(prev[-1]) if len(prev) and nxt > i else int(nxt)
-        yield from _block(firsts.slice(a, b - a), length)
+        yield from _block(firsts.slice(a, b - a), length, k)
         a = b
 
 
-def _block(part: pa.Table, length: int) -> Iterator[pa.RecordBatch]:
+def _block(part: pa.Table, length: int, k: int) -> Iterator[pa.RecordBatch]:
     part = part.sort_by([("doc_id", "ascending"), ("s0", "ascending")]).combine_chunks()
     ctx = part.column("ctx").combine_chunks()
     data, offsets = as_bytes(ctx)
@@ -252,8 +254,41 @@ def _block(part: pa.Table, length: int) -> Iterator[pa.RecordBatch]:
     firsts = np.add.reduceat(found == 1, offsets[:-1]) if len(data) else np.zeros(0)
     again = np.flatnonzero((firsts > 0) & (part.column("salts").to_numpy() > 1))
     if len(again):
-        take = pa.array(again)
-        yield pa.RecordBatch.from_arrays([ids.take(take), pa.nulls(len(again), pa.int64()), pa.nulls(len(again), pa.int64()), part.column("h").combine_chunks().take(take), part.column("s0").combine_chunks().take(take), ctx.take(take)], ["doc_id", "a", "b", "h", "s0", "ctx"])
+        rows, keys, starts, texts = [], [], [], []
+        for i, h in zip(again.tolist(), part.column("h").to_numpy()[again].tolist(), strict=True):
+            own = data[offsets[i] : offsets[i + 1]]
+            for key, a, b in second_anchors(own, h, length, k):
+                rows.append(i)
+                keys.append(key)
+                starts.append(int(s0[i]) + a)
+                texts.append(own[a : b + length - 1].tobytes())
+        n = len(rows)
+        yield pa.RecordBatch.from_arrays([ids.take(pa.array(rows, pa.int64())), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(keys, pa.int64()), pa.array(starts, pa.int64()), pa.array(texts, pa.binary())], ["doc_id", "a", "b", "h", "s0", "ctx"])
+
+
+def second_anchors(own: np.ndarray, h: int, length: int, k: int) -> list[tuple[int, int, int]]:
+    """``(key, first window, end)`` of the runs of a context's windows by a second anchor, away from the first.
+
+    A window's second anchor is the smallest hash among its ``k``-byte substrings that start 0.4 lengths or more from
+    the first one, on the side that has more of the window. It follows from the window alone, so equal windows
+    keep equal keys, while contexts that only share what is around the first anchor part.
+    """
+    grams = _gram_hashes(own, k)
+    n, far = len(own) - length + 1, 2 * length // 5
+    at = int(np.flatnonzero(grams == np.int64(h).view(np.uint64))[0])
+    window = np.arange(n)
+    keys = np.full(n, np.uint64(h & (1 << 64) - 1))
+    left = (at - window >= far) & (window <= at - far)
+    if left.any():  # from the window's start up to the far side of the anchor
+        low = np.minimum.accumulate(grams[: at - far + 1][::-1])[::-1]
+        keys[left] = low[window[left]]
+    right = ~left & (window + length - k >= at + far)
+    if right.any():
+        low = np.minimum.accumulate(grams[at + far :])
+        keys[right] = low[window[right] + length - k - at - far]
+    keys = ((keys ^ np.uint64(h & (1 << 64) - 1)) * np.uint64(_BASE)).view(np.int64)
+    cuts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return [(int(keys[a]), int(a), int(b)) for a, b in zip(cuts, np.append(cuts[1:], n), strict=True)]
 
 
 def _lengths(column: pa.ChunkedArray) -> np.ndarray:
@@ -285,12 +320,12 @@ def _gathered(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Table
         yield pa.Table.from_batches(held)
 
 
-def _round(contexts: DataFrame, kind: str, length: int, block: int) -> DataFrame:
+def _round(contexts: DataFrame, kind: str, length: int, k: int, block: int) -> DataFrame:
     """One pass of :func:`_resolve` over ``(h, salt, salts, doc_id, s0, ctx)`` dealt out by ``(h, salt)``."""
 
     def run(batches):
         for table in _gathered(batches, 4 * block):
-            for out in _resolve(table, length, block):
+            for out in _resolve(table, length, k, block):
                 if out.num_rows:
                     yield out
 
@@ -298,9 +333,21 @@ def _round(contexts: DataFrame, kind: str, length: int, block: int) -> DataFrame
     return dealt.mapInArrow(run, f"doc_id {kind}, a long, b long, h long, s0 long, ctx binary")
 
 
+def row_key(docs: DataFrame) -> Column:
+    """What tells rows apart: the id, or where ids repeat the id and a hash of the text, in the order of the ids.
+
+    Rows with equal id and text stay one document. Ids that are not whole numbers are then ordered as text.
+    """
+    if docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty():
+        return F.col("doc_id")
+    whole = docs.schema["doc_id"].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint")
+    number = F.lpad(F.hex(F.col("doc_id").cast("long").bitwiseXOR(F.lit(-(1 << 63)))), 16, "0") if whole else F.concat(F.col("doc_id").cast("string"), F.lit("\0"))
+    return F.concat(number, F.lpad(F.hex(F.xxhash64("text")), 16, "0"))
+
+
 def repeated_ranges(docs: DataFrame, *, length: int = 100, k: int = 20, hot: int = 4096, block: int = 3 << 18) -> DataFrame:
-    """``(doc_id, a, b)``: byte ranges to remove, possibly overlapping, of texts with an id."""
-    given = docs.select("doc_id", "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
+    """``(doc_id, a, b)``: byte ranges to remove, possibly overlapping, of texts with an id; ``doc_id`` is :func:`row_key`."""
+    given = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(row_key(docs).alias("doc_id"), "text")
     kind = given.schema["doc_id"].dataType.simpleString()
 
     def counts(batches):
@@ -313,9 +360,9 @@ def repeated_ranges(docs: DataFrame, *, length: int = 100, k: int = 20, hot: int
             doc, s0, n, h = anchor_runs(data, offsets, length, k)
             yield pa.RecordBatch.from_arrays([pa.array(h), part.column("doc_id").take(pa.array(doc)), pa.array(s0), pa.array(n.astype(np.int32))], ["h", "doc_id", "s0", "n"])
 
-    often = stored(given.select("text").mapInArrow(counts, "h long, n long").groupBy("h").agg(F.sum("n").alias("n_all")).where("n_all > 1"))
+    often = stored(given.select("text").mapInArrow(counts, "h long, n long").groupBy("h").agg(F.sum("n").alias("n_all")).where("n_all > 1"), free=True)
     at = given.mapInArrow(places, f"h long, doc_id {kind}, s0 long, n int").join(often, "h")
-    per_doc = stored(at.withColumn("salts", F.ceil(F.col("n_all") / hot).cast("int")).groupBy("doc_id").agg(F.collect_list(F.struct("h", "s0", "n", "salts")).alias("at")))
+    per_doc = stored(at.withColumn("salts", F.ceil(F.col("n_all") / hot).cast("int")).groupBy("doc_id").agg(F.collect_list(F.struct("h", "s0", "n", "salts")).alias("at")), free=True)
     with_text = given.join(per_doc, "doc_id").select("doc_id", "text", "at.h", "at.s0", "at.n", "at.salts")
 
     def contexts(batches):
@@ -335,21 +382,22 @@ def repeated_ranges(docs: DataFrame, *, length: int = 100, k: int = 20, hot: int
             yield pa.RecordBatch.from_arrays([flat["h"].filter(keep), flat["salts"].filter(keep), part.column("doc_id").take(pa.array(doc)), pa.array(s0), ctx], ["h", "salts", "doc_id", "s0", "ctx"])
 
     found = with_text.mapInArrow(contexts, f"h long, salts int, doc_id {kind}, s0 long, ctx binary")
-    found = found.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.col("salts")).cast("int"))
-    first = stored(_round(found, kind, length, block))
+    found = found.withColumn("salt", F.pmod(F.xxhash64("doc_id", F.shiftright("s0", 16)), F.col("salts")).cast("int"))
+    first = stored(_round(found, kind, length, k, block), free=True)
     again = first.where("ctx IS NOT NULL").select("h", F.lit(1).alias("salts"), "doc_id", "s0", "ctx", F.lit(0).alias("salt"))
-    second = _round(again, kind, length, block).where("ctx IS NULL")
+    second = _round(again, kind, length, k, block).where("ctx IS NULL")
     return first.where("ctx IS NULL").select("doc_id", "a", "b").unionByName(second.select("doc_id", "a", "b"))
 
 
 def _cleaned(docs: DataFrame, ranges_: DataFrame, make, schema: str, carry: list[str]) -> DataFrame:
     """``make(part, data, offsets, keep, spans)`` over every text with its ranges merged."""
-    per_doc = ranges_.groupBy("doc_id").agg(F.collect_list("a").alias("_a"), F.collect_list("b").alias("_b"))
-    joined = docs.join(per_doc, "doc_id", "left").select(*carry, "_a", "_b")
+    key, first, last = unused(docs, "_key", "_a", "_b")
+    per_doc = ranges_.groupBy(F.col("doc_id").alias(key)).agg(F.collect_list("a").alias(first), F.collect_list("b").alias(last))
+    joined = docs.join(per_doc, row_key(docs) == F.col(key), "left").select(*[F.col(f"`{c}`") for c in carry], first, last)
 
     def run(batches):
         for part, data, offsets in steps(batches):
-            a, b = part.column("_a"), part.column("_b")
+            a, b = part.column(first), part.column(last)
             many = np.diff(np.asarray(a.offsets))  # a null list is empty
             base = np.repeat(offsets[:-1], many)
             top = np.repeat(offsets[1:], many)

@@ -67,3 +67,34 @@ def test_nulls_repeats_empty_and_other_columns(spark):
     out = suffix_dedup.deduplicate(odd)
     assert out.columns == odd.columns
     assert {r.doc_id: r.text for r in out.collect()} == {1: text, 2: "", 5: None}
+
+
+def test_rows_that_share_an_id_lose_only_their_own_bytes(spark):
+    """Rows of one id with different texts are documents of their own."""
+    rng = random.Random(4)
+    p, x, y = (" ".join(f"{c}{rng.randrange(10**6)}" for _ in range(40)) for c in "pxy")
+    rows = [(1, p), (5, p + x), (5, y), (9, y + " tail")]
+    out = suffix_dedup.deduplicate(spark.createDataFrame(rows, DOC))
+    assert sorted((r.doc_id, r.text) for r in out.collect()) == sorted([(1, p), (5, x), (5, y), (9, out.where("doc_id = 9").first().text)])
+    assert len(out.where("doc_id = 9").first().text) < 10
+    texts = spark.createDataFrame([("a", p), ("b", p), ("b", y)], "doc_id string, text string")
+    assert sorted((r.doc_id, r.text) for r in suffix_dedup.deduplicate(texts).collect()) == sorted([("a", p), ("b", ""), ("b", y)])
+
+
+def test_a_frequent_phrase_with_many_surroundings(spark):
+    """Contexts of a hot anchor go on by second anchors and still find every repeat."""
+    rng = random.Random(5)
+    line = "all of these texts hold this one line of words"
+    make = lambda n: " ".join(f"{rng.randrange(10**7)}" for _ in range(n))
+    tails = [make(20) for _ in range(12)]
+    rows = [(i, make(20) + " " + line + " " + (rng.choice(tails) if i % 2 else make(20))) for i in range(120)]
+    check(spark, rows, hot=4)
+
+
+def test_pieces_of_a_very_long_text(spark):
+    rng = random.Random(6)
+    long = " ".join(str(rng.randrange(10**6)) for _ in range(700_000))  # over the piece of 4 MB
+    assert len(long) > 4 << 20
+    mid = long[(4 << 20) - 150 : (4 << 20) + 150]
+    got = {r.doc_id: r.n_removed for r in suffix_dedup.removal_report(spark.createDataFrame([(1, long), (2, mid), (3, long[:500])], DOC)).collect()}
+    assert got == {1: 0, 2: 300, 3: 500}
