@@ -1,18 +1,21 @@
 """Exact near-duplicate pairs of embeddings by cover-tree dual traversal.
 
 Only rows with equal labels meet. Equal vectors of a label are one class, so a vector that many rows repeat is
-compared once. Unit vectors at cosine c are ``sqrt(2 - 2c)`` apart. Classes go to the cell of the nearest of a
-few pivots (a bounded sample; how many a label uses grows with its size), and two cells meet only if their
+compared once. Unit vectors at cosine c are ``sqrt(2 - 2c)`` apart. Classes go to the cell of the nearest of the
+pivots, the top net that all tasks share: there are as many as the largest label has ``cell_rows`` classes (up to
+``most_pivots``, a bounded sample), so cells keep their size while the table grows. Two cells meet only if their
 pivots are no farther apart than both covering radii and the threshold. Cells over ``cell_rows`` are dealt out
 in parts. In a meeting each side is a cover tree, nested levels of balls with halving radii; both trees are
 walked together, a pair of nodes is dropped when the distance of the centres is over the sum of the covering
 radii and the threshold, and what is left at the leaves is tested with the exact cosine in double precision.
-Tasks return the number of links of each class and spanning links, not the pairs.
+Distances are taken only between the nodes that the walk visits (as one product where it visits most pairs of what
+it holds). Tasks return the number of links of each class and spanning links, not the pairs. Vectors without
+structure (random directions in many dimensions) let no bound prune much, and most pairs are then compared.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components, and rows with a null label,
 link with nothing; vectors of different lengths do not link; equal rows are vectors of their own and link with
-each other; different vectors under one id share the links of that id; a null id has component null; an empty
-table gives an empty result; other columns are ignored.
+each other; different vectors under one id share the links of that id; a null id has component null; a cosine of just
+the threshold links; an empty table gives an empty result; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -85,14 +88,26 @@ class CoverTree:
         self.kid_at = np.concatenate([[0], np.cumsum(self.n_kids)[:-1]])
 
 
-def close_pairs(a: CoverTree, b: CoverTree, reach: float, chunk: int = 1 << 15):
+def _between(a: CoverTree, b: CoverTree, x: np.ndarray, y: np.ndarray, seen: list[int] | None, chunk: int = 1 << 16) -> np.ndarray:
+    """Distances of the centres of the node pairs ``(x, y)``; ``seen`` gets how many were taken."""
+    own_x, at_x = np.unique(x, return_inverse=True)
+    own_y, at_y = np.unique(y, return_inverse=True)
+    if 3 * len(x) >= len(own_x) * len(own_y):
+        if seen is not None:
+            seen.append(len(own_x) * len(own_y))
+        return _apart((a.points[a.centre[own_x]] @ b.points[b.centre[own_y]].T)[at_x, at_y])
+    if seen is not None:
+        seen.append(len(x))
+    parts = [np.einsum("ij,ij->i", a.points[a.centre[x[i : i + chunk]]], b.points[b.centre[y[i : i + chunk]]]) for i in range(0, len(x), chunk)]
+    return _apart(np.concatenate(parts))
+
+
+def close_pairs(a: CoverTree, b: CoverTree, reach: float, chunk: int = 1 << 15, seen: list[int] | None = None):
     """Blocks of ``(i, j)`` that hold every pair of points within ``reach``; for one tree ``i < j``."""
     one = a is b
-    # distances of all centres at once: one matrix product of a meeting's bounded sides, looked up by the walk
-    between = _apart(a.points[a.centre] @ b.points[b.centre].T)
     x, y = np.zeros(1, np.int64), np.zeros(1, np.int64)
     while len(x):
-        d = between[x, y]
+        d = _between(a, b, x, y, seen)
         ok = d <= a.radius[x] + b.radius[y] + reach + _ROUND
         x, y = x[ok], y[ok]
         leaf = (a.n_kids[x] == 0) & (b.n_kids[y] == 0)
@@ -137,7 +152,7 @@ def _matrix(column) -> np.ndarray:
     return column.flatten().to_numpy().reshape(len(column), -1).astype(np.float64)
 
 
-def near_duplicates(vectors: DataFrame, *, cosine: float = 0.93, cell_rows: int = 2048, pivots: int = 256) -> DataFrame:
+def near_duplicates(vectors: DataFrame, *, cosine: float = 0.93, cell_rows: int = 2048, pivots: int | None = None, most_pivots: int = 4096) -> DataFrame:
     """``(vec_id, n_links, component_id, kept)`` of every row."""
     given = vectors.select("vec_id", "embedding", "label").withColumn("embedding", F.col("embedding").cast("array<double>"))
     kind = given.schema["vec_id"].dataType.simpleString()
@@ -146,11 +161,14 @@ def near_duplicates(vectors: DataFrame, *, cosine: float = 0.93, cell_rows: int
     usable = given.where(_usable())
     classes = cut(usable.groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("many")).withColumn("dim", F.size("embedding")))
 
-    # pivots: at most `pivots` vectors in hash order, whatever the size of the table
+    # pivots: vectors in hash order, as many as the cells that the largest label needs
+    sizes = classes.groupBy("label", "dim").agg(F.count("*").alias("n"))
+    if pivots is None:
+        pivots = min(most_pivots, max(1, -(-(sizes.agg(F.max("n")).first()[0] or 0) // cell_rows)))
     sample = classes.select("rep", "dim", "embedding").orderBy(F.xxhash64("rep"), "rep").limit(pivots).collect()
     heads = {dim: _unit(np.array([r.embedding for r in sample if r.dim == dim], np.float64)) for dim in {r.dim for r in sample}}
     shared = vectors.sparkSession.sparkContext.broadcast(heads)
-    counts = classes.groupBy("label", "dim").agg(F.greatest(F.lit(1), F.least(F.ceil(F.count("*") / cell_rows), F.lit(pivots))).cast("int").alias("cells"))
+    counts = sizes.select("label", "dim", F.greatest(F.lit(1), F.least(F.ceil(F.col("n") / cell_rows), F.lit(pivots))).cast("int").alias("cells"))
 
     def assign(batches):
         for batch in batches:

@@ -1,19 +1,24 @@
 """Exact inner-product top-k with an impact-ordered, score-at-a-time index.
 
-Vectors become integers, ``floor(scale * x)``. A block of candidates is indexed by impact: each component is a
-posting of its dimension, filed by its quantised absolute value. Segments are processed from the largest
-impact down; each adds ``weight * quantised value`` to the accumulators of all its candidates. After a group
-of segments every score is known up to a bound: the unread postings of a candidate are at most as large as
-the next impact, and the read ones at most half a step off. Candidates whose upper bound is below the k-th
-largest lower bound are proven out; processing stops once few possible members are left (or nothing is
-unread), and these are scored exactly.
+Vectors become integers, ``floor(scale * x)``. A block of candidates is parted into cells of near vectors, and each
+cell is indexed by impact: every component that is not zero is a posting ``(candidate, quantised value)`` of its
+dimension, and a dimension's postings are stored in segments by descending quantised impact. Queries go through the
+cells in the order of a bound on their scores (the product with the cell's centre, and the covering radius); a cell
+whose bound is under a query's k-th score so far is not opened for it. In a cell, segments are processed from the
+largest impact down, each adding ``weight * quantised value`` to the accumulators of its own candidates only. What a
+candidate's accumulator still lacks is a known vector (unread components, and what quantising left), so by its length
+every score is known up to a bound. Candidates whose upper bound is below the k-th largest lower bound, or the k-th
+score so far, are proven out; processing stops once few possible members are left (or nothing is unread), and these
+are scored exactly.
 
 Blocks of queries meet blocks of candidates in tasks of bounded size, and each meeting returns k rows for a
-query, so the work is spread evenly however many vectors are equal.
+query, so the work is spread evenly however many vectors are equal. Vectors without structure (random directions)
+leave no bound much to prove, and most segments are read.
 
 Defined results: vectors that are null, or hold null or non-finite components, take no part; vectors of different
 lengths do not meet; a query never meets rows of its own id; ties go to the smaller id, rows that repeat an
-id and score are listed once each; an empty table gives an empty result; other columns are ignored.
+id and score are listed once each; an empty table gives an empty result; other columns, whatever their names, are
+ignored.
 """
 
 from __future__ import annotations
@@ -29,57 +34,141 @@ from dyadspark.operators.checkpoints import cut
 
 _LEVELS = 32
 #: Impact levels after which bounds are checked, from the largest down.
-_STOPS = (12, 8, 5, 3, 1, 0)
+_STOPS = (4, 1, 0)
 
 
 class ImpactIndex:
-    """Segments of one block of integer vectors."""
+    """Postings of one cell of integer vectors, dimension by dimension in segments of descending quantised impact."""
 
     def __init__(self, vectors: np.ndarray):
         self.vectors = vectors
-        top = int(np.abs(vectors).max(initial=0))
-        self.shift = max(0, top.bit_length() - (_LEVELS.bit_length() - 1))
+        n, dims = vectors.shape
         impact = np.abs(vectors)
-        self.level = impact >> self.shift
-        half = (1 << self.shift) // 2
-        self.error = max(half, (1 << self.shift) - 1 - half)
-        self.quantised = np.sign(vectors) * ((self.level << self.shift) + np.where(vectors != 0, half, 0))
-
-    def search(self, queries: np.ndarray, banned: np.ndarray, ids: np.ndarray, k: int, few: int = 64) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """``(query, candidate, score)`` of the best ``k`` for each query; ``banned`` marks pairs that may not meet."""
-        n_q, n = banned.shape
-        pairs_q, pairs_c = [], []
-        rows = np.arange(n_q)
-        acc = np.zeros((n_q, n))
-        size = np.abs(queries).astype(np.float64)
-        own = queries.astype(np.float64)
-        above = _LEVELS
+        top = int(impact.max(initial=0))
+        shift = max(0, top.bit_length() - (_LEVELS.bit_length() - 1))
+        level = impact >> shift
+        half = (1 << shift) // 2
+        quantised = np.where(vectors != 0, np.sign(vectors) * ((level << shift) + half), 0)
+        self.largest = int(np.abs(quantised).max(initial=0))
+        order = np.argsort(-level, axis=0, kind="stable")
+        self.postings = []
+        for d in range(dims):
+            own = order[:, d]
+            own = own[vectors[own, d] != 0]
+            edges = np.searchsorted(-level[own, d], [-stop for stop in _STOPS], side="right")
+            edges[-1] = len(own)
+            self.postings.append((own, quantised[own, d], edges))
+        # the length of what accumulators lack after each stop
+        self.lack = []
         for stop in _STOPS:
-            # the segments with impacts of this group of levels
-            part = np.where((self.level >= stop) & (self.level < above), self.quantised, 0).astype(np.float64)
-            acc += own @ part.T
-            above = stop
-            unread = (self.level < stop).astype(np.float64)
-            left = size @ unread.T
-            next_ = float((stop << self.shift) - 1) if stop else 0.0
-            slack = left * next_ + (size.sum(axis=1, keepdims=True) - left) * self.error
-            low, high = acc - slack, acc + slack
-            low[banned[rows]] = high[banned[rows]] = -np.inf
-            bar = np.partition(low, n - k, axis=1)[:, n - k] if n > k else np.full(len(rows), -np.inf)
-            maybe = (high >= bar[:, None]) & ~banned[rows]
-            done = (maybe.sum(axis=1) <= max(few, 4 * k)) | (stop == 0)
-            q, c = np.nonzero(maybe[done])
-            pairs_q.append(rows[done][q])
-            pairs_c.append(c)
-            rows, acc, own, size = rows[~done], acc[~done], own[~done], size[~done]
+            read = (level >= stop) & (vectors != 0)
+            self.lack.append(np.sqrt((np.where(read, vectors - quantised, vectors).astype(np.float64) ** 2).sum(axis=1)))
+        self.centre = vectors.mean(axis=0) if n else np.zeros(dims)
+        self.radius = float(np.sqrt(((vectors - self.centre) ** 2).sum(axis=1)).max(initial=0.0))
+        self.touched = 0  # postings added to accumulators, over all queries
+
+    def bounds(self, queries: np.ndarray) -> np.ndarray:
+        """No score in the cell is over this."""
+        length = np.sqrt((queries.astype(np.float64) ** 2).sum(axis=1))
+        return (queries @ self.centre + length * self.radius) * (1 + 1e-9) + 1e-3
+
+    def possible(self, queries: np.ndarray, banned: np.ndarray, k: int, bar: np.ndarray, few: int = 64) -> tuple[np.ndarray, np.ndarray]:
+        """``(query, candidate)``: all that may be among the best ``k`` of a query and reach ``bar``; ``banned`` may not meet."""
+        n_q, n = banned.shape
+        most = self.largest * int(np.abs(queries).max(initial=0)) * queries.shape[1]
+        kind = np.int32 if most < 1 << 30 else np.int64
+        rows, acc = np.arange(n_q), np.zeros((n, n_q), kind)
+        weights = np.ascontiguousarray(queries.T.astype(kind))
+        length = np.sqrt((queries.astype(np.float64) ** 2).sum(axis=1))
+        out_q, out_c = [], []
+        for i in range(len(_STOPS)):
+            for d, (own, value, edges) in enumerate(self.postings):
+                a, b = edges[i - 1] if i else 0, edges[i]
+                if b > a:
+                    part = acc.take(own[a:b], axis=0)
+                    part += value[a:b, None].astype(kind) * weights[d]
+                    acc[own[a:b]] = part
+                    self.touched += int(b - a) * len(rows)
+            slack = np.multiply.outer(self.lack[i], length[rows]) * (1 + 1e-9) + 1e-3
+            low = np.where(banned[rows].T, -np.inf, acc - slack)
+            own_bar = np.partition(low, n - k, axis=0)[n - k] if n > k else np.full(len(rows), -np.inf)
+            maybe = (acc + slack >= np.maximum(own_bar, bar[rows])) & ~banned[rows].T
+            done = (maybe.sum(axis=0) <= max(few, 4 * k)) | (i == len(_STOPS) - 1)
+            c, q = np.nonzero(maybe[:, done])
+            out_q.append(rows[done][q])
+            out_c.append(c)
+            if done.any():
+                rows, acc, weights = rows[~done], np.ascontiguousarray(acc[:, ~done]), np.ascontiguousarray(weights[:, ~done])
             if not len(rows):
                 break
-        q, c = np.concatenate(pairs_q), np.concatenate(pairs_c)
-        score = np.concatenate([np.einsum("ij,ij->i", queries[q[a : a + (1 << 16)]], self.vectors[c[a : a + (1 << 16)]]) for a in range(0, len(q), 1 << 16)]) if len(q) else np.zeros(0, np.int64)
-        order = np.lexsort((ids[c], -score, q))
-        q, c, score = q[order], c[order], score[order]
-        place = np.arange(len(q)) - np.searchsorted(q, q)
-        return q[place < k], c[place < k], score[place < k]
+        return np.concatenate(out_q), np.concatenate(out_c)
+
+
+    def search(self, queries: np.ndarray, banned: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``(query, candidate, score)`` of the best ``k`` of this cell for each query."""
+        q, c = self.possible(queries, banned, k, np.full(len(queries), -np.inf))
+        return _best(q, c, _scores(queries, self.vectors, q, c), ids, k)
+
+
+def _scores(queries: np.ndarray, vectors: np.ndarray, q: np.ndarray, c: np.ndarray) -> np.ndarray:
+    return np.concatenate([np.zeros(0, np.int64), *[np.einsum("ij,ij->i", queries[q[x : x + 65536]], vectors[c[x : x + 65536]]) for x in range(0, len(q), 65536)]])
+
+
+def _best(q: np.ndarray, c: np.ndarray, s: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The rows with the ``k`` highest scores of each query, in order; ties go to the smaller id."""
+    order = np.lexsort((ids[c], -s, q))
+    q, c, s = q[order], c[order], s[order]
+    first = np.arange(len(q)) - np.searchsorted(q, q) < k
+    return q[first], c[first], s[first]
+
+
+class Block:
+    """Candidates in cells of about ``cell_rows`` near vectors, at least four cells unless there are few."""
+
+    def __init__(self, vectors: np.ndarray, ids: np.ndarray, cell_rows: int = 4096):
+        n = len(vectors)
+        many = max(1, -(-n // cell_rows), min(4, n // 256))
+        # heads far from each other, the next one always where the others are farthest
+        away, home = np.full(n, np.inf), np.zeros(n, np.int64)
+        for c in range(many if n else 0):
+            head = vectors[int(away.argmax()) if c else 0]
+            d = ((vectors - head) ** 2).sum(axis=1).astype(np.float64)
+            home[d < away] = c
+            away = np.minimum(away, d)
+        self.rows = [np.flatnonzero(home == c) for c in range(many)]
+        self.rows = [r for r in self.rows if len(r)]
+        self.cells = [ImpactIndex(vectors[r]) for r in self.rows]
+        self.vectors, self.ids = vectors, ids
+
+    @property
+    def touched(self) -> int:
+        return sum(c.touched for c in self.cells)
+
+    def search(self, queries: np.ndarray, query_ids: np.ndarray, k: int, batch: int = 128) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``(query, candidate, score)`` of the best ``k`` for each query, but for rows of its own id."""
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        if not len(queries) or not self.cells:
+            return out[0]
+        bounds = np.stack([c.bounds(queries) for c in self.cells], axis=1)
+        by_home = np.argsort(bounds.argmax(axis=1), kind="stable")  # queries of one neighbourhood go together
+        for a in range(0, len(queries), batch):
+            own = by_home[a : a + batch]
+            q, c, s = out[0]
+            bar = np.full(len(own), -np.inf)
+            for cell in np.argsort(-bounds[own].mean(axis=0)).tolist():
+                some = np.flatnonzero(bounds[own, cell] >= bar)
+                if not len(some):
+                    continue
+                rows = self.rows[cell]
+                banned = query_ids[own[some]][:, None] == self.ids[rows][None, :]
+                i, j = self.cells[cell].possible(queries[own[some]], banned, k, bar[some])
+                i, j = some[i], rows[j]
+                score = _scores(queries[own], self.vectors, i, j)
+                q, c, s = _best(np.concatenate([q, i]), np.concatenate([c, j]), np.concatenate([s, score]), self.ids, k)
+                full = np.flatnonzero(np.bincount(q, minlength=len(own)) == k)
+                bar[full] = s[np.searchsorted(q, full, side="right") - 1]
+            out.append((own[q], c, s))
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
 def _usable(vectors: DataFrame) -> DataFrame:
@@ -109,13 +198,10 @@ def top_k(vectors: DataFrame, is_query: Column, *, k: int = 10, scale: int = 102
         out = {"query_id": [], "vec_id": [], "score": []}
         if c.num_rows and q.num_rows:
             c_ids, q_ids = c.column("vec_id").to_numpy(), q.column("vec_id").to_numpy()
-            index, asked_v = ImpactIndex(_matrix(c.column("v"))), _matrix(q.column("v"))
-            for a in range(0, len(q_ids), 128):
-                ids = q_ids[a : a + 128]
-                i, j, s = index.search(asked_v[a : a + 128], ids[:, None] == c_ids[None, :], c_ids, k)
-                out["query_id"].append(ids[i])
-                out["vec_id"].append(c_ids[j])
-                out["score"].append(s)
+            i, j, s = Block(_matrix(c.column("v")), c_ids).search(_matrix(q.column("v")), q_ids, k)
+            out["query_id"].append(q_ids[i])
+            out["vec_id"].append(c_ids[j])
+            out["score"].append(s)
         make = lambda name, to: pa.array(np.concatenate(out[name]) if out[name] else [], to)
         to = table.schema.field("vec_id").type
         return pa.table({"query_id": make("query_id", to), "vec_id": make("vec_id", to), "score": make("score", pa.int64())})

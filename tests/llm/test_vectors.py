@@ -86,3 +86,38 @@ def test_empty(spark):
     assert topk.top_k(empty, F.col("vec_id") % 100 == 0).count() == 0
     odd = empty.withColumn("n", F.lit(1)).withColumn("rep", F.lit("x")).withColumn("v", F.lit(2))
     assert cover_tree.near_duplicates(odd).columns == ["vec_id", "n_links", "component_id", "kept"]
+
+
+def test_bounds_spare_most_postings_where_vectors_have_neighbourhoods():
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(16, 32))
+    v = base[rng.integers(0, 16, 4000)] + 0.02 * rng.normal(size=(4000, 32))
+    v = np.floor(1024 * v / np.linalg.norm(v, axis=1)[:, None]).astype(np.int64)
+    ids = np.arange(4000)
+    block = topk.Block(v, ids, cell_rows=250)
+    q, c, s = block.search(v[::100], ids[::100], 10)
+    scores = v[::100] @ v.T
+    scores[np.arange(40), ids[::100]] = -(10**12)
+    order = np.lexsort((np.broadcast_to(ids, scores.shape), -scores), axis=1)[:, :10]
+    assert sorted(zip(q.tolist(), c.tolist(), s.tolist(), strict=True)) == sorted((i, int(j), int(scores[i, j])) for i in range(40) for j in order[i])
+    assert block.touched < 0.35 * 40 * v.size
+
+
+def test_top_k_ignores_other_columns(spark):
+    frame = spark.createDataFrame([(100 * i, [float(i), 1.0]) for i in range(4)], "vec_id long, embedding array<double>")
+    more = frame.selectExpr("*", "1 AS score", "2 AS n", "'x' AS side", "3 AS c", "4 AS q", "5 AS rank", "6 AS v", "7 AS query_id")
+    want = sorted(topk.top_k(frame, F.col("vec_id") % 100 == 0).collect(), key=str)
+    assert len(want) == 12 and sorted(topk.top_k(more, F.col("vec_id") % 100 == 0).collect(), key=str) == want
+
+
+def test_distances_follow_the_walk_where_vectors_have_neighbourhoods():
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=(60, 24))
+    v = base[rng.integers(0, 60, 3000)] + 0.02 * rng.normal(size=(3000, 24))
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    tree, seen = cover_tree.CoverTree(v), []
+    reach = float(np.sqrt(2 - 2 * 0.93))
+    found = {(int(i), int(j)) for a, b in cover_tree.close_pairs(tree, tree, reach, seen=seen) for i, j in zip(a, b, strict=True)}
+    want = {(int(i), int(j)) for i, j in zip(*np.nonzero(np.triu(v @ v.T >= 0.93, 1)), strict=True)}
+    assert want <= found and len(found) < 1.5 * len(want)
+    assert sum(seen) < 0.25 * 3000 * 3000 / 2
