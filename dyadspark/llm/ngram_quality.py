@@ -1,20 +1,25 @@
 """Quality by perplexity under an interpolated modified Kneser-Ney model.
 
-The model reads UTF-8 bytes, ``order`` at a time. Counting: every task counts the n-grams of its trusted texts,
-the counts meet by n-gram. Lower orders hold continuation counts (distinct n-grams that end in them); the
-discounts for counts one, two, and three or more follow from the counts of counts. Scoring: texts are packed
-and dealt out in blocks; each block asks for the n-grams it holds, once each; the distinct questions of all
-blocks are joined, sharded by n-gram, with the counts of their own order and of the shorter ones, each shard
-interpolating its probabilities; the answers go back to the blocks, which sum them over every whole text.
-So a task holds the n-grams of its own block and never the model, which may grow with the trusted text.
-
-The perplexity of a text is ``exp(-mean log p)`` over its bytes. Texts over ``margin`` times the quantile of the
-trusted texts of their language are rejected (the quantile of all trusted texts where a language has fewer than
-``least`` of them).
+The model reads UTF-8 bytes, ``order`` at a time. Texts are packed and dealt out in blocks of bounded size. A block
+counts the n-grams of its trusted texts, and asks for every n-gram that it holds, once each. Counts meet by n-gram;
+lower orders hold continuation counts (distinct n-grams that end in them), and the discounts for counts one, two, and
+three or more follow from the counts of counts. Questions and counts are sharded by the two bytes before the last one,
+which every order from three on has in common with its shorter orders and its contexts: a shard holds all that its
+questions need but the tables of orders one and two, which the alphabet bounds and every task gets. A shard
+interpolates the probabilities of each block's questions, and the answers go back to the blocks, which sum them over
+every whole text. Questions and answers travel as packed arrays. So a task holds the n-grams of its own block or shard
+and never the model, which grows with the trusted text.
+
+The perplexity of a text is ``exp(-mean log p)`` over its bytes. Trusted documents of fold ``out`` (crc32 of the id,
+modulo ``mod``) are not trained on; the quantile of their perplexities, for each language, is the threshold over which
+texts are rejected (over all of them where a language has fewer than ``least``; over all trusted texts if none is held
+out).
 
 Defined results: a null or empty text has no perplexity and is not kept; without any trusted text nothing has a
-perplexity or is kept; null ids and languages are allowed (null languages are judged by the common quantile);
-one row out for every row in; an empty table gives an empty result; other columns are ignored.
+perplexity or is kept; null ids and languages are allowed (null languages are judged by the common quantile); rows
+that repeat an id are judged each by its own text, and are all trusted if the id is; a text at the threshold is kept;
+very long texts are scored whole; one row out for every row in; an empty table gives an empty result; other columns,
+whatever their names, are ignored. Up to 2,000 blocks each is a partition of its own; the rows are the same.
 """
 
 from __future__ import annotations
@@ -23,14 +28,13 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from dyadspark.llm._common import partitions, steps
-from dyadspark.operators.checkpoints import cut, stored
+from dyadspark.llm._common import fold, partitions, steps
+from dyadspark.operators.checkpoints import cut, scratch, stored
 
 #: Stands before the first byte of a text; never part of UTF-8.
 _START = 0xFF
@@ -51,34 +55,65 @@ def grams(data: np.ndarray, offsets: np.ndarray, order: int) -> np.ndarray:
     return out
 
 
-def _counted(dealt: DataFrame, trusted: DataFrame, order: int) -> DataFrame:
-    """Counts of the n-grams of the trusted texts; ``trusted`` has ``(block, doc_id)``."""
+def _shard_of(g: np.ndarray, shards: int) -> np.ndarray:
+    """The shard of each n-gram, from the two bytes before its last one."""
+    return ((g >> 8 & 0xFFFF) * 40503 & 0xFFFF) % shards
 
-    def run(key, texts, ids):
-        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
-        for batch in _unpacked(texts.column("data")):
-            own = batch.filter(pc.is_in(batch.column("doc_id"), ids.column("doc_id").combine_chunks()))
-            found += [np.unique(grams(data, offsets, order), return_counts=True) for _, data, offsets in steps(iter([own]))]
-        g, place = np.unique(np.concatenate([x for x, _ in found]), return_inverse=True)
-        c = np.bincount(place, weights=np.concatenate([c for _, c in found]), minlength=len(g)).astype(np.int64)
-        return pa.table({"g": g, "c": c})
 
-    return dealt.groupBy("block").cogroup(trusted.groupBy("block")).applyInArrow(run, "g long, c long").groupBy("g").agg(F.sum("c").alias("c"))
+def _shard(g: Column, shards: int) -> Column:
+    two = F.shiftright(g, 8).bitwiseAND(F.lit(0xFFFF))
+    return ((two * 40503).bitwiseAND(F.lit(0xFFFF)) % shards).cast("int")
+
+
+def _pressed(values: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(values.tobytes())
+
+
+def _spread(data: bytes, kind: type) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), kind)
+
+
+class Counts:
+    """Counts of one order as sorted arrays, with the totals and counts of counts of their contexts."""
+
+    def __init__(self, g: np.ndarray, c: np.ndarray, discounts: tuple[float, float, float]):
+        by = np.argsort(g)
+        self.g, self.c, self.discounts = g[by], c[by].astype(np.float64), np.array([0.0, *discounts])
+        first = np.flatnonzero(np.concatenate([[True], np.diff(self.g >> 8) != 0])) if len(g) else np.zeros(0, np.int64)
+        self.head = self.g[first] >> 8
+        sums = lambda x: np.add.reduceat(x, first) if len(first) else x
+        self.all = sums(self.c)
+        self.less = sums(self.discounts[np.minimum(self.c, 3).astype(np.int64)])
+
+    def interpolate(self, low: np.ndarray, prob: np.ndarray) -> np.ndarray:
+        """The probability of this order where the context is known, from that of the order below."""
+        if not len(self.g):
+            return prob
+        at = np.minimum(np.searchsorted(self.head, low >> 8), len(self.head) - 1)
+        known = self.head[at] == low >> 8
+        own = np.minimum(np.searchsorted(self.g, low), len(self.g) - 1)
+        c = np.where(self.g[own] == low, self.c[own], 0.0)
+        p = (c - self.discounts[np.minimum(c, 3).astype(np.int64)] + self.less[at] * prob) / self.all[at]
+        return np.where(known, p, prob)
 
 
 class KneserNey:
-    """Counts and discounts of every order, as tables that the questions are joined with."""
+    """Counts of every order as tables, their discounts, and the two lowest orders as arrays."""
 
     def __init__(self, counted: DataFrame, order: int):
         self.order = order
-        counts = {order: stored(counted)}
+        self.counts = {order: counted}
         for n in range(order - 1, 0, -1):
             low = F.col("g").bitwiseAND(F.lit((1 << 8 * n) - 1))
-            counts[n] = cut(counts[n + 1].groupBy(low.alias("g")).agg(F.count("*").alias("c")))
-        self.counts = counts
-        seen = reduce(DataFrame.unionByName, [t.where("c <= 4").groupBy("c").count().withColumn("n", F.lit(n)) for n, t in counts.items()])
+            self.counts[n] = cut(self.counts[n + 1].groupBy(low.alias("g")).agg(F.count("*").alias("c")))
+        seen = reduce(DataFrame.unionByName, [t.where("c <= 4").groupBy("c").count().withColumn("n", F.lit(n)) for n, t in self.counts.items()])
         of = {(r.n, r.c): r["count"] for r in seen.collect()}  # four numbers for each order
-        self.discounts = {n: self._discounts([of.get((n, i), 0) for i in (1, 2, 3, 4)]) for n in counts}
+        self.discounts = {n: self._discounts([of.get((n, i), 0) for i in (1, 2, 3, 4)]) for n in self.counts}
+        self.small = {n: self._arrays(n) for n in (1, 2) if n <= order}  # 256 and 65,536 rows at most
+
+    def _arrays(self, n: int) -> Counts:
+        rows = self.counts[n].toPandas()
+        return Counts(rows["g"].to_numpy(np.int64), rows["c"].to_numpy(np.int64), self.discounts[n])
 
     @staticmethod
     def _discounts(n: list[int]) -> tuple[float, float, float]:
@@ -86,23 +121,26 @@ class KneserNey:
         found = [i + 1 - (i + 2) * y * n[i + 1] / n[i] if n[i] else 0.0 for i in range(3)]
         return tuple(min(max(d, 0.0), i + 1.0) for i, d in enumerate(found))
 
-    def log_p(self, asked: DataFrame) -> DataFrame:
-        """``(g, p)``: log probability of the last byte of each distinct number in ``asked.g``."""
-        out = asked.select("g").withColumn("prob", F.lit(1 / 256))
-        for n in range(1, self.order + 1):
-            d = self.discounts[n]
-            own = self.counts[n].select(F.col("g").alias("k"), F.col("c").alias("own"))
-            ctx = F.shiftright("g", 8)
-            heads = self.counts[n].groupBy(ctx.alias("h")).agg(F.sum("c").alias("all"), F.sum(F.when(F.col("c") == 1, 1).otherwise(0)).alias("n1"), F.sum(F.when(F.col("c") == 2, 1).otherwise(0)).alias("n2"), F.sum(F.when(F.col("c") > 2, 1).otherwise(0)).alias("n3"))
-            low = F.col("g").bitwiseAND(F.lit((1 << 8 * n) - 1))
-            out = out.withColumn("_k", low).withColumn("_h", F.shiftright(low, 8))
-            out = out.join(own, out["_k"] == own["k"], "left").join(heads, out["_h"] == heads["h"], "left")
-            count = F.coalesce("own", F.lit(0))
-            less = F.when(count == 1, d[0]).when(count == 2, d[1]).when(count > 2, d[2]).otherwise(0.0)
-            share = (F.lit(d[0]) * F.col("n1") + F.lit(d[1]) * F.col("n2") + F.lit(d[2]) * F.col("n3")) / F.col("all")
-            p = F.when(F.col("all").isNull(), F.col("prob")).otherwise((count - less) / F.col("all") + share * F.col("prob"))
-            out = out.select("g", p.alias("prob"))
-        return out.select("g", F.log(F.greatest("prob", F.lit(1e-12))).alias("p"))
+    def answers(self, asked: DataFrame, shards: int) -> DataFrame:
+        """``(block, shard, p)`` for ``(block, shard, g)``: log probabilities of the last bytes, in the order of the questions."""
+        order, discounts = self.order, self.discounts
+        small = asked.sparkSession.sparkContext.broadcast(self.small)
+        large = [t.select(_shard(F.col("g"), shards).alias("shard"), F.lit(n).alias("n"), "g", "c") for n, t in self.counts.items() if n > 2]
+        model = reduce(DataFrame.unionByName, large) if large else asked.limit(0).select("shard", F.lit(0).alias("n"), F.lit(0).cast("long").alias("g"), F.lit(0).cast("long").alias("c"))
+
+        def run(key, questions, counts):
+            n_, g_, c_ = (counts.column(c).to_numpy() for c in ("n", "g", "c"))
+            tables = [small.value[n] if n < 3 else Counts(g_[n_ == n], c_[n_ == n], discounts[n]) for n in range(1, order + 1)]
+            out = []
+            for data in questions.column("g").to_pylist():
+                g = np.cumsum(_spread(data, np.int64))
+                prob = np.full(len(g), 1 / 256)
+                for n, table in enumerate(tables, 1):
+                    prob = table.interpolate(g & np.int64((1 << 8 * n) - 1), prob)
+                out.append(_pressed(np.log(np.maximum(prob, 1e-12)).astype(np.float32)))
+            return pa.table({"block": questions.column("block"), "shard": questions.column("shard"), "p": pa.array(out, pa.binary())})
+
+        return asked.groupBy("shard").cogroup(model.groupBy("shard")).applyInArrow(run, "block int, shard int, p binary")
 
 
 def _even_keys(spark: SparkSession, blocks: int) -> list[int]:
@@ -113,19 +151,15 @@ def _even_keys(spark: SparkSession, blocks: int) -> list[int]:
     return found if len(found) == blocks else list(range(blocks))
 
 
-def _block(blocks: int, keys: list[int]) -> Column:
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int")
-    return (F.element_at(F.array(*[F.lit(k) for k in keys]), place + 1) if keys else place).alias("block")
-
-
 def _packed(docs: DataFrame, block: Column) -> DataFrame:
-    """``(block, data)``: texts with their ids, compressed together, a few rows for each block and task."""
-    given = docs.select("doc_id", "lang", "text", block)
+    """``(block, data)``: rows of ``docs``, compressed together, a few for each block and task."""
+    given = docs.withColumn("block", block)
+    names = docs.columns
 
     def run(batches):
         held: dict[int, list[pa.RecordBatch]] = {}
         size: dict[int, int] = {}
-        press = zstandard.ZstdCompressor(level=1)
+        press = zstandard.ZstdCompressor(level=3)
 
         def pack(b):
             table = pa.Table.from_batches(held.pop(b)).combine_chunks()
@@ -137,7 +171,7 @@ def _packed(docs: DataFrame, block: Column) -> DataFrame:
 
         for batch in batches:
             where = batch.column("block").to_numpy()
-            rows = batch.select(["doc_id", "lang", "text"])
+            rows = batch.select(names)
             order = np.argsort(where, kind="stable")
             found, starts = np.unique(where[order], return_index=True)
             for b, own_rows in zip(found.tolist(), np.split(order, starts[1:]), strict=True):
@@ -154,51 +188,99 @@ def _packed(docs: DataFrame, block: Column) -> DataFrame:
     return given.mapInArrow(run, "block int, data binary")
 
 
-def _unpacked(column) -> list[pa.RecordBatch]:
-    return [batch for x in column.to_pylist() for batch in pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(x))]
+def _unpacked(column):
+    """The batches of packed rows, one packed row at a time."""
+    for x in column:
+        yield from pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(x.as_py()))
+
 
+def _distinct(parts) -> np.ndarray:
+    """All distinct numbers of sorted arrays, merged two of like length at a time."""
+    heap: list[np.ndarray] = []
+    for own in parts:
+        heap.append(own)
+        while len(heap) > 1 and len(heap[-2]) <= 2 * len(heap[-1]):
+            heap.append(np.union1d(heap.pop(), heap.pop()))
+    return reduce(np.union1d, heap, np.zeros(0, np.int64))
 
-def perplexity(docs: DataFrame, trusted: DataFrame, *, order: int = 4, block_bytes: int = 16 << 20) -> DataFrame:
+
+def perplexity(docs: DataFrame, trusted: DataFrame, *, order: int = 6, block_bytes: int = 64 << 20, most_broadcast: int = 2_000_000) -> DataFrame:
     """``(doc_id, lang, n_bytes, perplexity)`` of every row of ``docs``, under a model of the texts whose ids ``trusted`` holds.
 
     A block holds about ``block_bytes`` of text, however many partitions the session has: what a block asks for, and
-    what a task holds, follows from the texts alone.
+    what a task holds, follows from the texts alone. Trusted ids are broadcast if they are counted to be few.
     """
+    with scratch(docs.sparkSession) as keep:
+        return keep(_perplexity(docs, trusted, order, block_bytes, most_broadcast))
+
+
+def _perplexity(docs: DataFrame, trusted: DataFrame, order: int, block_bytes: int, most_broadcast: int) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     id_type = to_arrow_type(docs.schema["doc_id"].dataType)
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
     keys = _even_keys(docs.sparkSession, blocks) if blocks <= 2000 else []
-    block = _block(blocks, keys)
-    dealt = _packed(docs, block).repartition(blocks if keys else max(2000, partitions(docs)), "block")
-    ids = trusted.select("doc_id").where("doc_id IS NOT NULL").distinct()
-    model = KneserNey(_counted(dealt, ids.select("doc_id", block), order), order)
+    ids = cut(trusted.select("doc_id").where("doc_id IS NOT NULL").distinct().withColumn("trusted", F.lit(True)))
+    flagged = docs.select("doc_id", "lang", "text").join(F.broadcast(ids) if ids.count() <= most_broadcast else ids, "doc_id", "left")
+    place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")  # rows that share an id, or have none, part by their texts
+    block = F.element_at(F.array(*[F.lit(k) for k in keys]), place + 1) if keys else place
+    dealt = _packed(flagged, block).repartition(blocks if keys else max(2000, partitions(docs)), "block")
+    shards = max(8, 4 * blocks)
+
+    def count_and_ask(batches):
+        """Rows ``(g, c)`` of the trusted texts, and rows ``(block, shard, asked)`` of all."""
+        asked: dict[int, list[np.ndarray]] = {}
+        trained: list[tuple[np.ndarray, np.ndarray]] = []
+        nulls = lambda n, to: pa.nulls(n, to)
+
+        def counted():
+            g, back = np.unique(np.concatenate([x for x, _ in trained]), return_inverse=True)
+            c = np.bincount(back, weights=np.concatenate([c for _, c in trained]), minlength=len(g)).astype(np.int64)
+            trained.clear()
+            return pa.RecordBatch.from_arrays([pa.array(g), pa.array(c), nulls(len(g), pa.int32()), nulls(len(g), pa.int32()), nulls(len(g), pa.binary())], ["g", "c", "block", "shard", "asked"])
 
-    def ask(batches):
-        asked: dict[int, np.ndarray] = {}
         for batch in batches:
-            where = batch.column("block").to_numpy()
-            for b in np.unique(where):
-                for _, data, offsets in steps(iter(_unpacked(batch.column("data").filter(pa.array(where == b))))):
-                    new = np.unique(grams(data, offsets, order))
-                    asked[int(b)] = np.union1d(asked[int(b)], new) if int(b) in asked else new
-        for b, g in asked.items():
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(g), b, np.int32)), pa.array(g)], ["block", "g"])
-
-    asked = stored(dealt.mapInArrow(ask, "block int, g long"))
-    known = cut(model.log_p(asked.select("g").distinct()))
-    answers = asked.join(known, "g").select("block", "g", F.col("p").cast("float").alias("p"))
+            for b, data in zip(batch.column("block").to_pylist(), batch.column("data"), strict=True):
+                for part, text, offsets in steps(_unpacked([data])):
+                    known = part.column("trusted").is_valid().to_numpy(zero_copy_only=False)
+                    g = grams(text, offsets, order)
+                    own, back = np.unique(g, return_inverse=True)
+                    asked[b] = [_distinct([*asked.get(b, []), own])]
+                    hit = np.repeat(known, np.diff(offsets))
+                    if hit.any():
+                        c = np.bincount(back[hit], minlength=len(own))
+                        trained.append((own[c > 0], c[c > 0]))
+                    if sum(len(x) for x, _ in trained) > 1 << 23:
+                        yield counted()
+        if trained:
+            yield counted()
+        for b, parts in asked.items():
+            g = parts[0]
+            own = _shard_of(g, shards)
+            by = np.argsort(own, kind="stable")
+            g, own = g[by], own[by]
+            first = np.flatnonzero(np.concatenate([[True], np.diff(own) != 0])) if len(g) else np.zeros(0, np.int64)
+            data = [_pressed(np.diff(x, prepend=0)) for x in np.split(g, first[1:])] if len(g) else []
+            n = len(first)
+            yield pa.RecordBatch.from_arrays([nulls(n, pa.int64()), nulls(n, pa.int64()), pa.array(np.full(n, b, np.int32)), pa.array(own[first].astype(np.int32)), pa.array(data, pa.binary())], ["g", "c", "block", "shard", "asked"])
+
+    found = stored(dealt.mapInArrow(count_and_ask, "g long, c long, block int, shard int, asked binary"), free=True)
+    counted = stored(found.where("g IS NOT NULL").groupBy("g").agg(F.sum("c").alias("c")))
+    model = KneserNey(counted, order)
+    answers = stored(model.answers(found.where("block IS NOT NULL").select("block", "shard", F.col("asked").alias("g")), shards), free=True)
 
     def score(key, texts, table):
-        g = table.column("g").to_numpy()
-        by = np.argsort(g)
-        g, p = g[by], table.column("p").to_numpy()[by].astype(np.float64)
         out = {"doc_id": [], "lang": [], "n_bytes": [], "perplexity": []}
-        for part, data, offsets in steps(iter(_unpacked(texts.column("data")))):
+        # the same questions in the same order as they were asked
+        g = _distinct(np.unique(grams(data, offsets, order)) for _, data, offsets in steps(_unpacked(texts.column("data"))))
+        by = np.argsort(_shard_of(g, shards), kind="stable")
+        rows = sorted(zip(table.column("shard").to_pylist(), table.column("p").to_pylist(), strict=True))
+        p = np.zeros(len(g))
+        p[by] = np.concatenate([np.zeros(0, np.float32), *[_spread(x, np.float32) for _, x in rows]])
+        for part, data, offsets in steps(_unpacked(texts.column("data"))):
             size = np.diff(offsets)
-            # one search for each distinct number of the step
-            own, kind_ = np.unique(grams(data, offsets, order), return_inverse=True)
-            total = np.concatenate([[0.0], np.cumsum(p[np.searchsorted(g, own)][kind_])])[offsets] if len(own) else np.zeros(len(offsets))
+            own, back = np.unique(grams(data, offsets, order), return_inverse=True)
+            total = np.concatenate([[0.0], np.cumsum(p[np.searchsorted(g, own)][back])])[offsets] if len(own) else np.zeros(len(offsets))
             with np.errstate(all="ignore"):
                 value = np.exp(-np.diff(total) / size)
             out["doc_id"].append(part.column("doc_id"))
@@ -213,13 +295,18 @@ def perplexity(docs: DataFrame, trusted: DataFrame, *, order: int = 4, block_byt
     return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, f"doc_id {kind}, lang string, n_bytes long, perplexity double")
 
 
-def judge(docs: DataFrame, trusted: DataFrame, *, quantile: float = 0.99, margin: float = 1.2, least: int = 50, order: int = 4) -> DataFrame:
+def judge(docs: DataFrame, trusted: DataFrame, *, quantile: float = 0.99, least: int = 50, order: int = 6, mod: int = 5, out: int = 0) -> DataFrame:
     """``(doc_id, n_bytes, perplexity, threshold, kept)`` of every row; ``trusted`` holds the ids to learn from."""
-    scored = stored(perplexity(docs, trusted, order=order))
-    good = scored.join(trusted.select("doc_id").distinct(), "doc_id", "left_semi").where("perplexity IS NOT NULL")
-    cuts = good.where("lang IS NOT NULL").groupBy("lang").agg(F.percentile_approx("perplexity", quantile, 10000).alias("own"), F.count("*").alias("n")).where(F.col("n") >= least).select("lang", "own")
-    common = good.agg(F.percentile_approx("perplexity", quantile, 10000).alias("common"))
-    out = scored.join(cuts, "lang", "left").join(F.broadcast(common))  # one row
-    out = out.withColumn("perplexity", F.when(F.col("common").isNotNull(), F.col("perplexity")))
-    limit = margin * F.coalesce("own", "common")
-    return out.select("doc_id", "n_bytes", "perplexity", limit.alias("threshold"), F.coalesce(F.col("perplexity") <= limit, F.lit(False)).alias("kept"))
+    ids = trusted.select("doc_id").where("doc_id IS NOT NULL").distinct()
+    held = fold("doc_id", mod) == out
+    scored = perplexity(docs, ids.where(~held), order=order)
+    good = scored.join(ids, "doc_id", "left_semi").where("perplexity IS NOT NULL")
+    if good.where(held).isEmpty():
+        held = F.lit(True)
+    at = F.percentile_approx("perplexity", quantile, 10000)
+    cuts = cut(good.where(held & F.col("lang").isNotNull()).groupBy("lang").agg(at.alias("own"), F.count("*").alias("n")).where(F.col("n") >= least).select("lang", "own"))
+    common = good.where(held).agg(at.alias("common"))
+    out_ = scored.join(F.broadcast(cuts) if cuts.count() <= 100_000 else cuts, "lang", "left").join(F.broadcast(common))  # one row
+    out_ = out_.withColumn("perplexity", F.when(F.col("common").isNotNull(), F.col("perplexity")))
+    limit = F.coalesce("own", "common")
+    return out_.select("doc_id", "n_bytes", "perplexity", limit.alias("threshold"), F.coalesce(F.col("perplexity") <= limit, F.lit(False)).alias("kept"))

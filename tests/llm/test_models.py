@@ -2,6 +2,7 @@
 
 import math
 import random
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -124,17 +125,38 @@ def test_perplexity_against_brute_force(spark):
     docs = spark.createDataFrame(rows, DOC).repartition(3)
     good = {i for i, _, _ in rows if i % 3 == 0}
     ids = spark.createDataFrame([(i, "x") for i in good] + [(None, "y")], "doc_id long, text string")
-    p = plain_kneser_ney([t for i, t, _ in rows if i in good and t], 4)
-    got = {r.doc_id: r for r in ngram_quality.perplexity(docs, ids).collect()}
-    assert len(got) == len(rows)
-    for i, text, _ in rows:
-        raw = [0xFF] * 3 + list((text or "").encode())
-        assert got[i].n_bytes == len(raw) - 3
-        if len(raw) == 3:
-            assert got[i].perplexity is None
-        else:
-            want = math.exp(-np.mean([math.log(max(p(tuple(raw[k - 3 : k + 1])), 1e-12)) for k in range(3, len(raw))]))
-            assert abs(got[i].perplexity - want) < 1e-4 * want
+    for order, options in ((4, {"order": 4}), (6, {}), (6, {"block_bytes": 700, "most_broadcast": 0}), (2, {"order": 2})):
+        p = plain_kneser_ney([t for i, t, _ in rows if i in good and t], order)
+        got = {r.doc_id: r for r in ngram_quality.perplexity(docs, ids, **options).collect()}
+        assert len(got) == len(rows)
+        for i, text, _ in rows:
+            raw = [0xFF] * (order - 1) + list((text or "").encode())
+            assert got[i].n_bytes == len(raw) - order + 1
+            if len(raw) == order - 1:
+                assert got[i].perplexity is None
+            else:
+                want = math.exp(-np.mean([math.log(max(p(tuple(raw[k - order + 1 : k + 1])), 1e-12)) for k in range(order - 1, len(raw))]))
+                assert abs(got[i].perplexity - want) < 1e-4 * want
+
+
+def test_thresholds_are_quantiles_of_held_out_trusted_texts(spark):
+    rows, _ = corpus(400, seed=2)
+    docs = spark.createDataFrame(rows + [(5, "ba na", rows[5][2]), (5, None, rows[5][2]), (8000, "ba na ko", None)], DOC)
+    ids = spark.createDataFrame([(i,) for i, _, _ in rows if i % 2], "doc_id long")
+    got = ngram_quality.judge(docs, ids, quantile=0.9, least=10).collect()
+    scores = {id(r): r.perplexity for r in got}
+    lang = {i: y for i, _, y in rows}
+    held = [r for r in got if r.doc_id is not None and r.doc_id % 2 and r.doc_id < 400 and zlib.crc32(str(r.doc_id).encode()) % 5 == 0 and r.perplexity is not None]
+    assert len(got) == 403 and len(held) > 20
+    for r in got:
+        own = sorted(scores[id(x)] for x in held if lang.get(x.doc_id) == lang.get(r.doc_id))
+        if len(own) < 10:
+            own = sorted(scores[id(x)] for x in held)
+        want = own[max(0, math.ceil(0.9 * len(own)) - 1)]
+        assert abs(r.threshold - want) < 1e-9, r
+        assert r.kept == (r.perplexity is not None and r.perplexity <= r.threshold)
+    more = docs.selectExpr("*", "1 AS n", "2 AS own", "3 AS common", "4 AS block", "5 AS trusted", "6 AS perplexity")
+    assert sorted(ngram_quality.judge(more, ids, quantile=0.9, least=10).collect(), key=str) == sorted(got, key=str)
 
 
 def test_quality_keeps_clean_text(spark):
