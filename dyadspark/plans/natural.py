@@ -16,10 +16,11 @@ def sides(dyads: DataFrame, root: str = "") -> DataFrame:
     return one(1).unionByName(one(2)).withColumn("path", F.regexp_replace("wav_path", r"\.wav$", ".json"))
 
 
-def natural_pairs(dyads: DataFrame, words: DataFrame, segments: DataFrame, vad: DataFrame, relationships: DataFrame, *, frames: DataFrame | None = None, root: str = "", **thresholds) -> DataFrame:
+def natural_pairs(dyads: DataFrame, words: DataFrame, segments: DataFrame, vad: DataFrame, relationships: DataFrame, *, frames: DataFrame | None = None, root: str = "", pause: float = C.PAUSE, per: float = 60.0, **thresholds) -> DataFrame:
     """The shared pair columns, tempo of both sides and (with ``frames``) their pitch statistics.
 
     ``words``, ``segments`` and ``vad`` are the rows of ``read_recordings``; ``frames`` is ``(path, time, f0)``.
+    Times carry any unit: ``pause`` and the thresholds are in it, and ``per`` is a minute.
     Recordings are joined with their dyad once; everything up to the pair table then stays on the interaction.
     """
     side = sides(dyads, root)
@@ -35,7 +36,7 @@ def natural_pairs(dyads: DataFrame, words: DataFrame, segments: DataFrame, vad:
         paths = side.select("interaction_id", F.col("participant").alias(f"{role}_participant_id"), F.col("wav_path").alias(f"source_wav_path_{role}"), F.col("path").alias(f"source_json_path_{role}"))
         out = out.join(paths, ["interaction_id", f"{role}_participant_id"])
         start, end = F.col(f"{role}_start"), F.col(f"{role}_end")
-        t = tempo.word_tempo(F.col(f"{role}_words"), start, end)
+        t = tempo.word_tempo(F.col(f"{role}_words"), start, end, pause=pause, per=per)
         out = out.withColumn("_t", t).withColumns({f"{role}_{c}": F.col(f"_t.{c}") for c in ("speech_rate_local", "articulation_rate_local", "pause_ratio_local", "mean_pause_duration_local")}).withColumn(f"status_{role}_temporal", F.col("_t.status_temporal")).drop("_t")
         out = out.withColumnsRenamed({f"{role}_start": f"{role}_start_s", f"{role}_end": f"{role}_end_s"}).withColumn(f"{role}_duration_s", F.col(f"{role}_end_s") - F.col(f"{role}_start_s"))
     out = pairs.attach_relationships(out, relationships)

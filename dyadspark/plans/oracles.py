@@ -110,7 +110,37 @@ _THIRDS = "th AS (SELECT label, " + ", ".join(f"list_avg(list_transform(embeddin
 _PROFILES = """pu AS (SELECT label, unnest(range(0, len(embedding))) AS pos, unnest(embedding)::DOUBLE AS x FROM embeddings WHERE label IS NOT NULL), pp AS (SELECT label, pos, avg(x) AS p FROM pu GROUP BY ALL),
 pb AS (SELECT label, arg_max(pos, (p, -pos)) AS pos, max(p) AS best FROM pp GROUP BY 1), pf AS (SELECT label, a.age, CASE WHEN pos = 0 THEN 'female' ELSE 'male' END AS gender, best FROM pb JOIN (SELECT label, avg(embedding[1]::DOUBLE) * 100 AS age FROM embeddings WHERE label IS NOT NULL GROUP BY 1) a USING (label))"""
 
+_DYADS = f"""WITH {_PATHS} SELECT o_orderkey::VARCHAR AS interaction_id, o_custkey::VARCHAR AS session_id, 'P' || o_custkey AS participant1_id, 'P' || (o_custkey + 1) AS participant2_id, (o_custkey + 1)::VARCHAR AS p2_participant, least('P' || o_custkey, 'P' || (o_custkey + 1)) || '|' || greatest('P' || o_custkey, 'P' || (o_custkey + 1)) AS dyad_id,
+CASE WHEN o_orderkey % 10 < 8 THEN 'train' WHEN o_orderkey % 10 < 9 THEN 'test' END AS split, CASE WHEN o_orderkey % 10 < 7 THEN 'train' WHEN o_orderkey % 10 < 8 THEN 'dev' WHEN o_orderkey % 10 < 9 THEN 'test' END AS p1_source_split FROM p"""
+_NATURAL = f"""SELECT * FROM (WITH {_REL}, one AS (SELECT session_id, arg_max(relationship, place) AS relationship, arg_max(nd, place) AS nd FROM nrel GROUP BY 1),
+rg AS (SELECT pr.interaction, pr.turn_index, tw.s - lag(tw.e) OVER (PARTITION BY pr.interaction, pr.turn_index ORDER BY tw.s, tw.turn, tw.seg_idx, tw.word_idx) AS gap, word FROM pr LEFT JOIN tw ON tw.interaction = pr.interaction AND tw.participant = pr.participant AND tw.island = pr.island AND tw.s >= r_s AND tw.e <= r_e),
+ra AS (SELECT interaction, turn_index, count(word) AS n, coalesce(sum(gap) FILTER (gap >= 200), 0)::DOUBLE AS p FROM rg GROUP BY ALL)
+SELECT pair_id, (pairs.interaction % 30)::VARCHAR AS session_id, pairs.interaction::VARCHAR AS interaction_id, dyad_id, prompt_participant_id, response_participant_id, pairs.turn_index, '/c' || pairs.interaction || '_' || prompt_participant_id || '.wav' AS source_wav_path_prompt, '/c' || pairs.interaction || '_' || response_participant_id || '.json' AS source_json_path_response,
+prompt_start AS prompt_start_s, prompt_end AS prompt_end_s, prompt_end - prompt_start AS prompt_duration_s, response_start AS response_start_s, response_end AS response_end_s, latency AS latency_s, overlap AS overlap_s, prompt_transcript, response_transcript, prompt_word_count, response_word_count,
+coalesce(relationship, 'UNKNOWN') AS relationship, coalesce(nd, 'UNKNOWN') AS relationship_detail, CASE WHEN relationship IS NULL THEN 'MISSING_RELATIONSHIP_METADATA' ELSE 'OK' END AS status_relationship, 'OK' AS status_pair, 'train' AS source_dataset_split, 'train' AS split, 'source_split' AS split_unit,
+CASE WHEN ra.n >= 2 THEN round(60000.0::DOUBLE * ra.n / (response_end - response_start), 6) END AS response_speech_rate_local, CASE WHEN ra.n >= 2 THEN round(ra.p / (response_end - response_start), 6) END AS response_pause_ratio_local, CASE WHEN ra.n >= 2 THEN 'OK' ELSE 'TOO_FEW_WORDS_FOR_TEMPORAL' END AS status_response_temporal,
+concat_ws('|', (pairs.interaction % 30)::VARCHAR, pairs.interaction::VARCHAR, dyad_id, prompt_participant_id, response_participant_id, pairs.turn_index::VARCHAR, {", ".join(_NUMBER.format(c + "::DOUBLE") for c in ("prompt_start", "prompt_end", "response_start", "response_end"))}) AS merge_key
+FROM pairs JOIN ra USING (interaction, turn_index) LEFT JOIN one ON one.session_id = pairs.interaction % 30)"""
+
 SQL = {
+    "dyads_file": _DYADS,
+    "relationships_file": f"WITH {_REL} SELECT vendor_id, session_id::VARCHAR AS session_id, arg_max(relationship, place) AS relationship, arg_max(trim(detail), place) AS relationship_detail FROM rel GROUP BY ALL",
+    "recordings_file": _w("""SELECT w.interaction, w.participant, n_words, spoken, n_segments, coalesce(n_vad, 0) AS n_vad FROM (SELECT interaction, participant, count(*) AS n_words, round(sum(e - s) / 1000.0::DOUBLE, 3) AS spoken, count(DISTINCT turn * 1000 + seg_idx) AS n_segments FROM words GROUP BY ALL) w
+LEFT JOIN (SELECT interaction, participant, count(*) AS n_vad FROM vad GROUP BY ALL) v USING (interaction, participant)"""),
+    "natural_pairs": _w(_NATURAL),
+    "metadata_files": f"""WITH {_CAND}, ni AS (SELECT 'questions/' || stem || '.wav' AS audio_path, count(*) AS n_inputs FROM base WHERE conv % 3 <> 0 GROUP BY 1)
+SELECT translate(model_name, '/|', '--') AS model_name, 'test' AS split, 'all' AS source_style, 'questions/' || stem || '.wav' AS audio_path, answer AS answer_audio_path, md5('P2B: ' || said || ' ') AS digest, conv::VARCHAR AS conversation_id, CASE WHEN k % 3 = 0 THEN '' WHEN k % 3 = 1 THEN '0.5' ELSE '-0.25' END AS answer_start_time, n_inputs, NULL::VARCHAR AS input_conversation
+FROM base LEFT JOIN ni ON ni.audio_path = 'questions/' || stem || '.wav'""",
+    "transcripts_file": f"WITH {_CAND} SELECT 'm1' AS model_name, 'test' AS split, 'calm' AS source_style, path AS answer_audio_path, coalesce(txt, '') AS said FROM asr",
+    "audio_files": """WITH e AS (SELECT vec_id, vec_id % 10 <> 0 AS fine, list_sum(list_transform(embedding, lambda x: round_even(x::DOUBLE * 16384, 0) / 32768)) / 2 AS total FROM embeddings WHERE len(embedding) = 64)
+SELECT '/a/' || vec_id || '.wav' AS path, CASE WHEN fine THEN 16000 END AS sample_rate, CASE WHEN fine THEN 32::BIGINT END AS n_frames, CASE WHEN fine THEN 0.002::DOUBLE END AS duration_s, CASE WHEN fine THEN 'OK' ELSE 'AUDIO_DECODE_FAILED' END AS status, CASE WHEN fine THEN round(total, 4) END AS total FROM e""",
+    "shards_file": "SELECT (o_orderkey % 16)::INT AS shard, count(*) AS n, min(o_orderkey) AS first, max(o_orderkey) AS last, '5' AS missing FROM orders WHERE o_orderkey % 16 <> 5 GROUP BY 1",
+    "pairs_written": f"WITH {_PATHS} SELECT o_orderkey, path FROM p WHERE o_orderkey % 10 = 8",
+    "embeddings_written": "SELECT vec_id AS merge_key, 'prompt' AS role, CASE WHEN vec_id % 3 = 0 THEN -1.0 ELSE round(embedding[1]::DOUBLE, 6) END AS v FROM embeddings",
+    "first_rows": "SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL ORDER BY 1, 2 LIMIT 100",
+    "schema_checks": "SELECT * FROM (VALUES ('schema', 'absent', 'missing'), ('schema', 'source', 'unexpected'), ('schema', 'n_chars', 'unexpected')) v(\"check\", key, detail) UNION ALL SELECT 'not_empty', 'documents', 'no rows' WHERE (SELECT count(*) FROM documents) = 0 UNION ALL SELECT 'not_empty', 'none', 'no rows' WHERE (SELECT count(*) FROM documents WHERE doc_id < 0) = 0",
+    "embed_outputs": "SELECT vec_id AS merge_key, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE / 3)), 4) AS mean_total, round(list_sum(list_transform(embedding, lambda x: abs(x::DOUBLE))), 4) AS most_total FROM embeddings WHERE len(embedding) > 0",
+    "chunk_predictions": "SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)), 4) AS power, len(embedding)::INT AS n FROM embeddings WHERE len(embedding) > 0",
     "affect_speech": f"""WITH {_EVENTS}, t AS (SELECT user_id, sum(e - s)::BIGINT AS speech FROM ok WHERE user_id IS NOT NULL GROUP BY 1), c AS (SELECT *, unnest(range(0, greatest(ceil(speech / 900000.0)::BIGINT, 1))) AS i FROM t),
 m AS (SELECT user_id, avg((i % 5)::DOUBLE) AS ar, avg((least(i * 900000 + 900000, speech) - i * 900000) / 1000.0::DOUBLE) AS va, count(*) AS n FROM c WHERE least(i * 900000 + 900000, speech) - i * 900000 >= 180000 GROUP BY 1),
 u AS (SELECT DISTINCT user_id, (user_id % 6)::DOUBLE AS duration FROM events WHERE user_id IS NOT NULL)
@@ -125,6 +155,7 @@ s AS (SELECT k, avg(f0) AS m FROM f JOIN q USING (k) WHERE f0 > 0 AND f0 BETWEEN
 t AS (SELECT q.k, n, v, m, CASE WHEN k % 4 - 1 < 0 OR k % 7 = 0 OR k % 4 - 1 >= 2 THEN 'SEGMENT_INVALID_FOR_PITCH' WHEN k % 7 < 3 THEN 'SEGMENT_TOO_SHORT_FOR_PITCH' WHEN k % 13 = 0 THEN 'PITCH_ANALYSIS_FAILED' END AS state FROM q LEFT JOIN s USING (k))
 SELECT k AS segment_id, CASE WHEN state IS NULL THEN round(m, 6) END AS f0_mean, CASE WHEN state IS NULL THEN round(v / n, 6) END AS voiced_ratio, coalesce(state, CASE WHEN v = 0 THEN 'NO_VOICED_FRAMES' WHEN m IS NULL THEN 'EMPTY_TRIMMED_F0' WHEN v / n < 0.05 THEN 'LOW_VOICED_RATIO' ELSE 'OK' END) AS status_prosody FROM t""",
     "turn_pairs": _w("SELECT * FROM pairs"),
+    "turn_pairs_buckets": _w("SELECT * FROM pairs"),
     "turn_events": _w('SELECT interaction, participant, s AS "start", e AS "end", n_events, transcript, n_words::INT AS n_words FROM turns JOIN ttext USING (interaction, participant, island)'),
     "vad_merged": _w('SELECT interaction, participant, s AS "start", e AS "end", n_merged FROM vm'),
     "events_merged": _merged("<="),

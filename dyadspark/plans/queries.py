@@ -38,6 +38,13 @@ def turn_pairs(spark: SparkSession, d: str) -> DataFrame:
     return _pairs(spark, d).drop("prompt_words", "response_words")
 
 
+@_query
+def turn_pairs_buckets(spark, d):
+    """The same pairs with voice activity met by time buckets, as for recordings too long for one array."""
+    words = X.timed_words(spark, d)
+    return pairs.build_pairs(words, X.voice_activity(words), **_MS, bucket=60_000).drop("prompt_words", "response_words")
+
+
 @_query
 def turn_events(spark, d):
     return _turns(spark, d).select(*_KEYS, "start", "end", "n_events", "transcript", F.size("words").alias("n_words"))

@@ -90,18 +90,21 @@ def read_recordings(spark: SparkSession, path: str) -> tuple[DataFrame, DataFram
 
 
 def read_partitioned_metadata(spark: SparkSession, root: str, kind: str) -> DataFrame:
-    """``inputs/<split>/<style>/metadata.csv`` or ``outputs/<model>/<split>/<style>/metadata.csv`` with columns from the path."""
+    """``inputs/<split>/<style>/metadata.csv`` or ``outputs/<model>/<split>/<style>/metadata.csv`` with columns from the path.
+
+    ``metadata.csv`` may be a folder of part files, as Spark writes one.
+    """
     if kind == "inputs":
-        glob, pattern, names, schema = f"{root}/inputs/*/*/metadata.csv", r"/inputs/([^/]+)/([^/]+)/metadata\.csv$", ("split", "source_style"), INPUTS
+        glob, pattern, names, schema = f"{root}/inputs/*/*/metadata.csv", r"/inputs/([^/]+)/([^/]+)/metadata\.csv(?:/[^/]+)?$", ("split", "source_style"), INPUTS
     else:
-        glob, pattern, names, schema = f"{root}/outputs/*/*/*/metadata.csv", r"/outputs/([^/]+)/([^/]+)/([^/]+)/metadata\.csv$", ("model_name", "split", "source_style"), OUTPUTS
+        glob, pattern, names, schema = f"{root}/outputs/*/*/*/metadata.csv", r"/outputs/([^/]+)/([^/]+)/([^/]+)/metadata\.csv(?:/[^/]+)?$", ("model_name", "split", "source_style"), OUTPUTS
     rows = _csv(spark, glob, schema)
     return rows.select(*[F.regexp_extract("_file", pattern, i + 1).alias(n) for i, n in enumerate(names)], *[f.name for f in schema], F.col("_file").alias("file"), F.col("_row").alias("row"))
 
 
 def read_asr_transcripts(spark: SparkSession, root: str, name: str = "*_transcripts.csv") -> DataFrame:
     """Optional transcripts beside the outputs' metadata; no file means no rows."""
-    pattern = r"/outputs/([^/]+)/([^/]+)/([^/]+)/[^/]+$"
+    pattern = r"/outputs/([^/]+)/([^/]+)/([^/]+)/[^/]+(?:/[^/]+)?$"
     names = ("model_name", "split", "source_style")
     try:
         rows = _csv(spark, f"{root}/outputs/*/*/*/{name}", ASR)
