@@ -13,7 +13,9 @@ whatever the corpus) and broadcast; texts are scanned once and never shuffled.
 
 Defined results: a null text encodes as the empty text (no ids, empty decoding); special tokens inside a text
 become their ids, as the library does by default; null or repeated ids are passed through, one row out for
-every row in; an empty table gives an empty result; other columns are ignored.
+every row in; very long texts are encoded whole, and a piece without a border takes a step for each byte; ties do not
+arise, since one token fits each prefix; an empty table gives an empty result; other columns, whatever their names, are
+ignored.
 """
 
 from __future__ import annotations
