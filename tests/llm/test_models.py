@@ -171,3 +171,40 @@ def test_quality_keeps_clean_text(spark):
     none = ngram_quality.judge(docs, ids.limit(0)).collect()
     assert len(none) == len(got) and not any(r.kept for r in none)
     assert ngram_quality.judge(docs.limit(0), ids).count() == 0
+
+
+def test_language_of_unusual_rows(spark):
+    """Many languages, empty tables, repeated ids, clashing names, and rejection by score."""
+    rows, _ = corpus(300, seed=4)
+    long = " ".join(t for _, t, y in rows if y == "aa") * 20
+    docs = spark.createDataFrame(rows + [(1, "пр ив ет", "cc"), (1, "ba na ko", "aa"), (8000, long, None), (8001, None, "aa"), (8002, "12 !", "aa"), (None, "ba na mi", None)], DOC)
+    model = language.fit(docs, F.col("doc_id") % 3 != 1)
+    got = language.identify(docs, model).collect()
+    assert len(got) == docs.count() and model.langs == ["aa", "bb", "cc"]
+    assert {(r.lang_pred, r.score) for r in got if r.doc_id in (8001, 8002)} == {("und", 0.0)}
+    assert next(r.lang_pred for r in got if r.doc_id == 8000) == "aa"
+    assert sorted(r.lang_pred for r in got if r.doc_id == 1) == sorted(["aa", "cc", rows[1][2]])
+    assert all(r.accepted == (r.lang_pred != "und" and r.score >= model.reject) for r in got)
+    truth = {i: y for i, _, y in rows}
+    sure = [r for r in got if r.accepted and r.doc_id in truth and r.doc_id != 1]
+    assert np.mean([r.lang_pred == truth[r.doc_id] for r in sure]) > 0.98
+    more = docs.selectExpr("*", "1 AS lang_pred", "2 AS score", "3 AS accepted", "4 AS _n", "5 AS _rank")
+    assert sorted(language.identify(more, model).collect(), key=str) == sorted(got, key=str)
+    assert language.identify(docs.limit(0), model).count() == 0
+    assert language.fit(docs.limit(0), F.lit(True)).langs == []
+
+
+def test_language_sample_leaves_no_language_out(spark):
+    rows = [(i, f"text number {i}", f"l{i % 40:02d}") for i in range(2000)]
+    docs = spark.createDataFrame(rows, DOC)
+    found = language.labelled_sample(docs, F.lit(True), per_lang=30, most_rows=200).collect()
+    assert {r.lang for r in found} == {f"l{i:02d}" for i in range(40)}
+    assert max(Counter(r.lang for r in found).values()) == 5
+    assert max(Counter(r.lang for r in language.labelled_sample(docs, F.lit(True), per_lang=30).collect()).values()) == 30
+
+
+def test_toxic_sample_is_chosen_among_usable_texts(spark):
+    rows = [(i, "x" * 30_000 if i < 150 else f"text {i}", "aa") for i in range(300)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(300)], "doc_id long, toxic int")
+    found = toxicity.labelled_sample(spark.createDataFrame(rows, DOC), labels, mod=10**9, out=-1, per_class=60).collect()
+    assert Counter(r.toxic for r in found) == {0: 60, 1: 60} and min(r.doc_id for r in found) >= 150
