@@ -40,19 +40,50 @@ from dyadspark.operators.checkpoints import cut, scratch, stored
 _START = 0xFF
 
 
+#: Bytes of text that one step handles here.
+_STEP = 2 << 20
+
+
 def grams(data: np.ndarray, offsets: np.ndarray, order: int) -> np.ndarray:
     """For every byte the number made of it and the ``order - 1`` bytes before it in its text."""
-    n = len(data)
+    before = order - 1
     sizes = np.diff(offsets)
-    out = data.astype(np.int64)
+    at = np.arange(len(data)) + before * np.repeat(np.arange(1, len(sizes) + 1), sizes)  # every text with its starts in front
+    padded = np.full(len(data) + before * len(sizes), _START, np.uint8)
+    padded[at] = data
+    n = len(padded) - before
+    out = padded[:n].astype(np.int64) if n > 0 else np.zeros(0, np.int64)
     for j in range(1, order):
-        before = np.full(n, _START, np.int64)
-        before[j:] = data[:-j]
-        for k in range(j):  # the first bytes of a text see the start
-            at = offsets[:-1][sizes > k] + k
-            before[at] = _START
-        out |= before << np.int64(8 * j)
-    return out
+        out <<= 8
+        out |= padded[j : j + n]
+    return out[at - before] if before else out
+
+
+class _Places:
+    """Where numbers stand in a sorted array that holds them all: two tables by hashes, then a search."""
+
+    def __init__(self, g: np.ndarray):
+        self.g = g
+        self.bits = max(4, int(len(g) * 2).bit_length())
+        self.tables = []
+        left = np.arange(len(g), dtype=np.int32)
+        for mult in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F):
+            slot = self._slot(g[left], mult)
+            table = np.zeros(1 << self.bits, np.int32)
+            table[slot] = left
+            self.tables.append((mult, table))
+            left = left[table[slot] != left]
+
+    def _slot(self, x: np.ndarray, mult: int) -> np.ndarray:
+        return (x.view(np.uint64) * np.uint64(mult) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, x: np.ndarray) -> np.ndarray:
+        out = self.tables[0][1][self._slot(x, self.tables[0][0])]
+        miss = np.flatnonzero(self.g[out] != x)
+        out[miss] = self.tables[1][1][self._slot(x[miss], self.tables[1][0])]
+        miss = miss[self.g[out[miss]] != x[miss]]
+        out[miss] = np.searchsorted(self.g, x[miss])
+        return out
 
 
 def _shard_of(g: np.ndarray, shards: int) -> np.ndarray:
@@ -194,17 +225,35 @@ def _unpacked(column):
         yield from pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(x.as_py()))
 
 
+def _sorted(x: np.ndarray) -> np.ndarray:
+    """The distinct numbers of an array, ascending."""
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
+
+
+def _tally(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct numbers of an array, ascending, and how often each is there."""
+    x = np.sort(x)
+    first = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, np.int64)
+    return x[first], np.diff(np.append(first, len(x)))
+
+
+def _merge(heap: list[np.ndarray], own: np.ndarray) -> None:
+    """Add a sorted array; two of like length become one, so each number is sorted again only a few times."""
+    heap.append(own)
+    while len(heap) > 1 and len(heap[-2]) <= 2 * len(heap[-1]):
+        heap.append(_sorted(np.concatenate([heap.pop(), heap.pop()])))
+
+
 def _distinct(parts) -> np.ndarray:
-    """All distinct numbers of sorted arrays, merged two of like length at a time."""
+    """All distinct numbers of sorted arrays."""
     heap: list[np.ndarray] = []
     for own in parts:
-        heap.append(own)
-        while len(heap) > 1 and len(heap[-2]) <= 2 * len(heap[-1]):
-            heap.append(np.union1d(heap.pop(), heap.pop()))
-    return reduce(np.union1d, heap, np.zeros(0, np.int64))
+        _merge(heap, own)
+    return _sorted(np.concatenate([np.zeros(0, np.int64), *heap]))
 
 
-def perplexity(docs: DataFrame, trusted: DataFrame, *, order: int = 6, block_bytes: int = 64 << 20, most_broadcast: int = 2_000_000) -> DataFrame:
+def perplexity(docs: DataFrame, trusted: DataFrame, *, order: int = 6, block_bytes: int = 48 << 20, most_broadcast: int = 2_000_000) -> DataFrame:
     """``(doc_id, lang, n_bytes, perplexity)`` of every row of ``docs``, under a model of the texts whose ids ``trusted`` holds.
 
     A block holds about ``block_bytes`` of text, however many partitions the session has: what a block asks for, and
@@ -234,28 +283,28 @@ def _perplexity(docs: DataFrame, trusted: DataFrame, order: int, block_bytes: in
         nulls = lambda n, to: pa.nulls(n, to)
 
         def counted():
-            g, back = np.unique(np.concatenate([x for x, _ in trained]), return_inverse=True)
-            c = np.bincount(back, weights=np.concatenate([c for _, c in trained]), minlength=len(g)).astype(np.int64)
+            g, c = np.concatenate([x for x, _ in trained]), np.concatenate([c for _, c in trained])
+            by = np.argsort(g)
+            g, c = g[by], c[by]
+            first = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
+            g, c = g[first], np.add.reduceat(c, first).astype(np.int64)
             trained.clear()
             return pa.RecordBatch.from_arrays([pa.array(g), pa.array(c), nulls(len(g), pa.int32()), nulls(len(g), pa.int32()), nulls(len(g), pa.binary())], ["g", "c", "block", "shard", "asked"])
 
         for batch in batches:
             for b, data in zip(batch.column("block").to_pylist(), batch.column("data"), strict=True):
-                for part, text, offsets in steps(_unpacked([data])):
+                for part, text, offsets in steps(_unpacked([data]), most=_STEP):
                     known = part.column("trusted").is_valid().to_numpy(zero_copy_only=False)
                     g = grams(text, offsets, order)
-                    own, back = np.unique(g, return_inverse=True)
-                    asked[b] = [_distinct([*asked.get(b, []), own])]
-                    hit = np.repeat(known, np.diff(offsets))
-                    if hit.any():
-                        c = np.bincount(back[hit], minlength=len(own))
-                        trained.append((own[c > 0], c[c > 0]))
+                    _merge(asked.setdefault(b, []), _sorted(g))
+                    if known.any():
+                        trained.append(_tally(g[np.repeat(known, np.diff(offsets))]))
                     if sum(len(x) for x, _ in trained) > 1 << 23:
                         yield counted()
         if trained:
             yield counted()
         for b, parts in asked.items():
-            g = parts[0]
+            g = _distinct(parts)
             own = _shard_of(g, shards)
             by = np.argsort(own, kind="stable")
             g, own = g[by], own[by]
@@ -272,15 +321,15 @@ def _perplexity(docs: DataFrame, trusted: DataFrame, order: int, block_bytes: in
     def score(key, texts, table):
         out = {"doc_id": [], "lang": [], "n_bytes": [], "perplexity": []}
         # the same questions in the same order as they were asked
-        g = _distinct(np.unique(grams(data, offsets, order)) for _, data, offsets in steps(_unpacked(texts.column("data"))))
+        g = _distinct(_sorted(grams(data, offsets, order)) for _, data, offsets in steps(_unpacked(texts.column("data")), most=_STEP))
         by = np.argsort(_shard_of(g, shards), kind="stable")
         rows = sorted(zip(table.column("shard").to_pylist(), table.column("p").to_pylist(), strict=True))
         p = np.zeros(len(g))
         p[by] = np.concatenate([np.zeros(0, np.float32), *[_spread(x, np.float32) for _, x in rows]])
-        for part, data, offsets in steps(_unpacked(texts.column("data"))):
+        places = _Places(g)
+        for part, data, offsets in steps(_unpacked(texts.column("data")), most=_STEP):
             size = np.diff(offsets)
-            own, back = np.unique(grams(data, offsets, order), return_inverse=True)
-            total = np.concatenate([[0.0], np.cumsum(p[np.searchsorted(g, own)][back])])[offsets] if len(own) else np.zeros(len(offsets))
+            total = np.concatenate([[0.0], np.cumsum(p[places.find(grams(data, offsets, order))])])[offsets] if len(data) else np.zeros(len(offsets))
             with np.errstate(all="ignore"):
                 value = np.exp(-np.diff(total) / size)
             out["doc_id"].append(part.column("doc_id"))
