@@ -8,6 +8,7 @@ import time
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,7 +32,8 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-_SCOPES: list[list[str]] = []
+#: The scopes open in this thread or task of the driver, the innermost last.
+_SCOPES: ContextVar[tuple[list[str], ...]] = ContextVar("scopes", default=())
 
 
 def _delete(spark: SparkSession, path: str) -> None:
@@ -43,19 +45,20 @@ def _delete(spark: SparkSession, path: str) -> None:
 def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
     """Tables that :func:`stored` writes inside are deleted at the end; what it yields stores a result that stays."""
     own: list[str] = []
-    _SCOPES.append(own)
+    outer = _SCOPES.get()
 
     def keep(df: DataFrame) -> DataFrame:
-        place = _SCOPES.pop()
+        inside = _SCOPES.set(outer)
         try:
             return stored(df)
         finally:
-            _SCOPES.append(place)
+            _SCOPES.reset(inside)
 
+    place = _SCOPES.set((*outer, own))
     try:
         yield keep
     finally:
-        _SCOPES.remove(own)
+        _SCOPES.reset(place)
         for path in own:
             _delete(spark, path)
 
@@ -71,8 +74,8 @@ def stored(df: DataFrame, *, free: bool = False) -> DataFrame:
     ensure_checkpoint_dir(spark)
     path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    if _SCOPES:
-        _SCOPES[-1].append(path)
+    if _SCOPES.get():
+        _SCOPES.get()[-1].append(path)
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
     if free:
