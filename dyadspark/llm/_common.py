@@ -43,6 +43,20 @@ def steps(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = STE
             a = b
 
 
+def spans(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(starts, ends, at)`` of the runs of ``inside``, cut between texts; text ``i`` has the runs ``at[i]`` to ``at[i + 1] - 1``."""
+    if not len(inside):
+        empty = np.zeros(0, np.int64)
+        return empty, empty, np.zeros(len(offsets), np.int64)
+    before, after = np.ones(len(inside), bool), np.ones(len(inside), bool)
+    before[1:] = ~inside[:-1]
+    after[:-1] = ~inside[1:]
+    before[offsets[:-1][offsets[:-1] < len(inside)]] = True
+    after[offsets[1:][offsets[1:] > 0] - 1] = True
+    starts, ends = np.flatnonzero(inside & before), np.flatnonzero(inside & after) + 1
+    return starts, ends, np.searchsorted(starts, offsets)
+
+
 def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], most_rows: int) -> Iterator[pa.Table]:
     """Rows that come sorted by ``keys`` in tables of about ``most_rows`` rows that never part a group."""
     held: list[pa.RecordBatch] = []

@@ -7,11 +7,13 @@ it also starts in a document with a smaller id; windows are judged on the input.
    Windows whose anchor only one document holds cannot repeat. The others that follow each other and share an anchor
    form a passage of at most ``2 * length`` words.
 2. The reference is every different passage with the first document that holds it, dealt by anchor into shards of a
-   bounded number of words. A shard becomes a suffix automaton, each state with the first document of its strings.
-3. An automaton is sent to every task that streams passages of its shard, and only there: the automata of a corpus
-   have no common bound that would let each executor hold all of them. Passages run through it word by word; the
-   suffix link chain down to a state that an earlier document holds gives the matching statistic, the longest match
-   with earlier documents that ends at that word. Ends with ``length`` words or more give the spans to remove.
+   bounded number of words.
+3. A shard is sent to every task that streams passages against it, and only there: the shards of a corpus together
+   have no bound that would let each executor hold them all. It travels as its passages, which take far less space
+   than its arrays, and becomes a suffix automaton where it arrives, each state with the first document of its strings.
+   Passages of documents run through it word by word; the suffix link chain down to a state that an earlier document
+   holds gives the matching statistic, the longest match with earlier documents that ends at that word. Ends with
+   ``length`` words or more give the spans to remove.
 
 Anchors with over ``wide`` different passages (a frequent line in many surroundings) are followed window by window,
 each window with its own place among the shards. Anchors or windows with over ``hot`` occurrences have a shard of
@@ -34,8 +36,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dyadspark.llm._common import partitions, ranges, steps, unused
-from dyadspark.operators.checkpoints import scratch, stored
+from dyadspark.llm._common import partitions, ranges, spans, steps, unused
+from dyadspark.operators.checkpoints import release, scratch, stored
 
 _WHITE = np.zeros(256, bool)
 _WHITE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -49,17 +51,7 @@ _STEP = 1 << 20
 
 def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """``(starts, ends, word offsets)``: bytes of each word, and the first word of each text."""
-    if not len(data):
-        empty = np.zeros(0, np.int64)
-        return empty, empty, np.zeros(len(offsets), np.int64)
-    white = _WHITE[data]
-    before, after = np.ones(len(data), bool), np.ones(len(data), bool)
-    before[1:] = white[:-1]
-    after[:-1] = white[1:]
-    before[offsets[:-1][offsets[:-1] < len(data)]] = True
-    after[offsets[1:][offsets[1:] > 0] - 1] = True
-    starts, ends = np.flatnonzero(~white & before), np.flatnonzero(~white & after) + 1
-    return starts, ends, np.searchsorted(starts, offsets)
+    return spans(~_WHITE[data], offsets)
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -221,48 +213,34 @@ def _words(text: pa.ChunkedArray) -> tuple[pa.Array, np.ndarray]:
     return lists.flatten(), offsets - offsets[0]
 
 
-def _built(table: pa.Table) -> pa.Table:
-    """One row: the automaton of a shard's passages ``(shard, salts, first, text)``."""
-    table = table.sort_by("first").combine_chunks()
-    words, offsets = _words(table.column("text"))
-    coded = words.dictionary_encode()
-    codes, at = coded.indices.to_pylist(), offsets.tolist()
-    ids = pc.unique(table.column("first"))
-    rank = pc.index_in(table.column("first"), ids).to_pylist()
-    made = Automaton()
-    for i, r in enumerate(rank):
-        made.add(codes[at[i] : at[i + 1]], r)
-    m = Matcher.of(made, len(coded.dictionary))
-    one = lambda x, kind: pa.ListArray.from_arrays([0, len(x)], pa.array(x, kind) if not isinstance(x, pa.Array) else x)
-    salts = pc.max(table.column("salts")).as_py()
-    return pa.table(
-        {
-            "shard": table.column("shard").slice(0, 1).combine_chunks(), "salt": one(list(range(salts)), pa.int32()), "words": one(coded.dictionary, pa.string()), "ids": one(ids, ids.type),
-            "moves": one(m.moves, pa.int64()), "to": one(m.to, pa.int32()), "link": one(m.link, pa.int32()), "length": one(m.length, pa.int32()), "first": one(m.first, pa.int32()),
-        }
-    )
-
-
-def _streamed(automata: pa.Table, passages: pa.Table, length: int) -> pa.Table:
-    """``(doc_id, t, a, b)``: the words that earlier documents hold in windows of ``length``."""
-    id_type = passages.schema.field("doc_id").type
-    out = {"doc_id": pa.array([], id_type), "t": pa.array([], pa.int64()), "a": [], "b": []}
-    if automata.num_rows and passages.num_rows:
-        own = {c: automata.column(c).combine_chunks().flatten() for c in ("words", "ids", "moves", "to", "link", "length", "first")}
-        m = Matcher(*[own[c].to_numpy() for c in ("moves", "to", "link", "length", "first")], len(own["words"]))
-        passages = passages.combine_chunks()
+def _streamed(reference: pa.Table, passages: pa.Table, length: int) -> pa.Table:
+    """``(doc_id, t, a, b)``: the words of passages that documents before theirs hold in windows of ``length``.
+
+    ``reference`` is a shard ``(first, text)``, which becomes the automaton that the passages run through.
+    """
+    ids = passages.schema.field("doc_id").type
+    out = {"doc_id": pa.array([], ids), "t": pa.array([], pa.int64()), "a": [], "b": []}
+    if reference.num_rows and passages.num_rows:
+        reference, passages = reference.sort_by("first").combine_chunks(), passages.combine_chunks()
+        words, offsets = _words(reference.column("text"))
+        coded = words.dictionary_encode()
+        first = reference.column("first").to_numpy()
+        known, rank = np.unique(first, return_inverse=True)
+        codes, at = coded.indices.to_pylist(), offsets.tolist()
+        made = Automaton()
+        for i, r in enumerate(rank.tolist()):
+            made.add(codes[at[i] : at[i + 1]], r)
+        m = Matcher.of(made, len(coded.dictionary))
         words, offsets = _words(passages.column("text"))
-        codes = pc.index_in(words, own["words"]).fill_null(-1).to_numpy().astype(np.int64)
-        rank = np.searchsorted(own["ids"].to_numpy(zero_copy_only=False), passages.column("doc_id").to_numpy())
-        covered = m.statistics(codes, offsets, rank) >= length
+        codes = pc.index_in(words, coded.dictionary).fill_null(-1).to_numpy().astype(np.int64)
+        covered = m.statistics(codes, offsets, np.searchsorted(known, passages.column("doc_id").to_numpy())) >= length
         begin, end = covered.copy(), covered.copy()
         begin[1:] &= ~covered[:-1]  # no end is within the first words of a passage, so runs stay inside passages
         end[:-1] &= ~covered[1:]
         a, b = np.flatnonzero(begin), np.flatnonzero(end)
         row = np.searchsorted(offsets, a, side="right") - 1
         shift = passages.column("s0").to_numpy()[row] - offsets[row]
-        at = pa.array(row)
-        out = {"doc_id": passages.column("doc_id").take(at), "t": passages.column("t").take(at), "a": a - length + 1 + shift, "b": b + 1 + shift}
+        out = {"doc_id": passages.column("doc_id").take(pa.array(row)), "t": passages.column("t").take(pa.array(row)), "a": a - length + 1 + shift, "b": b + 1 + shift}
     return pa.table({"doc_id": out["doc_id"], "t": out["t"], "a": pa.array(out["a"], pa.int64()), "b": pa.array(out["b"], pa.int64())})
 
 
@@ -278,7 +256,7 @@ def _by_window(pieces: DataFrame, length: int) -> DataFrame:
 def repeated_spans(docs: DataFrame, *, length: int = 13, k: int = 6, wide: int = 1024, hot: int = 4096, shard_words: int = 1 << 17) -> DataFrame:
     """``(doc_id, t, a, b)``: word ranges to remove, possibly overlapping. ``t`` tells rows that repeat an id apart (see :func:`_row`)."""
     with scratch(docs.sparkSession) as keep:
-        return keep(_spans(_row(docs.select("doc_id", "text")), length, min(k, length), wide, hot, shard_words))
+        return keep(_spans(_passages(_row(docs.select("doc_id", "text")), length, min(k, length)), length, wide, hot, shard_words))
 
 
 def _row(docs: DataFrame) -> DataFrame:
@@ -287,7 +265,8 @@ def _row(docs: DataFrame) -> DataFrame:
     return docs.withColumn("t", F.xxhash64("text") if repeat else F.lit(0).cast("long"))
 
 
-def _spans(docs: DataFrame, length: int, k: int, wide: int, hot: int, shard_words: int) -> DataFrame:
+def _passages(docs: DataFrame, length: int, k: int) -> DataFrame:
+    """``(h, doc_id, t, s0, text, w)``: the passages around anchors ``h`` that two documents hold; ``w`` words from word ``s0``."""
     given = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "t", "text")
     kind = given.schema["doc_id"].dataType.simpleString()
 
@@ -320,10 +299,18 @@ def _spans(docs: DataFrame, length: int, k: int, wide: int, hot: int, shard_word
             own = pa.Array.from_buffers(pa.string(), len(a), [None, pa.py_buffer(cuts), pa.py_buffer(clean[ranges(left, right - left)])])
             yield pa.RecordBatch.from_arrays([flat.field("h"), *[part.column(c).take(pa.array(text)) for c in ("doc_id", "t")], pa.array(s0), own, pa.array(w)], ["h", "doc_id", "t", "s0", "text", "w"])
 
-    often = stored(given.select("doc_id", "text").mapInArrow(holders, f"h long, doc_id {kind}").groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo <> hi").select("h"), free=True)
-    at = given.mapInArrow(places, f"h long, doc_id {kind}, t long, s0 int, n int").join(often, "h")
-    per_text = stored(at.groupBy("doc_id", "t").agg(F.collect_set(F.struct("h", "s0", "n")).alias("at")), free=True)
-    pieces = stored(given.join(per_text, ["doc_id", "t"]).select("doc_id", "t", "text", "at").mapInArrow(passages, f"h long, doc_id {kind}, t long, s0 int, text string, w int"), free=True)
+    with scratch(docs.sparkSession) as keep:
+        often = given.select("doc_id", "text").mapInArrow(holders, f"h long, doc_id {kind}").groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
+        often = stored(often.where("lo <> hi").select("h"), free=True)
+        at = given.mapInArrow(places, f"h long, doc_id {kind}, t long, s0 int, n int").join(often.hint("shuffle_hash"), "h")
+        per_text = stored(at.groupBy("doc_id", "t").agg(F.collect_set(F.struct("h", "s0", "n")).alias("at")), free=True)
+        found = given.join(per_text, ["doc_id", "t"]).select("doc_id", "t", "text", "at").mapInArrow(passages, f"h long, doc_id {kind}, t long, s0 int, text string, w int")
+        return keep(found)
+
+
+def _spans(pieces: DataFrame, length: int, wide: int, hot: int, shard_words: int) -> DataFrame:
+    kind = pieces.schema["doc_id"].dataType.simpleString()
+    release(pieces.sparkSession)
     known = stored(pieces.groupBy("h", "text", "w").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), free=True)
 
     # anchors that need more than their place in a shard: (h, apart) go window by window, the others have several tasks
@@ -337,20 +324,18 @@ def _spans(docs: DataFrame, length: int, k: int, wide: int, hot: int, shard_word
     known = known.where("NOT apart").select("h", "salts", "first", "text", "w").unionByName(salted(single).select("h", "salts", "first", "text", "w"))
     pieces = pieces.where("NOT apart").select("h", "salts", "doc_id", "t", "s0", "text").unionByName(salted(_by_window(pieces.where("apart").drop("salts"), length)).select("h", "salts", "doc_id", "t", "s0", "text"))
 
-    many = max(partitions(docs), -(-(known.agg(F.sum("w")).first()[0] or 0) // shard_words))
+    many = max(partitions(pieces), -(-(known.agg(F.sum("w")).first()[0] or 0) // shard_words))
     shard = F.when(F.col("salts") > 1, F.col("h")).otherwise(F.pmod(F.xxhash64("h"), F.lit(many))).alias("shard")
-    built = f"shard long, salt array<int>, words array<string>, ids array<{kind}>, moves array<long>, to array<int>, link array<int>, length array<int>, first array<int>"
-    automata = known.select(shard, "salts", "first", "text").groupBy("shard").applyInArrow(_built, built).withColumn("salt", F.explode("salt"))
+    sent = known.select(shard, F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "first", "text")
     dealt = pieces.select(shard, F.pmod(F.xxhash64("doc_id", "t"), F.col("salts")).cast("int").alias("salt"), "doc_id", "t", "s0", "text")
     by = ("shard", "salt")
-    found = automata.groupBy(*by).cogroup(dealt.groupBy(*by)).applyInArrow(lambda x, y: _streamed(x, y, length), f"doc_id {kind}, t long, a long, b long")
-    return found
+    return sent.groupBy(*by).cogroup(dealt.groupBy(*by)).applyInArrow(lambda x, y: _streamed(x, y, length), f"doc_id {kind}, t long, a long, b long")
 
 
-def _cleaned(docs: DataFrame, spans: DataFrame, make, schema, carry: list[str]) -> DataFrame:
+def _cleaned(docs: DataFrame, found: DataFrame, make, schema, carry: list[str]) -> DataFrame:
     """``make(part, data, starts, ends, word offsets, kept words)`` over every text with its spans merged."""
     tell, key, first, last = unused(docs, "_t", "_key", "_a", "_b")
-    per_text = spans.groupBy(F.col("doc_id").alias(key), F.col("t").alias(tell)).agg(F.collect_list("a").alias(first), F.collect_list("b").alias(last))
+    per_text = found.groupBy(F.col("doc_id").alias(key), F.col("t").alias(tell)).agg(F.collect_list("a").alias(first), F.collect_list("b").alias(last))
     same = (F.col("doc_id") == F.col(key)) & ((F.col(tell) == 0) | (F.col(tell) == F.xxhash64("text")))
     joined = docs.join(per_text, same, "left").select(*[F.col(f"`{c}`") for c in carry], first, last)
 
