@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dyadspark.llm import bpe, cover_tree, language, main_text, mixing, ngram_quality, simhash, substring_dedup, suffix_dedup, topk, toxicity
+from dyadspark.llm import bpe, cover_tree, language, main_text, mixing, ngram_quality, simhash, spelling, substring_dedup, suffix_dedup, topk, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -89,7 +89,12 @@ def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.removal_report(_table(spark, sf_dir, "documents"), length=13)
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_language, op3_embedding_dedup, op4_topk, op5_simhash, op6_bpe, op7_toxicity, op8_main_text, op9_mixing, op10_quality, op11_substring_dedup)}
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents with the frequent word one edit away that each may be a variant of."""
+    return spelling.variants(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_language, op3_embedding_dedup, op4_topk, op5_simhash, op6_bpe, op7_toxicity, op8_main_text, op9_mixing, op10_quality, op11_substring_dedup, op13_spelling)}
 _OK = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
 _TOPK_SQL = f"""
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings WHERE {_OK}),
