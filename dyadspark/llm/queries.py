@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dyadspark.llm import bpe, cover_tree, language, main_text, mixing, ngram_quality, simhash, spelling, substring_dedup, suffix_dedup, topk, toxicity
+from dyadspark.llm import bpe, cover_tree, hard_negatives, language, main_text, mixing, ngram_quality, simhash, spelling, substring_dedup, suffix_dedup, topk, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -89,12 +89,19 @@ def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.removal_report(_table(spark, sf_dir, "documents"), length=13)
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of other labels that come close to the positives of every hundredth vector; every seventh label is shifted first."""
+    given = _table(spark, sf_dir, "embeddings")
+    given = given.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return hard_negatives.mine(given, F.col("vec_id") % 100 == 0)
+
+
 def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of all documents with the frequent word one edit away that each may be a variant of."""
     return spelling.variants(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_language, op3_embedding_dedup, op4_topk, op5_simhash, op6_bpe, op7_toxicity, op8_main_text, op9_mixing, op10_quality, op11_substring_dedup, op13_spelling)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_language, op3_embedding_dedup, op4_topk, op5_simhash, op6_bpe, op7_toxicity, op8_main_text, op9_mixing, op10_quality, op11_substring_dedup, op12_hard_negatives, op13_spelling)}
 _OK = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
 _TOPK_SQL = f"""
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings WHERE {_OK}),
@@ -109,4 +116,12 @@ r(n, m) AS (SELECT a, least(a, b) FROM l UNION SELECT l.b, r.m FROM r JOIN l ON
 c AS (SELECT n, min(m) AS m FROM r GROUP BY 1), k AS (SELECT a, count(*) AS n FROM l GROUP BY 1)
 SELECT vec_id, coalesce(k.n, 0) AS n_links, coalesce(c.m, vec_id) AS component_id, coalesce(c.m, vec_id) = vec_id AS kept FROM embeddings LEFT JOIN k ON k.a = vec_id LEFT JOIN c ON c.n = vec_id
 """
-ORACLE_SQL: dict[str, str] = {"op3_embedding_dedup": _LINKS_SQL, "op4_topk": _TOPK_SQL, "op9_mixing": mixing.report_sql()}
+_NEGATIVES_SQL = f"""
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings WHERE label IS NOT NULL AND {_OK}),
+s AS MATERIALIZED (SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, list_dot_product(a.v, c.v)::BIGINT AS score FROM v a JOIN v c ON a.vec_id <> c.vec_id AND len(a.v) = len(c.v) WHERE a.vec_id % 100 = 0),
+p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS n FROM s WHERE same) WHERE n <= 5),
+r AS (SELECT p.anchor_id, p.vec_id AS positive_id, s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score, row_number() OVER (PARTITION BY p.anchor_id, p.vec_id ORDER BY s.score DESC, s.vec_id) AS n
+  FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT s.same AND 80 * p.score <= 100 * s.score AND 100 * s.score <= 100 * p.score)
+SELECT anchor_id, positive_id, n::INT AS rank, negative_id, positive_score, negative_score FROM r WHERE n <= 5
+"""
+ORACLE_SQL: dict[str, str] = {"op3_embedding_dedup": _LINKS_SQL, "op4_topk": _TOPK_SQL, "op9_mixing": mixing.report_sql(), "op12_hard_negatives": _NEGATIVES_SQL}

@@ -227,7 +227,7 @@ def one_edit(a_flat: np.ndarray, a_at: np.ndarray, q: np.ndarray, b_flat: np.nda
     return out
 
 
-def near_words(words: DataFrame, *, depth: int = 6, most_words: int = 8192, most_visitors: int = 1 << 16) -> DataFrame:
+def near_words(words: DataFrame, *, depth: int = 4, most_words: int = 8192, most_visitors: int = 1 << 16) -> DataFrame:
     """``(word, n_near, best)`` of the words ``(word, n)`` that have near words; ``best`` is ``(n, word)`` of the most frequent."""
 
     def paths(batches):
