@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def islands(df: DataFrame, keys: Sequence[str], start: str, end: str, gap: float, *, inclusive: bool = True, order: Sequence[str] = (), into: str = "island") -> DataFrame:
@@ -82,3 +83,42 @@ def speech_chunks(speech: DataFrame, keys: Sequence[str], start: str, end: str,
     cuts = total.withColumn("chunk_idx", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.col("speech") / longest) - 1, F.lit(0)).cast("int"))))
     cuts = cuts.withColumn("chunk_start", F.col("chunk_idx") * longest).withColumn("chunk_end", F.least(F.col("chunk_start") + longest, F.col("speech")))
     return cuts.where(F.col("chunk_end") - F.col("chunk_start") >= shortest).select(*keys, "chunk_idx", "chunk_start", "chunk_end", "speech")
+
+
+def chunk_pieces(speech: DataFrame, keys: Sequence[str], start: str, end: str, *, longest: float = 15.0, shortest: float = 3.0) -> DataFrame:
+    """``(keys, chunk_idx, piece_idx, start, end)``: which stretches of the recording each chunk of :func:`speech_chunks` holds.
+
+    Intervals lie on the clock of the concatenated speech by a running sum of their lengths, are cut where chunks meet,
+    and go back to the recording's time. The pieces of a chunk add up to its length; chunks under ``shortest`` are left out.
+    """
+    length = F.col(end) - F.col(start)
+    own = speech.where(F.col(end) > F.col(start))
+    by = W.partitionBy(*keys).orderBy(start, end)
+    clock = own.withColumn("_to", F.sum(length).over(by.rowsBetween(W.unboundedPreceding, 0))).withColumn("_from", F.col("_to") - length).withColumn("_all", F.sum(length).over(W.partitionBy(*keys)))
+    cut = clock.withColumn("chunk_idx", F.explode(F.sequence(F.floor(F.col("_from") / longest), F.greatest(F.ceil(F.col("_to") / longest) - 1, F.floor(F.col("_from") / longest)))))
+    low, high = F.greatest("_from", F.col("chunk_idx") * longest), F.least("_to", (F.col("chunk_idx") + 1) * longest)
+    cut = cut.where((high > low) & (F.least(F.lit(longest), F.col("_all") - F.col("chunk_idx") * longest) >= shortest))
+    out = cut.select(*keys, F.col("chunk_idx").cast("int").alias("chunk_idx"), (F.col(start) + low - F.col("_from")).alias(start), (F.col(start) + high - F.col("_from")).alias(end))
+    return out.withColumn("piece_idx", F.row_number().over(W.partitionBy(*keys, "chunk_idx").orderBy(start, end)) - 1).select(*keys, "chunk_idx", "piece_idx", start, end)
+
+
+def refine_by_sweep(spans: DataFrame, vad: DataFrame, keys: Sequence[str], *, start: str = "start", end: str = "end", tolerance: float = 0.5) -> DataFrame:
+    """:func:`refine_bounds` against disjoint intervals (see :func:`merge_intervals`) by one sweep along time.
+
+    Spans and intervals share one order for each key, and each span looks for two intervals in it: the first that ends at
+    or after its start, and the last that starts at or before its end. If they touch the span they are the outermost that do;
+    else they are its neighbours on both sides. There is no bucket length to choose and no row is multiplied, however
+    long intervals or recordings are. Spans keep their columns and gain ``refined_start`` and ``refined_end``.
+    """
+    own = F.struct(*[F.col(c) for c in spans.columns])
+    left = spans.select(*keys, own.alias("_span"), F.col(start).alias("_s"), F.col(end).alias("_e"), F.lit(None).cast(T.StructType([T.StructField("start", vad.schema[start].dataType), T.StructField("end", vad.schema[end].dataType)])).alias("_v"))
+    right = vad.where(F.col(end) > F.col(start)).select(*keys, F.lit(None).cast(T.StructType(spans.schema.fields)).alias("_span"), F.col(end).alias("_s"), F.col(start).alias("_e"), F.struct(F.col(start).alias("start"), F.col(end).alias("end")).alias("_v"))
+    is_span = F.col("_span").isNotNull()
+    seen = lambda order: F.last("_v", ignorenulls=True).over(W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
+    # of equal times intervals are read before spans, in both directions
+    swept = left.unionByName(right).withColumn("_next", seen([F.col("_s").desc(), is_span])).withColumn("_before", seen([F.col("_e"), is_span])).where(is_span)
+    s, e, after, before = F.col("_s"), F.col("_e"), F.col("_next"), F.col("_before")
+    gap_before, gap_after = s - before["end"], after["start"] - e
+    near = F.when((gap_before <= tolerance) & (gap_after.isNull() | (gap_before <= gap_after)), before).when(gap_after <= tolerance, after)
+    refined = F.when(after["start"] <= e, F.struct(after["start"].alias("start"), before["end"].alias("end"))).otherwise(near)
+    return swept.select("_span.*", refined["start"].alias("refined_start"), refined["end"].alias("refined_end"))
