@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from dyadspark import constants as C
 from dyadspark.functions import audio, text
-from dyadspark.operators.intervals import as_arrays, islands, merge_intervals, refine_bounds, refine_by_join
+from dyadspark.operators.intervals import as_arrays, islands, merge_intervals, refine_bounds, refine_by_join, refine_by_sweep
 
 
 def valid_words(words: DataFrame) -> DataFrame:
@@ -54,25 +54,29 @@ def inside(words: Column, start: Column, end: Column) -> Column:
     return F.filter(words, lambda w: (w["start"] >= start) & (w["end"] <= end))
 
 
-def build_pairs(words: DataFrame, vad: DataFrame, transcripts: DataFrame | None = None, *, merge_gap: float = C.MERGE_GAP, tolerance: float = C.VAD_TOLERANCE, shortest: float = C.MIN_SEGMENT, longest: float = C.MAX_SEGMENT, max_latency: float = C.MAX_LATENCY, max_overlap: float = C.MAX_OVERLAP, bucket: float | None = None) -> DataFrame:
+def build_pairs(words: DataFrame, vad: DataFrame, transcripts: DataFrame | None = None, *, merge_gap: float = C.MERGE_GAP, tolerance: float = C.VAD_TOLERANCE, shortest: float = C.MIN_SEGMENT, longest: float = C.MAX_SEGMENT, max_latency: float = C.MAX_LATENCY, max_overlap: float = C.MAX_OVERLAP, bucket: float | None = None, sweep: bool = False) -> DataFrame:
     """Pairs of a prompt turn and the other speaker's response.
 
     ``words``: interaction, participant, turn, seg_idx, word_idx, word, start, end. ``vad``: interaction,
     participant, start, end. One shuffle on interaction and participant serves merging; one on interaction
     serves the order of turns. Recordings carry their voice activity as one array, so refinement is a column
-    expression without a second shuffle. For long recordings ``bucket`` (a length of time, a few turns long) refines by
-    an equi-join on time buckets instead, in time that grows with the recording and not with its square.
+    expression without a second shuffle. For long recordings ``sweep`` refines by one pass along time instead, and
+    ``bucket`` (a length of time, a few turns long) by an equi-join on time buckets, both in time that grows with the
+    recording and not with its square; buckets also part a recording that is too much for one task.
     """
     keys = ("interaction", "participant")
     turns = merge_events(segment_events(words, keys, transcripts=transcripts), keys, gap=merge_gap)
     active = merge_intervals(vad, keys, "start", "end", merge_gap)
-    if bucket is None:
+    if sweep:
+        turns = refine_by_sweep(turns, active, keys, tolerance=tolerance)
+    elif bucket is None:
         turns = turns.join(as_arrays(active, keys, "start", "end"), list(keys), "left").withColumn("refined", refine_bounds(F.col("start"), F.col("end"), F.col("vad"), tolerance)).drop("vad")
     else:
         spans = turns.withColumn("span_id", F.concat_ws("|", *[F.col(k).cast("string") for k in keys], F.col("start").cast("string")))
-        turns = refine_by_join(spans, active, keys, tolerance=tolerance, bucket=bucket)
+        turns = refine_by_join(spans, active, keys, tolerance=tolerance, bucket=bucket).drop("span_id")
+    if sweep or bucket is not None:
         bounds = F.struct(F.col("refined_start").alias("start"), F.col("refined_end").alias("end"))
-        turns = turns.withColumn("refined", F.when(F.col("refined_start").isNotNull(), bounds)).drop("span_id", "refined_start", "refined_end")
+        turns = turns.withColumn("refined", F.when(F.col("refined_start").isNotNull(), bounds)).drop("refined_start", "refined_end")
     turns = turns.withColumn("backchannel", text.is_backchannel(F.col("transcript"), F.col("words")))
     rows = neighbours(turns, carry=("words", "transcript", "refined", "backchannel"))
     rows = rows.where(~F.col("backchannel") & ~F.col("prev.backchannel") & F.col("refined").isNotNull() & F.col("prev.refined").isNotNull())

@@ -52,6 +52,19 @@ def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("segment_id"), F.lit(64).alias("sample_rate"), F.col("embedding").alias("samples"))
 
 
+def recordings(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """``(pieces, known)``: the vectors of a label, one after another, are a recording of 64 samples a second; every fifth is
+    silent. ``pieces`` is ``(path, vec_id, offset, samples)``, ``known`` is ``(path, sample_rate, n_frames)``."""
+    e = table(spark, sf_dir, "embeddings").where("embedding IS NOT NULL")
+    size = F.size("embedding")
+    by = W.partitionBy("label").orderBy("vec_id").rowsBetween(W.unboundedPreceding, 0)
+    samples = F.when(F.col("vec_id") % 5 == 0, F.transform("embedding", lambda x: x * 0)).otherwise(F.col("embedding"))
+    path = F.concat(F.lit("/rec/"), F.coalesce(F.col("label").cast("string"), F.lit("none")), F.lit(".wav"))
+    pieces = e.select(path.alias("path"), "vec_id", (F.sum(size).over(by) - size).alias("offset"), samples.alias("samples"))
+    known = e.select(path.alias("path"), size.alias("n")).groupBy("path").agg(F.lit(64).alias("sample_rate"), F.sum("n").alias("n_frames"))
+    return pieces, known
+
+
 def order_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey")
     split = F.when(k % 10 < 7, "train").when(k % 10 < 8, "dev").when(k % 10 < 9, "test").otherwise("other")

@@ -74,6 +74,34 @@ rb AS (SELECT *, CASE WHEN s - max(e) OVER (PARTITION BY segment_id ORDER BY s R
 ri AS (SELECT *, sum(brk) OVER (PARTITION BY segment_id ORDER BY s ROWS UNBOUNDED PRECEDING) AS island FROM rb),
 sp AS (SELECT segment_id, min(s)::DOUBLE AS s, max(e)::DOUBLE AS e FROM ri GROUP BY segment_id, island)"""
 )
+_REC = """re AS (SELECT '/rec/' || coalesce(label::VARCHAR, 'none') || '.wav' AS path, vec_id, len(embedding) AS n, sum(len(embedding)) OVER (PARTITION BY label ORDER BY vec_id ROWS UNBOUNDED PRECEDING)::BIGINT - len(embedding) AS off, CASE WHEN vec_id % 5 = 0 THEN list_transform(embedding, lambda v: v * 0) ELSE embedding END AS v FROM embeddings WHERE embedding IS NOT NULL),
+rn AS (SELECT path, sum(n)::BIGINT AS n FROM re GROUP BY 1),
+rx AS (SELECT path, off + unnest(range(0, n)) AS pos, unnest(v)::DOUBLE AS x FROM re)"""
+_RECFRAMES = (
+    _REC
+    + """, fi AS (SELECT path, n, (n / 64.0)::DOUBLE AS length, CASE WHEN n < 16 THEN 1 ELSE (n - 16) // 8 + 1 END AS many, least(n, 16) AS width FROM rn WHERE n > 0),
+fx AS (SELECT path, unnest([pos // 8, pos // 8 - 1]) AS i, x FROM rx),
+x AS (SELECT path, i::INT AS frame_idx, (i * 8 + any_value(width) / 2) / 64.0::DOUBLE AS center, sqrt(sum(x * x) / any_value(width) + 1e-6) AS rms, any_value(length) AS length, any_value(many) AS many FROM fx JOIN fi USING (path) WHERE i >= 0 AND i < many GROUP BY path, i)"""
+)
+_RECSPEECH = (
+    _RECFRAMES
+    + """, th AS (SELECT path, greatest(quantile_cont(rms, 0.65) * 0.35, max(rms) * 0.05, 1e-4) AS thr FROM x GROUP BY 1),
+l AS (SELECT x.*, rms >= thr AS loud, lead(center) OVER o AS nxt, coalesce(lag(rms >= thr) OVER o, false) AS was FROM x JOIN th USING (path) WINDOW o AS (PARTITION BY path ORDER BY frame_idx)),
+r AS (SELECT *, sum(CASE WHEN loud AND NOT was THEN 1 ELSE 0 END) OVER (PARTITION BY path ORDER BY frame_idx ROWS UNBOUNDED PRECEDING) AS run FROM l),
+rr AS (SELECT path, run, greatest(0, min(center) - 0.125) AS s, CASE WHEN last(nxt ORDER BY frame_idx) IS NULL THEN any_value(length) ELSE least(any_value(length), last(nxt ORDER BY frame_idx) + 0.125) END AS e FROM r WHERE loud GROUP BY ALL),
+rb AS (SELECT *, CASE WHEN s - max(e) OVER (PARTITION BY path ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) < 0.2 THEN 0 ELSE 1 END AS brk FROM rr),
+ri AS (SELECT *, sum(brk) OVER (PARTITION BY path ORDER BY s ROWS UNBOUNDED PRECEDING) AS island FROM rb),
+sp AS (SELECT path, round(min(s) * 64)::BIGINT AS s, round(max(e) * 64)::BIGINT AS e FROM ri GROUP BY path, island)"""
+)
+# every sample of the speech, numbered along the speech alone
+_VOICE = (
+    _RECSPEECH
+    + """, ck AS (SELECT *, sum(e - s) OVER (PARTITION BY path ORDER BY s ROWS UNBOUNDED PRECEDING)::BIGINT - (e - s) AS ran FROM sp),
+tk AS (SELECT path, s, ran, unnest(range(s, e)) AS pos FROM ck),
+ch AS (SELECT path, (ran + pos - s) // 960 AS chunk, count(*) AS n, avg(x * x) AS arousal, avg(x) AS valence, avg(CASE WHEN x > 0 THEN 1.0 ELSE 0.0 END)::DOUBLE AS up FROM tk JOIN rx USING (path, pos) GROUP BY ALL HAVING count(*) >= 192),
+cm AS (SELECT path, avg(arousal) AS arousal, avg(valence) AS valence, avg(n) AS dominance, count(*) AS chunks, avg(up) AS up FROM ch GROUP BY 1),
+ss AS (SELECT path, sum(e - s) / 64.0::DOUBLE AS speech FROM sp GROUP BY 1)"""
+)
 _PATHS = """p AS (SELECT o_orderkey, o_custkey, 'data/' || CASE WHEN o_orderkey % 10 < 7 THEN 'train' WHEN o_orderkey % 10 < 8 THEN 'dev' WHEN o_orderkey % 10 < 9 THEN 'test' ELSE 'other' END || '/V' || o_orderkey % 3 || '_S' || o_custkey || '_I' || o_orderkey || '_P' || o_custkey || '.wav' AS path FROM orders)"""
 _REL = """rel AS (SELECT 'V' AS vendor_id, c_nationkey AS session_id, c_custkey AS place, CASE WHEN c_custkey % 11 = 0 THEN 'stranger' ELSE c_mktsegment END AS relationship, CASE WHEN c_custkey % 5 = 0 THEN ' ' WHEN c_custkey % 7 = 0 THEN 'stranger' ELSE lower(c_mktsegment) END AS detail FROM customer),
 nrel AS (SELECT *, CASE WHEN trim(detail) IN ('', 'stranger') OR relationship = 'stranger' THEN 'UNKNOWN' ELSE trim(detail) END AS nd FROM rel)"""
@@ -156,6 +184,7 @@ t AS (SELECT q.k, n, v, m, CASE WHEN k % 4 - 1 < 0 OR k % 7 = 0 OR k % 4 - 1 >=
 SELECT k AS segment_id, CASE WHEN state IS NULL THEN round(m, 6) END AS f0_mean, CASE WHEN state IS NULL THEN round(v / n, 6) END AS voiced_ratio, coalesce(state, CASE WHEN v = 0 THEN 'NO_VOICED_FRAMES' WHEN m IS NULL THEN 'EMPTY_TRIMMED_F0' WHEN v / n < 0.05 THEN 'LOW_VOICED_RATIO' ELSE 'OK' END) AS status_prosody FROM t""",
     "turn_pairs": _w("SELECT * FROM pairs"),
     "turn_pairs_buckets": _w("SELECT * FROM pairs"),
+    "turn_pairs_sweep": _w("SELECT * FROM pairs"),
     "turn_events": _w('SELECT interaction, participant, s AS "start", e AS "end", n_events, transcript, n_words::INT AS n_words FROM turns JOIN ttext USING (interaction, participant, island)'),
     "vad_merged": _w('SELECT interaction, participant, s AS "start", e AS "end", n_merged FROM vm'),
     "events_merged": _merged("<="),
@@ -164,6 +193,18 @@ SELECT k AS segment_id, CASE WHEN state IS NULL THEN round(m, 6) END AS f0_mean,
     "backchannel_flags": _w(f"SELECT interaction, participant, turn, seg_idx, string_agg(word, ' ' ORDER BY s, word_idx) AS transcript, lower(string_agg(word, ' ' ORDER BY s, word_idx)) IN ({_LEXICON}) OR (count(*) <= 3 AND count(*) FILTER (lower(word) NOT IN ({_LEXICON})) = 0) AS backchannel FROM words GROUP BY interaction, participant, turn, seg_idx"),
     "neighbour_turns": _w("SELECT interaction, pp AS prompt, participant AS response, pe0 AS prompt_end, s AS response_start, greatest(0, s - pe0) AS latency, greatest(0, pe0 - s) AS overlap FROM line WHERE pp <> participant"),
     "vad_refine": _w('SELECT interaction, participant, s AS "start", e AS "end", rs AS refined_start, re AS refined_end FROM refined'),
+    "vad_refine_sweep": _w('SELECT interaction, participant, s AS "start", e AS "end", rs AS refined_start, re AS refined_end FROM refined'),
+    "blocked_slices": f"""WITH {_REC}, b AS (SELECT vec_id, path, (off / 64.0 + (vec_id % 3) / 4.0)::DOUBLE AS s, ((vec_id % 7) / 2.0)::DOUBLE AS w FROM re),
+c AS (SELECT vec_id, path, round_even(s * 64, 0)::BIGINT AS a, round_even((s + w) * 64, 0)::BIGINT AS b FROM b), st AS (SELECT c.*, CASE WHEN n = 0 THEN 'EMPTY_AUDIO' WHEN b <= a OR b > n THEN 'AUDIO_SEGMENT_INVALID' ELSE 'OK' END AS status FROM c JOIN rn USING (path))
+SELECT vec_id AS segment_id, status, CASE WHEN status = 'OK' THEN (b - a)::INT END AS n, (SELECT round(sum(x), 6) FROM rx WHERE rx.path = st.path AND pos >= a AND pos < b AND status = 'OK') AS total FROM st""",
+    "blocked_frames": f"WITH {_RECFRAMES} SELECT path, frame_idx, round(center, 6) AS center, round(rms, 6) AS rms FROM x",
+    "chunk_contents": f"""WITH {_EVENTS}, c AS (SELECT *, sum(e - s) OVER (PARTITION BY user_id ORDER BY s, e ROWS UNBOUNDED PRECEDING)::BIGINT AS t, sum(e - s) OVER (PARTITION BY user_id)::BIGINT AS everything FROM ok),
+k AS (SELECT user_id, s, everything, t - (e - s) AS f, t, unnest(range((t - (e - s)) // 900000, (t - 1) // 900000 + 1)) AS chunk FROM c),
+p AS (SELECT user_id, chunk, s + greatest(f, chunk * 900000) - f AS a, s + least(t, (chunk + 1) * 900000) - f AS b FROM k WHERE least(900000, everything - chunk * 900000) >= 180000)
+SELECT user_id, chunk::INT AS chunk_idx, (row_number() OVER (PARTITION BY user_id, chunk ORDER BY a, b) - 1)::INT AS piece_idx, a AS "start", b AS "end" FROM p""",
+    "voice_from_recordings": f"""WITH {_VOICE} SELECT path, (n / 64.0)::DOUBLE AS duration, CASE WHEN n / 64.0 >= 3 THEN round(arousal, 6) END AS arousal, CASE WHEN n / 64.0 >= 3 THEN round(valence, 6) END AS valence, CASE WHEN n / 64.0 >= 3 THEN round(dominance, 6) END AS dominance,
+CASE WHEN n / 64.0 >= 3 THEN CASE WHEN speech IS NULL THEN NULL ELSE coalesce(chunks, 0) END END AS vox_num_chunks, CASE WHEN n / 64.0 >= 3 THEN round(speech, 6) END AS vox_support_speech_sec, CASE WHEN n / 64.0 < 3 THEN 'TOO_SHORT_FOR_VOX' WHEN coalesce(chunks, 0) = 0 THEN 'NO_VALID_CHUNKS' ELSE 'OK' END AS status_vox,
+round(up * 100, 6) AS age, CASE WHEN up IS NULL THEN NULL WHEN 1 - up >= up THEN 'female' ELSE 'male' END AS gender, round(greatest(up, 1 - up), 6) AS gender_confidence FROM rn LEFT JOIN cm USING (path) LEFT JOIN ss USING (path)""",
     "vad_refine_buckets": _w('SELECT interaction, participant, s AS "start", e AS "end", rs AS refined_start, re AS refined_end FROM refined'),
     "clip_bounds": _w('SELECT interaction, participant, s AS "start", e AS "end", greatest(s, e - 4000) AS prompt_start, least(e, s + 4000) AS response_end, e - s > 4000 AS was_clipped FROM turns'),
     "tempo_words": _w(

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dyadspark.functions import audio, text
-from dyadspark.operators import candidates, embed, evaluate, intervals, merge, pairs, pitch, probe, quality, split, tempo, voice
+from dyadspark.operators import blocks, candidates, embed, evaluate, intervals, merge, pairs, pitch, probe, quality, split, tempo, voice
 from dyadspark.plans import fixtures as X
 from dyadspark.sources.tables import shard_index
 
@@ -99,6 +99,21 @@ def vad_refine_buckets(spark, d):
     return intervals.refine_by_join(turns, vad, _KEYS, tolerance=500, bucket=60000).drop("span_id")
 
 
+@_query
+def vad_refine_sweep(spark, d):
+    words = X.timed_words(spark, d)
+    vad = intervals.merge_intervals(X.voice_activity(words), _KEYS, "start", "end", 1000)
+    turns = pairs.merge_events(pairs.segment_events(words), gap=1000).select(*_KEYS, "start", "end")
+    return intervals.refine_by_sweep(turns, vad, _KEYS, tolerance=500)
+
+
+@_query
+def turn_pairs_sweep(spark: SparkSession, d: str) -> DataFrame:
+    """The same pairs with voice activity met by a sweep along time."""
+    words = X.timed_words(spark, d)
+    return pairs.build_pairs(words, X.voice_activity(words), **_MS, sweep=True).drop("prompt_words", "response_words")
+
+
 @_query
 def clip_bounds(spark, d):
     t = _turns(spark, d).withColumn("p", audio.clip_bounds(F.col("start"), F.col("end"), "prompt", 4000)).withColumn("r", audio.clip_bounds(F.col("start"), F.col("end"), "response", 4000))
@@ -248,6 +263,60 @@ def profile_keys(spark, d):
     return voice.distinct_keys(o, ["wav"])
 
 
+_BLOCK = 240  # samples; clips and frames cross block edges
+
+
+@_query
+def blocked_slices(spark, d):
+    """Clips of long recordings, cut from the blocks they touch."""
+    pieces, known = X.recordings(spark, d)
+    start = F.col("offset") / 64.0 + (F.col("vec_id") % 3) / 4.0
+    segments = pieces.select(F.col("vec_id").alias("segment_id"), "path", start.alias("start"), (start + (F.col("vec_id") % 7) / 2.0).alias("end"))
+    out = blocks.clips(segments, blocks.to_blocks(pieces, _BLOCK), known, _BLOCK)
+    return out.select("segment_id", "status", F.size("samples").alias("n"), _r(F.aggregate("samples", F.lit(0.0), lambda a, x: a + x), "total"))
+
+
+@_query
+def blocked_frames(spark, d):
+    """RMS frames over whole recordings, with a halo where they cross block edges."""
+    pieces, known = X.recordings(spark, d)
+    out = blocks.frame_rms(blocks.to_blocks(pieces, _BLOCK), known, _BLOCK, **_FRAMES)
+    return out.select("path", "frame_idx", _r("center"), _r("rms"))
+
+
+@_query
+def chunk_contents(spark, d):
+    """Which stretches of time each chunk of speech holds."""
+    return intervals.chunk_pieces(X.event_intervals(spark, d), ["user_id"], "start", "end", longest=900_000, shortest=180_000)
+
+
+def _loudness():
+    """A stand-in for a trained model: level, power and two shares of each chunk."""
+    import numpy as np
+
+    def one(x):
+        x = np.asarray(x, np.float64)
+        up = float((x > 0).mean())
+        return {"arousal": float((x**2).mean()), "valence": float(x.mean()), "dominance": float(len(x)), "age_raw": up, "class_probs": [1 - up, up]}
+
+    return lambda parts: [one(x) for x in parts]
+
+
+@_query
+def voice_from_recordings(spark, d):
+    """From blocks of samples to voice features: speech by energy, chunks of it, a model, means and profile of each recording."""
+    pieces, known = X.recordings(spark, d)
+    stored_blocks = blocks.to_blocks(pieces, _BLOCK)
+    speech = tempo.energy_speech(blocks.frame_rms(stored_blocks, known, _BLOCK, **_FRAMES), "path", frame=0.25, gap=0.2)
+    ticks = speech.select("path", *[F.rint(F.col(c) * 64).cast("long").alias(c) for c in ("start", "end")])
+    chunks = blocks.chunk_samples(intervals.chunk_pieces(ticks, ["path"], "start", "end", longest=960, shortest=192), stored_blocks, _BLOCK)
+    found = voice.predict_chunks(chunks, _loudness, "arousal double, valence double, dominance double, age_raw double, class_probs array<double>")
+    means = voice.affect_means(found, "path", speech=intervals.total_length(speech, ["path"], "start", "end"))
+    out = voice.with_vox_status(known.select("path", (F.col("n_frames") / F.col("sample_rate")).alias("duration")), means, "path")
+    out = out.join(voice.speaker_profiles(found, "path"), "path", "left")
+    return out.select("path", "duration", *[_r(c) for c in ("arousal", "valence", "dominance")], "vox_num_chunks", _r("vox_support_speech_sec"), "status_vox", _r("age"), "gender", _r("gender_confidence"))
+
+
 @_query
 def stem_parse(spark, d):
     p = X.order_paths(spark, d).withColumn("n", text.parse_stem(text.stem_of(F.col("path"))))
