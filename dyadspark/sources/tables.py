@@ -8,6 +8,7 @@ import re
 import wave
 from collections.abc import Sequence
 from functools import reduce
+from typing import NamedTuple
 from urllib.parse import unquote
 
 import numpy as np
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dyadspark.functions import text
+from dyadspark.operators.checkpoints import stored
 from dyadspark.operators.pairs import last_wins
 
 _strings = lambda *names: T.StructType([T.StructField(n, T.StringType()) for n in names])
@@ -26,12 +28,22 @@ RELATIONSHIPS = _strings("vendor_id", "session_id", "relationship", "relationshi
 INPUTS = _strings("audio_path", "transcript_question", "speakers", "conversation_id")
 OUTPUTS = _strings("audio_path", "answer_audio_path", "transcript_question", "transcript_answer", "speakers", "conversation_id", "finish_reason", "answer_start_time")
 ASR = _strings("answer_audio_path", "ASR_transcript_answer")
+#: Times are read as text, so that a value of a wrong type is seen and not lost.
 RECORDING = (
-    "`metadata:transcript` array<struct<transcript: string, words: array<struct<word: string, start: double, end: double>>>>, "
-    "`metadata:vad` array<struct<start: double, end: double>>"
+    "`metadata:transcript` array<struct<transcript: string, words: array<struct<word: string, start: string, end: string>>>>, "
+    "`metadata:vad` array<struct<start: string, end: string>>, _broken string"
 )
 
 
+class Recordings(NamedTuple):
+    """Rows of recording documents, keyed by ``path``, and what is wrong with them: ``(path, reason, place)``."""
+
+    words: DataFrame
+    segments: DataFrame
+    vad: DataFrame
+    violations: DataFrame
+
+
 def _headers(spark: SparkSession, path: str) -> dict[tuple[str, ...], list[str]]:
     """The files under each header. One row for each file reaches the driver, as its list of input files does anyway."""
     lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), "value", F.monotonically_increasing_id().alias("at"))
@@ -80,13 +92,89 @@ def read_relationships(spark: SparkSession, path: str) -> DataFrame:
     return last_wins(trimmed, ["vendor_id", "session_id"], ["_file", "_row"]).drop("_file", "_row")
 
 
-def read_recordings(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """``(words, segments, vad)`` rows of nested recording documents, keyed by ``path``."""
-    raw = spark.read.schema(RECORDING).option("multiLine", True).json(path).withColumn("path", plain_path(F.col("_metadata.file_path")))
-    segments = raw.select("path", F.posexplode("metadata:transcript").alias("seg_idx", "s")).select("path", "seg_idx", F.col("s.transcript").alias("transcript"), F.col("s.words").alias("words"))
+def _problem(reason: str, place: Column) -> Column:
+    return F.struct(F.lit(reason).alias("reason"), place.alias("place"))
+
+
+def _not_number(value: Column) -> Column:
+    return value.isNotNull() & value.try_cast("double").isNull()
+
+
+def _word_problems(segments: Column) -> Column:
+    """One entry for each word whose start or end is there but no number."""
+
+    def word(i):
+        def of(w, j):
+            bad = F.concat_ws(", ", *[F.when(_not_number(w[c]), F.lit(c)) for c in ("start", "end")])
+            return F.when(bad != "", _problem("WRONG_TYPE", F.format_string("segment %d word %d: %s", i, j, bad)))
+
+        return of
+
+    each = F.transform(segments, lambda s, i: F.filter(F.transform(F.coalesce(s["words"], F.array()), word(i)), lambda x: x.isNotNull()))
+    return F.flatten(each)
+
+
+def _vad_problems(vad: Column) -> Column:
+    """One entry for each interval with a bound that is null or no number, or with its end before its start."""
+
+    def of(v, i):
+        a, b = v["start"], v["end"]
+        reason = F.when(a.isNull() | b.isNull(), "NULL_BOUND").when(_not_number(a) | _not_number(b), "WRONG_TYPE").when(b.try_cast("double") < a.try_cast("double"), "INVERTED_BOUND")
+        return F.struct(reason.alias("reason"), F.format_string("vad %d", i).alias("place"))
+
+    return F.filter(F.transform(vad, of), lambda x: x["reason"].isNotNull())
+
+
+def parse_recordings(spark: SparkSession, path: str, *, lines: bool = False) -> DataFrame:
+    """One row for each document: ``path``, ``segments``, ``vad`` and ``problems``, parsed once and stored.
+
+    A document that is broken, or whose parts have a wrong shape, is rejected whole: it keeps a row with its problem and
+    nothing else. An empty file counts as broken. Missing fields are problems too, the others stay. With ``lines`` every line
+    is a document, and its field ``path`` names it (its file, where that cannot be read).
+    """
+    schema = RECORDING + (", path string" if lines else "")
+    raw = spark.read.schema(schema).option("multiLine", not lines).option("columnNameOfCorruptRecord", "_broken").json(path)
+    file = plain_path(F.col("_metadata.file_path"))
+    raw = raw.withColumn("path", F.coalesce("path", file) if lines else file).withColumnsRenamed({"metadata:transcript": "t", "metadata:vad": "v"})
+    broken = F.col("_broken").isNotNull()
+    number = lambda x, *names: [x[c].try_cast("double").alias(c) for c in names]
+    segments = F.transform("t", lambda s: F.struct(s["transcript"].alias("transcript"), F.transform(s["words"], lambda w: F.struct(w["word"].alias("word"), *number(w, "start", "end"))).alias("words")))
+    vad = F.transform("v", lambda x: F.struct(*number(x, "start", "end")))
+    none = F.array().cast("array<struct<reason: string, place: string>>")
+    problems = F.when(broken, F.array(_problem("BROKEN_DOCUMENT", F.lit(None).cast("string")))).otherwise(
+        F.concat(
+            F.when(F.col("t").isNull(), F.array(_problem("MISSING_FIELD", F.lit("metadata:transcript")))).otherwise(_word_problems(F.col("t"))),
+            F.when(F.col("v").isNull(), F.array(_problem("MISSING_FIELD", F.lit("metadata:vad")))).otherwise(_vad_problems(F.col("v"))),
+        )
+    )
+    parsed = raw.select("path", F.when(~broken, segments).alias("segments"), F.when(~broken, vad).alias("vad"), F.coalesce(problems, none).alias("problems"))
+    parsed = stored(parsed)
+    if lines:
+        return parsed
+    # Spark lists empty files, as the driver does for every reader, but reads no row of them
+    files = spark.createDataFrame([(f,) for f in raw.inputFiles()], "path string").select(plain_path(F.col("path")).alias("path"))
+    empty = files.join(parsed.select("path"), "path", "left_anti")
+    lost = empty.select("path", *[F.lit(None).cast(parsed.schema[c].dataType).alias(c) for c in ("segments", "vad")], F.array(_problem("BROKEN_DOCUMENT", F.lit(None).cast("string"))).cast(parsed.schema["problems"].dataType).alias("problems"))
+    return parsed.unionByName(lost)
+
+
+def recordings(spark: SparkSession, path: str, *, lines: bool = False) -> Recordings:
+    """Words, segments, voice activity and violations of recording documents, all from one parse.
+
+    Words whose time is no number, and every interval, stay as rows with nulls there; the violations say which.
+    """
+    parsed = parse_recordings(spark, path, lines=lines)
+    segments = parsed.select("path", F.posexplode("segments").alias("seg_idx", "s")).select("path", "seg_idx", F.col("s.transcript").alias("transcript"), F.col("s.words").alias("words"))
     words = segments.select("path", "seg_idx", F.posexplode("words").alias("word_idx", "w")).select("path", "seg_idx", "word_idx", "w.word", "w.start", "w.end")
-    vad = raw.select("path", F.posexplode("metadata:vad").alias("vad_idx", "v")).select("path", "vad_idx", "v.start", "v.end")
-    return words, segments.drop("words"), vad
+    vad = parsed.select("path", F.posexplode("vad").alias("vad_idx", "v")).select("path", "vad_idx", "v.start", "v.end")
+    violations = parsed.select("path", F.explode("problems").alias("p")).select("path", "p.reason", "p.place")
+    return Recordings(words, segments.drop("words"), vad, violations)
+
+
+def read_recordings(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``(words, segments, vad)`` of :func:`recordings`."""
+    found = recordings(spark, path)
+    return found.words, found.segments, found.vad
 
 
 def read_partitioned_metadata(spark: SparkSession, root: str, kind: str) -> DataFrame:

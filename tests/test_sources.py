@@ -35,6 +35,36 @@ def test_recordings(spark, tmp_path):
     assert segments.count() == 2 and vad.count() == 1
 
 
+def test_recordings_say_what_is_wrong(spark, tmp_path):
+    words = [{"word": "hi", "start": 0.5, "end": 1}, {"word": "you", "start": "soon", "end": 2}, {"word": "all", "start": None, "end": 2}, {"word": "two", "start": [1], "end": {"x": 1}}]
+    good = {"metadata:transcript": [{"transcript": "hi you", "words": words[:1]}], "metadata:vad": [{"start": 0.4, "end": 1.1}]}
+    put(tmp_path / "good.json", json.dumps(good))
+    put(tmp_path / "cut.json", json.dumps(good)[:-20])
+    put(tmp_path / "empty.json", "")
+    put(tmp_path / "list.json", json.dumps(good | {"metadata:transcript": "none"}))
+    put(tmp_path / "types.json", json.dumps(good | {"metadata:transcript": [{"words": words[:1]}, {"transcript": "", "words": words}]}))
+    put(tmp_path / "bare.json", "{}")
+    put(tmp_path / "vad.json", json.dumps(good | {"metadata:vad": [{"start": 2, "end": 1}, {"start": None, "end": 1}, {"start": "x", "end": 1}, {"start": 1, "end": 1}]}))
+    found = tables.recordings(spark, str(tmp_path / "*.json"))
+    name = F.element_at(F.split("path", "/"), -1).alias("file")
+    got = {(r.file, r.reason, r.place) for r in found.violations.select(name, "reason", "place").collect()}
+    assert got == {
+        ("cut.json", "BROKEN_DOCUMENT", None), ("empty.json", "BROKEN_DOCUMENT", None), ("list.json", "BROKEN_DOCUMENT", None),
+        ("types.json", "WRONG_TYPE", "segment 1 word 1: start"), ("types.json", "WRONG_TYPE", "segment 1 word 3: start, end"),
+        ("bare.json", "MISSING_FIELD", "metadata:transcript"), ("bare.json", "MISSING_FIELD", "metadata:vad"),
+        ("vad.json", "INVERTED_BOUND", "vad 0"), ("vad.json", "NULL_BOUND", "vad 1"), ("vad.json", "WRONG_TYPE", "vad 2"),
+    }
+    assert {r.file: r["count"] for r in found.words.groupBy(name).count().collect()} == {"good.json": 1, "types.json": 5, "vad.json": 1}
+    assert found.vad.where(F.col("start").isNotNull()).count() == 4
+    # the documents are read once, however many of the four are used
+    plan = found.words.unionByName(found.vad, allowMissingColumns=True)._jdf.queryExecution().toString()
+    assert "json" not in plan.lower().replace(".json", "")
+    put(tmp_path / "l/all.jsonl", "\n".join([json.dumps(good | {"path": "a"}), json.dumps(good | {"path": "b"})[:-9], json.dumps({"path": "c", "metadata:vad": []})]))
+    lines = tables.recordings(spark, str(tmp_path / "l"), lines=True)
+    assert {(r.path[-9:], r.reason) for r in lines.violations.collect()} == {("all.jsonl", "BROKEN_DOCUMENT"), ("c", "MISSING_FIELD")}
+    assert [r.path for r in lines.words.collect()] == ["a"]
+
+
 def test_partitioned_metadata_and_transcripts(spark, tmp_path):
     put(tmp_path / "inputs/test/calm/metadata.csv", "audio_path,transcript_question\nq/a_1.wav,Hello\n")
     put(tmp_path / "outputs/m1/test/calm/metadata.csv", 'audio_path,answer_audio_path,transcript_answer\nq/a_1.wav,r/a.wav,"two\nlines"\n')
