@@ -3,16 +3,14 @@
 from __future__ import annotations
 
 import csv
-import io
 import re
-import wave
 from collections.abc import Sequence
 from functools import reduce
 from typing import NamedTuple
 from urllib.parse import unquote
 
-import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +19,7 @@ from pyspark.sql import types as T
 from dyadspark.functions import text
 from dyadspark.operators.checkpoints import stored
 from dyadspark.operators.pairs import last_wins
+from dyadspark.sources.pcm import Counting, NotPcm, decoded, header_of, headers, whole_files
 
 _strings = lambda *names: T.StructType([T.StructField(n, T.StringType()) for n in names])
 DYADS = _strings("participant1_id", "participant1_relpath", "participant2_id", "participant2_relpath")
@@ -204,26 +203,19 @@ def read_asr_transcripts(spark: SparkSession, root: str, name: str = "*_transcri
 
 
 def _pcm(content: bytes, with_samples: bool):
-    with wave.open(io.BytesIO(content)) as w:
-        rate, n, channels, width = w.getframerate(), w.getnframes(), w.getnchannels(), w.getsampwidth()
-        if not with_samples:
-            return rate, n, None
-        raw = w.readframes(n)
-    if width == 1:  # unsigned: the middle is silence
-        x = (np.frombuffer(raw, np.uint8).astype(np.float32) - 128) / 128
-    elif width == 3:
-        b = np.frombuffer(raw, np.uint8).reshape(-1, 3).astype(np.int32)
-        x = (((b[:, 0] << 8) | (b[:, 1] << 16) | (b[:, 2] << 24)) >> 8).astype(np.float32) / (1 << 23)
-    else:
-        x = np.frombuffer(raw, {2: "<i2", 4: "<i4"}[width]).astype(np.float32) / float(1 << (8 * width - 1))
-    return rate, n, x.reshape(-1, channels).mean(axis=1)
+    source = Counting(pa.BufferReader(content))
+    h = header_of(source)
+    raw = source.at(h.begin, h.n_frames * h.width * h.channels) if with_samples else None
+    return h.rate, h.n_frames, None if raw is None else decoded(raw, h.width, h.channels)
 
 
-def audio_catalog(spark: SparkSession, path: str, *, samples: bool = False, head: int = 1 << 20) -> DataFrame:
-    """:func:`decoded_audio` of the files under ``path``; without ``samples`` only the first ``head`` bytes reach Python."""
-    files = spark.read.format("binaryFile").load(path)
-    content = F.col("content") if samples else F.substring("content", 1, head)
-    return decoded_audio(files.select(plain_path(F.col("path")).alias("path"), content.alias("content")), samples=samples)
+def audio_catalog(spark: SparkSession, path: str, *, samples: bool = False) -> DataFrame:
+    """:func:`decoded_audio` of the files under ``path``; without ``samples`` only their chunk headers are read."""
+    names = ["path", "sample_rate", "n_frames", "duration_s", "status"]
+    if not samples:
+        return headers(spark, path).select(*names)
+    none = F.when(F.col("status") == "OK", F.array().cast("array<float>"))
+    return whole_files(spark, path).select(*names, F.coalesce("samples", none).alias("samples"))
 
 
 def decoded_audio(files: DataFrame, *, samples: bool = False) -> DataFrame:
@@ -240,7 +232,7 @@ def decoded_audio(files: DataFrame, *, samples: bool = False) -> DataFrame:
                 try:
                     rate, n, x = _pcm(content, samples)
                     rows.append([where, rate, n, n / rate, "OK", x][: 6 if samples else 5])
-                except (wave.Error, EOFError, KeyError):
+                except NotPcm:
                     rows.append([where, None, None, None, "AUDIO_DECODE_FAILED", None][: 6 if samples else 5])
             out = pd.DataFrame(rows, columns=["path", "sample_rate", "n_frames", "duration_s", "status", "samples"][: 6 if samples else 5])
             yield out.astype({"sample_rate": "Int32", "n_frames": "Int64"})
