@@ -36,6 +36,17 @@ def pitch_stats(frames: DataFrame, keys: Sequence[str] = ("segment_id",), f0: st
     return out.select(*keys, *[v.alias(c) for c, v in found.items()], status.alias("status_prosody"))
 
 
+def frames_in_segments(frames: DataFrame, segments: DataFrame, *, key: str = "path", time: str = "time", start: str = "start", end: str = "end", bucket: float = C.MAX_SEGMENT) -> DataFrame:
+    """Every frame with each segment of its recording that it lies in, ``start <= time < end``; segments may overlap.
+
+    An equi-join on stretches of ``bucket``, the length of the longest segments: a segment stands in two of them at most
+    and a frame in one, so the work grows with the frames and not with frames times segments of a recording.
+    """
+    spread = segments.where(F.col(end) > F.col(start)).withColumn("_b", F.explode(F.sequence(F.floor(F.col(start) / bucket), F.floor(F.col(end) / bucket))))
+    met = frames.withColumn("_b", F.floor(F.col(time) / bucket)).join(spread, [key, "_b"])
+    return met.where((F.col(time) >= F.col(start)) & (F.col(time) < F.col(end))).drop("_b")
+
+
 def segment_state(start: Column, end: Column, duration: Column, analysed: Column | None = None, *, shortest: float = 0.05) -> Column:
     """Why a clip cannot be measured at all: bounds outside the recording, too short, analysis failed; else null."""
     bad = F.coalesce((start < 0) | (end <= start) | (start >= duration), F.lit(True))

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import struct
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +14,8 @@ from dyadspark.operators import embed, merge, pairs, quality, voice
 from dyadspark.operators.checkpoints import ensure_checkpoint_dir
 from dyadspark.plans import fixtures as X
 from dyadspark.plans.natural import natural_pairs as build_natural
-from dyadspark.sources import tables
+from dyadspark.plans.natural import natural_violations as build_violations
+from dyadspark.sources import pcm, tables
 
 QUERIES = {}
 
@@ -92,8 +95,28 @@ def recordings_file(spark, d):
 
 
 @_query
-def natural_pairs(spark, d):
-    """The whole pair table of the conversations: dyads, words, voice activity, relationships, thresholds, tempo."""
+def recordings_violations(spark, d):
+    """What is wrong in documents of which some are cut off, wrongly typed, or lack fields: every violation of every one."""
+    words = X.timed_words(spark, d)
+    keys = ["interaction", "participant"]
+    seconds = lambda c: F.col(c) / 1000.0
+    k = F.col("interaction") % 11
+    one = F.struct("word_idx", F.struct("word", seconds("start").alias("start"), seconds("end").alias("end")).alias("w"))
+    said = words.groupBy(*keys, "turn", "seg_idx").agg(F.array_sort(F.collect_list(one)).alias("ws")).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("turn", "seg_idx", "ws"))).alias("segments"))
+    transcript = F.transform("segments", lambda s: F.struct(F.lit("").alias("transcript"), F.transform(s["ws"], lambda w: w["w"]).alias("words")))
+    interval = F.struct(F.when(k == 2, seconds("end")).when(k != 4, seconds("start")).alias("start"), F.when(k == 2, seconds("start")).otherwise(seconds("end")).alias("end"))
+    active = X.voice_activity(words).groupBy(*keys).agg(F.collect_list(interval).alias("vad"))
+    docs = said.join(active, keys, "left").select(*keys, F.to_json(F.struct(F.concat_ws("|", *keys).alias("path"), transcript.alias("metadata:transcript"), F.when(k != 1, F.col("vad")).alias("metadata:vad"))).alias("value"))
+    soon = F.regexp_replace("value", '^(.*?"start":)[-0-9.E]+', '$1"soon"')
+    docs = docs.select(F.when(k == 0, F.expr("left(value, length(value) - 7)")).when(k == 3, soon).otherwise(F.col("value")).alias("value"))
+    to = _folder(spark)
+    docs.write.text(to)
+    found = tables.recordings(spark, to, lines=True).violations
+    return found.select("reason", F.when(F.col("reason") != "BROKEN_DOCUMENT", F.col("path")).alias("recording"), "place")
+
+
+def _natural_inputs(spark, d) -> dict[str, DataFrame]:
+    """Dyads, words, segments, voice activity and relationships of the conversations, as recordings of two speakers."""
     words = X.timed_words(spark, d)
     path = F.format_string("/c%d_%s.json", "interaction", "participant")
     conv = words.select("interaction").distinct()
@@ -103,11 +126,44 @@ def natural_pairs(spark, d):
     segments = own.select("path", "seg_idx").distinct().withColumn("transcript", F.lit(None).cast("string"))
     vad = X.voice_activity(words).select(path.alias("path"), "start", "end")
     rel = pairs.last_wins(X.relationships(spark, d).withColumn("session_id", F.col("session_id").cast("string")), ["vendor_id", "session_id"], ["place"])
-    out = build_natural(dyads, own, segments, vad, rel, merge_gap=1000, tolerance=500, shortest=3000, longest=15000, max_latency=1000, max_overlap=250, pause=200, per=60000.0)
+    return {"dyads": dyads, "words": own, "segments": segments, "vad": vad, "relationships": rel}
+
+
+_NATURAL = {"merge_gap": 1000, "tolerance": 500, "shortest": 3000, "longest": 15000, "max_latency": 1000, "max_overlap": 250, "pause": 200, "per": 60000.0}
+
+
+@_query
+def natural_pairs(spark, d):
+    """The whole pair table of the conversations: dyads, words, voice activity, relationships, thresholds, tempo."""
+    out = build_natural(**_natural_inputs(spark, d), **_NATURAL)
     rounded = [F.round(c, 6).alias(c) for c in ("response_speech_rate_local", "response_pause_ratio_local")]
     return out.select("pair_id", "session_id", "interaction_id", "dyad_id", "prompt_participant_id", "response_participant_id", "turn_index", "source_wav_path_prompt", "source_json_path_response", "prompt_start_s", "prompt_end_s", "prompt_duration_s", "response_start_s", "response_end_s", "latency_s", "overlap_s", "prompt_transcript", "response_transcript", "prompt_word_count", "response_word_count", "relationship", "relationship_detail", "status_relationship", "status_pair", "source_dataset_split", "split", "split_unit", *rounded, "status_response_temporal", "merge_key")
 
 
+@_query
+def natural_pairs_pitch(spark, d):
+    """The pair table with the pitch of both sides, from frames of whole recordings by time."""
+    given = _natural_inputs(spark, d)
+    f0 = F.when(F.col("word_idx") % 4 == 0, 0.0).otherwise((80 + (F.length("word") * 13 + F.col("word_idx") * 7) % 200).cast("double"))
+    frames = given["words"].select(F.regexp_replace("path", "json$", "wav").alias("path"), F.col("start").alias("time"), f0.alias("f0"))
+    out = build_natural(**given, frames=frames, **_NATURAL)
+    pitch = [F.round(f"{role}_{c}", 6).alias(f"{role}_{c}") for role in ("prompt", "response") for c in ("f0_mean", "f0_sd", "f0_range", "voiced_ratio")]
+    return out.select("pair_id", *pitch, "status_prompt_prosody", "status_response_prosody")
+
+
+@_query
+def natural_violations(spark, d):
+    """What keeps recordings out of the pair table: lost ones, disagreeing dyads, inverted and null bounds, ids given twice."""
+    given = _natural_inputs(spark, d)
+    k = F.regexp_extract("path", "/c([0-9]+)_", 1).cast("long")
+    i = F.col("interaction_id").cast("long")
+    dyads = given["dyads"].withColumns({"p1_session": F.col("session_id"), "p1_interaction": F.col("interaction_id"), "p2_vendor": F.when(i % 19 == 0, "W").otherwise("V"), "p2_session": F.col("session_id"), "p2_interaction": F.col("interaction_id"), "p2_source_split": F.col("p1_source_split")})
+    dyads = dyads.unionByName(dyads.where(i % 23 == 0))
+    vad = given["vad"].withColumn("start", F.when(k % 17 == 0, F.col("end") + 5).when(k % 29 != 0, F.col("start"))).where(k % 13 != 0)
+    found = build_violations(dyads, given["words"].where(k % 13 != 0), vad)
+    return found.groupBy("check", "key", "detail").agg(F.count("*").alias("n"))
+
+
 @_query
 def metadata_files(spark, d):
     """Prompts and answers from partitioned metadata, columns in another order for each model."""
@@ -152,6 +208,35 @@ def audio_files(spark, d):
     return out.select("path", "sample_rate", "n_frames", "duration_s", "status", F.round(F.aggregate("samples", F.lit(0.0), lambda s, x: s + x), 4).alias("total"))
 
 
+def _write_pcm(rows: DataFrame, folder: str, rate: int = 8000, junk: int = 5000) -> None:
+    """A PCM file ``<i>.wav`` for each row ``(i, samples)``, with a long chunk before its format; every tenth is cut off."""
+
+    def put(frames):
+        for frame in frames:
+            for i, samples in zip(frame["i"], frame["samples"], strict=True):
+                x = np.clip(np.rint(np.asarray(samples, np.float64) * 16384), -32768, 32767).astype("<i2").tobytes()
+                form = b"fmt " + struct.pack("<IHHIIHH", 16, 1, 1, rate, 2 * rate, 2, 16)
+                body = b"WAVE" + b"LIST" + struct.pack("<I", junk) + bytes(junk) + form + b"data" + struct.pack("<I", len(x)) + x
+                pcm.write_file(f"{folder}/{i}.wav", b"RIFF" if i % 10 == 0 else b"RIFF" + struct.pack("<I", len(body)) + body)
+            yield frame[["i"]]
+
+    rows.select("i", "samples").mapInPandas(put, "i long").count()
+
+
+@_query
+def pcm_files(spark, d):
+    """Real PCM files: headers by seeks alone, and the samples of every block."""
+    e = X.table(spark, d, "embeddings").where("embedding IS NOT NULL")
+    rows = e.groupBy(F.floor(F.col("vec_id") / 8).alias("i")).agg(F.flatten(F.array_sort(F.collect_list(F.struct("vec_id", "embedding")))["embedding"]).alias("samples"))
+    to = _folder(spark)
+    _write_pcm(rows, to)
+    own, known = pcm.audio_blocks(spark, f"{to}/*.wav", 100)
+    total = F.aggregate("samples", F.lit(0.0), lambda s, x: s + x)
+    sums = own.groupBy("path").agg(F.count("*").alias("n_blocks"), F.max(F.size("samples")).alias("longest"), F.round(F.sum(total), 4).alias("total"))
+    i = F.regexp_extract("path", "([0-9]+)[.]wav$", 1).cast("long")
+    return known.join(sums, "path", "left").select(i.alias("i"), "sample_rate", "channels", "n_frames", "duration_s", "status", "bytes_read", "n_blocks", "longest", "total")
+
+
 @_query
 def shards_file(spark, d):
     """Shard files by number, and their union in the order of the shards."""

@@ -156,6 +156,29 @@ SQL = {
     "recordings_file": _w("""SELECT w.interaction, w.participant, n_words, spoken, n_segments, coalesce(n_vad, 0) AS n_vad FROM (SELECT interaction, participant, count(*) AS n_words, round(sum(e - s) / 1000.0::DOUBLE, 3) AS spoken, count(DISTINCT turn * 1000 + seg_idx) AS n_segments FROM words GROUP BY ALL) w
 LEFT JOIN (SELECT interaction, participant, count(*) AS n_vad FROM vad GROUP BY ALL) v USING (interaction, participant)"""),
     "natural_pairs": _w(_NATURAL),
+    "recordings_violations": _w("""SELECT * FROM (WITH own AS (SELECT DISTINCT interaction, participant FROM words), nv AS (SELECT interaction, participant, count(*) AS n FROM vad GROUP BY ALL),
+o AS (SELECT own.*, coalesce(n, 0) AS n, interaction % 11 AS k, interaction || '|' || participant AS recording FROM own LEFT JOIN nv USING (interaction, participant))
+SELECT 'BROKEN_DOCUMENT' AS reason, NULL::VARCHAR AS recording, NULL::VARCHAR AS place FROM o WHERE k = 0
+UNION ALL SELECT 'MISSING_FIELD', recording, 'metadata:vad' FROM o WHERE k = 1 OR (k <> 0 AND n = 0)
+UNION ALL SELECT 'WRONG_TYPE', recording, 'segment 0 word 0: start' FROM o WHERE k = 3
+UNION ALL SELECT CASE WHEN k = 2 THEN 'INVERTED_BOUND' ELSE 'NULL_BOUND' END, recording, 'vad ' || unnest(range(0, n)) FROM o WHERE k IN (2, 4))"""),
+    "natural_pairs_pitch": _w("""SELECT * FROM (WITH fr AS (SELECT interaction, participant, s, CASE WHEN word_idx % 4 = 0 THEN 0 ELSE 80 + (length(word) * 13 + word_idx * 7) % 200 END::DOUBLE AS f0 FROM words),
+sg AS (SELECT pair_id, interaction, 'prompt' AS role, prompt_participant_id AS participant, prompt_start AS a, prompt_end AS b FROM pairs UNION ALL SELECT pair_id, interaction, 'response', response_participant_id, response_start, response_end FROM pairs),
+fi AS (SELECT pair_id, role, f0 FROM sg LEFT JOIN fr ON fr.interaction = sg.interaction AND fr.participant = sg.participant AND s >= a AND s < b),
+fq AS (SELECT pair_id, role, count(f0) AS n, count(*) FILTER (f0 > 0) AS voiced, quantile_cont(f0, 0.1) FILTER (f0 > 0) AS lo, quantile_cont(f0, 0.9) FILTER (f0 > 0) AS hi FROM fi GROUP BY ALL),
+ft AS (SELECT pair_id, role, avg(f0) AS m, stddev_pop(f0) AS sd FROM fi JOIN fq USING (pair_id, role) WHERE f0 > 0 AND f0 BETWEEN lo AND hi GROUP BY ALL),
+fs AS (SELECT pair_id, role, round(m, 6) AS m, round(sd, 6) AS sd, round(hi - lo, 6) AS r, round(CASE WHEN n > 0 THEN voiced / n ELSE 0 END::DOUBLE, 6) AS v, CASE WHEN n = 0 THEN 'NO_PITCH_FRAMES' WHEN voiced = 0 THEN 'NO_VOICED_FRAMES' WHEN voiced / n < 0.05 THEN 'LOW_VOICED_RATIO' ELSE 'OK' END AS st FROM fq LEFT JOIN ft USING (pair_id, role))
+SELECT p.pair_id, p.m AS prompt_f0_mean, p.sd AS prompt_f0_sd, p.r AS prompt_f0_range, p.v AS prompt_voiced_ratio, r.m AS response_f0_mean, r.sd AS response_f0_sd, r.r AS response_f0_range, r.v AS response_voiced_ratio, p.st AS status_prompt_prosody, r.st AS status_response_prosody
+FROM fs p JOIN fs r ON p.pair_id = r.pair_id AND p.role = 'prompt' AND r.role = 'response')"""),
+    "natural_violations": _w("""SELECT * FROM (WITH c AS (SELECT DISTINCT interaction AS i FROM words), v AS (SELECT interaction AS i, '/c' || interaction || '_' || participant || '.json' AS path, CASE WHEN interaction % 17 = 0 THEN e + 5 WHEN interaction % 29 <> 0 THEN s END AS s, e FROM vad WHERE interaction % 13 <> 0),
+here AS (SELECT DISTINCT '/c' || interaction || '_' || participant || '.json' AS path FROM words WHERE interaction % 13 <> 0),
+a AS (SELECT 'unique_key' AS "check", i::VARCHAR AS key, '2 rows' AS detail FROM c WHERE i % 23 = 0
+UNION ALL SELECT 'recording', path, 'missing' FROM (SELECT '/c' || i || '_P' || (2 * i + unnest([0, 1])) || '.json' AS path, i FROM c), range(0, 2) AS t(x) WHERE (x = 0 OR i % 23 = 0) AND path NOT IN (SELECT path FROM here)
+UNION ALL SELECT 'dyad_consistent', i::VARCHAR, 'vendor' FROM c, range(0, 2) AS t(x) WHERE i % 19 = 0 AND (x = 0 OR i % 23 = 0)
+UNION ALL SELECT 'interval', path, CASE WHEN s IS NULL THEN 'null bound' ELSE 'inverted' END FROM v WHERE s IS NULL OR e < s)
+SELECT "check", key, detail, count(*) AS n FROM a GROUP BY ALL)"""),
+    "pcm_files": """WITH e AS (SELECT vec_id // 8 AS i, sum(len(embedding))::BIGINT AS n, sum(list_sum(list_transform(embedding, lambda x: greatest(-32768, least(32767, round_even(x::DOUBLE * 16384, 0))) / 32768)))  AS total FROM embeddings WHERE embedding IS NOT NULL GROUP BY 1), f AS (SELECT *, i % 10 <> 0 AS fine FROM e)
+SELECT i, CASE WHEN fine THEN 8000 END AS sample_rate, CASE WHEN fine THEN 1 END AS channels, CASE WHEN fine THEN n END AS n_frames, CASE WHEN fine THEN (n / 8000.0)::DOUBLE END AS duration_s, CASE WHEN fine THEN 'OK' ELSE 'AUDIO_DECODE_FAILED' END AS status, CASE WHEN fine THEN 52::BIGINT END AS bytes_read, CASE WHEN fine THEN (n + 99) // 100 END AS n_blocks, CASE WHEN fine THEN least(n, 100)::INT END AS longest, CASE WHEN fine THEN round(total, 4) END AS total FROM f""",
     "metadata_files": f"""WITH {_CAND}, ni AS (SELECT 'questions/' || stem || '.wav' AS audio_path, count(*) AS n_inputs FROM base WHERE conv % 3 <> 0 GROUP BY 1)
 SELECT translate(model_name, '/|', '--') AS model_name, 'test' AS split, 'all' AS source_style, 'questions/' || stem || '.wav' AS audio_path, answer AS answer_audio_path, md5('P2B: ' || said || ' ') AS digest, conv::VARCHAR AS conversation_id, CASE WHEN k % 3 = 0 THEN '' WHEN k % 3 = 1 THEN '0.5' ELSE '-0.25' END AS answer_start_time, n_inputs, NULL::VARCHAR AS input_conversation
 FROM base LEFT JOIN ni ON ni.audio_path = 'questions/' || stem || '.wav'""",

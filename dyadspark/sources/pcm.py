@@ -14,6 +14,7 @@ from __future__ import annotations
 import fnmatch
 import re
 import struct
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -153,9 +154,9 @@ class PcmReader(DataSourceReader):
     def read(self, partition: Part) -> Iterator[pa.RecordBatch]:
         for uri, low, high in partition.ranges:
             first = low == 0
-            facts: dict = {"path": re.sub("^file:/+", "/", uri)}
+            facts: dict = {"path": uri}
             try:
-                files, path = fs.FileSystem.from_uri(uri)
+                files, path = _opened(uri)
                 with files.open_input_file(path) as file:
                     source = Counting(file)
                     h = header_of(source)
@@ -183,10 +184,26 @@ class PcmReader(DataSourceReader):
         return pa.RecordBatch.from_arrays([pa.array([facts.get(n)], kinds.get(n, pa.int64())) for n in self.names], self.names)
 
 
+def _opened(path: str) -> tuple[fs.FileSystem, str]:
+    plain = re.sub("^file:/+", "/", path)
+    return fs.FileSystem.from_uri(plain if re.match(r"^\w[\w+.-]*:", plain) else f"file://{plain}")
+
+
+def write_file(path: str, content: bytes) -> None:
+    """A whole file at once: it has its name only when it is complete, so a task that runs twice leaves one."""
+    files, to = _opened(path)
+    folder, name = to.rsplit("/", 1)
+    files.create_dir(folder, recursive=True)
+    part = f"{folder}/_{name}.{uuid.uuid4().hex}"
+    with files.open_output_stream(part) as out:
+        out.write(content)
+    files.move(part, to)
+
+
 def listed(path: str) -> list[tuple[str, int]]:
     """``(uri, bytes)`` of a file, of the files under a folder, or of those that a glob names; hidden names are left out."""
-    files, base = fs.FileSystem.from_uri(path if re.match(r"^\w[\w+.-]*:", path) else f"file://{path}")
-    scheme = path[: len(path) - len(base)] if path.endswith(base) else "file://"
+    files, base = _opened(path)
+    scheme = path[: len(path) - len(base)] if re.match(r"^(?!file:)\w[\w+.-]*:", path) and path.endswith(base) else ""
     parts = base.split("/")
     wild = next((i for i, p in enumerate(parts) if re.search(r"[*?\[]", p)), None)
     top = base if wild is None else "/".join(parts[:wild])
