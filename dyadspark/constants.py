@@ -51,3 +51,17 @@ RESPONSE_TARGETS = [
     "duration_s", "word_count", "f0_sd", "f0_range", "voiced_ratio", "speech_rate_local", "articulation_rate_local",
     "pause_ratio_local", "mean_pause_duration_local", "arousal", "valence", "dominance",
 ]
+
+# The tracks of a probe item with the speaker that its metadata names, and the files it must have.
+PROBE_TRACKS = {"speaker1": "A", "speaker2": "B"}
+PROBE_FILES = ["metadata.csv", "speaker1_track.wav", "speaker1_track.json", "speaker2_track.wav", "speaker2_track.json"]
+
+# Column order of the probe's pair table.
+PROBE_COLUMNS = [
+    "pair_id", "session_id", "interaction_id", "dyad_id", "prompt_participant_id", "response_participant_id", "turn_index",
+    "source_wav_path_prompt", "source_json_path_prompt", "source_wav_path_response", "source_json_path_response",
+    "prompt_start_s", "prompt_end_s", "prompt_duration_s", "response_start_s", "response_end_s", "response_duration_s", "latency_s", "overlap_s",
+    "prompt_transcript", "response_transcript", "prompt_word_count", "response_word_count", "relationship", "relationship_detail", "status_relationship",
+    "prompt_tts_model", "response_tts_model", "prompt_is_synthetic", "response_is_synthetic", "is_human_prompt_synthetic_response",
+    "row_dir", "prompt_track", "response_track", "status_pair", "source_dataset_split", "split", "split_seed", "split_unit",
+]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import struct
 import uuid
 
@@ -15,6 +16,8 @@ from dyadspark.operators.checkpoints import ensure_checkpoint_dir
 from dyadspark.plans import fixtures as X
 from dyadspark.plans.natural import natural_pairs as build_natural
 from dyadspark.plans.natural import natural_violations as build_violations
+from dyadspark.plans.probe_pairs import item_violations
+from dyadspark.plans.probe_pairs import probe_pairs as build_probe
 from dyadspark.sources import pcm, tables
 
 QUERIES = {}
@@ -164,6 +167,54 @@ def natural_violations(spark, d):
     return found.groupBy("check", "key", "detail").agg(F.count("*").alias("n"))
 
 
+def _probe_folder(spark, d) -> str:
+    """Folders of two tracks with their metadata, some incomplete, empty or oddly named; times in milliseconds."""
+    words = X.timed_words(spark, d)
+    keys = ["interaction", "participant"]
+    one = F.struct("word_idx", F.struct("word", "start", "end").alias("w"))
+    said = words.groupBy(*keys, "turn", "seg_idx").agg(F.array_sort(F.collect_list(one)).alias("ws")).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("turn", "seg_idx", "ws"))).alias("segments"))
+    transcript = F.transform("segments", lambda s: F.struct(F.transform(s["ws"], lambda w: w["w"]).alias("words")))
+    active = X.voice_activity(words).groupBy(*keys).agg(F.collect_list(F.struct("start", "end")).alias("vad"))
+    docs = said.join(active, keys, "left").select(*keys, F.to_json(F.struct(transcript.alias("metadata:transcript"), F.coalesce("vad", F.array()).alias("metadata:vad"))).alias("doc"))
+    user = F.col("participant") == F.concat(F.lit("P"), F.col("interaction") * 2)
+    items = docs.groupBy("interaction").agg(F.max(F.when(user, F.col("doc"))).alias("a"), F.max(F.when(~user, F.col("doc"))).alias("b"))
+    to = _folder(spark)
+
+    def put(frames):
+        for frame in frames:
+            for i, a, b in zip(frame["interaction"], frame["a"], frame["b"], strict=True):
+                name = f"{to}/{'rows' if i % 13 == 0 else 'row'}_{i}_p1_P{2 * i}_p2_P{2 * i + 1}"
+                lines = ["spk,tts_model", f"A,{'synth' if i % 3 == 0 else ''}", "A,other", f"A,{'synth' if i % 3 == 0 else ''}", " ,synth"]
+                lines += [] if i % 5 == 0 else [f"B,{'synth' if i % 2 == 0 else 'other'}"]
+                held = {"metadata.csv": "\n".join(lines) + "\n", "speaker1_track.wav": "", "speaker2_track.wav": "", "notes/extra.txt": "", "speaker1_track.json": a or "{}", "speaker2_track.json": b or "{}"}
+                pcm.make_folder(name)
+                for file, content in held.items() if i % 11 else ():
+                    if i % 7 or file != "speaker2_track.wav":
+                        pcm.write_file(f"{name}/{file}", content.encode())
+            yield frame[["interaction"]]
+
+    items.mapInPandas(put, "interaction long").count()
+    return to
+
+
+@_query
+def probe_pairs(spark, d):
+    """From folders of two tracks to the probe's pair table: complete folders only, voices by majority, flags, tempo."""
+    to = _probe_folder(spark, d)
+    found = tables.recordings(spark, f"{to}/*/*_track.json")
+    root = re.sub("^file:/+", "/", to)
+    out = build_probe(tables.item_files(spark, to), tables.read_item_metadata(spark, to), found.words, found.segments, found.vad, synthetic="synth", dataset="probe", root=root, **_NATURAL)
+    short = [F.regexp_extract(c, "([^/]+/[^/]+)$", 1).alias(c) for c in ("source_wav_path_prompt", "source_json_path_response")]
+    times = [F.col(c).cast("long").alias(c) for c in ("prompt_start_s", "prompt_end_s", "response_start_s", "response_end_s", "latency_s", "overlap_s")]
+    return out.select("pair_id", "session_id", "interaction_id", "dyad_id", "turn_index", *short, *times, "prompt_transcript", "response_word_count", "relationship", "prompt_tts_model", "response_tts_model", "prompt_is_synthetic", "response_is_synthetic", "is_human_prompt_synthetic_response", "row_dir", "prompt_track", "response_track", "split", "split_unit", F.round("response_speech_rate_local", 6).alias("response_speech_rate_local"))
+
+
+@_query
+def probe_violations(spark, d):
+    """Folders that cannot take part: what they lack, empty ones too, and names of another form."""
+    return item_violations(tables.item_files(spark, _probe_folder(spark, d)))
+
+
 @_query
 def metadata_files(spark, d):
     """Prompts and answers from partitioned metadata, columns in another order for each model."""

@@ -16,6 +16,16 @@ def sides(dyads: DataFrame, root: str = "") -> DataFrame:
     return one(1).unionByName(one(2)).withColumn("path", F.regexp_replace("wav_path", r"\.wav$", ".json"))
 
 
+TEMPO = ("speech_rate_local", "articulation_rate_local", "pause_ratio_local", "mean_pause_duration_local")
+
+
+def measured_side(out: DataFrame, role: str, pause: float, per: float) -> DataFrame:
+    """Tempo, bounds and duration of one side of the pairs, under the table's names."""
+    t = tempo.word_tempo(F.col(f"{role}_words"), F.col(f"{role}_start"), F.col(f"{role}_end"), pause=pause, per=per)
+    out = out.withColumn("_t", t).withColumns({f"{role}_{c}": F.col(f"_t.{c}") for c in TEMPO}).withColumn(f"status_{role}_temporal", F.col("_t.status_temporal")).drop("_t")
+    return out.withColumnsRenamed({f"{role}_start": f"{role}_start_s", f"{role}_end": f"{role}_end_s"}).withColumn(f"{role}_duration_s", F.col(f"{role}_end_s") - F.col(f"{role}_start_s"))
+
+
 def natural_pairs(dyads: DataFrame, words: DataFrame, segments: DataFrame, vad: DataFrame, relationships: DataFrame, *, frames: DataFrame | None = None, root: str = "", pause: float = C.PAUSE, per: float = 60.0, strict: bool = False, **thresholds) -> DataFrame:
     """The shared pair columns, tempo of both sides and (with ``frames``) their pitch statistics.
 
@@ -38,10 +48,7 @@ def natural_pairs(dyads: DataFrame, words: DataFrame, segments: DataFrame, vad:
     for role in ("prompt", "response"):
         paths = side.select("interaction_id", F.col("participant").alias(f"{role}_participant_id"), F.col("wav_path").alias(f"source_wav_path_{role}"), F.col("path").alias(f"source_json_path_{role}"))
         out = out.join(paths, ["interaction_id", f"{role}_participant_id"])
-        start, end = F.col(f"{role}_start"), F.col(f"{role}_end")
-        t = tempo.word_tempo(F.col(f"{role}_words"), start, end, pause=pause, per=per)
-        out = out.withColumn("_t", t).withColumns({f"{role}_{c}": F.col(f"_t.{c}") for c in ("speech_rate_local", "articulation_rate_local", "pause_ratio_local", "mean_pause_duration_local")}).withColumn(f"status_{role}_temporal", F.col("_t.status_temporal")).drop("_t")
-        out = out.withColumnsRenamed({f"{role}_start": f"{role}_start_s", f"{role}_end": f"{role}_end_s"}).withColumn(f"{role}_duration_s", F.col(f"{role}_end_s") - F.col(f"{role}_start_s"))
+        out = measured_side(out, role, pause, per)
     out = pairs.attach_relationships(out, relationships)
     out = out.withColumnsRenamed({"latency": "latency_s", "overlap": "overlap_s"}).withColumns({"status_pair": F.lit("OK"), "split_seed": F.lit(None).cast("string"), "split_unit": F.lit("source_split")})
     extra = []
@@ -50,7 +57,7 @@ def natural_pairs(dyads: DataFrame, words: DataFrame, segments: DataFrame, vad:
     for role in ("prompt", "response"):
         if frames is not None:
             extra += [f"{role}_{c}" for c in _PITCH]
-        extra += [f"{role}_{c}" for c in ("speech_rate_local", "articulation_rate_local", "pause_ratio_local", "mean_pause_duration_local")]
+        extra += [f"{role}_{c}" for c in TEMPO]
         extra += [f"status_{role}_prosody"] * (frames is not None) + [f"status_{role}_temporal"]
     return out.select(*C.PAIR_COLUMNS, *extra).withColumn("merge_key", text.merge_key(C.MERGE_KEY_COLUMNS))
 

@@ -177,6 +177,16 @@ UNION ALL SELECT 'recording', path, 'missing' FROM (SELECT '/c' || i || '_P' ||
 UNION ALL SELECT 'dyad_consistent', i::VARCHAR, 'vendor' FROM c, range(0, 2) AS t(x) WHERE i % 19 = 0 AND (x = 0 OR i % 23 = 0)
 UNION ALL SELECT 'interval', path, CASE WHEN s IS NULL THEN 'null bound' ELSE 'inverted' END FROM v WHERE s IS NULL OR e < s)
 SELECT "check", key, detail, count(*) AS n FROM a GROUP BY ALL)"""),
+    "probe_pairs": _w("""SELECT * FROM (WITH it AS (SELECT DISTINCT interaction, 'row_' || interaction || '_p1_P' || 2 * interaction || '_p2_P' || (2 * interaction + 1) AS name, CASE WHEN interaction % 3 = 0 THEN 'synth' ELSE 'orig' END AS a, CASE WHEN interaction % 5 = 0 THEN 'UNKNOWN' WHEN interaction % 2 = 0 THEN 'synth' ELSE 'other' END AS b FROM words WHERE interaction % 7 <> 0 AND interaction % 11 <> 0 AND interaction % 13 <> 0),
+rg AS (SELECT pr.interaction, pr.turn_index, tw.s - lag(tw.e) OVER (PARTITION BY pr.interaction, pr.turn_index ORDER BY tw.s, tw.turn, tw.seg_idx, tw.word_idx) AS gap, word FROM pr LEFT JOIN tw ON tw.interaction = pr.interaction AND tw.participant = pr.participant AND tw.island = pr.island AND tw.s >= r_s AND tw.e <= r_e),
+rr AS (SELECT interaction, turn_index, count(word) AS n FROM rg GROUP BY ALL),
+j AS (SELECT p.*, name, a, b, rr.n AS rn, prompt_participant_id = 'P' || 2 * p.interaction AS first, CASE WHEN first THEN a ELSE b END AS pm, CASE WHEN first THEN b ELSE a END AS rm, CASE WHEN first THEN 'speaker1' ELSE 'speaker2' END AS pt, CASE WHEN first THEN 'speaker2' ELSE 'speaker1' END AS rt FROM pairs p JOIN it USING (interaction) JOIN rr USING (interaction, turn_index))
+SELECT name || '|' || prompt_participant_id || '|' || response_participant_id || '|' || lpad(turn_index::VARCHAR, greatest(4, length(turn_index::VARCHAR))::INT, '0') AS pair_id, 'probe' AS session_id, name AS interaction_id, dyad_id, turn_index, name || '/' || pt || '_track.wav' AS source_wav_path_prompt, name || '/' || rt || '_track.json' AS source_json_path_response,
+prompt_start AS prompt_start_s, prompt_end AS prompt_end_s, response_start AS response_start_s, response_end AS response_end_s, latency AS latency_s, overlap AS overlap_s, prompt_transcript, response_word_count, 'UNKNOWN' AS relationship, pm AS prompt_tts_model, rm AS response_tts_model, pm = 'synth' AS prompt_is_synthetic, rm = 'synth' AS response_is_synthetic, pm <> 'synth' AND rm = 'synth' AS is_human_prompt_synthetic_response, name AS row_dir, pt AS prompt_track, rt AS response_track, 'external' AS split, 'row_dir' AS split_unit,
+CASE WHEN rn >= 2 THEN round(60000.0::DOUBLE * rn / (response_end - response_start), 6) END AS response_speech_rate_local FROM j)"""),
+    "probe_violations": _w("""SELECT * FROM (WITH it AS (SELECT DISTINCT interaction AS i, CASE WHEN interaction % 13 = 0 THEN 'rows' ELSE 'row' END || '_' || interaction || '_p1_P' || 2 * interaction || '_p2_P' || (2 * interaction + 1) AS name FROM words)
+SELECT 'item_files' AS "check", name AS key, CASE WHEN i % 11 = 0 THEN 'metadata.csv,speaker1_track.json,speaker1_track.wav,speaker2_track.json,speaker2_track.wav' ELSE 'speaker2_track.wav' END AS detail FROM it WHERE i % 11 = 0 OR i % 7 = 0
+UNION ALL SELECT 'item_name', name, 'unexpected name' FROM it WHERE i % 13 = 0)"""),
     "pcm_files": """WITH e AS (SELECT vec_id // 8 AS i, sum(len(embedding))::BIGINT AS n, sum(list_sum(list_transform(embedding, lambda x: greatest(-32768, least(32767, round_even(x::DOUBLE * 16384, 0))) / 32768)))  AS total FROM embeddings WHERE embedding IS NOT NULL GROUP BY 1), f AS (SELECT *, i % 10 <> 0 AS fine FROM e)
 SELECT i, CASE WHEN fine THEN 8000 END AS sample_rate, CASE WHEN fine THEN 1 END AS channels, CASE WHEN fine THEN n END AS n_frames, CASE WHEN fine THEN (n / 8000.0)::DOUBLE END AS duration_s, CASE WHEN fine THEN 'OK' ELSE 'AUDIO_DECODE_FAILED' END AS status, CASE WHEN fine THEN 52::BIGINT END AS bytes_read, CASE WHEN fine THEN (n + 99) // 100 END AS n_blocks, CASE WHEN fine THEN least(n, 100)::INT END AS longest, CASE WHEN fine THEN round(total, 4) END AS total FROM f""",
     "metadata_files": f"""WITH {_CAND}, ni AS (SELECT 'questions/' || stem || '.wav' AS audio_path, count(*) AS n_inputs FROM base WHERE conv % 3 <> 0 GROUP BY 1)

@@ -200,6 +200,22 @@ def write_file(path: str, content: bytes) -> None:
     files.move(part, to)
 
 
+def make_folder(path: str) -> None:
+    files, to = _opened(path)
+    files.create_dir(to, recursive=True)
+
+
+def subfolders(root: str) -> list[str]:
+    files, base = _opened(root)
+    return sorted(i.base_name for i in files.get_file_info(fs.FileSelector(base)) if i.type == fs.FileType.Directory)
+
+
+def names_below(folder: str) -> list[str]:
+    """The files under a folder, by their paths from it."""
+    files, base = _opened(folder)
+    return sorted(i.path[len(base.rstrip("/")) + 1 :] for i in files.get_file_info(fs.FileSelector(base, recursive=True)) if i.type == fs.FileType.File)
+
+
 def listed(path: str) -> list[tuple[str, int]]:
     """``(uri, bytes)`` of a file, of the files under a folder, or of those that a glob names; hidden names are left out."""
     files, base = _opened(path)

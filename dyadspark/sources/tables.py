@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from dyadspark.functions import text
 from dyadspark.operators.checkpoints import stored
 from dyadspark.operators.pairs import last_wins
-from dyadspark.sources.pcm import Counting, NotPcm, decoded, header_of, headers, whole_files
+from dyadspark.sources.pcm import Counting, NotPcm, decoded, header_of, headers, names_below, subfolders, whole_files
 
 _strings = lambda *names: T.StructType([T.StructField(n, T.StringType()) for n in names])
 DYADS = _strings("participant1_id", "participant1_relpath", "participant2_id", "participant2_relpath")
@@ -240,6 +240,27 @@ def decoded_audio(files: DataFrame, *, samples: bool = False) -> DataFrame:
     return files.select("path", "content").mapInPandas(run, schema)
 
 
+def item_files(spark: SparkSession, root: str) -> DataFrame:
+    """``(row_dir, file_name)`` of every folder in ``root``, with a null name for the folder itself, so empty ones are seen.
+
+    The driver lists the folders; what they hold is listed in tasks.
+    """
+    folders = spark.createDataFrame([(f,) for f in subfolders(root)], "row_dir string")
+
+    def run(frames):
+        for frame in frames:
+            rows = [(d, name) for d in frame["row_dir"] for name in [None, *names_below(f"{root}/{d}")]]
+            yield pd.DataFrame(rows, columns=["row_dir", "file_name"])
+
+    return folders.repartition(max(1, min(200, folders.count() // 64)), "row_dir").mapInPandas(run, "row_dir string, file_name string")
+
+
+def read_item_metadata(spark: SparkSession, root: str) -> DataFrame:
+    """``(row_dir, spk, tts_model, row_order)`` of the metadata in every folder of ``root``."""
+    rows = _csv(spark, f"{root}/*/metadata.csv", _strings("spk", "tts_model"))
+    return rows.select(F.element_at(F.split("_file", "/"), -2).alias("row_dir"), "spk", "tts_model", F.col("_row").alias("row_order"))
+
+
 def shard_index(file_name, prefix: str = ""):
     """The number in ``<prefix>_shard_<i>.csv``; null if the name has none."""
     pattern = rf"^{prefix}.*_shard_(\d+)\.[^.]+$"
