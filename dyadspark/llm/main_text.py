@@ -11,7 +11,7 @@ whatever the size of the host, and no page is shuffled for it:
 
 1. Every window has an anchor, the smallest hash among its ``k``-token grams; equal windows have equal anchors.
    Tasks count the pages of each anchor, the counts are added by anchor, and anchors on fewer than ``min_pages``
-   pages are out. The others set bits of a bitmap of fixed size; a false bit costs work and changes nothing.
+   pages are out. The others set bits of a bitmap, 16 for each up to 32 MB; a false bit costs work and changes nothing.
 2. A task concatenates the streams of its pages host by host and sorts their suffix array up to ``min_tokens``
    tokens, for the windows whose anchor is in the bitmap. Rows with equal beginnings are one window; the pages in
    each such interval are counted, and the counts of all tasks are added by host and window.
@@ -23,7 +23,9 @@ Repeated tokens are removed from open blocks and site-wide ones from content as
 unique runs, is kept. An article may quote or repeat another page, so mere repeats stay in content. Leftovers of
 one or two tokens in a block that is mostly covered go with it. A page that would lose 90 % of its words or more
 is a mirror of other pages and stays whole. Open blocks go if they are mostly link text, or if the page marks its
-article by an element or a name for just that. ``covered`` reports the share of repeated tokens of every page.
+article by an element or a name for just that. Inside content, names that are ordinary words (``legal``, ``share``) drop
+nothing by themselves: where one is the whole class or id of an element, its blocks go if they are mostly link text, and lose
+what repeats on the host as open blocks do. ``covered`` reports the share of repeated tokens of every page.
 
 Defined results: null html is an empty page with text ''; pages with a null url are one host, apart from urls
 without a host; every row is a page, also where ids repeat; very long pages are one step of their own and are read
@@ -35,7 +37,7 @@ from __future__ import annotations
 
 import html as entities
 import re
-from collections import Counter
+from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -45,12 +47,11 @@ from pyspark.sql import functions as F
 
 from dyadspark.operators.checkpoints import cut, stored
 
-#: Zones of a block: marked as the article, in a container named like one, anything else, dropped.
-_ARTICLE, _CONTENT, _OPEN, _DROP = 3, 2, 1, 0
-#: Elements nested deeper than this are read but open no region of their own.
-_DEEPEST = 256
-#: Bits of the bitmap of anchors that repeat.
-_BITS = 1 << 24
+#: Zones of a block: inside the article under an ordinary name, marked as the article, in a container named like one,
+#: anything else, dropped.
+_DOUBTFUL, _ARTICLE, _CONTENT, _OPEN, _DROP = 4, 3, 2, 1, 0
+#: Bits of the bitmap of anchors that repeat, at least and at most.
+_BITS, _MOST_BITS = 1 << 24, 1 << 28
 
 #: Elements and name parts that tell a page's regions.
 _BLOCKS = frozenset("address article aside blockquote body br caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav noscript ol option p pre section select summary table tbody td tfoot th thead title tr ul".split())
@@ -63,6 +64,8 @@ _BAD_NAMES = frozenset(
     "paywall popup popups promo promoted promotion recommend recommended recommendations related replies reply respond search share sharing shoutbox sidebar signin signup skip skyscraper social "
     "sponsor sponsored subscribe subscription tags teaser toolbar topbar trackback tracking widget widgets".split()
 )
+#: Of these, words that articles use for parts of their own; inside content they drop nothing by themselves.
+_ORDINARY = frozenset("copyright disclaimer discussion feedback hidden legal links login notice notices recommend recommended recommendations reply replies respond search share signin signup social subscription tags tracking".split())
 _HEADERS = frozenset("header head topbar masthead banner".split())
 _ARTICLE_NAMES = frozenset("article main articlebody maincontent maintext hentry".split())
 _GOOD_NAMES = _ARTICLE_NAMES | frozenset("content entry post story body".split())
@@ -90,7 +93,7 @@ def _zone(tag: str, attributes: str, zone: int) -> int:
         return _DROP
     if tag == "header":
         return zone if zone >= _CONTENT else _DROP
-    bad = good = article = False
+    bad = good = article = doubtful = False
     if attributes and attributes.strip(" /"):
         for name, a, b, c in _ATTRIBUTE.findall(attributes):
             name, value = name.lower(), a or b or c
@@ -98,7 +101,8 @@ def _zone(tag: str, attributes: str, zone: int) -> int:
                 parts = {p.lower() for p in _PART.findall(value)} | set(value.lower().split())
                 own = parts & _BAD_NAMES
                 if zone >= _CONTENT:
-                    own -= _HEADERS
+                    doubtful |= bool(own & _ORDINARY & set(value.lower().split()))  # the whole name, not a part of one
+                    own -= _HEADERS | _ORDINARY
                 bad |= bool(own) or (bool(parts & _HEADERS) and zone < _CONTENT and not parts & _GOOD_NAMES)
                 good |= bool(parts & _GOOD_NAMES)
                 article |= bool(parts & _ARTICLE_NAMES)
@@ -116,7 +120,8 @@ def _zone(tag: str, attributes: str, zone: int) -> int:
         return zone
     if bad:
         return _DROP
-    return max(zone, _ARTICLE if article else _CONTENT) if good else zone
+    zone = max(zone, _ARTICLE if article else _CONTENT) if good else zone
+    return _DOUBTFUL if doubtful else zone
 
 
 def blocks(page: str) -> list[tuple[str, int, float]]:
@@ -125,7 +130,21 @@ def blocks(page: str) -> list[tuple[str, int, float]]:
     stack: list[tuple[str, int]] = []
     text: list[str] = []
     zone, links, linked = _OPEN, 0, 0
-    held: Counter[str] = Counter()  # elements on the stack
+    where: defaultdict[str, list[int]] = defaultdict(list)  # places of the open elements on the stack
+    block_at: list[int] = []  # of those, block elements
+
+    def last(*tags: str) -> int:
+        return max((where[t][-1] for t in tags if where[t]), default=-1)
+
+    def pop(depth: int) -> None:
+        nonlocal zone, links
+        zone = stack[depth][1]
+        for t, _ in stack[depth:]:
+            where[t].pop()
+            links -= t == "a"
+        del stack[depth:]
+        while block_at and block_at[-1] >= depth:
+            block_at.pop()
 
     def end() -> None:
         nonlocal text, linked
@@ -156,42 +175,28 @@ def blocks(page: str) -> list[tuple[str, int, float]]:
             continue
         tag = m[3].lower()
         if m[2]:
-            depth = -1
-            for i in range(len(stack) - 1 if held[tag] else -1, -1, -1):
-                if stack[i][0] == tag:
-                    depth = i
-                    break
-                if tag not in _BLOCKS and stack[i][0] in _BLOCKS:
-                    break
+            depth = last(tag)
+            if tag not in _BLOCKS and block_at and block_at[-1] > depth:
+                depth = -1
             if tag in _BLOCKS:
                 end()
             if depth >= 0:
                 if any(z != zone for _, z in stack[depth:]):
                     end()
-                links -= sum(t == "a" for t, _ in stack[depth:])
-                zone = stack[depth][1]
-                held.subtract(t for t, _ in stack[depth:])
-                del stack[depth:]
+                pop(depth)
             continue
         if tag in _BLOCKS:
             end()
         if tag in _VOID or m[4].rstrip().endswith("/"):
             continue
         if tag in ("p", "li", "dt", "dd", "tr", "td", "th", "option", "a"):  # these close one of their kind
-            stop = ("ul", "ol", "dl", "table", "div", "article", "section", "main", "nav", "aside", "footer", "header", "body", "tr" if tag in ("td", "th") else "", "select")
-            for i in range(len(stack) - 1 if held[tag] else -1, -1, -1):
-                if stack[i][0] == tag:
-                    links -= sum(t == "a" for t, _ in stack[i:])
-                    zone = stack[i][1]
-                    held.subtract(t for t, _ in stack[i:])
-                    del stack[i:]
-                    break
-                if stack[i][0] in stop:
-                    break
-        if len(stack) >= _DEEPEST:
-            continue
+            depth = last(tag)
+            if depth >= 0 and depth > last("ul", "ol", "dl", "table", "div", "article", "section", "main", "nav", "aside", "footer", "header", "body", "select", *(["tr"] if tag in ("td", "th") else [])):
+                pop(depth)
+        where[tag].append(len(stack))
+        if tag in _BLOCKS:
+            block_at.append(len(stack))
         stack.append((tag, zone))
-        held[tag] += 1
         inside = _zone(tag, m[4], zone)
         if inside != zone:
             end()
@@ -318,7 +323,7 @@ class Streams:
 
     def open_starts(self, bitmap: np.ndarray) -> np.ndarray:
         """Windows whose anchor may repeat."""
-        bit = self.anchor & np.uint64(_BITS - 1)
+        bit = self.anchor & np.uint64(64 * len(bitmap) - 1)
         return self.starts[(bitmap[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) == 1]
 
     def names(self, starts: np.ndarray) -> np.ndarray:
@@ -341,7 +346,7 @@ class Streams:
         n = len(self.tokens)
         in_repeat, in_site = covered(n, repeated, self.size), covered(n, site, self.size)
         zone = np.repeat(np.array([b[2] for b in self.blocks], np.int64), np.diff(self.block_at))
-        gone = np.where(zone == _OPEN, in_repeat, in_site)
+        gone = np.where((zone == _OPEN) | (zone == _DOUBTFUL), in_repeat, in_site)
         n_pages = len(self.order)
         size = np.bincount(self.page, minlength=n_pages)
         mirror = np.bincount(self.page, weights=gone, minlength=n_pages) >= 0.9 * np.maximum(size, 1)
@@ -352,7 +357,7 @@ class Streams:
         lost = np.concatenate([[0], np.cumsum(gone)])[self.block_at]
         order = self.order.tolist()
         for i, (number, words, z, place) in enumerate(self.blocks):
-            if z == _OPEN and (number in article or linked[order[number]][place] >= 0.6):
+            if (z == _OPEN and number in article) or (z in (_OPEN, _DOUBTFUL) and linked[order[number]][place] >= 0.6):
                 continue
             if lost[i + 1] > lost[i] and not mirror[number]:
                 words = _unique_runs(words, gone[self.block_at[i] : self.block_at[i + 1]])
@@ -423,9 +428,11 @@ def extract(pages: DataFrame, *, min_tokens: int = 10, k: int = 3, min_pages: in
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int32))], ["h", "n"])
 
     often = own.mapInArrow(count_anchors, "h long, n int").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= min_pages)
-    bit = F.col("h").bitwiseAND(F.lit(_BITS - 1))
-    rows = often.groupBy(F.shiftright(bit, 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit.bitwiseAND(63).cast("int"))).alias("bits")).toPandas()  # at most _BITS / 64 rows
-    bitmap = np.zeros(_BITS // 64, np.uint64)
+    often = cut(often.select("h"))
+    bits = min(_MOST_BITS, max(_BITS, 1 << (16 * often.count()).bit_length()))
+    bit = F.col("h").bitwiseAND(F.lit(bits - 1))
+    rows = often.groupBy(F.shiftright(bit, 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit.bitwiseAND(63).cast("int"))).alias("bits")).toPandas()  # at most _MOST_BITS / 64 rows
+    bitmap = np.zeros(bits // 64, np.uint64)
     bitmap[rows["word"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64).view(np.uint64)
     shared = spark.sparkContext.broadcast(bitmap)
 

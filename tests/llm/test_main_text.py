@@ -162,3 +162,34 @@ def test_query_rows(spark):
     assert main_text.extract(frame.limit(0)).count() == 0
     clashing = frame.selectExpr("*", "1 AS row", "'h' AS host", "2 AS w", "3 AS bytes", "'t' AS texts", "4 AS text", "5 AS n_chars")
     assert sorted(main_text.extract(clashing).collect(), key=str) == sorted(got, key=str)
+
+
+def one(spark, *pages):
+    frame = spark.createDataFrame([(i, "http://x.org/", p) for i, p in enumerate(pages)], "page_id long, url string, html string")
+    return {r.page_id: r.text for r in main_text.extract(frame).collect()}
+
+
+def test_ordinary_names_inside_an_article(spark):
+    page = "<body><nav>Home</nav><article><h1>Markets</h1><p class='share-price'>Shares rose.</p><section id='legal'><p>The court ruled on Monday.</p></section>{}</article></body>"
+    want = "Markets\nShares rose.\nThe court ruled on Monday."
+    out = one(spark, page.format(""), page.format("<div class='links'><a href=1>One</a> <a href=2>Two</a></div>"), page.format("<div class='related-posts'>More</div><div class=comments>Nice!</div><div class='ad'>Buy</div>"))
+    assert out == {0: want, 1: want, 2: want}
+
+
+def test_notices_inside_articles_go_where_the_host_repeats_them(spark):
+    notice = "<div class='notice'>we keep small files on your device so that this site can remember what you like to read</div>"
+    words = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu".split()
+    own = [" ".join(f"{w}{i}" for w in words) for i in range(6)]
+    out = one(spark, *[f"<article><h1>T{i}</h1><p>{t}.</p>{notice}<p>End of {t}.</p></article>" for i, t in enumerate(own)])
+    assert out == {i: f"T{i}\n{t}.\nEnd of {t}." for i, t in enumerate(own)}
+    once = one(spark, f"<article><p>{own[0]}.</p>{notice}</article>")
+    assert "small files" in once[0]  # a single page says nothing about its host
+
+
+def test_deep_and_broken_nesting_in_linear_time(spark):
+    deep = "<div>" * 3000 + "<nav>menu</nav><p>Text.</p>" + "</div>" * 3000
+    assert one(spark, f"<body>{deep}</body>") == {0: "Text."}
+    began = time.time()
+    for bad in ("<i>" * 60_000 + "<b>x</b></u>" * 60_000, "<span>" * 60_000 + "<a>x" * 60_000, "<div><b>" * 40_000 + "</i></b></p>" * 40_000, "<p>" * 60_000 + "<li>y" * 60_000):
+        main_text.blocks(bad)
+    assert time.time() - began < 20
