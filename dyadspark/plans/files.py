@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
 import re
 import struct
 import uuid
 
 import numpy as np
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -316,7 +318,20 @@ def embeddings_written(spark, d):
     e = X.table(spark, d, "embeddings").select(F.col("vec_id").alias("merge_key"), F.lit("prompt").alias("role"), F.col("embedding")[0].cast("double").alias("v"))
     tables.write_embeddings(e.where("merge_key % 3 = 0").withColumn("v", F.lit(-1.0)), to)
     tables.write_embeddings(e, to)
-    return spark.read.parquet(to).select("merge_key", "role", F.round("v", 6).alias("v"))
+    return tables.read_embeddings(spark, to).select("merge_key", "role", F.round("v", 6).alias("v"))
+
+
+@_query
+def embeddings_committed(spark, d):
+    """A write that fails in the middle and one that is repeated: each key once, from the first commit that has it."""
+    to = _folder(spark)
+    e = X.table(spark, d, "embeddings").select(F.col("vec_id").alias("merge_key"), F.lit("prompt").alias("role"), F.size("embedding").cast("double").alias("v"))
+    tables.write_embeddings(e.where("merge_key % 3 = 0").withColumn("v", F.lit(-1.0)), to)
+    with contextlib.suppress(PySparkException):
+        tables.write_embeddings(e.withColumn("v", F.when(F.col("merge_key") % 100 == 7, F.raise_error(F.lit("lost")).cast("double")).otherwise(-2.0)), to)
+    for _ in range(2):
+        tables.write_embeddings(e, to)
+    return tables.read_embeddings(spark, to)
 
 
 @_query

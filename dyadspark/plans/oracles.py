@@ -197,6 +197,7 @@ FROM base LEFT JOIN ni ON ni.audio_path = 'questions/' || stem || '.wav'""",
 SELECT '/a/' || vec_id || '.wav' AS path, CASE WHEN fine THEN 16000 END AS sample_rate, CASE WHEN fine THEN 32::BIGINT END AS n_frames, CASE WHEN fine THEN 0.002::DOUBLE END AS duration_s, CASE WHEN fine THEN 'OK' ELSE 'AUDIO_DECODE_FAILED' END AS status, CASE WHEN fine THEN round(total, 4) END AS total FROM e""",
     "shards_file": "SELECT (o_orderkey % 16)::INT AS shard, count(*) AS n, min(o_orderkey) AS first, max(o_orderkey) AS last, '5' AS missing FROM orders WHERE o_orderkey % 16 <> 5 GROUP BY 1",
     "pairs_written": f"WITH {_PATHS} SELECT o_orderkey, path FROM p WHERE o_orderkey % 10 = 8",
+    "embeddings_committed": "SELECT vec_id AS merge_key, 'prompt' AS role, CASE WHEN vec_id % 3 = 0 THEN -1.0 ELSE coalesce(len(embedding), -1) END::DOUBLE AS v FROM embeddings",
     "embeddings_written": "SELECT vec_id AS merge_key, 'prompt' AS role, CASE WHEN vec_id % 3 = 0 THEN -1.0 ELSE round(embedding[1]::DOUBLE, 6) END AS v FROM embeddings",
     "first_rows": "SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL ORDER BY 1, 2 LIMIT 100",
     "schema_checks": "SELECT * FROM (VALUES ('schema', 'absent', 'missing'), ('schema', 'source', 'unexpected'), ('schema', 'n_chars', 'unexpected')) v(\"check\", key, detail) UNION ALL SELECT 'not_empty', 'documents', 'no rows' WHERE (SELECT count(*) FROM documents) = 0 UNION ALL SELECT 'not_empty', 'none', 'no rows' WHERE (SELECT count(*) FROM documents WHERE doc_id < 0) = 0",

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import csv
 import re
+import uuid
 from collections.abc import Sequence
 from functools import reduce
 from typing import NamedTuple
@@ -19,6 +20,7 @@ from pyspark.sql import types as T
 from dyadspark.functions import text
 from dyadspark.operators.checkpoints import stored
 from dyadspark.operators.pairs import last_wins
+from dyadspark.sources import commits
 from dyadspark.sources.pcm import Counting, NotPcm, decoded, header_of, headers, names_below, subfolders, whole_files
 
 _strings = lambda *names: T.StructType([T.StructField(n, T.StringType()) for n in names])
@@ -284,19 +286,24 @@ def read_shards(spark: SparkSession, path: str, columns: Sequence[str]) -> tuple
     return rows, listed.withColumn("shard", shard_index(F.col("file_name")))
 
 
-def write_pairs(df: DataFrame, path: str, columns: Sequence[str], *, split: str = "split", mode: str = "errorifexists") -> None:
-    """Fixed column order, one folder for each split."""
-    df.select(*columns).write.mode(mode).partitionBy(split).parquet(path)
+def write_pairs(df: DataFrame, path: str, columns: Sequence[str], *, split: str = "split") -> None:
+    """Fixed column order, one folder for each split; the table has its name only when it is complete."""
+    spark = df.sparkSession
+    staged = f"{path.rstrip('/')}-staged-{uuid.uuid4().hex}"
+    try:
+        df.select(*columns).write.partitionBy(split).parquet(staged)
+        if not commits.rename_new(spark, staged, path):
+            raise FileExistsError(path)
+    finally:
+        commits.delete(spark, staged)
 
 
 def write_embeddings(df: DataFrame, path: str, keys: Sequence[str] = ("merge_key", "role")) -> None:
-    """Append what is not there yet; rows that exist are not written again."""
-    spark = df.sparkSession
-    try:
-        there = spark.read.parquet(path).select(*keys)
-    except AnalysisException as error:
-        if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            raise
-        there = None
-    new = df if there is None else df.join(there, list(keys), "left_anti")
-    new.write.mode("append").parquet(path)
+    """Append what is not there yet, as one commit (:mod:`commits`); rows that exist are not written again."""
+    commits.append(df, path, keys)
+
+
+def read_embeddings(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of all commits of :func:`write_embeddings`; an empty frame without columns where there are none."""
+    found = commits.committed(spark, path)
+    return spark.createDataFrame([], T.StructType([])) if found is None else found.drop("commit", "bucket")
