@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from dyadspark.llm._common import as_bytes, by_group, steps
+from dyadspark.llm._common import as_bytes, by_group, steps, trained
 from dyadspark.operators.checkpoints import cut
 
 _FOLD = np.full(256, 0x20, np.uint8)
@@ -171,9 +171,13 @@ def labelled_sample(docs: DataFrame, learn: Column, *, per_lang: int = 800, most
 
 
 def fit(docs: DataFrame, learn: Column, *, per_lang: int = 800, most_chars: int = 20_000, **options) -> LanguageModel:
-    """Train on the sample of :func:`labelled_sample`."""
-    rows = labelled_sample(docs, learn, per_lang=per_lang, most_chars=most_chars).toPandas().sort_values(["doc_id", "text"])
-    return train(rows.text.tolist(), rows.lang.tolist(), **options)
+    """Train on the sample of :func:`labelled_sample`, on an executor."""
+
+    def learn_from(rows):
+        rows = rows.sort_values(["doc_id", "text"])
+        return train(rows.text.tolist(), rows.lang.tolist(), **options)
+
+    return trained(labelled_sample(docs, learn, per_lang=per_lang, most_chars=most_chars), learn_from)
 
 
 def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
