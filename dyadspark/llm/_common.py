@@ -10,6 +10,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Bytes of text that one numpy step handles; a longer single text is a step of its own.
 STEP_BYTES = 4 << 20
@@ -114,6 +115,12 @@ def columns(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*names)
 
 
+def bounded(column: str, scale: float, kind: T.DataType) -> Column:
+    """The vector, or an error if inner products of vectors as long as ``scale`` times it could pass 64 bits."""
+    square = F.aggregate(F.transform(column, lambda x: F.pow(F.abs(x.cast("double") * scale) + 1, F.lit(2.0))), F.lit(0.0), lambda s, x: s + x)
+    return F.when(square < float(1 << 62), F.col(column)).otherwise(F.raise_error(F.lit("scores of a vector this long could pass 64 bits")).cast(kind))
+
+
 def partitions(df: DataFrame, at_least: int = 8) -> int:
     """Shuffle partitions of the session, for repartition() by a key."""
     return max(at_least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))

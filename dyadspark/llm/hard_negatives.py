@@ -31,6 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from dyadspark.llm._common import bounded
 from dyadspark.operators.checkpoints import scratch, stored
 
 _BLOCK = ("n", "label", "bucket", "part")
@@ -96,9 +97,7 @@ def _rows(vectors: DataFrame, is_anchor: Column, scale: int, block: int) -> Data
     fine = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     given = vectors.select("vec_id", "label", "embedding", F.coalesce(is_anchor, F.lit(False)).alias("anchor")).where(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.col("embedding").isNotNull() & F.coalesce(fine, F.lit(False)))
     whole = F.transform("embedding", lambda x: F.floor(F.lit(float(scale)) * x.cast("double")))
-    square = F.aggregate(F.transform("embedding", lambda x: F.pow(F.abs(x.cast("double") * scale) + 1, F.lit(2.0))), F.lit(0.0), lambda s, x: s + x)
-    safe = F.when(square < float(1 << 62), F.col("embedding")).otherwise(F.raise_error(F.lit("scores of a vector this long could pass 64 bits")).cast(vectors.schema["embedding"].dataType))
-    own = given.withColumn("embedding", safe).select("vec_id", "label", whole.alias("v"), "anchor").withColumn("n", F.size("v"))
+    own = given.withColumn("embedding", bounded("embedding", scale, vectors.schema["embedding"].dataType)).select("vec_id", "label", whole.alias("v"), "anchor").withColumn("n", F.size("v"))
     own = own.withColumn("length", F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))))
     own = stored(own.withColumns({"bucket": F.floor(F.log2(F.greatest("length", F.lit(1.0))) * 8).cast("int"), "row": F.monotonically_increasing_id()}))
     parts = own.groupBy("n", "label", "bucket").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))

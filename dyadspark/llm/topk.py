@@ -17,7 +17,7 @@ leave no bound much to prove, and most segments are read.
 
 Defined results: vectors that are null, or hold null or non-finite components, take no part; vectors of different
 lengths do not meet; a query never meets rows of its own id; ties go to the smaller id, rows that repeat an
-id and score are listed once each; an empty table gives an empty result; other columns, whatever their names, are
+id and score are listed once each; a vector so long that scores could pass 64 bits is an error; an empty table gives an empty result; other columns, whatever their names, are
 ignored.
 """
 
@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from dyadspark.llm._common import partitions
+from dyadspark.llm._common import bounded, partitions
 from dyadspark.operators.checkpoints import cut
 
 _LEVELS = 32
@@ -184,7 +184,8 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
 def top_k(vectors: DataFrame, is_query: Column, *, k: int = 10, scale: int = 1024, block: int = 8192, query_block: int = 2048) -> DataFrame:
     """``(query_id, rank, vec_id, score)`` of every query against all rows."""
     whole = F.transform("embedding", lambda x: F.floor(F.lit(float(scale)) * x.cast("double")).cast("long"))
-    own = cut(_usable(vectors).select("vec_id", whole.alias("v")).withColumn("n", F.size("v")))
+    fine = _usable(vectors).withColumn("embedding", bounded("embedding", scale, vectors.schema["embedding"].dataType))
+    own = cut(fine.select("vec_id", whole.alias("v")).withColumn("n", F.size("v")))
     kind = own.schema["vec_id"].dataType.simpleString()
     asked = own.where(is_query)
     parts = own.groupBy("n").agg(F.ceil(F.count("*") / block).cast("int").alias("n_c"), F.ceil(F.sum(is_query.cast("int")) / query_block).cast("int").alias("n_q")).where("n_q > 0")

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -121,3 +122,18 @@ def test_distances_follow_the_walk_where_vectors_have_neighbourhoods():
     want = {(int(i), int(j)) for i, j in zip(*np.nonzero(np.triu(v @ v.T >= 0.93, 1)), strict=True)}
     assert want <= found and len(found) < 1.5 * len(want)
     assert sum(seen) < 0.25 * 3000 * 3000 / 2
+
+
+def test_top_k_of_repeated_ids_and_very_long_vectors(spark):
+    given = [(10, [1.0, 2.0], 1), (10, [3.0, 1.0], 2), (20, [1.0, 1.0], 1), (20, [1.0, 1.0], 1), (30, [2.0, 2.0], 1)]
+    rows = topk.top_k(spark.createDataFrame(given, VEC), F.col("vec_id") == 30, k=10).orderBy("rank").collect()
+    assert [(r.vec_id, r.score >> 20) for r in rows] == [(10, 8), (10, 6), (20, 4), (20, 4)]
+    with pytest.raises(Exception, match="64 bits"):
+        topk.top_k(spark.createDataFrame([(100, [1e18], 1), (101, [1e18], 1)], VEC), F.col("vec_id") == 100).collect()
+
+
+def test_links_join_labels_through_a_repeated_id(spark):
+    given = [(1, [1.0, 0.0], 1), (2, [1.0, 0.01], 1), (2, [0.0, 1.0], 2), (3, [0.01, 1.0], 2), (4, [1.0, 1.0], 1)]
+    frame = spark.createDataFrame([(*r, 5, "x") for r in given], T.StructType([*VEC.fields, T.StructField("component", T.IntegerType()), T.StructField("cell", T.StringType())]))
+    got = sorted((r.vec_id, r.component_id, r.kept) for r in cover_tree.near_duplicates(frame, cosine=0.93).collect())
+    assert got == [(1, 1, True), (2, 1, False), (2, 1, False), (3, 1, False), (4, 4, True)]
