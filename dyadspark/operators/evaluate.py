@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from dyadspark.constants import RESPONSE_TARGETS
+from dyadspark.operators.checkpoints import cut
 
 
 def history(pairs: DataFrame, features: Sequence[str], length: int, *, interaction: str = "interaction_id", order: str = "turn_index") -> DataFrame:
@@ -43,66 +44,71 @@ def target_average(scores: DataFrame, by: Sequence[str], values: Sequence[str] =
     return scores.groupBy(*by).agg(*[F.avg(v).alias(v) for v in values])
 
 
-def c_index(predictions: DataFrame, by: Sequence[str], *, y: str = "y", mu: str = "mu", block_rows: int = 100_000, most_blocks: int = 128) -> DataFrame:
+def c_index(predictions: DataFrame, by: Sequence[str], *, y: str = "y", mu: str = "mu", block_rows: int = 100_000, most_blocks: int = 1024) -> DataFrame:
     """Share of pairs with different ``y`` that ``mu`` orders alike; ties of ``mu`` count one half.
 
-    Rows with equal ``(y, mu)`` are counted once with their number. A large group is cut into ranges of ``y`` and
-    ranges of ``mu``. Pairs of one ``y`` range are counted in its task, pairs of one ``mu`` range in its task, and
-    pairs that share neither are decided by the counts of the grid of ranges, so no task sees a whole group.
+    Rows with equal ``(y, mu)`` are counted once with their number. If the largest group has over ``block_rows`` of them,
+    groups are cut into ranges of ``y`` and ranges of ``mu``, as many as that group has blocks. Pairs of one ``y`` range
+    are counted in its task, pairs of one ``mu`` range in its task, and pairs that share neither are decided by the counts
+    of the grid of ranges, so no task sees a whole group.
     """
     by = list(by)
     kinds = ", ".join(f"{c} {predictions.schema[c].dataType.simpleString()}" for c in by)
     distinct = predictions.where(F.col(y).isNotNull() & F.col(mu).isNotNull()).groupBy(*by, F.col(y).cast("double").alias("_y"), F.col(mu).cast("double").alias("_mu")).agg(F.count("*").alias("_n"))
-    steps = [i / most_blocks for i in range(1, most_blocks)]
-    cut = lambda c: F.percentile_approx(c, steps, 10 * most_blocks)
-    edges = distinct.groupBy(*by).agg(F.count("*").alias("_rows"), cut("_y").alias("_ye"), cut("_mu").alias("_me"))
-    large = F.col("_rows") > block_rows
-    place = lambda c, e: F.when(large, F.size(F.filter(e, lambda x: x < F.col(c)))).otherwise(0)
-    keyed = [F.col(c).alias(f"_k{i}") for i, c in enumerate(by)]
-    same = [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(by)]
-    dealt = distinct.join(edges.select(*keyed, "_rows", "_ye", "_me"), reduce(and_, same)).select(*by, "_y", "_mu", "_n", place("_y", "_ye").alias("_yb"), place("_mu", "_me").alias("_mb"))
+    schema = f"{kinds}, good long, tied long, comparable long"
 
     def pairs(first: str, second: str, ties: bool):
         def run(key, frame):
-            concordant, tied, comparable = _ordered_pairs(frame[first].to_numpy(), frame[second].to_numpy(), frame["_n"].to_numpy())
-            return pd.DataFrame([[*key[: len(by)], concordant, tied, comparable] if ties else [*key[: len(by)], concordant, 0, comparable - tied]], columns=[*by, "good", "tied", "comparable"])
+            good, tied, comparable = ordered_pairs(frame[first].to_numpy(), frame[second].to_numpy(), frame["_n"].to_numpy())
+            return pd.DataFrame([[*key[: len(by)], good, tied, comparable] if ties else [*key[: len(by)], good, 0, comparable - tied]], columns=[*by, "good", "tied", "comparable"])
 
         return run
 
-    schema = f"{kinds}, good long, tied long, comparable long"
-    in_y = dealt.groupBy(*by, "_yb").applyInPandas(pairs("_y", "_mu", True), schema)
-    in_mu = dealt.groupBy(*by, "_mb").applyInPandas(pairs("_yb", "_mu", True), schema)
-    grid = dealt.groupBy(*by, "_yb", "_mb").agg(F.sum("_n").alias("_n")).groupBy(*by).applyInPandas(pairs("_yb", "_mb", False), schema)
-    total = in_y.unionByName(in_mu).unionByName(grid).groupBy(*by).agg(*[F.sum(c).alias(c) for c in ("good", "tied", "comparable")])
+    largest = cut(distinct.groupBy(*by).agg(F.count("*").alias("_rows"))).agg(F.max("_rows")).first()[0] or 0
+    ranges = min(most_blocks, -(-largest // block_rows))
+    if ranges <= 1:
+        total = distinct.groupBy(*by).applyInPandas(pairs("_y", "_mu", True), schema)
+    else:
+        steps = [i / ranges for i in range(1, ranges)]
+        edge = lambda c: F.percentile_approx(c, steps, 10 * ranges)
+        edges = distinct.groupBy(*by).agg(edge("_y").alias("_ye"), edge("_mu").alias("_me"))
+        place = lambda c, e: F.size(F.filter(e, lambda x: x < F.col(c)))
+        keyed = [F.col(c).alias(f"_k{i}") for i, c in enumerate(by)]
+        same = [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(by)]
+        dealt = distinct.join(edges.select(*keyed, "_ye", "_me"), reduce(and_, same)).select(*by, "_y", "_mu", "_n", place("_y", "_ye").alias("_yb"), place("_mu", "_me").alias("_mb"))
+        in_y = dealt.groupBy(*by, "_yb").applyInPandas(pairs("_y", "_mu", True), schema)
+        in_mu = dealt.groupBy(*by, "_mb").applyInPandas(pairs("_yb", "_mu", True), schema)
+        grid = dealt.groupBy(*by, "_yb", "_mb").agg(F.sum("_n").alias("_n")).groupBy(*by).applyInPandas(pairs("_yb", "_mb", False), schema)
+        total = in_y.unionByName(in_mu).unionByName(grid).groupBy(*by).agg(*[F.sum(c).alias(c) for c in ("good", "tied", "comparable")])
     return total.select(*by, "comparable", F.try_divide(F.col("good") + 0.5 * F.col("tied"), F.col("comparable")).alias("c_index"))
 
 
-def _ordered_pairs(y: np.ndarray, mu: np.ndarray, n: np.ndarray) -> tuple[int, int, int]:
-    """``(concordant, tied in mu, comparable)`` counts of pairs with different y."""
-    order = np.lexsort((mu, y))
-    y, n = y[order], n[order].tolist()
-    rank = np.unique(mu[order], return_inverse=True)[1].tolist()
-    size = max(rank, default=-1) + 1
-    tree, at = [0] * (size + 1), [0] * size
-    concordant = tied = comparable = seen = 0
-    cuts = np.append(np.flatnonzero(np.append(True, y[1:] != y[:-1])), len(y)).tolist() if len(y) else [0]
-    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-        for i in range(a, b):
-            below, r = 0, rank[i]
-            while r > 0:
-                below += tree[r]
-                r &= r - 1
-            concordant += below * n[i]
-            tied += at[rank[i]] * n[i]
-            comparable += seen * n[i]
-        for i in range(a, b):
-            at[rank[i]] += n[i]
-            r = rank[i] + 1
-            while r <= size:
-                tree[r] += n[i]
-                r += r & -r
-            seen += n[i]
-    return concordant, tied, comparable
+def ordered_pairs(y: np.ndarray, mu: np.ndarray, n: np.ndarray) -> tuple[int, int, int]:
+    """``(concordant, tied in mu, comparable)`` counts of pairs with different y; row i stands for ``n[i]`` rows.
+
+    Two rows part at the highest bit in which their ranks of mu differ: they share the bits above, and the smaller
+    has a zero where the other has a one. So for each bit, rows with equal bits above it are read in the order of y, and
+    every one meets the zeros before it, by one running sum.
+    """
+    y, mu = (np.unique(x, return_inverse=True)[1].astype(np.int64) for x in (y, mu))
+    n = n.astype(np.int64)
+    squares = lambda of: int((np.bincount(of, weights=n).astype(np.int64) ** 2).sum()) if len(of) else 0
+    both = np.unique(np.stack([y, mu]), axis=1, return_inverse=True)[1].ravel() if len(y) else y
+    comparable, tied = (int(n.sum()) ** 2 - squares(y)) // 2, (squares(mu) - squares(both)) // 2
+    order = np.argsort(y, kind="stable")
+    y, mu, n = y[order], mu[order], n[order]
+    good = 0
+    for bit in range(int(mu.max(initial=0)).bit_length()):
+        above = mu >> (bit + 1)
+        order = np.argsort(above, kind="stable")
+        group, one, own = above[order], (mu[order] >> bit) & 1, n[order]
+        zeros = np.concatenate([[0], np.cumsum(own * (1 - one))])
+        at = np.arange(len(group))
+        new_group = np.concatenate([[True], group[1:] != group[:-1]])
+        new_y = new_group | np.concatenate([[True], y[order][1:] != y[order][:-1]])
+        begin, same_y = (np.maximum.accumulate(np.where(new, at, 0)) for new in (new_group, new_y))
+        good += int((own * one * (zeros[same_y] - zeros[begin])).sum())
+    return good, tied, comparable
 
 
 def log_likelihood(predictions: DataFrame, *, y: str = "y", mu: str = "mu", sigma: str = "sigma", into: str = "ll") -> DataFrame:

@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -66,6 +68,20 @@ def test_c_index_of_groups_cut_into_ranges(spark):
         assert got == {g: (n, round(c, 9)) for g, own in rows.items() for n, c in [plain_c_index(own)]}
 
 
+def test_pairs_are_counted_by_the_bits_of_ranks():
+    rng = np.random.default_rng(0)
+    for k in range(60):
+        y, mu, n = rng.integers(0, 8, k).astype(float), rng.integers(0, 6, k).astype(float), rng.integers(1, 5, k)
+        good = tied = comparable = 0
+        for i in range(k):
+            for j in range(k):
+                if y[i] < y[j]:
+                    comparable += n[i] * n[j]
+                    tied += n[i] * n[j] * (mu[i] == mu[j])
+                    good += n[i] * n[j] * (mu[i] < mu[j])
+        assert evaluate.ordered_pairs(y, mu, n) == (good, tied, comparable)
+
+
 def test_split_takes_the_same_greedy_choices(spark):
     rnd = random.Random(2)
     for fractions in ({"train": 0.6, "val": 0.1, "test": 0.3}, {"a": 0.5, "b": 0.5}):
