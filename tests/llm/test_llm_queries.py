@@ -18,6 +18,8 @@ from dyadspark.llm import queries
 from tests.llm.test_bpe import PATH
 from tests.llm.test_mixing import plain_targets
 from tests.llm.test_simhash import plain_components, plain_fingerprint
+from tests.llm.test_spelling import plain as plain_variants
+from tests.llm.test_substring_dedup import plain as plain_windows
 from tests.llm.test_suffix_dedup import plain as plain_removal
 
 DATA = "/root/testdata/sf0.001"
@@ -91,6 +93,26 @@ def test_op7(spark, docs):
     assert np.mean([r.predicted == toxic[r.doc_id] for r in known]) > 0.8
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no test data")
+def test_op7_finds_toxic_texts_it_never_saw(spark):
+    """Recall and precision of label 1 among held-out rows: a constant score has neither."""
+    large = "/root/testdata/sf0.1"
+    toxic = dict(duckdb.sql(f"SELECT doc_id, toxic FROM '{large}/labels.parquet' WHERE toxic IS NOT NULL").fetchall())
+    out = [r for r in queries.QUERIES["op7_toxicity"](spark, large).collect() if r.held_out and r.doc_id in toxic]
+    found, true = {r.doc_id for r in out if r.predicted}, {r.doc_id for r in out if toxic[r.doc_id]}
+    assert len(true) > 50 and len(found & true) / len(true) > 0.75 and len(found & true) / len(found) > 0.75
+
+
+def test_op11(spark, docs):
+    got = [(r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in rows(spark, "op11_substring_dedup")]
+    assert sorted(got, key=str) == plain_windows([(i, t) for i, (t, _) in docs.items()])
+
+
+def test_op13(spark, docs):
+    got = {r.word: (r.form, r.root, r.n, r.n_near, r.form_n) for r in rows(spark, "op13_spelling")}
+    assert got == plain_variants([(i, t) for i, (t, _) in docs.items()])
+
+
 def test_op8(spark):
     """These pages hold one article element each."""
     got = {r.page_id: r for r in rows(spark, "op8_main_text")}

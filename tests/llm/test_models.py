@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -208,3 +209,56 @@ def test_toxic_sample_is_chosen_among_usable_texts(spark):
     labels = spark.createDataFrame([(i, i % 2) for i in range(300)], "doc_id long, toxic int")
     found = toxicity.labelled_sample(spark.createDataFrame(rows, DOC), labels, mod=10**9, out=-1, per_class=60).collect()
     assert Counter(r.toxic for r in found) == {0: 60, 1: 60} and min(r.doc_id for r in found) >= 150
+
+
+def plain_toxicity(model, text):
+    """The score of one text word by word, without arrays of texts."""
+    mask = (1 << 64) - 1
+    words = [w.lower() for w in re.findall(rb"[A-Za-z\x80-\xff]+", text.encode())]
+    vectors = []
+    for w in words:
+        total = np.zeros(model.embedding.shape[1])
+        for i, stem in enumerate((None, *toxicity.STEMS)):
+            part = w if stem is None else w[:stem]
+            h = sum((b + 1) * pow(int(toxicity._MULT), (j & 63) + 1, 1 << 64) + j for j, b in enumerate(part))
+            h = (h + (0x5851F42D4C957F2D * i & mask)) & mask
+            h ^= h >> 29
+            h = h * 0xBF58476D1CE4E5B9 & mask
+            h ^= h >> 32
+            slot = h & (toxicity._SLOTS - 1)
+            total += model.embedding[model.row[slot] if model.fingerprint[slot] == h >> 32 else 0]
+        vectors.append(total)
+    pooled = []
+    for w, b in zip(model.filters, model.biases, strict=True):
+        found = [sum(vectors[i + j] @ w[j] for j in range(len(w))) + b for i in range(len(vectors) - len(w) + 1)]
+        pooled += list(np.maximum(np.max(found, axis=0), 0)) if found else [0.0] * len(b)
+    z = float(np.dot(pooled, model.out)) + model.bias
+    return 1 / (1 + math.exp(-min(30, max(-30, model.scale * z + model.shift))))
+
+
+def plain_language(model, text):
+    """Probabilities of one text from the subwords at each of its bytes."""
+    raw = text.encode()
+    folded = [b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in raw]
+    total = np.zeros(len(model.langs))
+    for size in (2, 3, 4):
+        for i in range(len(raw)):
+            code = int.from_bytes(bytes((folded[i : i + size] + [32] * size)[:size]), "big")
+            total += model.table[((code * 0x9E3779B1 + (size * 0x61C88647 & 0xFFFFFFFF)) & 0xFFFFFFFF) >> 16]
+    z = (total / max(1, len(raw)) / 3 + model.bias) / model.temperature
+    p = np.exp(z - z.max())
+    return p / p.sum()
+
+
+def test_scores_equal_plain_recomputation(spark):
+    data = "/root/testdata/sf0.001"
+    docs, labels = spark.read.parquet(f"{data}/documents.parquet"), spark.read.parquet(f"{data}/labels.parquet")
+    some = docs.where("length(text) < 3000").orderBy("doc_id").limit(25).unionByName(spark.createDataFrame([(-1, "", None, None, 0), (-2, "Ünïcödé word " + "x" * 200, None, None, 0), (-3, "12 34", None, None, 0)], docs.schema))
+    texts = {r.doc_id: r.text for r in some.collect()}
+    toxic = toxicity.fit(docs, labels)
+    got = {r.doc_id: r.score for r in toxicity.score(some, toxic).collect()}
+    assert all(abs(got[i] - plain_toxicity(toxic, t)) < 1e-4 for i, t in texts.items())
+    model = language.fit(docs, F.lit(True))
+    for r in language.identify(some, model).collect():
+        p = plain_language(model, texts[r.doc_id])
+        assert r.lang_pred == "und" and r.score == 0 or r.lang_pred == model.langs[int(p.argmax())] and abs(r.score - p.max()) < 1e-4
