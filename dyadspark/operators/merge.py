@@ -38,6 +38,28 @@ def merge_tables(left: DataFrame, right: DataFrame, keys: Sequence[str] = MERGE_
     return out.withColumnRenamed("pair_id", "pair_id_old") if "pair_id" in out.columns else out
 
 
+def save_bucketed(df: DataFrame, name: str, keys: Sequence[str] = ("merge_key",), *, buckets: int = 200) -> DataFrame:
+    """``df`` as a table of the session's warehouse, dealt to buckets by its keys and sorted in them.
+
+    Tables with the same keys and buckets join, and are checked for repeated keys, without a shuffle: each task reads
+    the same bucket of all of them. Floating keys are rounded before they are dealt.
+    """
+    keys = list(keys)
+    own = rounded_keys(df, keys).repartition(buckets, *keys)  # one file for each bucket
+    own.write.bucketBy(buckets, *keys).sortBy(*keys).mode("errorifexists").format("parquet").saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
+def merge_bucketed(tables: Sequence[DataFrame], keys: Sequence[str] = ("merge_key",)) -> DataFrame:
+    """Inner join of any number of tables of :func:`save_bucketed` on their common keys, each key once in each: all columns
+    of the first, and those that only a later one has."""
+    keys, out = list(keys), _checked_unique(tables[0], list(keys), "first")
+    for i, table in enumerate(tables[1:], 2):
+        own = [c for c in table.columns if c in keys or c not in out.columns]
+        out = out.join(_checked_unique(table.select(*own), keys, f"number {i}").hint("merge"), keys)
+    return out
+
+
 def _checked_unique(df: DataFrame, keys: list[str], name: str) -> DataFrame:
     """``df``, which raises at a key that is not unique; the check sits in a filter, so no optimisation drops it."""
     many = F.count(F.lit(1)).over(W.partitionBy(*keys))

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import uuid
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from dyadspark.functions.text import canonical_participant_id
+from dyadspark.sources import commits
 
 
 def _rows(df: DataFrame, name: str, key: Column, detail: Column) -> DataFrame:
@@ -74,3 +77,37 @@ def fail_on_violation(violations: DataFrame, show: int = 5) -> None:
     found = violations.limit(show).collect()
     if found:
         raise ValueError("; ".join(f"{r.check}: {r.key}: {r.detail}" for r in found))
+
+
+def observed(df: DataFrame, checks: Mapping[str, Column], *, unique: Sequence[str] = ()) -> tuple[DataFrame, Observation]:
+    """``df`` with counts of its violations taken while it is written: rows for which a check is not true.
+
+    ``unique`` adds the count ``unique_key`` of rows whose key stands more than once. The counts, and ``rows``, are in the
+    observation after the one job that writes ``df``.
+    """
+    seen = Observation()
+    rows = df if not unique else df.withColumn("_many", F.count(F.lit(1)).over(W.partitionBy(*unique)))
+    counts = [F.count_if(~F.coalesce(ok, F.lit(False))).alias(name) for name, ok in checks.items()]
+    counts += [F.count_if(F.col("_many") > 1).alias("unique_key")] if unique else []
+    return rows.observe(seen, F.count(F.lit(1)).alias("rows"), *counts).drop("_many"), seen
+
+
+def write_checked(df: DataFrame, path: str, checks: Mapping[str, Column], *, unique: Sequence[str] = (), fail: bool = True) -> dict[str, int]:
+    """Write ``df`` as a table and check it in the same job; the counts by check, with ``rows``.
+
+    With ``fail`` a table with violations, or without a row, is an error and never gets its name.
+    """
+    spark = df.sparkSession
+    rows, seen = observed(df, checks, unique=unique)
+    staged = f"{path.rstrip('/')}-staged-{uuid.uuid4().hex}"
+    try:
+        rows.write.parquet(staged)
+        found = dict(seen.get)
+        bad = [f"{name}: {n} of {found['rows']} rows" for name, n in found.items() if name != "rows" and n]
+        if fail and (bad or not found["rows"]):
+            raise ValueError("; ".join(bad) or "no rows")
+        if not commits.rename_new(spark, staged, path):
+            raise FileExistsError(path)
+    finally:
+        commits.delete(spark, staged)
+    return found

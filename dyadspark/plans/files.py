@@ -12,8 +12,9 @@ from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from dyadspark.constants import RESPONSE_TARGETS
 from dyadspark.functions import text
-from dyadspark.operators import embed, merge, pairs, quality, voice
+from dyadspark.operators import embed, evaluate, merge, pairs, quality, voice
 from dyadspark.operators.checkpoints import ensure_checkpoint_dir
 from dyadspark.plans import fixtures as X
 from dyadspark.plans.natural import natural_pairs as build_natural
@@ -334,6 +335,54 @@ def embeddings_committed(spark, d):
     return tables.read_embeddings(spark, to)
 
 
+@_query
+def merge_buckets(spark, d):
+    """Three feature tables, bucketed by their key, joined one to one without a shuffle."""
+    keys = ["l_orderkey", "l_linenumber"]
+    left, right = X.feature_tables(spark, d)
+    third = X.table(spark, d, "lineitem").groupBy(*keys).agg(F.max("l_discount").alias("discount"))
+    save = lambda df: merge.save_bucketed(df, f"features_{uuid.uuid4().hex}", keys, buckets=8)
+    return merge.merge_bucketed([save(left), save(right), save(third)], keys)
+
+
+@_query
+def checked_write(spark, d):
+    """A table written and checked by one job: what it holds, and how many rows fail each check."""
+    line = X.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate", F.when(F.col("l_orderkey") % 1000 == 0, " ").otherwise("x").alias("k"), "l_quantity", F.when(F.col("l_partkey") % 50 == 0, F.col("l_quantity") - 1).otherwise(F.col("l_quantity") + 1).alias("end"))
+    twice = line.unionByName(line.where("l_orderkey % 777 = 1"))
+    to = f"{_folder(spark)}/table"
+    checks = {"non_empty_key": F.trim("k") != "", "interval": F.col("end") >= F.col("l_quantity"), "shipped": F.col("l_shipdate").isNotNull()}
+    found = quality.write_checked(twice, to, checks, unique=["l_orderkey", "l_linenumber"], fail=False)
+    facts = F.array(*[F.struct(F.lit(name).alias("check"), F.lit(n).cast("long").alias("n")) for name, n in found.items()])
+    total = spark.read.parquet(to).agg(F.count("*").alias("written"), F.sum("l_quantity").cast("double").alias("quantity"))
+    return total.select(F.explode(facts).alias("f"), "written", F.round("quantity", 2).alias("quantity")).select("f.check", "f.n", "written", "quantity")
+
+
+@_query
+def response_targets(spark, d):
+    """All response measurements of every order as rows, those that are missing too."""
+    o = X.table(spark, d, "orders")
+    value = lambda i: F.when(F.col("o_custkey") % (i + 5) != 0, (F.col("o_orderkey") % (i + 7)).cast("double") / 4)
+    rows = o.select(F.col("o_orderkey").alias("merge_key"), *[value(i).alias(f"response_{t}") for i, t in enumerate(RESPONSE_TARGETS)])
+    return evaluate.response_table(rows)
+
+
+@_query
+def encoder_outputs(spark, d):
+    """Encoders that name their outputs: the pooled one of rank two counts, whatever else they return."""
+
+    def encoder():
+        def run(x):
+            return embed.select_output({"hidden": x[:, None, :], "embedding": x.reshape(len(x), -1)[:, :4] * 2, "scale": x.sum(axis=1)})
+
+        return run
+
+    e = X.table(spark, d, "embeddings").where("embedding IS NOT NULL AND size(embedding) >= 4")
+    rows = e.select(F.col("vec_id").alias("merge_key"), F.lit("prompt").alias("role"), F.col("embedding").alias("samples"), F.lit("OK").alias("status"))
+    out = embed.embed_segments(rows, encoder)
+    return out.select("merge_key", *[F.round(F.col("embedding")[i].cast("double"), 4).alias(f"e{i}") for i in range(4)])
+
+
 @_query
 def first_rows(spark, d):
     """The first hundred line items by key: sorted output with a limit."""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dyadspark.constants import BACKCHANNELS
+from dyadspark.constants import BACKCHANNELS, RESPONSE_TARGETS
 
 _LEXICON = ", ".join("'" + x.replace("'", "''") + "'" for x in BACKCHANNELS)
 _LINE = r"ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
@@ -197,6 +197,12 @@ FROM base LEFT JOIN ni ON ni.audio_path = 'questions/' || stem || '.wav'""",
 SELECT '/a/' || vec_id || '.wav' AS path, CASE WHEN fine THEN 16000 END AS sample_rate, CASE WHEN fine THEN 32::BIGINT END AS n_frames, CASE WHEN fine THEN 0.002::DOUBLE END AS duration_s, CASE WHEN fine THEN 'OK' ELSE 'AUDIO_DECODE_FAILED' END AS status, CASE WHEN fine THEN round(total, 4) END AS total FROM e""",
     "shards_file": "SELECT (o_orderkey % 16)::INT AS shard, count(*) AS n, min(o_orderkey) AS first, max(o_orderkey) AS last, '5' AS missing FROM orders WHERE o_orderkey % 16 <> 5 GROUP BY 1",
     "pairs_written": f"WITH {_PATHS} SELECT o_orderkey, path FROM p WHERE o_orderkey % 10 = 8",
+    "merge_buckets": f"""WITH {_TABLES}, t3 AS (SELECT l_orderkey, l_linenumber, max(l_discount) AS discount FROM lineitem GROUP BY ALL)
+SELECT l_orderkey, l_linenumber, lt.part, lt.quantity, price, tax, discount FROM lt JOIN rt USING (l_orderkey, l_linenumber) JOIN t3 USING (l_orderkey, l_linenumber)""",
+    "checked_write": """WITH t AS (SELECT *, CASE WHEN l_partkey % 50 = 0 THEN l_quantity - 1 ELSE l_quantity + 1 END AS e FROM lineitem, range(0, 2) AS r(x) WHERE x = 0 OR l_orderkey % 777 = 1), w AS (SELECT count(*) AS n, round(sum(l_quantity)::DOUBLE, 2) AS q FROM t), u AS (SELECT l_orderkey, l_linenumber, count(*) AS n FROM t GROUP BY ALL HAVING count(*) > 1)
+SELECT unnest(['rows', 'non_empty_key', 'interval', 'shipped', 'unique_key']) AS "check", unnest([n, (SELECT count(*) FROM t WHERE l_orderkey % 1000 = 0), (SELECT count(*) FROM t WHERE e < l_quantity), (SELECT count(*) FROM t WHERE l_shipdate IS NULL), (SELECT coalesce(sum(n), 0)::BIGINT FROM u)]) AS n, n AS written, q AS quantity FROM w""",
+    "response_targets": "SELECT o_orderkey AS merge_key, t.name AS target, CASE WHEN o_custkey % (t.i + 5) <> 0 THEN (o_orderkey % (t.i + 7)) / 4.0::DOUBLE END AS value FROM orders, (VALUES " + ", ".join(f"({i}, '{t}')" for i, t in enumerate(RESPONSE_TARGETS)) + ") AS t(i, name)",
+    "encoder_outputs": "SELECT vec_id AS merge_key, " + ", ".join(f"round(embedding[{i + 1}]::DOUBLE * 2, 4) AS e{i}" for i in range(4)) + " FROM embeddings WHERE len(embedding) >= 4",
     "embeddings_committed": "SELECT vec_id AS merge_key, 'prompt' AS role, CASE WHEN vec_id % 3 = 0 THEN -1.0 ELSE coalesce(len(embedding), -1) END::DOUBLE AS v FROM embeddings",
     "embeddings_written": "SELECT vec_id AS merge_key, 'prompt' AS role, CASE WHEN vec_id % 3 = 0 THEN -1.0 ELSE round(embedding[1]::DOUBLE, 6) END AS v FROM embeddings",
     "first_rows": "SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL ORDER BY 1, 2 LIMIT 100",
