@@ -91,14 +91,18 @@ def plan(own: DataFrame, *, most_epochs: int = 3) -> DataFrame:
     return goal.join(ends, F.col("source").eqNullSafe(F.col("of")), "left").select("source", "source_size", "target", "epochs", "cut_b", "cut_key", "cut_id", "cut_th", "cut_rows")
 
 
-def _decided(rows: DataFrame, own: DataFrame, most_broadcast: int = 10_000) -> tuple[DataFrame, DataFrame]:
-    """``(apart, tied)``: measured rows with the plan of their source and, apart from the run at the cut, ``_copies``.
+def _small(own: DataFrame, most_broadcast: int = 10_000) -> DataFrame:
+    """The plan under names of its own, broadcast if it is counted to be small.
 
-    The plan is broadcast if it is counted to be small; texts are then not shuffled at all, and a source that holds
-    a third of them stays where it is. With more sources than ``most_broadcast`` Spark joins by source.
+    Texts are then not shuffled at all, and a source that holds a third of them stays where it is. With more sources
+    than ``most_broadcast`` Spark joins by source.
     """
     own = cut(own.select([F.col(c).alias(f"_p_{c}") for c in own.columns]))
-    own = F.broadcast(own) if own.count() <= most_broadcast else own
+    return F.broadcast(own) if own.count() <= most_broadcast else own
+
+
+def _decided(rows: DataFrame, own: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(apart, tied)``: measured rows with the plan of their source and, apart from the run at the cut, ``_copies``."""
     met = rows.join(own, F.col("source").eqNullSafe(F.col("_p_source")))
     key, i, th = (F.col("_b") == F.col("_p_cut_b")) & (F.col("_key") == F.col("_p_cut_key")), F.col("doc_id"), F.col("_th")
     same_id = i.eqNullSafe(F.col("_p_cut_id"))
@@ -118,7 +122,7 @@ def _dealt(runs: DataFrame, n: str, number: str, most: int = 4096) -> DataFrame:
 def report(docs: DataFrame, *, most_epochs: int = 3, seed: str = "mix:", weight: Column | None = None) -> DataFrame:
     """``(doc_id, size, source_size, target, taken)`` of every row."""
     own = cut(_measured(docs, seed, weight).select("doc_id", "source", "_size", "_key", "_b", "_th"))
-    apart, tied = _decided(own, plan(own, most_epochs=most_epochs))
+    apart, tied = _decided(own, _small(plan(own, most_epochs=most_epochs)))
     given = ["doc_id", "_size", "_p_source_size", "_p_target"]
     runs = tied.groupBy(*given, "_p_source", "_p_epochs", "_p_cut_rows").agg(F.count("*").alias("_n"))
     one = _dealt(runs, "_n", "_i").withColumn("_copies", F.col("_p_epochs") + (F.col("_i") <= F.col("_p_cut_rows")).cast("int"))
@@ -133,9 +137,14 @@ def mix(docs: DataFrame, *, most_epochs: int = 3, seed: str = "mix:", weight: Co
     """
     given = docs if weight is None else docs.withColumn("_weight", weight)
     given = given.select("doc_id", "source", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), *(["_weight"] if weight is not None else []))
-    measured = _measured(given, seed, None if weight is None else F.col("_weight"))
+    by = None if weight is None else F.col("_weight")
+    measured = _measured(given, seed, by)
     own = cut(measured.select("doc_id", "source", "_size", "_key", "_b", "_th"))
-    apart, tied = _decided(measured, plan(own, most_epochs=most_epochs))
+    goal = _small(plan(own, most_epochs=most_epochs))
+    apart, _ = _decided(measured, goal)
+    # only rows of the id at the cut are measured once more
+    at = F.col("source").eqNullSafe(F.col("_p_source")) & F.col("doc_id").eqNullSafe(F.col("_p_cut_id")) & F.col("_p_cut_th").isNotNull()
+    _, tied = _decided(_measured(given.join(goal.select("_p_source", "_p_cut_id", "_p_cut_th"), at, "left_semi"), seed, by), goal)
     most = lambda copies: F.least(copies, F.lit(most_epochs))  # noqa: E731  documents of size 0 fit any budget
     once = apart.where("_copies > 0").select("_row", F.explode(F.sequence(F.lit(1), most(F.col("_copies")))).alias("_copy")).select("_row.*")
     # the run at the cut: equal rows are counted, and those that differ in other columns follow each other
