@@ -101,14 +101,27 @@ def candidate_pair_id(model: Column, split: Column, style: Column, prompt_stem:
 
 
 def number_text(x: Column) -> Column:
-    """Plain decimal text of a number rounded to six places, at least one of them kept: 0.0005, 12345678.5, 3.0."""
-    fixed = F.format_string("%.6f", F.round(x.cast("double"), 6))
-    return F.regexp_replace(fixed, r"(\.\d+?)0+$", "$1")
+    """Plain decimal text of a number rounded to six places, at least one of them kept: 0.0005, 12345678.5, 3.0, -0.0.
+
+    Rounding is that of doubles, half away from zero after a product with a million, and digits are those of the double
+    itself, as SQL's ``printf`` writes them (from 2^63 on those of its shortest text). Null stays null.
+    """
+    x = x.cast("double")
+    size = F.round(F.abs(x) * 1e6) / 1e6
+    size = F.when(size < float("inf"), size).otherwise(F.abs(x))  # the product overflowed
+    whole, part = F.floor(size), F.rint((size - F.floor(size)) * 1e6).cast("long")
+    plain = F.concat((whole + F.floor(part / 1_000_000)).cast("string"), F.lit("."), F.lpad((part % 1_000_000).cast("string"), 6, "0"))
+    plain = F.when(size < float(1 << 63), plain).otherwise(F.format_string("%.6f", size))
+    fixed = F.regexp_replace(plain, r"(\.\d+?)0+$", "$1")
+    # the text of -0.0 is the one place where its sign shows
+    minus = F.when((x < 0) | x.cast("string").startswith("-"), "-").otherwise("")
+    return F.when(F.isnan(x), "nan").when(F.abs(x) == float("inf"), F.concat(minus, F.lit("inf"))).when(x.isNotNull(), F.concat(minus, fixed))
 
 
 def merge_key(columns: Sequence[str], numbers: Sequence[str] = ("prompt_start_s", "prompt_end_s", "response_start_s", "response_end_s")) -> Column:
-    """Key text for output; joins use the typed columns."""
-    return F.concat_ws("|", *[number_text(F.col(c)) if c in numbers else F.col(c).cast("string") for c in columns])
+    """Key text for output; joins use the typed columns. A key that lacks a part is null, as it would read like another."""
+    parts = [number_text(F.col(c)) if c in numbers else F.col(c).cast("string") for c in columns]
+    return F.concat(*[x for part in parts for x in (F.lit("|"), part)][1:])
 
 
 def artifact_name(pair: Column, key: Column, role: Column) -> Column:

@@ -370,7 +370,7 @@ def merge_final(spark, d):
 
 @_query
 def merge_key_text(spark, d):
-    c = X.table(spark, d, "customer").select("c_custkey", F.round(F.col("c_acctbal") / 7, 6).alias("start"))
+    c = X.table(spark, d, "customer").select("c_custkey", (F.col("c_acctbal") / 7).alias("start"))
     return c.select("c_custkey", text.merge_key(["c_custkey", "start"], ["start"]).alias("merge_key"))
 
 

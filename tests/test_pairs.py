@@ -160,6 +160,19 @@ def test_text_functions(spark):
     assert (row.second, row.none, row.a, row.b, row.c, row.n, row.turn, row.p) == ("P2", "", "0.0005", "12345678.5", "3.0", 4, 12, "/r/x")
 
 
+def test_key_text_of_null_signed_and_large_numbers(spark):
+    """As SQL's ``||`` and ``printf('%.6f')``: a part that is null makes the key null."""
+    rows = [(1, None), (2, -1e-9), (3, 6452785714.285714), (4, 1e10 + 1 / 3), (5, -2.5e-6), (6, 0.9999999), (None, 1.0), (8, float("nan")), (9, float("-inf")), (10, 1e300), (11, 4503599627370495.5)]
+    got = {r.k: r.t for r in spark.createDataFrame(rows, "k long, start double").select("k", text.merge_key(["k", "start"], ["start"]).alias("t")).collect()}
+    import duckdb
+
+    sql = "SELECT k, k || '|' || regexp_replace(printf('%.6f', round(start, 6)), '(\\.\\d+?)0+$', '\\1') FROM (VALUES " + ", ".join(f"({'NULL' if k is None else k}, {'NULL' if x is None else repr(str(x))}::DOUBLE)" for k, x in rows) + ") v(k, start)"
+    want = dict(duckdb.sql(sql).fetchall())
+    assert got[1] is None and got[None] is None and got[2] == "2|-0.0" and got[6] == "6|1.0"
+    assert {k: v for k, v in got.items() if k != 10} == {k: v for k, v in want.items() if k != 10}  # 1e300: digits of the shortest text
+    assert float(got[10].split("|")[1]) == 1e300
+
+
 def test_slices(spark):
     df = spark.createDataFrame([([float(i) for i in range(10)], 4)], "s array<float>, r int")
     cut = lambda a, b: df.select(audio.slice_samples(F.col("s"), F.col("r"), F.lit(a), F.lit(b)).alias("x")).first().x
