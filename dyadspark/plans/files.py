@@ -80,12 +80,26 @@ def _recordings(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
     said = by_segment.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("turn", "seg_idx", "ws"))).alias("segments"))
     transcript = F.transform("segments", lambda s: F.struct(F.lit("").alias("transcript"), F.transform(s["ws"], lambda w: w["w"]).alias("words")))
     active = X.voice_activity(words).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct((F.col("start") / 1000.0).alias("start"), (F.col("end") / 1000.0).alias("end")))).alias("metadata:vad"))
+    docs = said.select(*keys, transcript.alias("metadata:transcript")).join(active, keys, "left").select(*keys, F.to_json(F.struct("`metadata:transcript`", "`metadata:vad`")).alias("doc"))
     to = _folder(spark)
-    # one file for each recording, as recordings come
-    said.select(*keys, transcript.alias("metadata:transcript")).join(active, keys, "left").repartition(*keys).write.partitionBy(*keys).json(to)
+
+    def put(batches):
+        for batch in batches:
+            for i, participant, doc in zip(*[batch.column(c) for c in range(3)], strict=True):
+                pcm.write_file(f"{to}/interaction={i.as_py()}/participant={participant.as_py()}/recording.json", doc.as_py().encode())
+            yield batch.select(["interaction"])
+
+    # one file for each recording, as recordings come, written by the tasks
+    docs.repartition(_parts(spark, d), *keys).mapInArrow(put, "interaction long").count()
     return tables.read_recordings(spark, f"{to}/*/*/*.json")
 
 
+def _parts(spark: SparkSession, d: str) -> int:
+    """So many tasks that each writes about a hundred conversations: what one holds at once does not grow with the table."""
+    n = X.table(spark, d, "conversations").agg(F.approx_count_distinct("conv_id")).first()[0]
+    return max(8, n // 100)
+
+
 def _speaker(path: Column) -> list[Column]:
     return [F.regexp_extract(path, "interaction=([^/]+)", 1).cast("long").alias("interaction"), F.regexp_extract(path, "participant=([^/]+)", 1).alias("participant")]
 
@@ -183,9 +197,10 @@ def _probe_folder(spark, d) -> str:
     items = docs.groupBy("interaction").agg(F.max(F.when(user, F.col("doc"))).alias("a"), F.max(F.when(~user, F.col("doc"))).alias("b"))
     to = _folder(spark)
 
-    def put(frames):
-        for frame in frames:
-            for i, a, b in zip(frame["interaction"], frame["a"], frame["b"], strict=True):
+    def put(batches):
+        for batch in batches:
+            for row in zip(*[batch.column(c) for c in ("interaction", "a", "b")], strict=True):
+                i, a, b = (x.as_py() for x in row)
                 name = f"{to}/{'rows' if i % 13 == 0 else 'row'}_{i}_p1_P{2 * i}_p2_P{2 * i + 1}"
                 lines = ["spk,tts_model", f"A,{'synth' if i % 3 == 0 else ''}", "A,other", f"A,{'synth' if i % 3 == 0 else ''}", " ,synth"]
                 lines += [] if i % 5 == 0 else [f"B,{'synth' if i % 2 == 0 else 'other'}"]
@@ -194,9 +209,9 @@ def _probe_folder(spark, d) -> str:
                 for file, content in held.items() if i % 11 else ():
                     if i % 7 or file != "speaker2_track.wav":
                         pcm.write_file(f"{name}/{file}", content.encode())
-            yield frame[["interaction"]]
+            yield batch.select(["interaction"])
 
-    items.mapInPandas(put, "interaction long").count()
+    items.repartition(_parts(spark, d), "interaction").mapInArrow(put, "interaction long").count()
     return to
 
 

@@ -185,7 +185,7 @@ class PcmReader(DataSourceReader):
 
 
 def _opened(path: str) -> tuple[fs.FileSystem, str]:
-    plain = re.sub("^file:/+", "/", path)
+    plain = re.sub("^s3[an]:", "s3:", re.sub("^file:/+", "/", path))
     return fs.FileSystem.from_uri(plain if re.match(r"^\w[\w+.-]*:", plain) else f"file://{plain}")
 
 
@@ -238,6 +238,38 @@ def listed(path: str) -> list[tuple[str, int]]:
     return sorted(out)
 
 
+def tops(path: str) -> tuple[list[str], str]:
+    """What the first wildcard of a glob names, and the rest of the glob below it, which tasks may follow."""
+    files, base = _opened(path)
+    parts = base.split("/")
+    wild = next((i for i, p in enumerate(parts) if re.search(r"[*?\[]", p)), None)
+    scheme = path[: len(path) - len(base)] if re.match(r"^(?!file:)\w[\w+.-]*:", path) and path.endswith(base) else ""
+    if wild is None:
+        return [path], ""
+    kinds = (fs.FileType.Directory,) if wild + 1 < len(parts) else (fs.FileType.File,)
+    found = files.get_file_info(fs.FileSelector("/".join(parts[:wild]) or "/"))
+    return sorted(scheme + i.path for i in found if i.type in kinds and _fits(i.base_name, parts[wild])), "/".join(parts[wild + 1 :])
+
+
+def _fits(name: str, pattern: str) -> bool:
+    return not name.startswith(("_", ".")) and fnmatch.fnmatchcase(name, pattern)
+
+
+def contents(top: str, below: str) -> Iterator[tuple[str, bytes]]:
+    """``(path, bytes)`` of the files that a glob names below ``top``; of ``top`` itself, or of what it holds, without one."""
+    files, base = _opened(top)
+    scheme = top[: len(top) - len(base)] if re.match(r"^(?!file:)\w[\w+.-]*:", top) and top.endswith(base) else ""
+    found = [files.get_file_info(base)]
+    if not below and found[0].type == fs.FileType.Directory:
+        below = "*"
+    for depth, pattern in enumerate(below.split("/") if below else [], 1):
+        kind = fs.FileType.File if depth == below.count("/") + 1 else fs.FileType.Directory
+        found = [i for f in found for i in files.get_file_info(fs.FileSelector(f.path)) if i.type == kind and _fits(i.base_name, pattern)]
+    for info in sorted(found, key=lambda i: i.path):
+        with files.open_input_stream(info.path, compression=None) as file:
+            yield scheme + info.path, file.read()
+
+
 def _read(spark: SparkSession, path: str, schema: T.StructType, **options: int) -> DataFrame:
     spark.dataSource.register(PcmSource)
     return spark.read.format("pcm").schema(schema).options(**options).load(path)

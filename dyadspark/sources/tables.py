@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import csv
+import io
+import json
 import re
 import uuid
 from collections.abc import Sequence
@@ -21,7 +23,7 @@ from dyadspark.functions import text
 from dyadspark.operators.checkpoints import stored
 from dyadspark.operators.pairs import last_wins
 from dyadspark.sources import commits
-from dyadspark.sources.pcm import Counting, NotPcm, decoded, header_of, headers, names_below, subfolders, whole_files
+from dyadspark.sources.pcm import Counting, NotPcm, contents, decoded, header_of, headers, names_below, subfolders, tops, whole_files
 
 _strings = lambda *names: T.StructType([T.StructField(n, T.StringType()) for n in names])
 DYADS = _strings("participant1_id", "participant1_relpath", "participant2_id", "participant2_relpath")
@@ -126,6 +128,38 @@ def _vad_problems(vad: Column) -> Column:
     return F.filter(F.transform(vad, of), lambda x: x["reason"].isNotNull())
 
 
+def whole_texts(spark: SparkSession, path: str) -> DataFrame:
+    """``(path, value)``: every file that a glob names, as one text; null where it cannot be decoded.
+
+    The driver lists what the first wildcard names, tasks list and read what is below, so its work does not grow with
+    the files in these folders. Batches have a few MB.
+    """
+    found, below = tops(path)
+    if not found:
+        raise FileNotFoundError(path)
+
+    def run(batches):
+        for batch in batches:
+            rows, held = [], 0
+            for top in batch.column("top").to_pylist():
+                for where, content in contents(top, below):
+                    try:
+                        rows.append((re.sub("^file:/+", "/", where), content.decode(json.detect_encoding(content))))
+                    except UnicodeDecodeError:
+                        rows.append((re.sub("^file:/+", "/", where), None))
+                    held += len(content)
+                    if held > 4 << 20:
+                        yield _texts(rows)
+                        rows, held = [], 0
+            yield _texts(rows)
+
+    return spark.createDataFrame(pa.table({"top": pa.array(found, pa.string())})).repartition(max(1, len(found) // 128)).mapInArrow(run, "path string, value string")
+
+
+def _texts(rows: list[tuple[str, str | None]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in (0, 1)], ["path", "value"])
+
+
 def parse_recordings(spark: SparkSession, path: str, *, lines: bool = False) -> DataFrame:
     """One row for each document: ``path``, ``segments``, ``vad`` and ``problems``, parsed once and stored.
 
@@ -133,11 +167,17 @@ def parse_recordings(spark: SparkSession, path: str, *, lines: bool = False) ->
     nothing else. An empty file counts as broken. Missing fields are problems too, the others stay. With ``lines`` every line
     is a document, and its field ``path`` names it (its file, where that cannot be read).
     """
-    schema = RECORDING + (", path string" if lines else "")
-    raw = spark.read.schema(schema).option("multiLine", not lines).option("columnNameOfCorruptRecord", "_broken").json(path)
-    file = plain_path(F.col("_metadata.file_path"))
-    raw = raw.withColumn("path", F.coalesce("path", file) if lines else file).withColumnsRenamed({"metadata:transcript": "t", "metadata:vad": "v"})
-    broken = F.col("_broken").isNotNull()
+    if lines:
+        raw = spark.read.schema(RECORDING + ", path string").option("columnNameOfCorruptRecord", "_broken").json(path)
+        raw = raw.withColumn("path", F.coalesce("path", plain_path(F.col("_metadata.file_path")))).withColumn("_broken", F.col("_broken").isNotNull())
+    else:
+        # a document may stand in an array, as Spark's reader allows too
+        listed = F.when(F.ltrim("value").startswith("["), F.from_json("value", "array<string>"))
+        docs = whole_texts(spark, path).select("path", F.explode_outer(F.coalesce(listed, F.array("value"))).alias("value"))
+        raw = docs.select("path", F.from_json("value", RECORDING, {"columnNameOfCorruptRecord": "_broken"}).alias("d"))
+        raw = raw.select("path", "d.*", (F.col("d").isNull() | F.col("d._broken").isNotNull()).alias("_bad")).drop("_broken").withColumnRenamed("_bad", "_broken")
+    raw = raw.withColumnsRenamed({"metadata:transcript": "t", "metadata:vad": "v"})
+    broken = F.col("_broken")
     number = lambda x, *names: [x[c].try_cast("double").alias(c) for c in names]
     segments = F.transform("t", lambda s: F.struct(s["transcript"].alias("transcript"), F.transform(s["words"], lambda w: F.struct(w["word"].alias("word"), *number(w, "start", "end"))).alias("words")))
     vad = F.transform("v", lambda x: F.struct(*number(x, "start", "end")))
@@ -149,14 +189,7 @@ def parse_recordings(spark: SparkSession, path: str, *, lines: bool = False) ->
         )
     )
     parsed = raw.select("path", F.when(~broken, segments).alias("segments"), F.when(~broken, vad).alias("vad"), F.coalesce(problems, none).alias("problems"))
-    parsed = stored(parsed)
-    if lines:
-        return parsed
-    # Spark lists empty files, as the driver does for every reader, but reads no row of them
-    files = spark.createDataFrame([(f,) for f in raw.inputFiles()], "path string").select(plain_path(F.col("path")).alias("path"))
-    empty = files.join(parsed.select("path"), "path", "left_anti")
-    lost = empty.select("path", *[F.lit(None).cast(parsed.schema[c].dataType).alias(c) for c in ("segments", "vad")], F.array(_problem("BROKEN_DOCUMENT", F.lit(None).cast("string"))).cast(parsed.schema["problems"].dataType).alias("problems"))
-    return parsed.unionByName(lost)
+    return stored(parsed)
 
 
 def recordings(spark: SparkSession, path: str, *, lines: bool = False) -> Recordings:
@@ -259,8 +292,23 @@ def item_files(spark: SparkSession, root: str) -> DataFrame:
 
 def read_item_metadata(spark: SparkSession, root: str) -> DataFrame:
     """``(row_dir, spk, tts_model, row_order)`` of the metadata in every folder of ``root``."""
-    rows = _csv(spark, f"{root}/*/metadata.csv", _strings("spk", "tts_model"))
-    return rows.select(F.element_at(F.split("_file", "/"), -2).alias("row_dir"), "spk", "tts_model", F.col("_row").alias("row_order"))
+    schema = "row_dir string, spk string, tts_model string, row_order long"
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for where, value in zip(batch.column("path").to_pylist(), batch.column("value").to_pylist(), strict=True):
+                if value is None:
+                    raise ValueError(f"not a text: {where}")
+                lines = csv.reader(io.StringIO(value, newline=""))
+                place = {name: i for i, name in enumerate(next(lines, []))}  # equal names in one header: the last one counts
+                for order, line in enumerate(line for line in lines if line):
+                    at = [place.get(name, len(line)) for name in ("spk", "tts_model")]
+                    rows.append((where.split("/")[-2], *[(line[i] or None) if i < len(line) else None for i in at], order))
+            kinds = (pa.string(), pa.string(), pa.string(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], ["row_dir", "spk", "tts_model", "row_order"])
+
+    return whole_texts(spark, f"{root}/*/metadata.csv").mapInArrow(run, schema)
 
 
 def shard_index(file_name, prefix: str = ""):
