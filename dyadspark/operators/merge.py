@@ -38,6 +38,11 @@ def merge_tables(left: DataFrame, right: DataFrame, keys: Sequence[str] = MERGE_
     return out.withColumnRenamed("pair_id", "pair_id_old") if "pair_id" in out.columns else out
 
 
+def bucket_count(df: DataFrame, rows: int = 250_000, least: int = 8) -> int:
+    """Buckets of about ``rows`` rows for tables as large as ``df``, so that a task's memory does not grow with them."""
+    return max(least, -(-df.count() // rows))
+
+
 def save_bucketed(df: DataFrame, name: str, keys: Sequence[str] = ("merge_key",), *, buckets: int = 200) -> DataFrame:
     """``df`` as a table of the session's warehouse, dealt to buckets by its keys and sorted in them.
 

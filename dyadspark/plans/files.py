@@ -356,7 +356,8 @@ def merge_buckets(spark, d):
     keys = ["l_orderkey", "l_linenumber"]
     left, right = X.feature_tables(spark, d)
     third = X.table(spark, d, "lineitem").groupBy(*keys).agg(F.max("l_discount").alias("discount"))
-    save = lambda df: merge.save_bucketed(df, f"features_{uuid.uuid4().hex}", keys, buckets=8)
+    buckets = merge.bucket_count(X.table(spark, d, "lineitem"))
+    save = lambda df: merge.save_bucketed(df, f"features_{uuid.uuid4().hex}", keys, buckets=buckets)
     return merge.merge_bucketed([save(left), save(right), save(third)], keys)
 
 

@@ -23,6 +23,10 @@ def test_three_tables_join_without_a_shuffle(spark):
         merge.merge_bucketed([sides[0], twice]).collect()
 
 
+def test_buckets_grow_with_the_table(spark):
+    assert [merge.bucket_count(spark.range(n), rows=100, least=4) for n in (0, 400, 401, 5000)] == [4, 4, 5, 50]
+
+
 def test_a_table_is_checked_by_the_job_that_writes_it(spark, tmp_path):
     df = spark.range(100).select(F.col("id").alias("k"), (F.col("id") % 10).alias("a"), F.lit(5).alias("b")).repartition(3)
     checks = {"interval": F.col("b") >= F.col("a"), "key": F.col("k").isNotNull()}
