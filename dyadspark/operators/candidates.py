@@ -34,16 +34,22 @@ def manifest(outputs: DataFrame, inputs: DataFrame, asr: DataFrame, catalog: Dat
     """
     stem = text.stem_of(F.col("audio_path"))
     place = ["split", "source_style", "prompt_stem"]
+    # one row for each set of names that lookups go by: these meet the lookups, and the texts of the outputs meet them once
+    names = ["model_name", "split", "source_style", "audio_path", "answer_audio_path"]
     prompts = last_wins(inputs.withColumn("prompt_stem", stem).select(*place, *_PROMPT, *order), place, order).select(*place, *[F.col(c).alias(f"in_{c}") for c in _PROMPT], F.lit(True).alias("_hit"))
-    rows = asr_lookup(outputs, asr, order).withColumn("prompt_stem", stem).join(prompts, place, "left")
+    rows = asr_lookup(outputs.select(*names).distinct(), asr, order).withColumn("prompt_stem", stem).join(prompts, place, "left")
     hit = F.col("_hit").isNotNull()
     # the prompt row's own value counts even where it is empty: columns fall back by presence of the row
     prompt = lambda c: F.coalesce(F.when(hit, F.col(f"in_{c}")).otherwise(F.col(c)), F.lit(""))
     rows = rows.withColumn("prompt_audio_path", text.resolve_path(root, prompt("audio_path"))).withColumn("response_audio_path", text.resolve_path(root, F.col("answer_audio_path")))
-    rows = rows.withColumn("prompt_transcript", F.trim(prompt("transcript_question"))).withColumn("speakers", F.trim(F.coalesce("speakers", F.when(hit, F.col("in_speakers")), F.lit("")))).withColumn("conversation_id", F.coalesce("conversation_id", "in_conversation_id", F.lit("")))
+    known = catalog.groupBy("path").agg(F.max("duration_s").alias("duration_s"))
     for role in ("prompt", "response"):
-        found = catalog.groupBy("path").agg(F.max("duration_s").alias(f"{role}_audio_duration_s")).withColumnRenamed("path", f"{role}_audio_path")
-        rows = rows.join(found, f"{role}_audio_path", "left")
+        rows = rows.join(known.select(F.col("path").alias(f"{role}_audio_path"), F.col("duration_s").alias(f"{role}_audio_duration_s")), f"{role}_audio_path", "left")
+    own = [c for c in outputs.columns if c not in names]
+    found, given = rows.withColumnsRenamed({c: f"_{c}" for c in names}), outputs
+    same = [given[c].eqNullSafe(found[f"_{c}"]) for c in names]
+    rows = given.join(found, same).select(*names, *own, *[c for c in rows.columns if c not in names])
+    rows = rows.withColumn("prompt_transcript", F.trim(prompt("transcript_question"))).withColumn("speakers", F.trim(F.coalesce("speakers", F.when(hit, F.col("in_speakers")), F.lit("")))).withColumn("conversation_id", F.coalesce("conversation_id", "in_conversation_id", F.lit("")))
     status = F.when(F.coalesce("answer_audio_path", F.lit("")) == "", "MISSING_RESPONSE_AUDIO_PATH").when(F.col("prompt_audio_duration_s").isNull(), "MISSING_PROMPT_AUDIO_FILE").when(F.col("response_audio_duration_s").isNull(), "MISSING_RESPONSE_AUDIO_FILE").otherwise("OK")
     said = F.trim(F.coalesce("transcript_answer", F.lit("")))
     rows = rows.withColumn("status", status).withColumn("response_metadata_transcript", said)
