@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from dyadspark.constants import RESPONSE_TARGETS
 from dyadspark.functions import text
 from dyadspark.operators import embed, evaluate, merge, pairs, quality, voice
-from dyadspark.operators.checkpoints import ensure_checkpoint_dir
+from dyadspark.operators.checkpoints import ensure_checkpoint_dir, stored
 from dyadspark.plans import fixtures as X
 from dyadspark.plans.natural import natural_pairs as build_natural
 from dyadspark.plans.natural import natural_violations as build_violations
@@ -135,9 +135,11 @@ def recordings_violations(spark, d):
     return found.select("reason", F.when(F.col("reason") != "BROKEN_DOCUMENT", F.col("path")).alias("recording"), "place")
 
 
-def _natural_inputs(spark, d) -> dict[str, DataFrame]:
-    """Dyads, words, segments, voice activity and relationships of the conversations, as recordings of two speakers."""
+def _natural_inputs(spark, d, *, keep: bool = False) -> dict[str, DataFrame]:
+    """Dyads, words, segments, voice activity and relationships of the conversations, as recordings of two speakers. With
+    ``keep`` the words are computed once and stored."""
     words = X.timed_words(spark, d)
+    words = stored(words) if keep else words
     path = F.format_string("/c%d_%s.json", "interaction", "participant")
     conv = words.select("interaction").distinct()
     wav = lambda n: F.format_string(f"/c%d_P%d.wav", "interaction", F.col("interaction") * 2 + n)  # noqa: E731, F541
@@ -163,7 +165,7 @@ def natural_pairs(spark, d):
 @_query
 def natural_pairs_pitch(spark, d):
     """The pair table with the pitch of both sides, from frames of whole recordings by time."""
-    given = _natural_inputs(spark, d)
+    given = _natural_inputs(spark, d, keep=True)
     f0 = F.when(F.col("word_idx") % 4 == 0, 0.0).otherwise((80 + (F.length("word") * 13 + F.col("word_idx") * 7) % 200).cast("double"))
     frames = given["words"].select(F.regexp_replace("path", "json$", "wav").alias("path"), F.col("start").alias("time"), f0.alias("f0"))
     out = build_natural(**given, frames=frames, **_NATURAL)

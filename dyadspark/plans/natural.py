@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from dyadspark import constants as C
 from dyadspark.functions import text
 from dyadspark.operators import pairs, pitch, quality, tempo
+from dyadspark.operators.checkpoints import stored
 
 
 def sides(dyads: DataFrame, root: str = "") -> DataFrame:
@@ -66,11 +67,14 @@ _PITCH = ("f0_mean", "f0_sd", "f0_range", "voiced_ratio")
 
 
 def _with_pitch(out: DataFrame, frames: DataFrame, longest: float) -> DataFrame:
-    """Pitch of both sides, from one join of frames with the segments of all pairs."""
+    """Pitch of both sides, from one join of frames with the segments of all pairs. Pairs and met frames are stored, as
+    each is read more than once."""
+    out = stored(out)
     roles = ("prompt", "response")
     side = lambda role: out.select("pair_id", F.lit(role).alias("role"), F.col(f"source_wav_path_{role}").alias("path"), F.col(f"{role}_start_s").alias("start"), F.col(f"{role}_end_s").alias("end"))
     segments = side("prompt").unionByName(side("response"))
-    stats = pitch.pitch_stats(pitch.frames_in_segments(frames, segments, bucket=longest), ["pair_id", "role"], segments=segments)
+    met = stored(pitch.frames_in_segments(frames, segments, bucket=longest).select("pair_id", "role", "f0"))
+    stats = pitch.pitch_stats(met, ["pair_id", "role"], segments=segments)
     of = lambda role, c: F.first(F.when(F.col("role") == role, F.col(c)), ignorenulls=True)
     both = stats.groupBy("pair_id").agg(*[of(role, c).alias(f"{role}_{c}") for role in roles for c in _PITCH], *[of(role, "status_prosody").alias(f"status_{role}_prosody") for role in roles])
     return out.join(both, "pair_id", "left")

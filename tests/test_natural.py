@@ -35,3 +35,10 @@ def test_from_files_to_pairs(spark, tmp_path):
     assert one.prompt_speech_rate_local == 75 and one.status_prompt_prosody == "OK" and one.status_response_prosody == "NO_PITCH_FRAMES"
     assert two.status_prompt_prosody == "NO_PITCH_FRAMES" and one.source_json_path_prompt.endswith("P7.json")
     assert one.merge_key == "0002|3|P7|P8|P7|P8|1|0.0|4.0|4.5|8.5"
+
+
+def test_pitch_of_pairs_does_not_compute_the_pairs_again(spark):
+    from dyadspark.plans import files
+
+    plan = files.natural_pairs_pitch(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "conversations" not in plan  # pairs and met frames come from stored tables
