@@ -394,7 +394,7 @@ def _set_cuts(model: ToxicityModel, rows: DataFrame, grain: int = 200) -> None:
 
     def run(batches):
         for part, data, offsets in steps(batches, most=1 << 20):
-            p = np.clip(shared.value.score(*word_hashes(data, offsets)), 1e-13, 1 - 1e-13)
+            p = np.clip(shared.value.score(*word_hashes(data, offsets)).astype(np.float64), 1e-9, 1 - 1e-9)
             yield pa.RecordBatch.from_arrays([part.column("lang"), pa.array(np.rint(np.log(p / (1 - p)) * grain).astype(np.int32)), part.column("toxic").cast(pa.int64())], ["lang", "step", "toxic"])
 
     def cut(frame):

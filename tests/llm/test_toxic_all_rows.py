@@ -69,3 +69,10 @@ def test_tasks_move_the_model_by_their_mean(spark):
     held = docs.where(toxicity.fold("doc_id", 5) == 0)
     hits = [np.mean((r.score >= 0.5) == (r.doc_id % 2 == 1)) for m in (start, model) for r in [toxicity.score(held, m).toPandas()]]
     assert hits[0] < 0.9 < 0.95 < hits[1]
+
+
+def test_stage_keeps_clean_rows_after_many_tasks(spark):
+    """What the pipeline's first stage does with a model of the way of larger tables."""
+    docs, labels = late_words(spark)
+    kept = {r.doc_id for r in toxicity.clean(docs, toxicity.fit(docs, labels, whole_rows=0)).select("doc_id").collect()}
+    assert np.mean([i in kept for i in range(0, 5600, 2)]) > 0.95 and np.mean([i in kept for i in range(1, 5600, 2)]) < 0.05
