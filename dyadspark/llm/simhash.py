@@ -72,7 +72,10 @@ def of_hashes(h: np.ndarray, counts: np.ndarray) -> np.ndarray:
     starts = np.concatenate([[0], np.cumsum(counts[full])[:-1]])
     pieces = -(-counts[full] // 255)
     cuts = np.repeat(starts, pieces) + 255 * ranges(np.zeros(len(full), np.int64), pieces)
-    lanes = np.add.reduceat(_SPREAD[h.view(np.uint8).reshape(-1, 8)], cuts, axis=0)
+    lanes = np.zeros((len(cuts), 8), np.uint64)
+    for a in range(0, len(cuts), 256):  # spread hashes take 64 bytes each: some 65,000 at a time
+        end = cuts[a + 256] if a + 256 < len(cuts) else len(h)
+        lanes[a : a + 256] = np.add.reduceat(_SPREAD[h[cuts[a] : end].view(np.uint8).reshape(-1, 8)], cuts[a : a + 256] - cuts[a], axis=0)
     piece_of = np.concatenate([[0], np.cumsum(pieces)[:-1]])
     sums = np.add.reduceat(np.ascontiguousarray(lanes).view(np.uint8).reshape(-1, 64).astype(np.int64), piece_of, axis=0)
     bits = (2 * sums > counts[full, None]).astype(np.uint8)
