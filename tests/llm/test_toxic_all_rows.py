@@ -76,3 +76,16 @@ def test_stage_keeps_clean_rows_after_many_tasks(spark):
     docs, labels = late_words(spark)
     kept = {r.doc_id for r in toxicity.clean(docs, toxicity.fit(docs, labels, whole_rows=0)).select("doc_id").collect()}
     assert np.mean([i in kept for i in range(0, 5600, 2)]) > 0.95 and np.mean([i in kept for i in range(1, 5600, 2)]) < 0.05
+
+
+def test_cut_offs_of_scores_that_reach_one(spark):
+    docs, labels = late_words(spark, 2000)
+    given = toxicity.labelled(docs, labels)
+    some = given.toPandas()
+    model = toxicity.train(some.text.tolist(), some.toxic.to_numpy(), some.lang.tolist())
+    model.shift, model.thresholds, model.out, model.bias = 0.0, {}, model.out * 20, (model.bias + model.shift) * 20
+    assert toxicity.score(docs, model).where("score = 1").count() > 100  # in 32 bits
+    toxicity._set_cuts(model, given)
+    # in the other fold toxic texts have a word that these never show
+    seen = toxicity.flag(docs, model).where(toxicity.fold("doc_id", 5) != 0).toPandas()
+    assert np.mean(seen.toxic == (seen.doc_id % 2 == 1)) > 0.95 and 0 < model.thresholds["aa"] < 1
