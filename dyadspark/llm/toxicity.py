@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dyadspark.llm._common import as_bytes, by_group, fold, ranges, steps, trained, unused
-from dyadspark.operators.checkpoints import scratch, stored
+from dyadspark.operators.checkpoints import release, scratch, stored
 
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -84,6 +84,18 @@ class ToxicityModel:
     thresholds: dict = field(default_factory=dict)
     constant: float | None = None
 
+    def __getstate__(self) -> dict:
+        """Taken slots of the table and embeddings other than zero: what travels through the driver and to executors."""
+        slot, kept = np.flatnonzero(self.row).astype(np.int32), np.flatnonzero(self.embedding.any(1)).astype(np.int32)
+        packed = (self.fingerprint.shape, slot, self.fingerprint[slot], self.row[slot]), (self.embedding.shape, kept, self.embedding[kept])
+        return {k: v for k, v in self.__dict__.items() if k not in ("fingerprint", "row", "embedding")} | {"packed": packed}
+
+    def __setstate__(self, state: dict) -> None:
+        (size, slot, fingerprint, row), (shape, kept, values) = state.pop("packed")
+        self.__dict__.update(state)
+        self.fingerprint, self.row, self.embedding = np.zeros(size, np.uint32), np.zeros(size, np.int32), np.zeros(shape, values.dtype)
+        self.fingerprint[slot], self.row[slot], self.embedding[kept] = fingerprint, row, values
+
     def rows(self, hashes: np.ndarray) -> np.ndarray:
         slot = (hashes & np.uint64(_SLOTS - 1)).astype(np.int64)
         return np.where(self.fingerprint[slot] == (hashes >> np.uint64(32)).astype(np.uint32), self.row[slot], 0)
@@ -385,6 +397,7 @@ def _refined(rows: DataFrame, start: ToxicityModel, share: float, *, tasks: int,
         for value, own in zip(dense(model), np.split(delta[:-1], ends[:-1]), strict=True):
             value += own.reshape(value.shape)
         model.bias += float(delta[-1])
+    shared.destroy()
     return model
 
 
@@ -406,6 +419,7 @@ def _set_cuts(model: ToxicityModel, rows: DataFrame, grain: int = 200) -> None:
     kind = rows.schema["lang"].dataType.simpleString()
     counts = rows.select("text", "lang", "toxic").mapInArrow(run, f"lang {kind}, step int, toxic long").groupBy("lang", "step").agg(F.count("*").alias("n"), F.sum("toxic").alias("hit"))
     counts = stored(counts)
+    shared.destroy()
     all_ = counts.groupBy("step").agg(F.sum("n").alias("n"), F.sum("hit").alias("hit")).toPandas()
     model.thresholds = {None: 0.5}
     if not len(all_) or not 0 < all_.hit.sum() < all_.n.sum():
@@ -440,12 +454,16 @@ def fit(docs: DataFrame, labels: DataFrame, *, mod: int = 5, out: int = 0, whole
         kept = F.pmod(F.xxhash64("doc_id", F.lit("cut")), F.lit(5)) == 0 if min(size.toxic, size.n - size.toxic) >= 100 else F.lit(False)
         fitted = rows.where(~kept)
         words = _vocabulary(rows, most_words)
+        release(docs.sparkSession)  # what the driver has passed on goes before more comes, so its heap stays small
         start = trained(labelled_sample(fitted, fitted, mod=mod, out=out, per_class=per_class, most_chars=most_chars), lambda found: learn(found, words))
         if start.constant is not None:  # no text short enough of one of the labels
             start = trained(labelled_sample(fitted, fitted, mod=mod, out=out, per_class=per_class, most_chars=(1 << 31) - 1), lambda found: learn(found, words))
         start.shift, start.thresholds = 0.0, {}
+        release(docs.sparkSession)
         model = _refined(fitted, start, size.toxic / size.n, tasks=int(min(most_tasks, max(1, size.chars >> 22))))
+        release(docs.sparkSession)
         _set_cuts(model, rows.where(kept))
+        release(docs.sparkSession)
         return model
 
 
