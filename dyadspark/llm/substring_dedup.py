@@ -10,10 +10,12 @@ it also starts in a document with a smaller id; windows are judged on the input.
    bounded number of words.
 3. A shard is sent to every task that streams passages against it, and only there: the shards of a corpus together
    have no bound that would let each executor hold them all. It travels as its passages, which take far less space
-   than its arrays, and becomes a suffix automaton where it arrives, each state with the first document of its strings.
-   Passages of documents run through it word by word; the suffix link chain down to a state that an earlier document
-   holds gives the matching statistic, the longest match with earlier documents that ends at that word. Ends with
-   ``length`` words or more give the spans to remove.
+   than its arrays. Equal passages are one there: the first stands for the others, which go whole. Between different
+   passages a suffix automaton decides, made where the shard arrives, each state with the first document of its strings;
+   it is made of the stretches of windows whose hash the shard holds twice, as other windows cannot repeat. The stretches
+   run through it word by word; the suffix link chain down to a state that an earlier document holds gives the matching
+   statistic, the longest match with earlier documents that ends at that word. Ends with ``length`` words or more give
+   the spans to remove.
 
 Anchors with over ``wide`` different passages (a frequent line in many surroundings) are followed window by window,
 each window with its own place among the shards. Anchors or windows with over ``hot`` occurrences have a shard of
@@ -213,34 +215,77 @@ def _words(text: pa.ChunkedArray) -> tuple[pa.Array, np.ndarray]:
     return lists.flatten(), offsets - offsets[0]
 
 
+def _met_again(codes: np.ndarray, offsets: np.ndarray, n_words: int, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """``(starts, sizes)``: the stretches of ``length`` words or more, in word places, of windows whose hash the sequences hold twice."""
+    windows = np.maximum(np.diff(offsets) - length + 1, 0)
+    if not windows.any():
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    name = (np.arange(1, n_words + 1, dtype=np.uint64) * _MIX) ^ (np.arange(1, n_words + 1, dtype=np.uint64) * _MIX2 >> np.uint64(17))
+    n = len(codes) - length + 1
+    gram = np.zeros(n, np.uint64)
+    for i in range(length):
+        gram = gram * _MIX + name[codes[i : n + i]]
+        gram ^= gram >> np.uint64(29)
+    at = ranges(offsets[:-1], windows)
+    _, place, times = np.unique(gram[at], return_inverse=True, return_counts=True)
+    again = times[place] > 1
+    text = np.repeat(np.arange(len(windows)), windows)
+    begin, end = again.copy(), again.copy()
+    begin[1:] &= ~again[:-1] | (text[1:] != text[:-1])
+    end[:-1] &= ~again[1:] | (text[1:] != text[:-1])
+    starts = at[begin]
+    return starts, at[end] - starts + length
+
+
+def _earlier(reference: pa.Table, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(row, a, b)``: the words of the passages of ``reference`` (sorted by ``first``) that others, first in earlier
+    documents, hold in windows of ``length``. Windows whose hash comes once cannot repeat; the automaton decides the rest."""
+    words, offsets = _words(reference.column("text"))
+    coded = words.dictionary_encode()
+    codes = coded.indices.to_numpy().astype(np.int64)
+    starts, sizes = _met_again(codes, offsets, len(coded.dictionary), length)
+    if not len(starts):
+        return (np.zeros(0, np.int64),) * 3
+    row = np.searchsorted(offsets, starts, side="right") - 1
+    rank = np.unique(reference.column("first").to_numpy(), return_inverse=True)[1][row]
+    codes, cuts = codes[ranges(starts, sizes)], np.concatenate([[0], np.cumsum(sizes)])
+    each, at = codes.tolist(), cuts.tolist()
+    made = Automaton()
+    for i, r in enumerate(rank.tolist()):
+        made.add(each[at[i] : at[i + 1]], r)
+    covered = Matcher.of(made, len(coded.dictionary)).statistics(codes, cuts, rank) >= length
+    begin, end = covered.copy(), covered.copy()
+    begin[1:] &= ~covered[:-1]  # no end is within the first words of a stretch, so runs stay inside stretches
+    end[:-1] &= ~covered[1:]
+    a, b = np.flatnonzero(begin), np.flatnonzero(end)
+    own = np.searchsorted(cuts, a, side="right") - 1
+    shift = starts[own] - offsets[row[own]] - cuts[own]
+    return row[own], a - length + 1 + shift, b + 1 + shift
+
+
 def _streamed(reference: pa.Table, passages: pa.Table, length: int) -> pa.Table:
     """``(doc_id, t, a, b)``: the words of passages that documents before theirs hold in windows of ``length``.
 
-    ``reference`` is a shard ``(first, text)``, which becomes the automaton that the passages run through.
+    ``reference`` is a shard ``(first, text)`` with every different text of ``passages``: the first of equal passages
+    stands for the others. In later documents they go whole; in its own, as the automaton of the shard says.
     """
     ids = passages.schema.field("doc_id").type
     out = {"doc_id": pa.array([], ids), "t": pa.array([], pa.int64()), "a": [], "b": []}
     if reference.num_rows and passages.num_rows:
         reference, passages = reference.sort_by("first").combine_chunks(), passages.combine_chunks()
-        words, offsets = _words(reference.column("text"))
-        coded = words.dictionary_encode()
-        first = reference.column("first").to_numpy()
-        known, rank = np.unique(first, return_inverse=True)
-        codes, at = coded.indices.to_pylist(), offsets.tolist()
-        made = Automaton()
-        for i, r in enumerate(rank.tolist()):
-            made.add(codes[at[i] : at[i + 1]], r)
-        m = Matcher.of(made, len(coded.dictionary))
-        words, offsets = _words(passages.column("text"))
-        codes = pc.index_in(words, coded.dictionary).fill_null(-1).to_numpy().astype(np.int64)
-        covered = m.statistics(codes, offsets, np.searchsorted(known, passages.column("doc_id").to_numpy())) >= length
-        begin, end = covered.copy(), covered.copy()
-        begin[1:] &= ~covered[:-1]  # no end is within the first words of a passage, so runs stay inside passages
-        end[:-1] &= ~covered[1:]
-        a, b = np.flatnonzero(begin), np.flatnonzero(end)
-        row = np.searchsorted(offsets, a, side="right") - 1
-        shift = passages.column("s0").to_numpy()[row] - offsets[row]
-        out = {"doc_id": passages.column("doc_id").take(pa.array(row)), "t": passages.column("t").take(pa.array(row)), "a": a - length + 1 + shift, "b": b + 1 + shift}
+        texts = reference.column("text").combine_chunks()
+        same = pc.index_in(passages.column("text"), value_set=texts)
+        if same.null_count:
+            raise ValueError("the reference lacks a passage that streams against it")
+        later = pc.less(reference.column("first").take(same), passages.column("doc_id")).to_numpy()
+        same, s0 = same.to_numpy().astype(np.int64), passages.column("s0").to_numpy().astype(np.int64)
+        size = pc.count_substring(texts, " ").to_numpy().astype(np.int64) + 1
+        whole, part = np.flatnonzero(later), np.flatnonzero(~later)
+        row, a, b = _earlier(reference, length)  # rows ascend
+        many = np.searchsorted(row, same[part], side="right") - np.searchsorted(row, same[part])
+        at, own = ranges(np.searchsorted(row, same[part]), many), np.repeat(part, many)
+        rows = pa.array(np.concatenate([whole, own]))
+        out = {"doc_id": passages.column("doc_id").take(rows), "t": passages.column("t").take(rows), "a": np.concatenate([s0[whole], s0[own] + a[at]]), "b": np.concatenate([s0[whole] + size[same[whole]], s0[own] + b[at]])}
     return pa.table({"doc_id": out["doc_id"], "t": out["t"], "a": pa.array(out["a"], pa.int64()), "b": pa.array(out["b"], pa.int64())})
 
 

@@ -3,6 +3,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import types as T
 
 from dyadspark.llm import substring_dedup
@@ -106,3 +107,29 @@ def test_matching_statistics():
         for j in range(25):
             best = max((n for n in range(1, j + 2) if any(t[j + 1 - n : j + 1] == s[x : x + n] for s in texts[:rank] for x in range(len(s)))), default=0)
             assert row[j] == best
+
+
+def test_a_shard_builds_only_what_may_repeat(monkeypatch):
+    rnd = random.Random(4)
+    alone = [[f"u{i}-{j}" for j in range(20)] for i in range(300)]
+    mixed = [[rnd.choice("abc") for _ in range(rnd.randrange(4, 12))] for _ in range(80)]
+    shown = [(rnd.randrange(40), words) for words in [*alone, *mixed] for _ in range(rnd.randrange(1, 5))]
+    for kind in (int, lambda i: f"d{i:03}é"):
+        first = {}
+        for i, words in shown:
+            first[" ".join(words)] = min(i, first.get(" ".join(words), i))
+        reference = pa.table({"first": [kind(i) for i in first.values()], "text": list(first)})
+        passages = pa.table({"doc_id": [kind(i) for i, _ in shown], "t": list(range(len(shown))), "s0": pa.array([7] * len(shown), pa.int32()), "text": [" ".join(w) for _, w in shown]})
+        built, add = [], substring_dedup.Automaton.add
+        monkeypatch.setattr(substring_dedup.Automaton, "add", lambda self, codes, rank, add=add, built=built: (built.append(len(codes)), add(self, codes, rank))[1])
+        found = substring_dedup._streamed(reference, passages, 4)
+        monkeypatch.undo()
+        assert 0 < sum(built) <= sum(map(len, mixed))  # 6,000 more words stand alone
+        gone = {(t, j) for t, a, b in zip(*[found.column(c).to_pylist() for c in ("t", "a", "b")], strict=True) for j in range(a, b)}
+        starts = {}
+        for i, words in shown:
+            for a in range(len(words) - 3):
+                starts[tuple(words[a : a + 4])] = min(i, starts.get(tuple(words[a : a + 4]), i))
+        wanted = {(t, 7 + j) for t, (i, words) in enumerate(shown) for a in range(len(words) - 3) if starts[tuple(words[a : a + 4])] < i for j in range(a, a + 4)}
+        assert gone == wanted and len(wanted) > 1000
+        assert found.column("doc_id").to_pylist() == [kind(shown[t][0]) for t in found.column("t").to_pylist()]
